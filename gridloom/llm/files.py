@@ -1,0 +1,27 @@
+"""Files that tasks write into the shared folder, whole or not at all."""
+
+from __future__ import annotations
+
+import os
+import re
+
+from pyarrow import fs
+
+
+def opened(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system and path of a folder that Spark names by URI (file, hdfs, s3a, gs)."""
+    uri = re.sub(r"^file:/+", "file:///", uri)
+    uri = re.sub(r"^s3[an]://", "s3://", uri)
+    if "://" not in uri:
+        uri = "file://" + os.path.abspath(uri)
+    return fs.FileSystem.from_uri(uri)
+
+
+def write_file(folder: str, name: str, data: bytes) -> None:
+    """A retried task writes the same bytes under the same name; readers never see a part of a file."""
+    where, path = opened(folder)
+    where.create_dir(path, recursive=True)
+    part = f"{path}/_{name}.{os.getpid()}"
+    with where.open_output_stream(part) as out:
+        out.write(data)
+    where.move(part, f"{path}/{name}")
