@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import dac, decontam, jaccard, mixing, qda
+from . import chat, dac, decontam, iblt, jaccard, mixing, oracles, qda, secrets, templates, warc
 from .common import importable, shared_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,4 +40,41 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_token_ids, op5_quality, op6_decontamination, op9_ngram_jaccard, op10_mixing)}
 
-SQL: dict[str, str] = {}
+
+
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
+    return warc.archived(spark, table(spark, sf_dir, "pages"), shared_path(spark, "warc"))
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
+    control = r"\### Assistant: </turn> ok"
+    rows = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    every = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long"), "role", "text").unionByName(rows)
+    return chat.read_back(chat.formatted(chat.log_of(every)))
+
+
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op4_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.without_templates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES |= {f.__name__: f for f in (op1_secrets, op2_fingerprints, op4_templates, op7_warc, op8_chat)}
+
+SQL: dict[str, str] = {
+    "op4_templates": oracles.TEMPLATES,
+    "op6_decontamination": oracles.DECONTAMINATION,
+    "op7_warc": oracles.WARC,
+    "op8_chat": oracles.CHAT,
+    "op9_ngram_jaccard": oracles.JACCARD,
+    "op10_mixing": oracles.MIXING,
+}
