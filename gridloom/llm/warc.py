@@ -121,7 +121,7 @@ def member(data: bytes, at: int) -> tuple[bytes, int]:
 def salvage(data: bytes) -> Iterator[tuple[int, int, Record | None, str]]:
     """start, end, record and failed check of every stretch of an archive; a gap has no record."""
     zipped = MEMBER in data[:4096] or b"WARC/1." not in data
-    mark = re.compile(re.escape(MEMBER) if zipped else rb"(?<![^\n])WARC/1\.")
+    mark = re.compile(re.escape(MEMBER) if zipped else rb"WARC/1\.")
     at, bad, why = 0, None, ""
     while at < len(data):
         try:
