@@ -43,13 +43,17 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(p, True)
+
+
 @atexit.register
 def _delete_scratch() -> None:
     for spark, path in _scratch:
         try:
-            jvm = spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(p, True)
+            delete(spark, path)
         except Exception:  # noqa: BLE001  the JVM may be gone; the folder then stays
             return
 
@@ -58,7 +62,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: later plans start there, on any executor."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def done_with(*tables: DataFrame) -> None:
+    """Deletes written tables that no later plan reads."""
+    for t in tables:
+        delete(t.sparkSession, t.written_at)
 
 
 def importable(spark: SparkSession) -> None:

@@ -11,23 +11,25 @@ from .common import written
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the smallest node that each node of edges (x, y) reaches.
 
-    Alternates two steps until the edges are stars around their smallest nodes.
-    Large step: each node's larger neighbours are tied to its smallest one. Small
-    step: the same for its smaller neighbours. Both are a min per node and a join,
-    so a node with many neighbours is pre-aggregated and its join can be split.
+    In each round every node points to its smallest neighbour, or itself if that is
+    larger; pointers are followed to their ends by doubling, and the edges are
+    contracted to those ends. At least half of the nodes that still have edges go in
+    a round. A node with many neighbours meets them in a pre-aggregated minimum, and
+    each join adds one row's pointer to each edge.
     """
     now = written(edges.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).where("u < v").distinct(), "edges")
-    before = None
-    while True:
+    roots = None
+    while not now.isEmpty():
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("m").alias("u"), "v").where("u < v").distinct()
-        low = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(low, "v")
-        tied = small.select("m", "v").unionByName(small.select("m", F.col("u").alias("v"))).where("m < v").distinct()
-        now = written(tied.select(F.col("m").alias("u"), "v"), "edges")
-        sums = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if sums == before:
-            break
-        before = sums
-    return now.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(now.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
+        to = both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("to")).select("node", F.least("node", "to").alias("to"))
+        to = written(to, "pointers")
+        while True:
+            far = to.join(to.toDF("to", "next"), "to").select("node", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved"))
+            far = written(far, "pointers")
+            to = far.drop("moved")
+            if far.where("moved").isEmpty():
+                break
+        roots = to.toDF("node", "root") if roots is None else written(roots.join(to.toDF("root", "end"), "root", "left").select("node", F.coalesce("end", "root").alias("root")), "roots")
+        ends = now.join(to.toDF("u", "a"), "u").join(to.toDF("v", "b"), "v")
+        now = written(ends.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u < v").distinct(), "edges")
+    return roots if roots is not None else now.toDF("node", "root")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import done_with, written
 from .components import components
 from .shingles import mixed, shingle_sets
 
@@ -61,6 +61,10 @@ class Join:
         return n - self.least(n, n) + 1
 
 
+def texts(b: pa.RecordBatch) -> Iterator[str | None]:
+    return (t.as_py() for t in b.column("text"))
+
+
 def set_class(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
@@ -80,7 +84,7 @@ def sets_of(docs: DataFrame, join: Join) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            rows = [(len(s), set_class(s), parities(s)) for s in shingle_sets(b.column("text").to_pylist(), join.words)]
+            rows = [(len(s), set_class(s), parities(s)) for s in shingle_sets(texts(b), join.words)]
             n, cls, bits = map(list, zip(*rows, strict=True)) if rows else ([], [], [])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int32()), pa.array(cls, pa.int64()), pa.array(bits, pa.binary())], ["doc_id", "n", "cls", "bits"])
 
@@ -107,10 +111,10 @@ def frequent_columns(docs: DataFrame, join: Join) -> np.ndarray:
 
         held, size = [], 0
         for b in it:
-            for s in shingle_sets(b.column("text").to_pylist(), join.words):
+            for s in shingle_sets(texts(b), join.words):
                 held.append(s)
                 size += len(s)
-                if size > 4_000_000:
+                if size > 1_500_000:
                     yield from flush()
                     held, size = [], 0
         if size:
@@ -143,7 +147,7 @@ def prefixes(docs: DataFrame, join: Join, frequent: np.ndarray) -> DataFrame:
         seen: set[int] = set()
         for b in it:
             out: list[list[np.ndarray]] = [[], [], [], [], []]
-            for s in shingle_sets(b.column("text").to_pylist(), join.words):
+            for s in shingle_sets(texts(b), join.words):
                 if not len(s) or (cls := set_class(s)) in seen:
                     continue
                 if len(seen) < 200_000:
@@ -196,7 +200,7 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, join: Join) ->
         seen: set[int] = set()
         for b in it:
             cls, members = [], []
-            for s in shingle_sets(b.column("text").to_pylist(), join.words):
+            for s in shingle_sets(texts(b), join.words):
                 c = set_class(s)
                 k = c % join.filter_bits
                 if int(asked_bits[k // 64]) >> (k % 64) & 1 and len(s) and c not in seen:
@@ -219,7 +223,9 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, join: Join) ->
                 ok.append(100 * both >= join.percent * (len(sx) + len(sy) - both))
             yield b.select(["x", "y"]).filter(pa.array(ok, pa.bool_()))
 
-    return written(meet.mapInArrow(exact, "x long, y long"), "links")
+    links = written(meet.mapInArrow(exact, "x long, y long"), "links")
+    done_with(left, asked_sets)
+    return links
 
 
 def linked(docs: DataFrame, join: Join = Join()) -> DataFrame:  # noqa: B008
@@ -235,6 +241,7 @@ def linked(docs: DataFrame, join: Join = Join()) -> DataFrame:  # noqa: B008
 
     center = shared.select("c.*", *(F.col(c).alias(f"o_{c}") for c in ("cls", "n", "at"))).where("cls != o_cls").selectExpr("struct(cls, n, at) c", "struct(o_cls as cls, o_n as n, o_at as at) o")
     pairs = center.where(bounds("o", "c", join.percent)).select(F.least("c.cls", "o.cls").alias("x"), F.greatest("c.cls", "o.cls").alias("y")).distinct()
+    done_with(entries)
     links = verified(written(pairs, "products"), sets, docs, join)
     roots = written(components(links), "roots")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -61,7 +61,7 @@ def _chunk(texts: list[bytes], n: int) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
-def shingle_sets(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
+def shingle_sets(texts: Iterable[str | None], n: int) -> Iterator[np.ndarray]:
     """For each text its sorted distinct n-word shingles; a null text has none. bytes.lower() changes A-Z only."""
     with np.errstate(over="ignore"):
         held: list[bytes] = []
