@@ -5,7 +5,8 @@ every distinct piece has a 64-bit digest. A sketch has three tables of cells; a
 digest is counted and XORed, with a check of itself, into one cell of each. The
 cells of two versions are subtracted, and what remains holds the digests that
 differ: a cell of one digest gives it away, which is taken out of its other cells,
-and so on. Pairs that don't come apart are sketched again with cells four times as many.
+and so on. The cells that a pair starts with grow with its digests; pairs that
+don't come apart are sketched again with four times as many.
 
 A peeling step looks at one table, where a digest has one cell, so that none is
 taken out twice. Cells are rows, partitioned by document, and steps need no shuffle.
@@ -23,14 +24,14 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, ranged, written
+from .common import bounded, partitions, ranged, written
 
 PIECE_WORDS = 32
 TABLES = 3
-#: Cells of a table of the fingerprint; a retry has GROWTH times as many.
+#: Cells of a table of the fingerprint; larger sketches have GROWTH times as many, again and again.
 CELLS, GROWTH = 8, 4
 #: Times that each table is looked at.
-ROUNDS = 5
+ROUNDS = 4
 
 
 def digests(text: Column) -> Column:
@@ -42,15 +43,15 @@ def check(digest: Column) -> Column:
     return F.xxhash64(digest, F.lit("check")).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def place(digest: Column, table: Column | int, cells: int) -> Column:
-    return F.pmod(F.xxhash64(digest, F.lit(table) if isinstance(table, int) else table, F.lit(cells)), F.lit(cells)).cast("int")
+def place(digest: Column, table: int, cells: Column) -> Column:
+    return F.pmod(F.xxhash64(digest, F.lit(table), cells), cells).cast("int")
 
 
 def sketch(keys: Column, cells: int = CELLS) -> Column:
     """The cells of all tables, in order, as an array of (n, k, c)."""
 
     def cell(table: int, at: Column) -> Column:
-        here = F.filter(keys, lambda k: place(k, table, cells) == at)
+        here = F.filter(keys, lambda k: place(k, table, F.lit(cells)) == at)
         xor = lambda f: F.aggregate(here, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(f(k)))
         return F.struct(F.size(here).cast("long").alias("n"), xor(lambda k: k).alias("k"), xor(check).alias("c"))
 
@@ -90,68 +91,68 @@ def neighbours(docs: DataFrame) -> DataFrame:
     )
 
 
-def peeled(cells: DataFrame, size: int) -> DataFrame:
-    """row, pair, only_left, only_right, stuck from the subtracted cells (row, pair, t, at, n, k, c) of partitions by row."""
+def enough(digests_of_both: Column) -> Column:
+    """Cells a table for a pair with so many digests: CELLS times a power of GROWTH, with two cells or more for a digest."""
+    steps = F.ceil(F.log(digests_of_both * 2 / (TABLES * CELLS)) / F.log(F.lit(float(GROWTH))))
+    return F.when(digests_of_both * 2 <= TABLES * CELLS, CELLS).otherwise(CELLS * F.pow(F.lit(GROWTH), steps)).cast("int")
+
+
+def peeled(cells: DataFrame) -> DataFrame:
+    """row, pair, size, only_left, only_right, stuck from the subtracted cells (row, pair, size, t, at, n, k, c) of partitions by row."""
+    key = ["row", "pair", "size"]
     cell = lambda t, at, n: F.struct(F.lit(t).alias("t"), at.alias("at"), n.alias("n"), F.col("k").alias("k"), F.col("c").alias("c"))
     same = F.struct("t", "at", "n", "k", "c")
     now = cells
     for step in range(ROUNDS * TABLES):
         t = step % TABLES
         pure = (F.col("t") == t) & (F.abs("n") == 1) & (F.col("c") == check(F.col("k")))
-        out = [cell(TABLES, F.col("k"), F.col("n")), *(cell(o, place(F.col("k"), o, size).cast("long"), -F.col("n")) for o in range(TABLES) if o != t)]
-        spread = F.explode(F.when(pure, F.array(*out)).otherwise(F.array(same))).alias("x")
-        now = now.select("row", "pair", spread).select("row", "pair", "x.*")
-        now = now.groupBy("row", "pair", "t", "at").agg(F.sum("n").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("c").alias("c")).where("n != 0 or k != 0 or c != 0")
+        out = [cell(TABLES, F.col("k"), F.col("n")), *(cell(o, place(F.col("k"), o, F.col("size")).cast("long"), -F.col("n")) for o in range(TABLES) if o != t)]
+        now = now.select(*key, F.explode(F.when(pure, F.array(*out)).otherwise(F.array(same))).alias("x")).select(*key, "x.*")
+        now = now.groupBy(*key, "t", "at").agg(F.sum("n").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("c").alias("c")).where("n != 0 or k != 0 or c != 0")
     done = F.col("t") == TABLES
-    return now.groupBy("row", "pair").agg(F.count_if(done & (F.col("n") > 0)).alias("only_left"), F.count_if(done & (F.col("n") < 0)).alias("only_right"), F.count_if(~done).alias("stuck"))
-
-
-def cells_of(pairs: DataFrame, size: int) -> DataFrame:
-    """The subtracted cells of (row, pair, left, right), sketched with `size` cells a table."""
-    signed = F.concat(F.transform("left", lambda k: F.struct(k.alias("k"), F.lit(1).cast("long").alias("n"))), F.transform("right", lambda k: F.struct(k.alias("k"), F.lit(-1).cast("long").alias("n"))))
-    each = pairs.select("row", "pair", F.explode(signed).alias("x")).select("row", "pair", "x.*").withColumn("c", check(F.col("k")))
-    tabled = each.withColumn("t", F.explode(F.array(*map(F.lit, range(TABLES)))))
-    put = tabled.withColumn("at", F.when(F.col("t") == 0, place(F.col("k"), 0, size)).when(F.col("t") == 1, place(F.col("k"), 1, size)).otherwise(place(F.col("k"), 2, size)).cast("long"))
-    return put.groupBy("row", "pair", "t", "at").agg(F.sum("n").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("c").alias("c")).where("n != 0 or k != 0 or c != 0")
-
-
-def differences(rows: DataFrame) -> DataFrame:
-    """row, pair, only_left, only_right for the pairs (own, edited) and (own, next) that differ; rows is a written table with sketches."""
-    spark = rows.sparkSession
-    n = partitions(spark)
-    minus = lambda a, b: F.zip_with(a, b, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["c"].bitwiseXOR(y["c"]).alias("c")))
-    two = F.array(F.struct(F.lit(0).alias("pair"), minus(F.col("s_own"), F.col("s_edited")).alias("d")), F.struct(F.lit(1).alias("pair"), minus(F.col("s_own"), F.col("s_next")).alias("d")))
-    first = rows.select("row", "s_own", "s_edited", "s_next").repartition(n, "row").select("row", F.explode(two).alias("x")).select("row", "x.pair", F.posexplode("x.d").alias("p", "y"))
-    first = first.select("row", "pair", F.floor(F.col("p") / CELLS).cast("int").alias("t"), (F.col("p") % CELLS).cast("long").alias("at"), "y.n", "y.k", "y.c").where("n != 0 or k != 0 or c != 0")
-    found, size = written(peeled(first, CELLS), "peeled"), CELLS
+    return now.groupBy(*key).agg(F.count_if(done & (F.col("n") > 0)).alias("only_left"), F.count_if(done & (F.col("n") < 0)).alias("only_right"), F.count_if(~done).alias("stuck"))
+
+
+def subtracted(pairs: DataFrame) -> DataFrame:
+    """The cells of left minus those of right, for (row, pair, size, left, right)."""
+    key = ["row", "pair", "size"]
+    signed = lambda side, n: F.transform(side, lambda k: F.struct(k.alias("k"), F.lit(n).cast("long").alias("n")))
+    each = pairs.select(*key, F.explode(F.concat(signed("left", 1), signed("right", -1))).alias("x")).select(*key, "x.*").withColumn("c", check(F.col("k")))
+    put = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), place(F.col("k"), t, F.col("size")).cast("long").alias("at")) for t in range(TABLES)))).alias("p")
+    tabled = each.select(*key, "n", "k", "c", put).select(*key, "p.t", "p.at", "n", "k", "c")
+    return tabled.groupBy(*key, "t", "at").agg(F.sum("n").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("c").alias("c")).where("n != 0 or k != 0 or c != 0")
+
+
+def differences(met: DataFrame) -> DataFrame:
+    """row, pair, only_left, only_right for the pairs (own, edited) and (own, next) that differ; met is a written table."""
+    rows = met.select("row", "own", "edited", "next").repartition(partitions(met.sparkSession), "row")
+    two = F.array(*(F.struct(F.lit(k).alias("pair"), enough(F.size("own") + F.size(c)).alias("size"), F.col("own").alias("left"), F.col(c).alias("right")) for k, c in enumerate(("edited", "next"))))
+    pairs = rows.select("row", F.explode(two).alias("x")).select("row", "x.*")
+    found = written(peeled(subtracted(pairs)), "peeled")
     done = found.where("stuck = 0")
-    while True:
-        stuck = found.where("stuck > 0").select("row", "pair")
-        if stuck.isEmpty():
-            return done.drop("stuck")
-        size *= GROWTH
+    while not (stuck := found.where("stuck > 0").select("row", "pair", (F.col("size") * GROWTH).alias("size"))).isEmpty():
+        again = met.select("row", "own", "edited", "next").join(bounded(stuck), "row").repartition(partitions(met.sparkSession), "row")
         other = F.when(F.col("pair") == 0, F.col("edited")).otherwise(F.col("next"))
-        again = rows.select("row", "own", "edited", "next").repartition(n, "row").join(stuck, "row").select("row", "pair", F.col("own").alias("left"), other.alias("right"))
-        found = written(peeled(cells_of(again, size), size), "peeled")
+        found = written(peeled(subtracted(again.select("row", "pair", "size", F.col("own").alias("left"), other.alias("right")))), "peeled")
         done = done.unionByName(found.where("stuck = 0"))
+    return done
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     A likeness is the share of common digests in all digests of two texts, from
-    the sketches' counts and the digests that peeling recovers.
+    their numbers and the digests that peeling recovers. A fingerprint is the
+    smallest sketch: n, k and c of all cells in hexadecimal.
     """
     met = written(neighbours(docs).withColumn("row", F.monotonically_increasing_id()), "digests")
-    rows = written(met.withColumns({f"s_{c}": sketch(F.col(c)) for c in ("own", "edited", "next")}), "sketches")
-    size = lambda c: F.aggregate(F.slice(f"s_{c}", 1, CELLS), F.lit(0).cast("long"), lambda a, x: a + x["n"])
     pair = lambda k, c: F.coalesce(F.max(F.when(F.col("pair") == k, F.col(c))), F.lit(0))
-    found = differences(rows).groupBy("row").agg(*(pair(k, c).alias(f"{c}_{k}") for k in (0, 1) for c in ("only_left", "only_right")))
+    found = differences(met).groupBy("row").agg(*(pair(k, c).alias(f"{c}_{k}") for k in (0, 1) for c in ("only_left", "only_right")))
 
     def near(k: int, c: str) -> Column:
         differ = F.coalesce(f"only_left_{k}", F.lit(0)) + F.coalesce(f"only_right_{k}", F.lit(0))
-        common = (size("own") + size(c) - differ) / 2
+        common = (F.size("own") + F.size(c) - differ) / 2
         return F.when(common + differ == 0, 1.0).otherwise(common / (common + differ))
 
-    out = rows.join(found, "row", "left")
-    return out.select("doc_id", "n_chars", "edited_sha256", encoded(F.col("s_own")).alias("fingerprint"), encoded(F.col("s_edited")).alias("edited_fingerprint"), near(0, "edited").alias("near_edited"), near(1, "next").alias("near_next"))
+    out = met.join(found, "row", "left")
+    return out.select("doc_id", "n_chars", "edited_sha256", encoded(sketch(F.col("own"))).alias("fingerprint"), encoded(sketch(F.col("edited"))).alias("edited_fingerprint"), near(0, "edited").alias("near_edited"), near(1, "next").alias("near_next"))
