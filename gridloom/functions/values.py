@@ -51,7 +51,7 @@ def rational(e: Column) -> Column:
 
 def pixel_type(formats: Column, bits: Column) -> Column:
     """bool, uint8 ... float64 when all samples have one format and width that make a type; else null."""
-    kind, width = F.try_element_at(formats, F.lit(1)), F.try_element_at(bits, F.lit(1))
+    kind, width = F.get(formats, F.lit(0)), F.get(bits, F.lit(0))
     one = F.forall(formats, lambda x: x == kind) & F.forall(bits, lambda x: x == width)
     named = F.when((kind == 1) & (width == 1), "bool")
     for code, name, widths in ((1, "uint", (8, 16, 32, 64)), (2, "int", (8, 16, 32, 64)), (3, "float", (32, 64))):

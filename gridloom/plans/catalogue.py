@@ -267,3 +267,37 @@ def raster_requested_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     fetched = r.fetch(tiles.requested(r.tiles("model_tiepoint"), wanted))
     p = decode.pixels(fetched, keep=TIE)
     return p.where("value > 0").select(place(p).alias("o_orderkey"), F.col("value").alias("o_totalprice"))
+
+
+@query("SELECT CAST(p_partkey // 32768 AS BIGINT) AS file, CAST(0 AS INTEGER) AS ifd_idx, CAST('big' AS VARCHAR) AS endianness, CAST(64 AS BIGINT) AS width FROM part GROUP BY 1")
+def raster_sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Table functions in SQL text over whole files."""
+    from ..functions.sql import register
+
+    register(spark)
+    folder = shared_path(spark, "raster")
+    own = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.array("p_size").alias("values"))
+    writer.write(own, folder, Layout("uint8", big_endian=True)).write.mode("overwrite").format("noop").save()
+    spark.read.format("binaryFile").option("pathGlobFilter", "*.tif").load(folder).createOrReplaceTempView("raster_contents")
+    return spark.sql(
+        "SELECT CAST(regexp_extract(path, 'part-([0-9]+)', 1) AS BIGINT) AS file, i.ifd_idx, i.endianness, t.longs[0] AS width"
+        " FROM raster_contents, LATERAL raster_ifds(content) i, LATERAL raster_tags(content) t WHERE t.tag = 256 AND t.ifd_idx = i.ifd_idx"
+    )
+
+
+@query("SELECT o_orderkey, CAST(o_custkey AS BIGINT) AS o_custkey FROM orders WHERE o_custkey > 0")
+def raster_sql_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles fetched by the engine and decoded by the SQL function, then taken apart in SQL."""
+    from ..functions.sql import register
+
+    register(spark)
+    r = stored(table(spark, sf_dir, "orders"), "o_orderkey", ["o_custkey"], Layout("int32", predictor=2, compression="lzw"))
+    r.fetch(r.tiles("model_tiepoint")).createOrReplaceTempView("raster_fetched")
+    d = spark.sql("SELECT x, y, tile_width, image_width, image_height, model_tiepoint, hex(raster_decode(content, compression, predictor, dtype, tile_height, tile_width, samples_per_pixel, endianness)) AS h FROM raster_fetched")
+    # Four little-endian bytes a sample.
+    byte = lambda k: F.conv(F.substring("h", F.col("i") * 8 + 2 * k + 1, F.lit(2)), 16, 10).cast("bigint")
+    each = d.select("*", F.explode(F.sequence(F.lit(0), (F.length("h") / 8 - 1).cast("int"))).alias("i"))
+    value = byte(0) + byte(1) * 256 + byte(2) * 65536 + byte(3) * 16777216
+    placed = each.select("*", (F.col("y") * F.col("tile_width") + F.floor(F.col("i") / F.col("tile_width"))).alias("row"), (F.col("x") * F.col("tile_width") + F.col("i") % F.col("tile_width")).alias("col"), value.alias("value"))
+    inside = placed.where("row < image_height and col < image_width and value > 0")
+    return inside.select(place(inside).alias("o_orderkey"), F.col("value").alias("o_custkey"))

@@ -83,3 +83,9 @@ def test_read_ahead_grows():
     assert (source(5, 8), source.fetches) == (b"fgh", 2)
     assert (source(8, 20), source.fetches) == (data[8:20], 3)
     assert source(20, 99) == data[20:]
+
+
+def test_numbers_beyond_63_bits_are_errors():
+    at = 8 + 2 + 12 + 4
+    with pytest.raises(FormatError):
+        one(classic("<", [(254, 16, 1, struct.pack("<I", at))], extra=struct.pack("<Q", 2**64 - 1)))
