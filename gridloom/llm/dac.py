@@ -15,6 +15,7 @@ empty table writes no file and reads back as no row. Further columns are ignored
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -108,14 +109,20 @@ class Codes:
         return np.zeros(0, "<u4") if below is None else below
 
 
+#: A comma or full stop that ends a word of letters is a token of its own.
+_CLOSING = re.compile(r"(?<=[a-zß-öø-ÿ])[.,](?=\s|$)")
+
+
 class Words:
-    """Ids of whole texts by a tokenizer that drops white space, so that words can be encoded once.
+    """Ids of whole texts by a tokenizer that lower-cases and drops white space, so that words can be encoded once.
 
-    The four separators \\x1c-\\x1f part words for str.split but not for the tokenizer;
-    texts with them, and words of over LONG characters, are encoded as they stand.
+    Texts of Latin-1 characters are lower-cased and their closing commas and stops
+    parted first, which the tokenizer would do itself; composition can't change such
+    texts. The four separators \\x1c-\\x1f part words for str.split but not for the
+    tokenizer; texts with them, and words of over LONG characters, are encoded as they stand.
     """
 
-    LONG, KNOWN, AT_ONCE = 48, 400_000, 4000
+    LONG, KNOWN, AT_ONCE = 48, 600_000, 4000
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -126,7 +133,8 @@ class Words:
     def plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
         for k in range(0, len(words), self.AT_ONCE):
             some = words[k : k + self.AT_ONCE]
             got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
@@ -134,25 +142,33 @@ class Words:
             starts = np.array([a for a, _ in got.offsets], np.int64)
             cut = [0, *np.searchsorted(starts, ends).tolist()]
             ids = np.array(got.ids, "<u4").tobytes()
-            self.known.update((w, ids[4 * a : 4 * b]) for w, a, b in zip(some, cut[:-1], cut[1:], strict=True))
+            out.update((w, ids[4 * a : 4 * b]) for w, a, b in zip(some, cut[:-1], cut[1:], strict=True))
+        return out
+
+    def split(self, text: str) -> list[str] | None:
+        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+            return None
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text.split()
+        return _CLOSING.sub(r" \g<0>", text.lower()).split()
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        split = [None if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
-        new = {w for words in split if words for w in words}
-        new = [w for w in new if w not in self.known and len(w) <= self.LONG]
-        if len(self.known) + len(new) > self.KNOWN:
-            self.known.clear()
-            new = list({w for words in split if words for w in words if len(w) <= self.LONG})
-        self.learn(new)
-        get = self.known.get
-        out = []
+        split = [self.split(t) for t in texts]
+        seen: set[str] = set().union(*filter(None, split))
+        new = self.learn([w for w in seen - self.known.keys() if len(w) <= self.LONG])
+        if len(self.known) + len(new) <= self.KNOWN:  # frequent words come early; beyond the bound words are learned for these texts only
+            self.known.update(new)
+            new = {}
+        get, out = self.known.get, []
         for t, words in zip(texts, split, strict=True):
             if words is None:
                 out.append(self.plain(t))
                 continue
             found = list(map(get, words))
             if None in found:
-                found = [self.plain(w) if x is None else x for w, x in zip(words, found, strict=True)]
+                found = [(new.get(w) or self.plain(w)) if x is None else x for w, x in zip(words, found, strict=True)]
             out.append(b"".join(found))
         return out
 

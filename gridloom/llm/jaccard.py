@@ -3,9 +3,9 @@
 Rows with equal sets are one class. Columns are put in one global order, rare
 before frequent; two sets of a similarity of t must share a column among the
 first n - ceil(t * n) + 1 of each. Only those entries of the matrix are multiplied.
-Products are taken in two blocks. The first multiplies each column's entries with
-its first one only; links found there join classes to components. The second
-multiplies entries of different components. Entries of one component need no
+Products are taken in blocks. The first ones multiply each column's entries with
+its first one only; links found there join classes to components. The last
+multiplies all entries of different components. Entries of one component need no
 product, as its classes are joined already, so a group of near copies costs as
 many products as it has entries, not their square.
 Size, place in the order and a parity bitmap bound the overlap of a pair from
@@ -46,6 +46,8 @@ class Join:
     told: int = 1 << 18
     #: Columns are counted in so many blocks, by 32 further bits of their hash.
     blocks: int = 1 << 10
+    #: Rounds of products with a column's first entry before those of all that is still apart.
+    stars: int = 2
     #: Bits of the filter of classes whose whole sets are asked for.
     filter_bits: int = 1 << 25
 
@@ -228,6 +230,25 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, join: Join) ->
     return links
 
 
+def stars(at: DataFrame, join: Join) -> DataFrame:
+    """x, y: in each column, every component's first entry with the first entry of all.
+
+    First is what stands earliest in its own prefix: few rare columns come before, so it
+    differs little from what the column's documents have in common.
+    """
+    firsts = at.groupBy("col", "root").agg(F.min(F.struct("at", "n", "cls")).alias("o"))
+    center = firsts.groupBy("col").agg(F.min("o").alias("c"))
+    pairs = firsts.join(center, "col").where("o.cls != c.cls").where(bounds("o", "c", join.percent))
+    return pairs.select(F.least("c.cls", "o.cls").alias("x"), F.greatest("c.cls", "o.cls").alias("y")).distinct()
+
+
+def unjoined(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """The entries, with their roots, of columns that several components share."""
+    at = shared.join(roots.toDF("cls", "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    several = at.groupBy("col").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("col")
+    return written(at.join(several, "col"), "unjoined")
+
+
 def linked(docs: DataFrame, join: Join = Join()) -> DataFrame:  # noqa: B008
     """doc_id, n_shingles, component_id for each document."""
     docs = docs.select("doc_id", "text")
@@ -236,26 +257,27 @@ def linked(docs: DataFrame, join: Join = Join()) -> DataFrame:  # noqa: B008
 
     entries = prefixes(docs, join, frequent_columns(docs, join))
     entries = written(entries.distinct(), "entries")
-    heads = entries.groupBy("col").agg(F.count("*").alias("k"), F.count_if("head").alias("h"), F.min(F.struct("n", "cls", "at")).alias("c"))
-    shared = written(entries.join(heads.where("k > 1 and h > 0"), "col"), "shared")
-
-    center = shared.select("c.*", *(F.col(c).alias(f"o_{c}") for c in ("cls", "n", "at"))).where("cls != o_cls").selectExpr("struct(cls, n, at) c", "struct(o_cls as cls, o_n as n, o_at as at) o")
-    pairs = center.where(bounds("o", "c", join.percent)).select(F.least("c.cls", "o.cls").alias("x"), F.greatest("c.cls", "o.cls").alias("y")).distinct()
+    heads = entries.groupBy("col").agg(F.count("*").alias("k"), F.count_if("head").alias("h")).where("k > 1 and h > 0").select("col")
+    shared = written(entries.join(heads, "col"), "shared")
     done_with(entries)
-    links = verified(written(pairs, "products"), sets, docs, join)
-    roots = written(components(links), "roots")
 
-    at = shared.drop("k", "h", "c").join(roots.toDF("cls", "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    mixed_columns = at.groupBy("col").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("col")
-    at = written(at.join(mixed_columns, "col"), "unjoined")
+    links, roots, at = None, None, shared.withColumn("root", F.col("cls"))
+    for _ in range(join.stars):
+        products = written(stars(at, join), "products")
+        if products.isEmpty():
+            break
+        more = verified(products, sets, docs, join)
+        links = more if links is None else links.unionByName(more)
+        roots = written(components(links), "roots")
+        at = unjoined(shared, roots)
     e = F.struct("cls", "n", "at", "root")
     large, small = at.select("col", e.alias("p")), at.where("head").select("col", e.alias("q"))
     across = large.join(small, "col").where("p.root != q.root and (p.n > q.n or p.n = q.n and p.cls != q.cls)").where(bounds("p", "q", join.percent))
-    more = written(across.select(F.least("p.cls", "q.cls").alias("x"), F.greatest("p.cls", "q.cls").alias("y")).distinct(), "products")
-    if more.isEmpty():
-        every = roots
-    else:
-        every = written(components(links.unionByName(verified(more, sets, docs, join))), "roots")
+    products = written(across.select(F.least("p.cls", "q.cls").alias("x"), F.greatest("p.cls", "q.cls").alias("y")).distinct(), "products")
+    if not products.isEmpty():
+        more = verified(products, sets, docs, join)
+        roots = written(components(more if links is None else links.unionByName(more)), "roots")
+    every = roots if roots is not None else shared.select("cls", F.col("cls").alias("root")).limit(0)
 
     named = sets.join(every.toDF("cls", "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = named.groupBy("root").agg(F.min("first").alias("component"))
