@@ -33,6 +33,8 @@ MAGIC = b"GLDAC001"
 BLOCK = 512
 #: Tokens after which a file is closed at the next document.
 FILE_TOKENS = 1 << 22
+#: Characters after which texts are encoded together.
+SLICE = 4 << 20
 NO_ID = -(1 << 63)
 _POPULATION = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
@@ -109,25 +111,31 @@ class Codes:
         return np.zeros(0, "<u4") if below is None else below
 
 
-#: A comma or full stop that ends a word of letters is a token of its own.
-_CLOSING = re.compile(r"(?<=[a-zß-öø-ÿ])[.,](?=\s|$)")
+#: Marks that end a word of letters are a token of their own.
+_CLOSING = re.compile(r"(?<=[a-zß-öø-ÿ])[.,!?;:%#&*$@()+=~^/-]+(?=\s|$)")
+_LETTERS = re.compile("[a-zß-öø-ÿ]+")
 
 
 class Words:
     """Ids of whole texts by a tokenizer that lower-cases and drops white space, so that words can be encoded once.
 
-    Texts of Latin-1 characters are lower-cased and their closing commas and stops
-    parted first, which the tokenizer would do itself; composition can't change such
-    texts. The four separators \\x1c-\\x1f part words for str.split but not for the
-    tokenizer; texts with them, and words of over LONG characters, are encoded as they stand.
+    Texts of Latin-1 characters are lower-cased and their closing marks parted first,
+    which the tokenizer would do itself; composition can't change such texts. Words of
+    small Latin-1 letters only are in their normal form and are one piece each, so that
+    the model encodes them without those two steps, with a mark between them. The four
+    separators \\x1c-\\x1f part words for str.split but not for the tokenizer; texts with
+    them, and words of over LONG characters, are encoded as they stand.
     """
 
-    LONG, KNOWN, AT_ONCE = 48, 600_000, 4000
+    LONG, KNOWN, AT_ONCE, MARK = 48, 600_000, 4000, "!"
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.letters.normalizer = normalizers.Sequence([])
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.mark = self.letters.encode(self.MARK, add_special_tokens=False).ids
         self.known: dict[str, bytes] = {}
 
     def plain(self, text: str) -> bytes:
@@ -135,6 +143,17 @@ class Words:
 
     def learn(self, words: list[str]) -> dict[str, bytes]:
         out: dict[str, bytes] = {}
+        plain, other = [], []
+        for w in words:
+            (plain if _LETTERS.fullmatch(w) else other).append(w)
+        for k in range(0, len(plain), self.AT_ONCE):
+            some = plain[k : k + self.AT_ONCE]
+            got = self.letters.encode_batch_fast([f" {self.MARK} ".join([*some, ""])], add_special_tokens=False)[0]
+            ids = np.array(got.ids, "<u4")
+            ends = np.flatnonzero(ids == self.mark[0])
+            data, ends = ids.tobytes(), (4 * ends).tolist()
+            out.update((w, data[a:b]) for w, a, b in zip(some, [0, *(e + 4 for e in ends)], ends, strict=False))
+        words = other
         for k in range(0, len(words), self.AT_ONCE):
             some = words[k : k + self.AT_ONCE]
             got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
@@ -192,10 +211,20 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int = 2, file_token
             write_file(folder, f"part-{part:08d}-{seq:06d}.dac", encode(np.frombuffer(b"".join(ids), "<u4"), names, lengths))
             return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "docs": [len(names)], "tokens": [held]})
 
+        def slices(b: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
+            names, texts, size = [], [], 0
+            for d, t in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
+                names.append(d)
+                texts.append(t.as_py() or "")
+                size += len(texts[-1])
+                if size >= SLICE:
+                    yield names, texts
+                    names, texts, size = [], [], 0
+            yield names, texts
+
         for b in it:
-            for k in range(0, b.num_rows, 256):
-                some = b.slice(k, 256)
-                for d, x in zip(some.column("doc_id").to_pylist(), words_of(tokenizer).ids([t or "" for t in some.column("text").to_pylist()]), strict=True):
+            for some, texts in slices(b):
+                for d, x in zip(some, words_of(tokenizer).ids(texts), strict=True):
                     ids += [x, last]
                     names.append(d)
                     lengths.append(len(x) // 4 + 1)
