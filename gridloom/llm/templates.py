@@ -36,14 +36,18 @@ def leaf_of(tokens: Column) -> Column:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, tokens of every line."""
-    return docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", tokens_of(F.col("line")).alias("tokens"))
-
-
-def generalised(docs: DataFrame, leaves: DataFrame) -> DataFrame:
-    """line, template: hashes of the lines in leaves that have variable places."""
-    there = lines_of(docs).where(F.size("tokens") >= TOKENS).select(leaf_of(F.col("tokens")).alias("leaf"), F.xxhash64("tokens").alias("line"), "tokens")
-    different = written(there.join(bounded(leaves), "leaf").groupBy("leaf", "line").agg(F.any_value("tokens").alias("tokens")), "leaf-lines")
+    """doc_id, tokens of every line of TOKENS tokens or more; they are cut inside the array, once."""
+    every = F.transform(F.split("text", "\n"), tokens_of)
+    return docs.select("doc_id", F.explode(F.filter(every, lambda t: F.size(t) >= TOKENS)).alias("tokens"))
+
+
+def generalised(docs: DataFrame, by_doc: DataFrame, leaves: DataFrame) -> DataFrame:
+    """line, template: hashes of the lines in leaves that have variable places. Each line is read in one document that has it."""
+    leaves = bounded(leaves)
+    first = by_doc.join(leaves, "leaf").groupBy("line").agg(F.min("doc_id").alias("_id")).select("_id").distinct()
+    readers = docs.join(bounded(written(first, "readers")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    there = lines_of(readers).select(leaf_of(F.col("tokens")).alias("leaf"), F.xxhash64("tokens").alias("line"), "tokens")
+    different = written(there.join(leaves, "leaf").groupBy("leaf", "line").agg(F.any_value("tokens").alias("tokens")), "leaf-lines")
     places = different.select("leaf", F.posexplode("tokens").alias("place", "token")).groupBy("leaf", "place", "token").agg(F.count("*").alias("n"))
     common = places.groupBy("leaf", "place").agg(F.max("n").alias("most"), F.sum("n").alias("all"))
     open_ = common.groupBy("leaf").agg(F.collect_set(F.when(F.col("most") * 2 < F.col("all"), F.col("place"))).alias("open"), F.count("*").alias("n")).where((F.size("open") > 0) & (F.size("open") * 2 <= F.col("n")))
@@ -55,10 +59,10 @@ def without_templates(docs: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
     """docs with their recurring lines dropped from text; adds n_lines and n_dropped."""
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     tokens = F.col("tokens")
-    lines = written(lines_of(docs).where(F.size("tokens") >= TOKENS).select("doc_id", leaf_of(tokens).alias("leaf"), F.xxhash64("tokens").alias("line")), "lines")
+    lines = written(lines_of(docs).select("doc_id", leaf_of(tokens).alias("leaf"), F.xxhash64("tokens").alias("line")), "lines")
     by_doc = written(lines.select("leaf", "line", "doc_id").distinct(), "line-documents")
     leaves = by_doc.groupBy("leaf").agg(F.min("line").alias("a"), F.max("line").alias("b"), F.count("*").alias("n")).where(f"a < b and n >= {documents}").select("leaf")
-    general = generalised(docs, written(leaves, "leaves"))
+    general = generalised(docs, by_doc, written(leaves, "leaves"))
     named = by_doc.groupBy("line").agg(F.count("*").alias("n"))
     known = written(named.join(general, "line", "left").withColumn("template", F.coalesce("template", "line")), "templates")
     # A template of one line has that line's documents; the documents of others are counted anew.
@@ -71,7 +75,8 @@ def without_templates(docs: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
     drops = lines.join(bounded(written(gone, "recurring")), "line").select("doc_id", "line").distinct()
     per_doc = drops.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("line").alias("_gone"))
     met = docs.select(*names).join(per_doc, F.col("doc_id").eqNullSafe(F.col("_id")), "left").withColumn("_lines", F.split("text", "\n"))
-    stays = lambda x: ~F.coalesce((F.size(tokens_of(x)) >= TOKENS) & F.array_contains("_gone", F.xxhash64(tokens_of(x))), F.lit(False))
+    goes = lambda t: (F.size(t) >= TOKENS) & F.array_contains("_gone", F.xxhash64(t))
+    stays = lambda x: ~F.exists(F.array(tokens_of(x)), goes)  # noqa: E731  the array names the tokens, so that they are cut once
     kept = F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(F.filter("_lines", stays))
     out = met.withColumn("_kept", kept).withColumn("n_lines", F.coalesce(F.size("_lines"), F.lit(0)).cast("long"))
     out = out.withColumn("n_dropped", F.col("n_lines") - F.coalesce(F.size("_kept"), F.lit(0))).withColumn("text", F.array_join("_kept", "\n"))
