@@ -48,7 +48,7 @@ class Join:
     blocks: int = 1 << 10
     #: Rounds of products with a column's first entry before those of all that is still apart.
     stars: int = 2
-    #: Bits of the filter of classes whose whole sets are asked for.
+    #: Bits of the filter of documents whose whole sets are asked for, of each class that with the smallest id.
     filter_bits: int = 1 << 25
 
     def least(self, n, m):
@@ -176,8 +176,9 @@ def bounds(x: str, y: str, percent: int) -> str:
 
 def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, join: Join) -> DataFrame:
     """The pairs (x, y) of classes that are linked, after the bitmaps' bound and then by their whole sets."""
-    own = sets.select("cls", "n", "bits")
-    joined = pairs.join(own.toDF("x", "nx", "bx"), "x").join(own.toDF("y", "ny", "by"), "y")
+    at = F.pmod(F.xxhash64("first"), F.lit(join.filter_bits)).cast("int")
+    own = sets.select("cls", "n", "bits", at)
+    joined = pairs.join(own.toDF("x", "nx", "bx", "ax"), "x").join(own.toDF("y", "ny", "by", "ay"), "y")
 
     def bound(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -187,34 +188,31 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, join: Join) ->
             total = b.column("nx").to_numpy().astype(np.int64) + b.column("ny").to_numpy()
             most = (total - np.bitwise_count(bx ^ by).sum(axis=1).astype(np.int64)) // 2
             ok = pa.array((100 + join.percent) * most >= join.percent * total)
-            yield b.select(["x", "y"]).filter(ok)
+            yield b.select(["x", "y", "ax", "ay"]).filter(ok)
 
-    left = written(joined.mapInArrow(bound, "x long, y long"), "pairs")
-    at = F.pmod(F.col("cls"), F.lit(join.filter_bits))
-    asked = left.select(F.col("x").alias("cls")).unionByName(left.select(F.col("y").alias("cls")))
-    filled = asked.select(at.alias("at")).groupBy(F.expr("int(at div 64)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(at % 64)))").alias("bits")).toArrow()
+    left = written(joined.mapInArrow(bound, "x long, y long, ax int, ay int"), "pairs")
+    asked = left.select(F.col("ax").alias("at")).unionByName(left.select(F.col("ay").alias("at")))
+    filled = asked.groupBy(F.expr("int(at div 64)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(at % 64)))").alias("bits")).toArrow()
     words = np.zeros(join.filter_bits // 64, np.int64)
     words[filled.column("word").to_numpy()] = filled.column("bits").to_numpy()
     told = docs.sparkSession.sparkContext.broadcast(words.tobytes())
 
     def whole(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked_bits = np.frombuffer(told.value, np.uint64)
-        seen: set[int] = set()
         for b in it:
+            k = b.column("at").to_numpy()
+            b = b.filter(pa.array((asked_bits[k // 64] >> (k % 64).astype(np.uint64) & np.uint64(1)).astype(bool)))
             cls, members = [], []
             for s in shingle_sets(texts(b), join.words):
-                c = set_class(s)
-                k = c % join.filter_bits
-                if int(asked_bits[k // 64]) >> (k % 64) & 1 and len(s) and c not in seen:
-                    if len(seen) < 200_000:
-                        seen.add(c)
-                    cls.append(c)
+                if len(s):
+                    cls.append(set_class(s))
                     members.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(members, pa.binary())], ["cls", "members"])
 
-    asked_sets = docs.select("text").mapInArrow(whole, "cls long, members binary").groupBy("cls").agg(F.any_value("members").alias("members"))
+    placed = docs.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(join.filter_bits)).cast("int").alias("at"))
+    asked_sets = placed.mapInArrow(whole, "cls long, members binary").groupBy("cls").agg(F.any_value("members").alias("members"))
     asked_sets = written(asked_sets, "sets")
-    meet = left.join(asked_sets.toDF("x", "mx"), "x").join(asked_sets.toDF("y", "my"), "y")
+    meet = left.select("x", "y").join(asked_sets.toDF("x", "mx"), "x").join(asked_sets.toDF("y", "my"), "y")
 
     def exact(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
