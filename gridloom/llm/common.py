@@ -97,11 +97,6 @@ def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def ascii_lower(text: Column) -> Column:
-    """Lower-cases A-Z and nothing else."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def ranged(df: DataFrame, *order: Column, name: str = "ranged") -> DataFrame:
     """df sorted over the whole cluster: written with _part, the number of its range."""
     spark = df.sparkSession

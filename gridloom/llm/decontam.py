@@ -18,16 +18,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bounded, written
+from .common import bounded, written
 
 WINDOW = 10
 #: Rarest terms of a window that must agree on a diagonal before texts are compared.
 RARE = 3
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: The ASCII characters that are in no word.
+_GAPS = "".join(c for c in map(chr, range(128)) if not (c.isdigit() or c in _LOWER or c in _UPPER))
+
+
 def words(text: Column) -> Column:
-    found = F.regexp_extract_all(ascii_lower(text), F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"), F.lit(1))
-    return F.coalesce(found, F.array().cast("array<string>"))
+    """The words `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of a lower-cased text: other characters become spaces, which are split at."""
+    spaced = F.translate(text, _UPPER + _GAPS, _LOWER + " " * len(_GAPS))
+    return F.coalesce(F.array_remove(F.split(spaced, " "), ""), F.array().cast("array<string>"))
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
