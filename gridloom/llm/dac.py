@@ -34,7 +34,7 @@ BLOCK = 512
 #: Tokens after which a file is closed at the next document.
 FILE_TOKENS = 1 << 22
 #: Characters after which texts are encoded together.
-SLICE = 4 << 20
+SLICE = 2 << 20
 NO_ID = -(1 << 63)
 _POPULATION = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
@@ -127,12 +127,13 @@ class Words:
     them, and words of over LONG characters, are encoded as they stand.
     """
 
-    LONG, KNOWN, AT_ONCE, MARK = 48, 600_000, 4000, "!"
+    LONG, KNOWN, AT_ONCE, MARK = 48, 500_000, 4000, "!"
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.letters = Tokenizer(self.tokenizer.model)  # the same model, held once
         self.letters.normalizer = normalizers.Sequence([])
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.mark = self.letters.encode(self.MARK, add_special_tokens=False).ids
