@@ -32,6 +32,8 @@ from .files import write_file
 
 VERSION, MEMBER = b"WARC/1.1\r\n", b"\x1f\x8b\x08"
 FILE_BYTES = 16 << 20
+#: Bytes of an archive that are decompressed at once.
+WINDOW = 16 << 10
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
@@ -104,18 +106,25 @@ def parse(data: bytes, at: int = 0) -> tuple[Record, int]:
 
 
 def member(data: bytes, at: int) -> tuple[bytes, int]:
-    """The content of the gzip member at `at` and where the member ends; its start is looked at before the rest."""
-    z = zlib.decompressobj(31)
+    """The content of the gzip member at `at` and where the member ends; its start is looked at before the rest.
+
+    The archive is fed in windows, so that a member costs its own length and not that of all behind it.
+    """
+    z, view, pos = zlib.decompressobj(31), memoryview(data), min(at + 1024, len(data))
     try:
-        head = z.decompress(data[at : at + 1024], 7)
-        if head and not b"WARC/1.".startswith(head[:7]):
+        parts = [z.decompress(view[at:pos], 7)]
+        if parts[0] and not b"WARC/1.".startswith(parts[0][:7]):
             raise ValueError("version line")
-        body = head + z.decompress(z.unconsumed_tail + data[at + 1024 :])
+        if not z.eof:
+            parts.append(z.decompress(z.unconsumed_tail))
+        while not z.eof and pos < len(data):
+            parts.append(z.decompress(view[pos : pos + WINDOW]))
+            pos = min(pos + WINDOW, len(data))
     except zlib.error as e:
         raise ValueError("gzip member") from e
     if not z.eof:
         raise ValueError("gzip end")
-    return body, len(data) - len(z.unused_data)
+    return b"".join(parts), pos - len(z.unused_data)
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, Record | None, str]]:
