@@ -127,7 +127,7 @@ def test_errors_are_raised_or_kept(spark, tmp_path):
     got = {x["path"].split("/")[-1]: x["error"] for x in r.decode(r.tiles(), mode="PERMISSIVE").collect()}
     assert got["good.tif"] is None and got["cut.tif"] and "UnsupportedCompression" in got["odd.tif"]
     with pytest.raises(Exception, match="UnsupportedCompression"):
-        r.decode(r.tiles()).collect()
+        r.decode(r.tiles().where("path like '%odd.tif'")).collect()  # the cut file fails in another way, and may fail first
     with pytest.raises(Exception, match="FormatError"):
         Raster.open(spark, f"{tmp_path}/*.tif").ifds.collect()
 
