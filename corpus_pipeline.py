@@ -16,9 +16,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of the n-gram Jaccard join, one document stays."""
+    """Of each component of the n-gram Jaccard join, one document stays. The thin op9 query has stricter values of its own."""
     importable(spark)
-    return jaccard.one_of_each(docs)
+    return jaccard.one_of_each(docs, jaccard.Join(words=5, percent=80))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

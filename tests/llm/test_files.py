@@ -5,7 +5,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat, components, warc
+from gridloom.llm import chat, components, jaccard, warc
 from gridloom.llm.common import shared_path
 
 
@@ -111,6 +111,18 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "x long, y long")).count() == 0
 
 
+def test_pipeline_takes_near_copies_of_five_words(spark):
+    """Two of 100 words changed: 0.81 of the 5-word shingles are common, and 0.848 of the 4-word ones."""
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(100)]
+    other = [{30: "new", 60: "word"}.get(i, w) for i, w in enumerate(words)]
+    df = spark.createDataFrame([(1, " ".join(words), "a"), (2, " ".join(other), "b"), (3, "another text that stays", "c")], "doc_id long, text string, source string")
+    assert len({r["component_id"] for r in jaccard.linked(df).collect()}) == 3, "op9 keeps its contract"
+    kept = corpus_pipeline.near_duplicates(spark, df, "")
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
