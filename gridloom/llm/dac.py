@@ -124,7 +124,8 @@ class Words:
     small Latin-1 letters only are in their normal form and are one piece each, so that
     the model encodes them without those two steps, with a mark between them. The four
     separators \\x1c-\\x1f part words for str.split but not for the tokenizer; texts with
-    them, and words of over LONG characters, are encoded as they stand.
+    them, words of over LONG characters, and texts where lower-casing makes or breaks an
+    added token, which is matched in raw text, are encoded as they stand.
     """
 
     LONG, KNOWN, AT_ONCE, MARK = 48, 500_000, 4000, "!"
@@ -137,6 +138,7 @@ class Words:
         self.letters.normalizer = normalizers.Sequence([])
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.mark = self.letters.encode(self.MARK, add_special_tokens=False).ids
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not t.normalized]
         self.known: dict[str, bytes] = {}
 
     def plain(self, text: str) -> bytes:
@@ -172,7 +174,10 @@ class Words:
             text.encode("latin-1")
         except UnicodeEncodeError:
             return text.split()
-        return _CLOSING.sub(r" \g<0>", text.lower()).split()
+        lowered = text.lower()
+        if any(lowered.count(t) != text.count(t) for t in self.added):
+            return None
+        return _CLOSING.sub(r" \g<0>", lowered).split()
 
     def ids(self, texts: list[str]) -> list[bytes]:
         split = [self.split(t) for t in texts]

@@ -128,6 +128,14 @@ def test_words_like_the_tokenizer():
         assert np.frombuffer(b, "<u4").tolist() == tk.encode(t, add_special_tokens=False).ids, t
 
 
+@pytest.mark.parametrize("t", ["<|ENDOFTEXT|>", "A b <|EndOfText|>. c", "<|StartOfText|>x <|startoftext|> y", "x<|ENDOFTEXT|>y <|endoftext|>", "中 <|ENDOFTEXT|>", "Let f <| g <|END"])
+def test_added_tokens_in_capitals_are_words(t):
+    tk, w = Tokenizer.from_file(VOCABULARY), dac.Words(VOCABULARY)
+    for some in ([t], ["plain words", t, "<|endoftext|>", t]):
+        for s, b in zip(some, w.ids(some), strict=True):
+            assert np.frombuffer(b, "<u4").tolist() == tk.encode(s, add_special_tokens=False).ids, s
+
+
 def test_templates(docs, no_docs, rows):
     out = templates.without_templates(docs, documents=10)
     assert out.columns == [*docs.columns, "n_lines", "n_dropped"]
