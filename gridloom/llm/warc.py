@@ -3,7 +3,8 @@
 Archives are files of gzip members, a record each, or plain files of records. The
 reader checks each member's checksum, the record's header, length and payload
 digest. Where a check fails it searches for the next member or version line that
-starts a valid record, goes on there, and logs the bytes between as quarantined.
+starts a valid record, goes on there, and logs the bytes between as quarantined. The
+bytes at each place tell a member from a plain record, so a file may hold both.
 
 Defined cases: null html is an empty payload; a null url becomes an empty target;
 control characters in urls are percent-encoded; among equal payloads of at least
@@ -129,12 +130,11 @@ def member(data: bytes, at: int) -> tuple[bytes, int]:
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, Record | None, str]]:
     """start, end, record and failed check of every stretch of an archive; a gap has no record."""
-    zipped = MEMBER in data[:4096] or b"WARC/1." not in data
-    mark = re.compile(re.escape(MEMBER) if zipped else rb"WARC/1\.")
+    mark = re.compile(re.escape(MEMBER) + rb"|WARC/1\.")
     at, bad, why = 0, None, ""
     while at < len(data):
         try:
-            if zipped:
+            if data.startswith(MEMBER, at):
                 body, end = member(data, at)
                 record, used = parse(body)
                 if used != len(body):

@@ -54,6 +54,15 @@ def test_salvage():
     assert list(warc.salvage(b"")) == []
 
 
+def test_plain_archives_with_gzip_bodies():
+    some = [warc.render(i, f"http://x/{i}", zipped(b"body %d " % i * 50), None, "2024-01-01T00:00:00Z") for i in range(4)]
+    ids = lambda data: [(r.headers["warc-record-id"] if r else None) for *_, r, _ in warc.salvage(data)]
+    every = [f"<urn:page:{i}>" for i in range(4)]
+    assert ids(b"".join(some)) == every
+    assert ids(b"".join([some[0], b"X" + some[1][1:], *some[2:]])) == [every[0], None, *every[2:]]
+    assert ids(b"".join([some[0], zipped(some[1]), some[2], zipped(some[3])])) == every
+
+
 def test_quarantine_log(spark, tmp_path):
     (tmp_path / "a.warc.gz").write_bytes(b"".join(map(zipped, records(2))) + b"tail")
     got = warc.read(spark, str(tmp_path))
