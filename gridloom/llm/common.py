@@ -81,6 +81,11 @@ def importable(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
 
 
+def packed(docs: DataFrame, *names: str) -> DataFrame:
+    """The named columns and all columns as one struct `row`, so that no further column can clash with them."""
+    return docs.select(*names, F.struct("*").alias("row"))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
