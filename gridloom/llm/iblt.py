@@ -1,12 +1,16 @@
 """Document fingerprints by invertible Bloom lookup sketches, in DataFrame operations.
 
-A text is cut into paragraph pieces, lines of at most PIECE_WORDS words each, and
-every distinct piece has a 64-bit digest. A sketch has three tables of cells; a
-digest is counted and XORed, with a check of itself, into one cell of each. The
-cells of two versions are subtracted, and what remains holds the digests that
-differ: a cell of one digest gives it away, which is taken out of its other cells,
-and so on. The cells that a pair starts with grow with its digests; pairs that
-don't come apart are sketched again with four times as many.
+A text is cut into paragraph pieces, and every distinct piece has a 64-bit digest.
+Pieces end with a line, and at sentence ends that their last letter chooses, so that
+an edit changes the pieces that it touches and no others. A sketch has three tables
+of cells; a digest is counted and XORed, with a check of itself, into one cell of
+each. A text's fingerprint is its sketch of CELLS cells a table, whatever its length.
+
+Two versions are compared by their fingerprints: cells are subtracted, and what
+remains holds the digests that differ. A cell of one digest gives it away, which is
+taken out of its other cells, and so on. Pairs whose fingerprints don't come apart
+differ in more digests than that; both texts are sketched again with GROWTH times as
+many cells, until they do. So cells grow with the difference and not with the texts.
 
 A peeling step looks at one table, where a digest has one cell, so that none is
 taken out twice. Cells are rows, partitioned by document, and steps need no shuffle.
@@ -14,7 +18,8 @@ taken out twice. Cells are rows, partitioned by document, and steps need no shuf
 Defined cases: null text is empty; the next document is that of the next smaller
 doc_id (null last, then the hash of the text), and of repeated rows each is
 followed by its twin; one document is its own next. Two texts without pieces have
-a likeness of 1. An empty table gives no row; further columns are ignored.
+a likeness of 1. A very long text has more digests, and a larger sketch only where it
+differs in many. An empty table gives no row; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,17 +31,18 @@ from pyspark.sql import functions as F
 
 from .common import bounded, partitions, ranged, written
 
-PIECE_WORDS = 32
+#: Where pieces part: at line ends, and at sentence ends after some letters.
+PARTS = r"\n|(?<=[a-m][.!?])\s+|(?<=[。！？])"
 TABLES = 3
 #: Cells of a table of the fingerprint; larger sketches have GROWTH times as many, again and again.
-CELLS, GROWTH = 8, 4
+CELLS, GROWTH = 16, 4
 #: Times that each table is looked at.
 ROUNDS = 4
 
 
 def digests(text: Column) -> Column:
-    pieces = F.regexp_extract_all(text, F.lit(r"((?:\S+[^\S\n]*){1,%d})" % PIECE_WORDS), F.lit(1))
-    return F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(F.rtrim(p))))
+    pieces = F.filter(F.transform(F.split(text, PARTS), lambda p: F.trim(p)), lambda p: p != "")
+    return F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p)))
 
 
 def check(digest: Column) -> Column:
@@ -47,15 +53,27 @@ def place(digest: Column, table: int, cells: Column) -> Column:
     return F.pmod(F.xxhash64(digest, F.lit(table), cells), cells).cast("int")
 
 
-def sketch(keys: Column, cells: int = CELLS) -> Column:
-    """The cells of all tables, in order, as an array of (n, k, c)."""
+def placed(keys: Column | str) -> Column:
+    """Digests with their checks and their places in the tables of a fingerprint."""
+    return F.transform(keys, lambda k: F.struct(k.alias("k"), check(k).alias("c"), *(place(k, t, F.lit(CELLS)).alias(f"p{t}") for t in range(TABLES))))
+
+
+def sketch(digests_placed: str) -> Column:
+    """The fingerprint of a column of `placed`: the cells of all tables, in order, as an array of (n, k, c)."""
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c"))
 
     def cell(table: int, at: Column) -> Column:
-        here = F.filter(keys, lambda k: place(k, table, F.lit(cells)) == at)
-        xor = lambda f: F.aggregate(here, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(f(k)))
-        return F.struct(F.size(here).cast("long").alias("n"), xor(lambda k: k).alias("k"), xor(check).alias("c"))
+        put = lambda a, x: F.struct((a["n"] + 1).alias("n"), a["k"].bitwiseXOR(x["k"]).alias("k"), a["c"].bitwiseXOR(x["c"]).alias("c"))
+        return F.aggregate(digests_placed, zero, lambda a, x: F.when(x[f"p{table}"] == at, put(a, x)).otherwise(a))
+
+    return F.concat(*(F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), partial(cell, t)) for t in range(TABLES)))
 
-    return F.concat(*(F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), partial(cell, t)) for t in range(TABLES)))
+
+def minus(left: Column, right: Column) -> Column:
+    """The cells of two fingerprints subtracted, as (t, at, n, k, c); those that are empty then are left out."""
+    less = F.zip_with(left, right, lambda a, b: F.struct((a["n"] - b["n"]).alias("n"), a["k"].bitwiseXOR(b["k"]).alias("k"), a["c"].bitwiseXOR(b["c"]).alias("c")))
+    at = F.transform(less, lambda x, i: F.struct(F.floor(i / CELLS).cast("int").alias("t"), (i % CELLS).cast("long").alias("at"), x["n"].alias("n"), x["k"].alias("k"), x["c"].alias("c")))
+    return F.filter(at, lambda x: (x["n"] != 0) | (x["k"] != 0) | (x["c"] != 0))
 
 
 def encoded(cells: Column) -> Column:
@@ -91,12 +109,6 @@ def neighbours(docs: DataFrame) -> DataFrame:
     )
 
 
-def enough(digests_of_both: Column) -> Column:
-    """Cells a table for a pair with so many digests: CELLS times a power of GROWTH, with two cells or more for a digest."""
-    steps = F.ceil(F.log(digests_of_both * 2 / (TABLES * CELLS)) / F.log(F.lit(float(GROWTH))))
-    return F.when(digests_of_both * 2 <= TABLES * CELLS, CELLS).otherwise(CELLS * F.pow(F.lit(GROWTH), steps)).cast("int")
-
-
 def peeled(cells: DataFrame) -> DataFrame:
     """row, pair, size, only_left, only_right, stuck from the subtracted cells (row, pair, size, t, at, n, k, c) of partitions by row."""
     key = ["row", "pair", "size"]
@@ -113,8 +125,11 @@ def peeled(cells: DataFrame) -> DataFrame:
     return now.groupBy(*key).agg(F.count_if(done & (F.col("n") > 0)).alias("only_left"), F.count_if(done & (F.col("n") < 0)).alias("only_right"), F.count_if(~done).alias("stuck"))
 
 
-def subtracted(pairs: DataFrame) -> DataFrame:
-    """The cells of left minus those of right, for (row, pair, size, left, right)."""
+def sketched_again(pairs: DataFrame) -> DataFrame:
+    """The subtracted cells of larger sketches, of the size that each pair (row, pair, size, left, right) names.
+
+    Each digest is a row that is put into its cells: 1 for one of left, -1 for one of right.
+    """
     key = ["row", "pair", "size"]
     signed = lambda side, n: F.transform(side, lambda k: F.struct(k.alias("k"), F.lit(n).cast("long").alias("n")))
     each = pairs.select(*key, F.explode(F.concat(signed("left", 1), signed("right", -1))).alias("x")).select(*key, "x.*").withColumn("c", check(F.col("k")))
@@ -124,35 +139,45 @@ def subtracted(pairs: DataFrame) -> DataFrame:
 
 
 def differences(met: DataFrame) -> DataFrame:
-    """row, pair, only_left, only_right for the pairs (own, edited) and (own, next) that differ; met is a written table."""
-    rows = met.select("row", "own", "edited", "next").repartition(partitions(met.sparkSession), "row")
-    two = F.array(*(F.struct(F.lit(k).alias("pair"), enough(F.size("own") + F.size(c)).alias("size"), F.col("own").alias("left"), F.col(c).alias("right")) for k, c in enumerate(("edited", "next"))))
-    pairs = rows.select("row", F.explode(two).alias("x")).select("row", "x.*")
-    found = written(peeled(subtracted(pairs)), "peeled")
+    """row, pair, size, only_left, only_right for the pairs (own, edited) and (own, next) that differ; met is a written table."""
+    n = partitions(met.sparkSession)
+    rows = met.select("row", *(placed(c).alias(c) for c in VERSIONS)).repartition(n, "row")
+    prints = rows.select("row", *(sketch(c).alias(c) for c in VERSIONS))
+    both = F.array(*(F.struct(F.lit(k).alias("pair"), F.lit(CELLS).alias("size"), minus(F.col("own"), F.col(c)).alias("cells")) for k, c in enumerate(VERSIONS[1:])))
+    cells = prints.select("row", F.explode(both).alias("x")).select("row", "x.pair", "x.size", F.explode("x.cells").alias("y")).select("row", "pair", "size", "y.*")
+    found = written(peeled(cells), "peeled")
     done = found.where("stuck = 0")
     while not (stuck := found.where("stuck > 0").select("row", "pair", (F.col("size") * GROWTH).alias("size"))).isEmpty():
-        again = met.select("row", "own", "edited", "next").join(bounded(stuck), "row").repartition(partitions(met.sparkSession), "row")
+        again = met.select("row", *VERSIONS).join(bounded(stuck), "row").repartition(n, "row")
         other = F.when(F.col("pair") == 0, F.col("edited")).otherwise(F.col("next"))
-        found = written(peeled(subtracted(again.select("row", "pair", "size", F.col("own").alias("left"), other.alias("right")))), "peeled")
+        found = written(peeled(sketched_again(again.select("row", "pair", "size", F.col("own").alias("left"), other.alias("right")))), "peeled")
         done = done.unionByName(found.where("stuck = 0"))
-    return done
+    return done.drop("stuck")
+
+
+VERSIONS = ("own", "edited", "next")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, cells_edited, cells_next.
 
     A likeness is the share of common digests in all digests of two texts, from
-    their numbers and the digests that peeling recovers. A fingerprint is the
-    smallest sketch: n, k and c of all cells in hexadecimal.
+    their numbers and the digests that peeling recovers. A fingerprint is n, k and c
+    of all cells in hexadecimal. The last two columns are the cells of a table that
+    each comparison took: CELLS where the fingerprints sufficed.
     """
     met = written(neighbours(docs).withColumn("row", F.monotonically_increasing_id()), "digests")
-    pair = lambda k, c: F.coalesce(F.max(F.when(F.col("pair") == k, F.col(c))), F.lit(0))
-    found = differences(met).groupBy("row").agg(*(pair(k, c).alias(f"{c}_{k}") for k in (0, 1) for c in ("only_left", "only_right")))
+    pair = lambda k, c: F.max(F.when(F.col("pair") == k, F.col(c)))
+    found = differences(met).groupBy("row").agg(*(pair(k, c).alias(f"{c}_{k}") for k in (0, 1) for c in ("only_left", "only_right", "size")))
 
     def near(k: int, c: str) -> Column:
         differ = F.coalesce(f"only_left_{k}", F.lit(0)) + F.coalesce(f"only_right_{k}", F.lit(0))
         common = (F.size("own") + F.size(c) - differ) / 2
         return F.when(common + differ == 0, 1.0).otherwise(common / (common + differ))
 
-    out = met.join(found, "row", "left")
-    return out.select("doc_id", "n_chars", "edited_sha256", encoded(sketch(F.col("own"))).alias("fingerprint"), encoded(sketch(F.col("edited"))).alias("edited_fingerprint"), near(0, "edited").alias("near_edited"), near(1, "next").alias("near_next"))
+    out = met.join(found, "row", "left").withColumn("p_own", placed("own")).withColumn("p_edited", placed("edited"))
+    cells = lambda k: F.coalesce(f"size_{k}", F.lit(CELLS)).cast("long")
+    return out.select(
+        "doc_id", "n_chars", "edited_sha256", encoded(sketch("p_own")).alias("fingerprint"), encoded(sketch("p_edited")).alias("edited_fingerprint"),
+        near(0, "edited").alias("near_edited"), near(1, "next").alias("near_next"), cells(0).alias("cells_edited"), cells(1).alias("cells_next"),
+    )

@@ -64,7 +64,7 @@ def test_guess_costs_rank_sensibly():
 
 def test_fingerprints(docs, no_docs, rows):
     def pieces(t):
-        return {m.group(0).rstrip(" ") for m in re.finditer(r"(?:[^ \t\n\r\f\v]+[ \t\r\f\v]*){1,32}", t)}
+        return {p.strip(" ") for p in re.split(r"\n|(?<=[a-m][.!?])[ \t\n\x0b\f\r]+|(?<=[。！？])", t)} - {""}
 
     def near(a, b):
         a, b = pieces(a), pieces(b)
@@ -91,6 +91,35 @@ def test_fingerprints(docs, no_docs, rows):
     twins = [r for r in got if r["doc_id"] == 30]
     assert len(twins) == 3 and sorted(r["near_next"] == 1.0 for r in twins) == [False, True, True]
     assert iblt.fingerprints(no_docs).count() == 0
+    digest = {r["doc_id"]: (r["own"], r["edited"]) for r in iblt.neighbours(docs).collect()}
+    for d, _, *_ in single:
+        own, edited = digest[d]
+        for cells, held in ((by_id[d]["fingerprint"], own), (by_id[d]["edited_fingerprint"], edited)):
+            n, k = np.array([int(cells[i : i + 4], 16) for i in range(0, len(cells), 28)]), [int(cells[i + 4 : i + 20], 16) for i in range(0, len(cells), 28)]
+            assert n.reshape(3, -1).sum(axis=1).tolist() == [len(held)] * 3
+            for t in range(3):
+                of_table = 0
+                for x in k[t * iblt.CELLS : (t + 1) * iblt.CELLS]:
+                    of_table ^= x
+                want = 0
+                for x in held:
+                    want ^= x & (1 << 64) - 1
+                assert of_table == want, "every digest is in one cell of each table"
+
+
+def test_sketches_grow_with_the_difference(spark):
+    """A long text with one changed piece is settled by its fingerprint; one of other pieces takes larger sketches."""
+    import random
+
+    rng = random.Random(1)
+    line = lambda k: f"{k} line of its own {rng.random()}"
+    long = [line(k) for k in range(3000)]
+    near = [*long[:1700], line(0), *long[1701:]]
+    far = [line(k) for k in range(3000)]
+    df = spark.createDataFrame([(3, "\n".join(long)), (2, "\n".join(near)), (1, "\n".join(far))], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in iblt.fingerprints(df).collect()}
+    assert got[3]["cells_next"] == iblt.CELLS and got[3]["near_next"] == pytest.approx(2999 / 3001)
+    assert got[2]["cells_next"] > 1000 and got[2]["near_next"] == 0
 
 
 def test_token_ids(spark, docs, no_docs, rows):
