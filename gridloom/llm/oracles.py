@@ -8,9 +8,15 @@ g AS (SELECT DISTINCT item_id, k, array_to_string(w[s:s + k - 1], ' ') AS window
 p AS (SELECT doc_id, s, k, array_to_string(w[s:s + k - 1], ' ') AS window_text FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM d, (SELECT DISTINCT k FROM n) WHERE len(w) >= k)),
 h AS (SELECT doc_id, s, p.k, item_id FROM p JOIN g ON p.k = g.k AND p.window_text = g.window_text),
 hit AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + k)) AS pos FROM h) GROUP BY doc_id),
-it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id),
+o AS (SELECT item_id, term, min(k) AS first FROM (SELECT item_id, unnest(w) AS term, unnest(range(0, len(w))) AS k FROM i WHERE len(w) >= 10) GROUP BY ALL),
+t AS (SELECT doc_id, unnest(w) AS term, unnest(range(0, len(w))) AS pos FROM d),
+s AS (SELECT term, count(*) AS seen FROM t SEMI JOIN o USING (term) GROUP BY term),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY seen, term) AS nth, count(*) OVER (PARTITION BY item_id) AS terms FROM o JOIN s USING (term)),
+q AS (SELECT doc_id, item_id, nth, pos - first AS diagonal FROM t JOIN r USING (term) WHERE nth <= 4 AND terms >= 4),
+nearby AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM (SELECT a.doc_id, a.item_id FROM q a JOIN q b ON a.doc_id = b.doc_id AND a.item_id = b.item_id AND b.diagonal BETWEEN a.diagonal AND a.diagonal + 5 GROUP BY a.doc_id, a.item_id, a.diagonal HAVING count(DISTINCT b.nth) = 4) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_id LEFT JOIN nearby ON nearby.doc_id = d.doc_id
 """
 
 WARC = """

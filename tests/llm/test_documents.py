@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gridloom.llm import dac, decontam, iblt, jaccard, mixing, qda, secrets, templates
@@ -226,18 +227,33 @@ def test_decontamination(docs, no_docs, benchmark, rows):
                         hit |= set(range(s, s + n))
                         found.add(item)
         want[d, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)] += 1
-    assert Counter(map(tuple, decontam.scan(docs, benchmark).collect())) == want
-    assert decontam.scan(docs, benchmark.where("false")).where("contaminated").count() == 0
+    assert Counter(tuple(r)[:-1] for r in decontam.scan(docs, benchmark).collect()) == want
+    assert decontam.scan(docs, benchmark.where("false")).where("contaminated or n_near > 0").count() == 0
     assert decontam.scan(no_docs, benchmark).count() == 0
-    assert set(decontam.decontaminated(docs, benchmark).columns) >= set(docs.columns)
-
-
-def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "aa bb noise cc dd noise ee ff gg hh ii jj"), (2, "aa " + "x " * 50 + "cc"), (3, None)], "doc_id long, text string")
-    items = decontam.items_of(spark.createDataFrame([(1, "aa bb cc dd ee ff gg hh ii jj")], "item_id long, text string"))
-    anchors = decontam.anchors_of(items, decontam.frequencies(docs, items))
-    near = decontam.proximity(decontam.index(docs, anchors), anchors, 2)
-    assert {r["doc_id"] for r in near.collect()} == {1}
+    out = decontam.decontaminated(docs.withColumn("N_hit", F.lit("theirs")), benchmark)
+    assert out.columns == [*docs.columns, *decontam.RESULT] and out.count() == len(rows)
+    clean = decontam.clean(docs, benchmark)
+    assert clean.columns == docs.columns
+    assert Counter(r["doc_id"] for r in clean.collect()) == Counter(d for (d, *_, bad), n in want.items() if not bad for _ in range(n))
+
+
+def test_one_index_serves_benchmarks_and_proximity(spark):
+    docs = spark.createDataFrame([(1, "aa bb noise cc dd noise ee ff gg hh ii jj"), (2, "aa " + "x " * 50 + "bb " + "x " * 50 + "cc dd"), (3, None), (4, "dd cc bb aa"), (5, "kk " * 30)], "doc_id long, text string")
+    postings = decontam.index(docs)
+    assert postings.where("term != ''").count() == 12 + 104 + 4 + 30 and postings.where("term = ''").count() == 5
+    near = lambda text: {r["doc_id"] for r in decontam.matches(postings, spark.createDataFrame([(1, text)], "item_id long, text string")).where("n_near > 0").collect()}
+    assert near("aa bb cc dd ee ff gg hh ii jj") == {1}, "rarest are ee, ff, gg, hh"
+    assert near("aa bb cc dd zz yy xx ww vv uu") == {1}, "the others don't occur; in 4 the order is another, and in 2 they are far apart"
+    assert near("aa bb cc dd") == set() == near("kk kk kk kk kk kk kk kk kk kk")
+
+
+def test_long_texts_are_decontaminated(spark):
+    words = [f"w{i % 7001}" for i in range(300_000)]
+    item = [f"q{i}" for i in range(40)]
+    text = " ".join(words[:200_000] + item[5:20] + words[200_000:])
+    docs = spark.createDataFrame([(1, text), (2, " ".join(words))], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in decontam.scan(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+    assert (got[1]["n_words"], got[1]["n_hit"]) == (300_015, 15) and not got[2]["contaminated"]
 
 
 def test_jaccard(docs, no_docs, rows):
