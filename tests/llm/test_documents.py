@@ -31,16 +31,34 @@ def test_secrets(docs, no_docs, rows):
         joined = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{z}" for a, k, z in sorted(s))
         want[d, *(sum(x[1] == k for x in s) for k in range(3)), hashlib.sha256(joined.encode()).hexdigest()] += 1
     assert got == want
-    added = [r["spans"] for r in secrets.scan(docs).where("n_guess > 0").collect()]
-    assert len(added) == 1 and "guess" in added[0]
     assert secrets.scan(no_docs).count() == 0
+    ranks = secrets.ranked(secrets.dictionary(docs))
+    by_text = defaultdict(list)
+    for r in secrets.scan(docs).collect():
+        by_text[r["doc_id"]].append(r)
+    for d, t, *_ in rows:
+        m = [(m.start(1), m[1].rstrip(".,;:!?)")) for m in secrets.CONTEXT.finditer(t or "")]
+        values = [(a, v, secrets.guess_cost(v, ranks)) for a, v in m if len(v) >= 8]
+        guesses = [f"guess:{a}:{a + len(v)}" for a, v, c in values if c >= 10]
+        for r in by_text[d]:
+            assert [x for x in r["spans"].split(",") if x.startswith("guess")] == guesses and (r["n_values"], r["n_guess"]) == (len(values), len(guesses))
+            assert r["max_cost"] == (pytest.approx(max(c for *_, c in values)) if values else None)
+    assert sum(r["n_guess"] for v in by_text.values() for r in v) >= 2, "beside base spans too"
+
+
+def test_the_dictionary_is_ranked_by_the_corpus(docs, rows):
+    counts = Counter(w for r in rows for w in re.split("[\x00-\x40\x5b-\x60\x7b-\x7f]", lowered(r[1])) if re.fullmatch("[a-z]{3,20}", w))
+    assert secrets.dictionary(docs, 50) == sorted(counts, key=lambda w: (-counts[w], w))[:50]
+
+
+RANKS = secrets.ranked(["zebra", "cloud", "abc"])
 
 
-@pytest.mark.parametrize("s", ["password", "P4ssword1", "aaaaaaa", "abcabcabc", "qwerty12", "1987-05-06", "x9$kQ", "passpass", "", "zxcvbn2020", "ASDFgh!!", "2020aaaqwe"])
+@pytest.mark.parametrize("s", ["password", "P4ssword1", "aaaaaaa", "abcabcabc", "qwerty12", "1987-05-06", "x9$kQ", "passpass", "", "zxcvbn2020", "ASDFgh!!", "2020aaaqwe", "zebrazebra", "xyzxyzzeb"])
 def test_guess_cost_is_the_least(s):
     """All segmentations of short strings, one by one."""
     pieces = defaultdict(list)
-    for a, z, c in secrets.spans(s):
+    for a, z, c in secrets.spans(s, RANKS):
         pieces[a].append((z, c + secrets.SPAN))
     for a in range(len(s)):
         for z in range(a + 1, len(s) + 1):
@@ -55,12 +73,13 @@ def test_guess_cost_is_the_least(s):
                 go(z, cost + c)
 
     go(0, 0.0)
-    assert secrets.guess_cost(s) == pytest.approx(best[0])
+    assert secrets.guess_cost(s, RANKS) == pytest.approx(best[0])
 
 
 def test_guess_costs_rank_sensibly():
-    costs = [secrets.guess_cost(x) for x in ("password", "Password1", "qwertyuiop", "Tr0ub4dor&3zK!vQ")]
-    assert costs == sorted(costs) and secrets.guess_cost("a" * 100_000) < 12
+    costs = [secrets.guess_cost(x, RANKS) for x in ("password", "Password1", "qwertyuiop", "Tr0ub4dor&3zK!vQ")]
+    assert costs == sorted(costs) and secrets.guess_cost("a" * 100_000, RANKS) < 12
+    assert secrets.guess_cost("zebrazebra", RANKS) < secrets.guess_cost("zebra", RANKS) + 2 < secrets.guess_cost("qzxwvqzxwv", RANKS), "a repeat costs what its unit does"
 
 
 def test_fingerprints(docs, no_docs, rows):
