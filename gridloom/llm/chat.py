@@ -1,10 +1,11 @@
 """Chat formatting by event-sourced reconstruction.
 
-A log has events (conv_id, message, seq, kind, role, text). Those of a message are
-folded in order of seq: `start` opens it and sets the role, `delta` adds text,
-`edit` replaces the text so far, `regenerate` empties it, `retract` removes the
-message. Messages are rendered by a template and written; a loss mask covers the
-assistant's texts. Reading back parses the template and takes the escapes out.
+A log has events (conv_id, message, seq, kind, role, text); a message is known by
+its turn and its number among those of one turn. Events of a message are folded in
+order of seq: `start` opens it and sets the role, `delta` adds text, `edit` replaces
+the text so far, `regenerate` empties it, `retract` removes the message. Messages
+are rendered by a template and written; a loss mask covers the assistant's texts.
+Reading back parses the template and takes the escapes out.
 
     <turn role="ROLE">
     TEXT
@@ -13,9 +14,11 @@ assistant's texts. Reading back parses the template and takes the escapes out.
 In role and text, a backslash, <, > and " stand behind a backslash.
 
 Defined cases: null text is empty, a null role is empty; rows of a conversation
-go by turn, null first, then role and a hash of the text; repeated rows are messages of their
-own; a null conv_id is a conversation. An empty log gives no row. Further columns
-are ignored.
+go by turn, null first, then role and a hash of the text; repeated rows are messages
+of their own; a null conv_id is a conversation; a very long text has more and longer
+deltas. A long conversation is folded by message; it is only read back in one task,
+where it streams by, as its digests run over all of it. An empty log gives no row.
+Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,12 +28,12 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import partitions, written
 
-EVENTS = "conv_id long, message struct<turn:long,role:string,hash:long,copy:long>, seq long, kind string, role string, text string"
+EVENTS = "conv_id long, message struct<turn:long,k:long>, seq long, kind string, role string, text string"
 _PIECE = re.compile(r'<turn role="((?:\\.|[^\\"<>])*)">\n((?:\\.|[^\\<>"])*)\n</turn>\n', re.DOTALL)
 
 
@@ -42,16 +45,48 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text, flags=re.DOTALL)
 
 
-def log_of(conversations: DataFrame, delta: int = 512) -> DataFrame:
-    """The event log of (conv_id, turn, role, text) rows, whose texts come in deltas of so many code points."""
+def numbered(conversations: DataFrame) -> DataFrame:
+    """conv_id, turn, k, role, text: k counts the rows of a turn from 0, by role and a hash of the text.
+
+    Repeated rows are one until they are numbered, and a turn with many rows is counted by ranges of the hash.
+    """
     rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    copies = rows.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("n"))
-    each = copies.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
-    message = F.struct("turn", "role", F.xxhash64("text").alias("hash"), "copy").alias("message")
-    cut = F.sequence(F.lit(0), F.floor(F.length("text") / delta).cast("int"))
-    deltas = F.transform(cut, lambda k: F.struct((k + 1).cast("long").alias("seq"), F.lit("delta").alias("kind"), F.lit(None).cast("string").alias("role"), F.substring(F.col("text"), k * delta + 1, F.lit(delta)).alias("text")))
-    start = F.array(F.struct(F.lit(0).cast("long").alias("seq"), F.lit("start").alias("kind"), F.col("role"), F.lit("").alias("text")))
-    return each.select("conv_id", message, F.explode(F.concat(start, deltas)).alias("e")).select("conv_id", "message", "e.*")
+    own = rows.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("n")).withColumn("h", F.xxhash64("text"))
+    own = own.withColumn("range", F.struct("conv_id", "turn", "role", F.shiftrightunsigned("h", 56).alias("byte")))
+    sums = own.groupBy("range").agg(F.sum("n").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("range.conv_id", "range.turn").orderBy("range.role", "range.byte").rowsBetween(Window.unboundedPreceding, 0))
+    before = sums.select("range", (upto - F.col("n")).alias("before"))
+    inside = F.sum("n").over(Window.partitionBy("range").orderBy(F.shiftrightunsigned("h", 1), "h", "text").rowsBetween(Window.unboundedPreceding, 0))
+    placed = own.withColumn("upto", inside).join(before, "range").withColumn("first", F.col("before") + F.col("upto") - F.col("n"))
+    each = F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("k")
+    return placed.select("conv_id", "turn", each, "role", "text")
+
+
+def log_of(conversations: DataFrame, delta: int = 512, deltas: int = 256) -> DataFrame:
+    """The event log of (conv_id, turn, role, text) rows, as a chat service would have written it.
+
+    Texts come in deltas of `delta` code points or more, at most `deltas` of them. By
+    crc32 of its key a message of four is plain; one has a draft that is generated again;
+    one begins wrongly and is edited; and one follows a message that is retracted.
+    """
+    key = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("conv_id", "turn", "k")))
+    rows = numbered(conversations).withColumn("rule", F.crc32(key.cast("binary")) % 4)
+    long = F.greatest(F.lit(delta), F.ceil(F.length("text") / deltas).cast("int"))
+    rows = rows.withColumn("parts", F.transform(F.sequence(F.lit(0), F.floor(F.length("text") / long).cast("int")), lambda i: F.substring(F.col("text"), i * long + 1, long)))
+    event = lambda kind, text, role=None: F.struct(F.lit(kind).alias("kind"), (F.lit(None).cast("string") if role is None else role).alias("role"), text.alias("text"))
+    start = event("start", F.lit(None).cast("string"), F.col("role"))
+    told = F.transform("parts", lambda p: event("delta", p))
+    first, rest = F.element_at("parts", 1), F.slice(told, F.lit(2), F.greatest(F.lit(0), F.size("parts") - 1))
+    draft = event("delta", F.concat(F.lit("Draft: "), F.reverse(first)))
+    again = F.concat(F.array(start, draft, event("regenerate", F.lit(None).cast("string"))), told)
+    edited = F.concat(F.array(start, draft, draft, event("edit", first)), rest)
+    events = F.when(F.col("rule") == 1, again).when(F.col("rule") == 2, edited).otherwise(F.concat(F.array(start), told))
+    gone = F.array(start, draft, event("retract", F.lit(None).cast("string")))
+    message = lambda k: F.struct(F.col("turn").alias("turn"), k.alias("k"))
+    one = lambda k, e: F.struct(message(k).alias("message"), e.alias("events"))
+    both = F.when(F.col("rule") == 3, F.array(one(-1 - F.col("k"), gone), one(F.col("k"), events))).otherwise(F.array(one(F.col("k"), events)))
+    each = rows.select("conv_id", F.explode(both).alias("m")).select("conv_id", "m.message", F.posexplode("m.events").alias("seq", "e"))
+    return each.select("conv_id", "message", F.col("seq").cast("long").alias("seq"), "e.*")
 
 
 def folded(log: DataFrame) -> DataFrame:

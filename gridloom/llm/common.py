@@ -10,9 +10,10 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A table is broadcast only after its rows were counted and are at most this many.
-BROADCAST_ROWS = 200_000
+#: A table is broadcast only after its rows and bytes were counted and are at most this many.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 _scratch: list[tuple[SparkSession, str]] = []
 
@@ -94,12 +95,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `most` rows; else Spark shuffles it.
+def _bytes(field: T.StructField) -> Column:
+    c = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(field.dataType, (T.ArrayType, T.StructType, T.MapType)):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) + 16
+    return F.lit(16)
 
-    df should be cheap to count: a written table or an aggregate of one.
+
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if its rows and their bytes, both counted, are at most so many; else Spark shuffles it.
+
+    df should be cheap to read: a written table or an aggregate of one.
     """
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    n, held = df.agg(F.count("*"), F.sum(sum((_bytes(f) for f in df.schema), F.lit(0)))).first()
+    return F.broadcast(df) if n <= rows and (held or 0) <= size else df
 
 
 def ranged(df: DataFrame, *order: Column, name: str = "ranged") -> DataFrame:

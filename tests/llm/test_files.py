@@ -88,8 +88,26 @@ def test_chat(spark):
     assert chat.read_back(chat.formatted(chat.log_of(df.where("false")))).count() == 0
 
 
+def test_the_log_has_events_to_undo(spark):
+    rows = [(i % 7, i, ("user", "assistant")[i % 2], f"text {i} " * (1 + i % 40) + "😀" * (i % 3)) for i in range(200)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    log = chat.log_of(df, delta=16, deltas=8).cache()
+    kinds = {r["kind"]: r["count"] for r in log.groupBy("kind").count().collect()}
+    assert all(kinds[k] > 20 for k in ("edit", "regenerate", "retract"))
+    assert log.groupBy("conv_id", "message").count().agg(F.max("count")).first()[0] <= 8 + 5
+    got = chat.folded(log.repartition(5)).select("conv_id", "message.turn", "role", "text").collect()
+    assert sorted(map(tuple, got)) == sorted(rows)
+
+
+def test_a_turn_with_many_rows_is_numbered(spark):
+    rows = [(1, None, "user", f"t{i % 300}") for i in range(400)] + [(1, 2, "b", "x"), (1, 2, "a", "x")]
+    got = chat.numbered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted(r["k"] for r in got if r["turn"] is None) == list(range(400))
+    assert {(r["role"], r["k"]) for r in got if r["turn"] == 2} == {("a", 0), ("b", 1)}
+
+
 def test_events_are_folded(spark):
-    m = [(0, "user", 0, 1), (1, "assistant", 0, 1), (2, "assistant", 0, 1)]
+    m = [(0, 0), (1, 0), (2, 0)]
     log = [
         (1, m[0], 0, "start", "user", None), (1, m[0], 2, "delta", None, "lo"), (1, m[0], 1, "delta", None, "hel"),
         (1, m[1], 0, "start", "assistant", None), (1, m[1], 1, "delta", None, "bad"), (1, m[1], 2, "regenerate", None, None), (1, m[1], 3, "delta", None, "good"), (1, m[1], 4, "edit", None, "better"), (1, m[1], 5, "delta", None, "!"),
