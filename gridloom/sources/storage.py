@@ -2,33 +2,57 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
 import tempfile
 import uuid
 from collections.abc import Callable
 from pathlib import Path
+from urllib.request import Request, urlopen
 
 from pyarrow import fs
 from pyspark.sql import SparkSession
 
+_scratch: list[tuple[SparkSession, str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only a local session without it gets a temporary folder."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if where:
-        return where.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir names no shared folder")
-    known = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if known.isDefined():
-        return known.get()
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gridloom-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    """spark.checkpoint.dir, which the driver and all executors see; only a local session without it gets a temporary folder."""
+    sc = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    known = sc._jsc.sc().getCheckpointDir()
+    if not where:
+        if known.isDefined():
+            return known.get()
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder")
+        where = tempfile.mkdtemp(prefix="gridloom-")
+    if known.isEmpty():
+        sc.setCheckpointDir(where)
+    return where.rstrip("/")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/gridloom/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; it is deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/gridloom/{name}-{uuid.uuid4().hex}"
+    _scratch.append((spark, path))
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(p, True)
+
+
+@atexit.register
+def _delete_scratch() -> None:
+    for spark, path in _scratch:
+        try:
+            delete(spark, path)
+        except Exception:  # noqa: BLE001  the JVM may be gone; the folder then stays
+            return
 
 
 def importable(spark: SparkSession) -> None:
@@ -40,7 +64,7 @@ def importable(spark: SparkSession) -> None:
 
 
 def opened(uri: str) -> tuple[fs.FileSystem, str]:
-    """File system and path of a URI as Spark spells it (file, hdfs, s3a, gs)."""
+    """File system and path of a URI as Spark spells it (file, hdfs, s3a, gs, abfss)."""
     uri = re.sub(r"^file:/+", "file:///", uri)
     uri = re.sub(r"^s3[an]://", "s3://", uri)
     if "://" not in uri:
@@ -49,25 +73,68 @@ def opened(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 def write_file(folder: str, name: str, data: bytes) -> None:
-    """Whole or not at all, so that a retried task can write again."""
+    """Whole or not at all. A retried task makes the same bytes, so a file that is there already stays."""
     where, path = opened(folder)
     where.create_dir(path, recursive=True)
-    part = f"{path}/_{name}.{os.getpid()}"
+    part, whole = f"{path}/_{name}.{uuid.uuid4().hex}", f"{path}/{name}"
     with where.open_output_stream(part) as out:
         out.write(data)
-    where.move(part, f"{path}/{name}")
+    try:
+        where.move(part, whole)
+    except OSError:
+        if where.get_file_info(whole).type != fs.FileType.File:
+            raise
+        where.delete_file(part)
 
 
-#: Reads bytes start..stop of one file; fewer at its end.
+#: Reads bytes start..stop of one file; fewer at its end. It may have `size`, `close()` and `many(ranges)`, which answers several ranges at once.
 Read = Callable[[int, int], bytes]
 
 
+class FileRanges:
+    """Ranges of a file in a store that pyarrow opens."""
+
+    def __init__(self, path: str) -> None:
+        where, inner = opened(path)
+        self.source = where.open_input_file(inner)
+        self.size = self.source.size()
+
+    def __call__(self, start: int, stop: int) -> bytes:
+        return self.source.read_at(max(0, min(stop, self.size) - start), start) if start < self.size else b""
+
+    def close(self) -> None:
+        self.source.close()
+
+
+class HttpRanges:
+    """Ranges of a file behind http or https, by the Range header; servers that ignore it are asked once for all."""
+
+    def __init__(self, url: str, timeout: float = 60.0) -> None:
+        self.url, self.timeout, self.whole = url, timeout, None
+
+    def __call__(self, start: int, stop: int) -> bytes:
+        if stop <= start:
+            return b""
+        if self.whole is None:
+            try:
+                with urlopen(Request(self.url, headers={"Range": f"bytes={start}-{stop - 1}"}), timeout=self.timeout) as got:
+                    if got.status == 206:
+                        return got.read()
+                    self.whole = got.read()
+            except OSError as e:
+                if getattr(e, "code", None) == 416:  # the range begins behind the end
+                    return b""
+                raise
+        return self.whole[start:stop]
+
+
 def range_reader(path: str) -> Read:
     """The default backend. A user's own takes a path and returns such a function."""
-    where, inner = opened(path)
-    source = where.open_input_file(inner)
-    size = source.size()
-    return lambda start, stop: source.read_at(max(0, min(stop, size) - start), start) if start < size else b""
+    return HttpRanges(path) if re.match("https?://", path) else FileRanges(path)
+
+
+def closed(read: Read) -> None:
+    getattr(read, "close", lambda: None)()
 
 
 class ReadAhead:
