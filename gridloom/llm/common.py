@@ -2,62 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import tempfile
-import uuid
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: A table is broadcast only after its rows and bytes were counted and are at most this many.
-BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
-
-_scratch: list[tuple[SparkSession, str]] = []
-
+from ..sources.storage import delete, importable, shared_path
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir.
-
-    Only a local session without that setting gets a temporary folder of its own.
-    """
-    sc = spark.sparkContext
-    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not where:
-        known = sc._jsc.sc().getCheckpointDir()
-        if known.isDefined():
-            return known.get()
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise RuntimeError("spark.checkpoint.dir names no shared folder")
-        where = tempfile.mkdtemp(prefix="gridloom-")
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(where)
-    return where
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; it is deleted when the driver ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/gridloom/{name}-{uuid.uuid4().hex}"
-    _scratch.append((spark, path))
-    return path
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(p, True)
-
-
-@atexit.register
-def _delete_scratch() -> None:
-    for spark, path in _scratch:
-        try:
-            delete(spark, path)
-        except Exception:  # noqa: BLE001  the JVM may be gone; the folder then stays
-            return
+__all__ = ["bounded", "delete", "done_with", "importable", "packed", "partitions", "ranged", "running_sum", "shared_path", "table", "written"]
 
+#: A table is broadcast only after its rows and bytes were counted and are at most this many.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: later plans start there, on any executor."""
@@ -74,14 +28,6 @@ def done_with(*tables: DataFrame) -> None:
         delete(t.sparkSession, t.written_at)
 
 
-def importable(spark: SparkSession) -> None:
-    """Let the Python workers of this machine import this package; clusters use addPyFile."""
-    root = str(Path(__file__).resolve().parents[2])
-    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
-    if root not in paths:
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
-
-
 def packed(docs: DataFrame, *names: str) -> DataFrame:
     """The named columns and all columns as one struct `row`, so that no further column can clash with them."""
     return docs.select(*names, F.struct("*").alias("row"))

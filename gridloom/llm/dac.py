@@ -26,8 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, written
-from .files import write_file
+from ..sources.storage import write_file
+from .common import bounded, partitions, written
 
 MAGIC = b"GLDAC001"
 BLOCK = 512
@@ -269,4 +269,4 @@ def read(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.dac").load(folder)
     name = F.regexp_extract("path", r"part-(\d+)-(\d+)\.dac$", 1), F.regexp_extract("path", r"part-(\d+)-(\d+)\.dac$", 2)
     named = found.select(name[0].cast("long").alias("part"), name[1].cast("long").alias("seq"), "content")
-    return named.join(F.broadcast(first), ["part", "seq"]).select("content", "first").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return named.join(bounded(first), ["part", "seq"]).select("content", "first").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -1,16 +1,19 @@
 """WARC archives: a writer with revisit records and a reader that salvages damaged files.
 
-Archives are files of gzip members, a record each, or plain files of records. The
-reader checks each member's checksum, the record's header, length and payload
-digest. Where a check fails it searches for the next member or version line that
-starts a valid record, goes on there, and logs the bytes between as quarantined. The
-bytes at each place tell a member from a plain record, so a file may hold both.
+Archives are files of gzip members, of one record or many each, plain files of
+records, or both in turn. The reader goes through a file by byte ranges and holds one
+record at a time. It checks each member's checksum, each record's header, length and
+payload digest. Where a check fails it searches for the next member or version line
+that starts a valid record, goes on there, and logs the bytes between as quarantined.
+Of a member that fails in its midst, the records before stay if their own digests
+prove them; the member's bytes are logged all the same.
 
 Defined cases: null html is an empty payload; a null url becomes an empty target;
 control characters in urls are percent-encoded; among equal payloads of at least
 `least` bytes the largest page_id is the response, repeated rows of it are all
-responses, and a null page_id is never the largest unless all are null. An empty
-table writes no archive. Further columns are ignored.
+responses, and a null page_id is never the largest unless all are null. A very long
+payload is a record like any other, up to RECORD bytes. An empty table writes no
+archive. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,13 +31,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
-from .files import write_file
+from ..sources.storage import Read, closed, range_reader, write_file
+from .common import bounded, partitions, written
 
 VERSION, MEMBER = b"WARC/1.1\r\n", b"\x1f\x8b\x08"
 FILE_BYTES = 16 << 20
-#: Bytes of an archive that are decompressed at once.
-WINDOW = 16 << 10
+#: Parts of a hot digest's pages.
+SALTS = 16
+#: Bytes of an archive that are read at once, that are decompressed at once, and that come out at once.
+BLOCK, WINDOW, OUT = 1 << 20, 16 << 10, 1 << 18
+#: The most bytes of a record's header and of its block, and of a member's records that are held until its checksum is met.
+HEADER, RECORD, HELD = 1 << 20, 1 << 30, 8 << 20
+MARK = re.compile(re.escape(MEMBER) + rb"|WARC/1\.")
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
@@ -81,79 +89,175 @@ def render(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return VERSION + "".join(f"{k}: {v}\r\n" for k, v in headers).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def parse(data: bytes, at: int = 0) -> tuple[Record, int]:
-    """The record at a version line and where it ends; ValueError names the check that failed."""
-    if not data.startswith(b"WARC/1.", at):
-        raise ValueError("version line")
-    stop = data.find(b"\r\n\r\n", at)
-    if stop < 0:
-        raise ValueError("header end")
+class Archive:
+    """Bytes of an archive by position; one block of them is held."""
+
+    def __init__(self, read: Read, size: int) -> None:
+        self.read, self.size, self.at, self.held = read, size, 0, b""
+
+    def __call__(self, start: int, stop: int) -> bytes:
+        stop = min(stop, self.size)
+        if start >= stop:
+            return b""
+        if start < self.at or stop > self.at + len(self.held):
+            self.at, self.held = start, self.read(start, min(self.size, max(stop, start + BLOCK)))
+        return self.held[start - self.at : stop - self.at]
+
+    def mark(self, start: int) -> int:
+        """Where the next member or version line may begin; the end without one."""
+        while start < self.size:
+            part = self(start, start + BLOCK)
+            if found := MARK.search(part):
+                return start + found.start()
+            start += max(1, len(part) - 6)  # a mark may lie across two blocks
+        return self.size
+
+
+def fields(head: bytes) -> dict[str, str]:
+    """The named fields of a record's header, whose first line is its version."""
     headers = {}
-    for line in data[at:stop].split(b"\r\n")[1:]:
+    for line in head.split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
         if not colon:
             raise ValueError("header line")
         headers[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
-    length = headers.get("content-length", "")
-    if not length.isdigit():
+    if not re.fullmatch("[0-9]{1,18}", headers.get("content-length", "")) or int(headers["content-length"]) > RECORD:
         raise ValueError("content length")
-    start, end = stop + 4, stop + 4 + int(length)
-    if data[end : end + 4] != b"\r\n\r\n":
+    return headers
+
+
+def proof(record: Record) -> bool | None:
+    """Whether the payload has the digest that the header names; None where it names none for it."""
+    if record.headers.get("warc-type") != "response" or not record.digest:
+        return None
+    return record.digest == hashlib.sha1(record.payload).hexdigest()
+
+
+def parse(data: Archive, at: int) -> tuple[Record, int]:
+    """The record at a version line and where it ends; ValueError names the check that failed."""
+    if data(at, at + 7) != b"WARC/1.":
+        raise ValueError("version line")
+    for n in (4096, HEADER):
+        if (stop := data(at, at + n).find(b"\r\n\r\n")) >= 0:
+            break
+    else:
+        raise ValueError("header end")
+    headers = fields(data(at, at + stop))
+    start = at + stop + 4
+    end = start + int(headers["content-length"])
+    if data(end, end + 4) != b"\r\n\r\n":
         raise ValueError("record end")
-    record = Record(headers, data[start:end])
-    if headers.get("warc-type") == "response" and record.digest and record.digest != hashlib.sha1(record.payload).hexdigest():
+    record = Record(headers, data(start, end))
+    if proof(record) is False:
         raise ValueError("payload digest")
     return record, end + 4
 
 
-def member(data: bytes, at: int) -> tuple[bytes, int]:
-    """The content of the gzip member at `at` and where the member ends; its start is looked at before the rest.
+class Member:
+    """A gzip member, decompressed as its records are asked for."""
 
-    The archive is fed in windows, so that a member costs its own length and not that of all behind it.
-    """
-    z, view, pos = zlib.decompressobj(31), memoryview(data), min(at + 1024, len(data))
-    try:
-        parts = [z.decompress(view[at:pos], 7)]
-        if parts[0] and not b"WARC/1.".startswith(parts[0][:7]):
-            raise ValueError("version line")
-        if not z.eof:
-            parts.append(z.decompress(z.unconsumed_tail))
-        while not z.eof and pos < len(data):
-            parts.append(z.decompress(view[pos : pos + WINDOW]))
-            pos = min(pos + WINDOW, len(data))
-    except zlib.error as e:
-        raise ValueError("gzip member") from e
-    if not z.eof:
-        raise ValueError("gzip end")
-    return b"".join(parts), pos - len(z.unused_data)
-
-
-def salvage(data: bytes) -> Iterator[tuple[int, int, Record | None, str]]:
-    """start, end, record and failed check of every stretch of an archive; a gap has no record."""
-    mark = re.compile(re.escape(MEMBER) + rb"|WARC/1\.")
-    at, bad, why = 0, None, ""
-    while at < len(data):
+    def __init__(self, data: Archive, at: int) -> None:
+        self.data, self.pos, self.tail, self.held, self.z = data, at, b"", bytearray(), zlib.decompressobj(31)
+
+    @property
+    def end(self) -> int:
+        """Where the member ends, once all of it was read, or how far it was read."""
+        return self.pos - len(self.z.unused_data)
+
+    def more(self) -> bool:
+        if self.z.eof:
+            return False
+        if not self.tail:
+            self.tail = self.data(self.pos, self.pos + WINDOW)
+            self.pos += len(self.tail)
         try:
-            if data.startswith(MEMBER, at):
-                body, end = member(data, at)
-                record, used = parse(body)
-                if used != len(body):
-                    raise ValueError("member length")
+            out = self.z.decompress(self.tail, OUT)
+        except zlib.error as e:
+            raise ValueError("gzip member") from e
+        if not self.tail and not out and not self.z.eof:
+            raise ValueError("gzip end")
+        self.tail = self.z.unconsumed_tail
+        self.held += out
+        return True
+
+    def filled(self, n: int) -> bool:
+        while len(self.held) < n and self.more():
+            pass
+        return len(self.held) >= n
+
+    def records(self) -> Iterator[Record]:
+        while self.filled(1):
+            if not self.filled(7) or not self.held.startswith(b"WARC/1."):
+                raise ValueError("version line")
+            while (stop := self.held.find(b"\r\n\r\n")) < 0:
+                if len(self.held) > HEADER or not self.more():
+                    raise ValueError("header end")
+            headers = fields(bytes(self.held[:stop]))
+            end = stop + 4 + int(headers["content-length"])
+            if not self.filled(end + 4) or self.held[end : end + 4] != b"\r\n\r\n":
+                raise ValueError("record end")
+            yield Record(headers, bytes(self.held[stop + 4 : end]))
+            del self.held[: end + 4]
+
+
+Stretch = tuple[int, int, "Record | None", str]
+
+
+def member(data: Archive, at: int) -> tuple[Iterator[Stretch], int, str]:
+    """What a member holds, where it ends, and the check it failed. It is read once more if it holds much, as its checksum comes last."""
+    m, kept, size, n, why = Member(data, at), [], 0, 0, ""
+    try:
+        for record in m.records():
+            n += 1
+            size += len(record.block)
+            kept = [*kept, record] if size <= HELD else []
+        if not n:
+            why = "empty member"
+    except ValueError as e:
+        why = str(e)
+    end = m.end
+
+    def found() -> Iterator[Stretch]:
+        for _, record in zip(range(n), kept if size <= HELD else Member(data, at).records(), strict=False):
+            good = proof(record)
+            if why:
+                if good:
+                    yield at, end, record, ""
+            elif good is False:
+                yield at, end, None, "payload digest"
             else:
+                yield at, end, record, ""
+
+    return found(), end, why
+
+
+def salvage(archive: bytes | Archive) -> Iterator[Stretch]:
+    """start, end, record and failed check of every stretch of an archive; a gap has no record. Records of one member have its start and end."""
+    data = archive if isinstance(archive, Archive) else Archive(lambda a, z: archive[a:z], len(archive))
+    at, bad, said = 0, None, ""
+    while at < data.size:
+        failed, stretches, end = "", iter(()), at
+        if data(at, at + 3) == MEMBER:
+            stretches, end, failed = member(data, at)
+        else:
+            try:
                 record, end = parse(data, at)
-        except ValueError as e:
+                stretches = iter([(at, end, record, "")])
+            except ValueError as e:
+                failed = str(e)
+        if failed:
             if bad is None:
-                bad, why = at, str(e)
-            found = mark.search(data, at + 1)
-            at = found.start() if found else len(data)
+                bad, said = at, failed
+            yield from stretches
+            at = data.mark(at + 1)
             continue
         if bad is not None:
-            yield bad, at, None, why
+            yield bad, at, None, said
             bad = None
-        yield at, end, record, ""
+        yield from stretches
         at = end
     if bad is not None:
-        yield bad, len(data), None, why
+        yield bad, data.size, None, said
 
 
 def write(pages: DataFrame, folder: str, least: int = 1000, zipped: bool = True, file_bytes: int = FILE_BYTES, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
@@ -162,7 +266,10 @@ def write(pages: DataFrame, folder: str, least: int = 1000, zipped: bool = True,
     long = F.octet_length("payload") >= least
     groups = pages.select("page_id", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")).where(long)
     groups = groups.groupBy(F.sha1("payload").alias("digest")).agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = own.join(groups, "digest", "left").withColumn("refers_to", F.when(long & ~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")))
+    # A digest that many pages have is met in SALTS places, should the groups be too many to be told to all tasks.
+    salted = own.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    groups = written(groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), "first-pages")
+    joined = salted.join(bounded(groups), ["digest", "salt"], "left").withColumn("refers_to", F.when(long & ~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
@@ -190,32 +297,54 @@ def write(pages: DataFrame, folder: str, least: int = 1000, zipped: bool = True,
     return written(done, "warc-files")
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """A row for each record or gap: file, start, stop, failed, headers, digest, payload; digest is the hexadecimal form of the header's."""
+ROWS = "file string, start long, stop long, failed string, headers map<string,string>, digest string, payload binary"
+_ROWS = pa.schema([("file", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("failed", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("digest", pa.string()), ("payload", pa.binary())])
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("file", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("failed", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("digest", pa.string()), ("payload", pa.binary())])
 
-        def batch(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ROWS, strict=True)], schema=_ROWS)
+
 
+def _rows(path: str, archive: bytes | Archive) -> Iterator[pa.RecordBatch]:
+    rows, size = [], 0
+    for start, stop, record, why in salvage(archive):
+        payload = record.payload if record else b""
+        rows.append((path, start, stop, None, list(record.headers.items()), record.digest, payload) if record else (path, start, stop, why, None, None, None))
+        size += len(payload) + 1000
+        if size >= 4 << 20:
+            yield _batch(rows)
+            rows, size = [], 0
+    if rows:
+        yield _batch(rows)
+
+
+def read(spark: SparkSession, folder: str, files: DataFrame | None = None, ranges: bool = True) -> DataFrame:
+    """A row for each record or gap: file, start, stop, failed, headers, digest, payload; digest is the hexadecimal form of the header's.
+
+    Read are the files named in `files` (file: names in the folder), or all of the
+    folder. They are read by ranges; with ranges=False whole, which serves stores that
+    only Spark opens and needs archives that fit in memory.
+    """
+
+    def by_ranges(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for path in b.column("path").to_pylist():
+                source = range_reader(path)
+                yield from _rows(path, Archive(source, source.size))
+                closed(source)
+
+    def whole(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for path, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
-                rows, size = [], 0
-                for start, stop, record, why in salvage(content.as_py()):
-                    if record:
-                        rows.append((path, start, stop, None, list(record.headers.items()), record.digest, record.payload))
-                        size += len(record.payload)
-                    else:
-                        rows.append((path, start, stop, why, None, None, None))
-                    if size >= 4 << 20:
-                        yield batch(rows)
-                        rows, size = [], 0
-                if rows:
-                    yield batch(rows)
-
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(folder).select("path", "content")
-    return found.mapInArrow(run, "file string, start long, stop long, failed string, headers map<string,string>, digest string, payload binary")
+                yield from _rows(path, content.as_py())
+
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(folder) if files is None or not ranges else None
+    if not ranges:
+        if files is not None:
+            found = found.join(files.select("file"), F.element_at(F.split("path", "/"), -1) == F.col("file"), "left_semi")
+        return found.select("path", "content").mapInArrow(whole, ROWS)
+    paths = found.select("path") if files is None else files.select(F.concat(F.lit(folder.rstrip("/") + "/"), "file").alias("path"))
+    return paths.repartition(partitions(spark), "path").mapInArrow(by_ranges, ROWS)
 
 
 def quarantined(records: DataFrame) -> DataFrame:
@@ -239,7 +368,8 @@ def pages_of(records: DataFrame) -> DataFrame:
 
 
 def archived(spark: SparkSession, pages: DataFrame, folder: str) -> DataFrame:
-    """Writes pages as archives in folder, reads them back, and returns pages_of what was read."""
-    if write(pages, folder).isEmpty():
+    """Writes pages as archives in folder, reads back the files that were committed, and returns pages_of what was read."""
+    files = write(pages, folder)
+    if files.isEmpty():
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    return pages_of(read(spark, folder))
+    return pages_of(read(spark, folder, files))

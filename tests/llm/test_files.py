@@ -63,6 +63,66 @@ def test_plain_archives_with_gzip_bodies():
     assert ids(b"".join([some[0], zipped(some[1]), some[2], zipped(some[3])])) == every
 
 
+IDS = lambda data: [(r.headers["warc-record-id"] if r else None) for *_, r, _ in warc.salvage(data)]
+EVERY = [f"<urn:page:{i}>" for i in range(6)]
+
+
+def test_members_of_several_records(monkeypatch):
+    some = records()
+    whole = zipped(b"".join(some))
+    assert IDS(whole) == EVERY
+    assert IDS(zipped(some[0]) + b"".join(some[1:3])) == EVERY[:3]
+    assert IDS(zipped(b"".join(some[:2])) + some[2] + zipped(b"".join(some[3:]))) == EVERY
+    bad = b"".join([*some[:3], some[3].replace(b"payload 3", b"Payload 3"), *some[4:]])
+    assert IDS(zipped(bad)) == [*EVERY[:3], None, *EVERY[4:]], "an intact member with one wrong digest"
+    from_random = [warc.render(i, "u", __import__("random").Random(i).randbytes(20_000), None, "2024-01-01T00:00:00Z") for i in range(6)]
+    hurt = bytearray(zipped(b"".join(from_random)))
+    hurt[70_000] ^= 255
+    got = IDS(bytes(hurt) + zipped(some[5]))
+    assert got[:3] == EVERY[:3] and None in got and got[-1] == EVERY[5], "those that their digests prove, and what comes later"
+    monkeypatch.setattr(warc, "HELD", 100)
+    assert IDS(whole) == EVERY and IDS(zipped(bad)) == [*EVERY[:3], None, *EVERY[4:]], "read again instead of held"
+
+
+def test_first_record_with_a_gzip_body():
+    some = records()
+    some[0] = warc.render(0, "u", zipped(b"body" * 30), None, "2024-01-01T00:00:00Z")
+    assert IDS(b"".join(some)) == EVERY
+
+
+def test_a_large_archive_streams(spark, tmp_path):
+    """A gigabyte, nearly all of it a hole: only blocks of it are read."""
+    some = records()
+    path = tmp_path / "a.warc"
+    with open(path, "wb") as f:
+        f.write(some[0])
+        f.truncate(1 << 30)
+        f.seek(0, 2)
+        f.write(some[1] + zipped(b"".join(some[2:])))
+    longest = 0
+
+    def read(a, z):
+        nonlocal longest
+        longest = max(longest, z - a)
+        with open(path, "rb") as f:
+            f.seek(a)
+            return f.read(z - a)
+
+    assert IDS(warc.Archive(read, path.stat().st_size)) == [EVERY[0], None, *EVERY[1:]]
+    assert longest <= warc.BLOCK
+    (tmp_path / "b.warc").write_bytes(b"not in the list")
+    listed = spark.createDataFrame([("a.warc",)], "file string")
+    got = warc.read(spark, str(tmp_path), listed)
+    assert warc.pages_of(got).count() == 6 and warc.quarantined(got).count() == 1
+
+
+def test_archives_that_only_spark_opens(spark, tmp_path):
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(zipped, records(2))))
+    (tmp_path / "b.warc").write_bytes(records(1)[0])
+    assert warc.read(spark, str(tmp_path), ranges=False).count() == 3
+    assert warc.read(spark, str(tmp_path), spark.createDataFrame([("b.warc",)], "file string"), ranges=False).count() == 1
+
+
 def test_quarantine_log(spark, tmp_path):
     (tmp_path / "a.warc.gz").write_bytes(b"".join(map(zipped, records(2))) + b"tail")
     got = warc.read(spark, str(tmp_path))
