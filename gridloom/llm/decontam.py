@@ -160,8 +160,10 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     judged = written(matches(index(docs), benchmark, window, rare).dropDuplicates(["doc_id", "h"]), "judged")
     rows = packed(docs, "doc_id", "text").select(F.col("doc_id").alias("_doc"), text_key(F.col("text")).alias("_h"), "row")
     met = rows.join(judged, F.col("_doc").eqNullSafe(F.col("doc_id")) & (F.col("_h") == F.col("h")))
-    names = {c.lower() for c in RESULT}
-    return met.select("row.*", *RESULT) if not names & {c.lower() for c in docs.columns} else met.select(*(F.col(f"row.{c}") for c in docs.columns if c.lower() not in names), *RESULT)
+    row = F.col("row")
+    for c in docs.columns:
+        row = row.dropFields(c) if c.lower() in RESULT else row
+    return met.select(row.alias("row"), *RESULT).select("row.*", *RESULT)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, rare: int = RARE) -> DataFrame:

@@ -363,4 +363,4 @@ def one_of_each(docs: DataFrame, join: Join = Join()) -> DataFrame:  # noqa: B00
     there = (F.col("key.h") == F.col("k_h")) & (F.col("key.no") == F.col("k_no")) & F.col("key.id").eqNullSafe(F.col("k_id"))
     met = rows.where(worded).join(first, there, "left_semi")
     one = met.withColumn("at", F.row_number().over(Window.partitionBy("key").orderBy("key"))).where("at = 1")
-    return one.select("row.*").unionByName(rows.where(~worded).select("row.*"))
+    return one.select("row").union(rows.where(~worded).select("row")).select("row.*")

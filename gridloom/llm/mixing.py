@@ -8,8 +8,9 @@ whole cluster and cut where their running sum reaches the budget.
 
 Defined cases: a null text has size 0; a document of size 0 is never taken; null
 sources form one source, which comes last; repeated rows are separate documents;
-ties in finish time go by source, pass, shuffle key and doc_id. An empty table
-gives an empty mix. Further columns are ignored by `mix` and kept by `mixed`.
+ties in finish time go by source, pass, shuffle key and doc_id. A very long text is
+one document that is taken whole or not. An empty table gives an empty mix. Further
+columns are ignored by `mix` and kept by `mixed`.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, running_sum, written
+from .common import bounded, packed, running_sum, written
 
 #: Hash ranges that a source's shuffled order is summed in; a hot source is spread over them.
 RANGES_HEX = 2
@@ -33,9 +34,9 @@ def targets(sources: DataFrame, weights: tuple[int, ...], most: int, share: floa
     A round is one aggregate over the sources: it sets the words a unit of weight
     gets once the sources known to stop at `most` times their size are set aside.
     """
-    at = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
+    counted = running_sum(sources.withColumn("one", F.lit(1)), "one", F.col("source").asc_nulls_last(), out="rank").drop("one")
     ranked = written(
-        sources.withColumn("rank", at.cast("long")).withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), ((F.col("rank") - 1) % len(weights) + 1).cast("int"))),
+        counted.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), ((F.col("rank") - 1) % len(weights) + 1).cast("int"))),
         "sources",
     )
     total = ranked.agg(F.sum("source_size")).first()[0] or 0
@@ -84,11 +85,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, sh
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: each document of docs, whole, as often as the mix takes it."""
-    names = docs.columns
-    marked = docs.withColumn("_same", F.xxhash64(*names))
-    plan = mix(marked, keep=("_same",), **how).groupBy("doc_id", "_same").agg(F.sum("copies").alias("_copies")).where("_copies > 0")
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("_same").alias("_s"), "_copies")
-    first = F.row_number().over(Window.partitionBy("doc_id", "_same").orderBy("_same"))
-    one = marked.withColumn("_n", first).where("_n = 1")
-    joined = one.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_same") == F.col("_s")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*names)
+    rows = packed(docs, "doc_id", "source", "text")
+    whole = "row" if "map<" not in docs.schema.simpleString() else F.to_json("row")
+    marked = rows.withColumn("same", F.xxhash64(whole))
+    plan = mix(marked, keep=("same",), **how).groupBy("doc_id", "same").agg(F.sum("copies").alias("copies")).where("copies > 0")
+    plan = plan.select(F.struct("doc_id", "same").alias("at"), "copies")
+    keyed = marked.select(F.struct("doc_id", "same").alias("at"), "row")
+    one = keyed.withColumn("k", F.row_number().over(Window.partitionBy("at").orderBy("at"))).where("k = 1")
+    return one.join(plan, "at").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")

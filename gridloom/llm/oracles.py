@@ -78,7 +78,7 @@ f AS (SELECT n, heads FROM d GROUP BY n, heads HAVING count(DISTINCT tokens) > 1
 v AS (SELECT DISTINCT n, heads, tokens FROM d JOIN f USING (n, heads)),
 p AS (SELECT n, heads, place, token, count(*) AS c FROM (SELECT n, heads, unnest(range(1, n + 1)) AS place, unnest(tokens) AS token FROM v) GROUP BY ALL),
 o AS (SELECT n, heads, list(place) FILTER (most * 2 < every) AS open FROM (SELECT n, heads, place, max(c) AS most, sum(c) AS every FROM p GROUP BY ALL) GROUP BY n, heads),
-g AS (SELECT tokens, [CASE WHEN list_contains(open, i) THEN '<*>' ELSE tokens[i] END FOR i IN range(1, v.n + 1)] AS template FROM v JOIN o USING (n, heads) WHERE len(open) > 0 AND len(open) * 2 <= v.n),
+g AS (SELECT tokens, [CASE WHEN list_contains(open, i) THEN '<*>' ELSE tokens[i] END FOR i IN range(1, v.n + 1)] AS template FROM v JOIN o USING (n, heads) WHERE len(open) > 0 AND len(open) * 2 <= v.n - 3),
 m AS (SELECT d.tokens, doc_id, coalesce(template, d.tokens) AS template FROM d LEFT JOIN g ON g.tokens = d.tokens),
 r AS (SELECT template FROM m GROUP BY template HAVING count(DISTINCT doc_id) >= 10),
 x AS (SELECT DISTINCT tokens FROM m JOIN r USING (template)),

@@ -8,9 +8,10 @@ difference of Mahalanobis log-densities.
 
 Defined cases: a null text counts as empty and gets a score like any other;
 labels without doc_id or quality are left out, and so is a document whose labels
-disagree; repeated label rows count once; without rows of both classes all scores
-are 0.5, and documents are kept. Further columns are kept by `scored` and never
-enter a score.
+disagree; repeated label rows count once, and repeated documents each; a score of
+exactly 0.5 accepts; without rows of both classes all scores are 0.5, and documents
+are kept. A very long text is read whole, by one task, like any other. Further columns
+never enter a score and are kept by `accepted`.
 """
 
 from __future__ import annotations
@@ -25,10 +26,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import bounded, packed, written
 
 STATISTICS = ("words", "word_chars", "unlike_words", "unlike_trigrams", "upper", "digits", "marks", "odd_marks", "stops", "lines", "unlike_lines", "words_a_stop", "shouts")
-PIECE = 1 << 20
 _MARKS = re.compile(r"[^\w\s]+")
 _ODD = re.compile(r"[^\w\s.,;:'\"!?()-]")
 _SHOUT = re.compile(r"[!?*#$%&@~^=+<>{}|\\/]{2,}")
@@ -67,42 +67,52 @@ DIMENSIONS = len(STATISTICS)
 
 @dataclass
 class Model:
-    """Class means, lower Cholesky factors of the covariances and log priors."""
+    """Class means, lower Cholesky factors of the covariances and log priors; the factors' inverses are made once."""
 
     means: np.ndarray
     factors: np.ndarray
     log_prior: np.ndarray
 
+    def __post_init__(self) -> None:
+        self.inverses = np.linalg.inv(self.factors)
+        self.log_roots = np.log(np.diagonal(self.factors, axis1=1, axis2=2)).sum(axis=1)
+
     def scores(self, x: np.ndarray) -> np.ndarray:
-        logs = []
-        for mean, factor, prior in zip(self.means, self.factors, self.log_prior, strict=True):
-            z = np.linalg.solve(factor, (x - mean).T)
-            logs.append(prior - np.log(np.diag(factor)).sum() - 0.5 * (z * z).sum(axis=0))
+        logs = [prior - root - 0.5 * (((x - mean) @ inverse.T) ** 2).sum(axis=1) for mean, inverse, root, prior in zip(self.means, self.inverses, self.log_roots, self.log_prior, strict=True)]
         return 1 / (1 + np.exp(np.clip((logs[0] - logs[1]) / x.shape[1], -500, 500)))
 
 
-def batches(docs: DataFrame) -> DataFrame:
-    """doc_id, x: the statistics of every document."""
+def batches(docs: DataFrame, key: str) -> DataFrame:
+    """A key column and x, the statistics, of every row (key, text)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             x = [statistics(t.as_py()) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(x, pa.list_(pa.float64()))], [key, "x"])
 
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("x", T.ArrayType(T.DoubleType()))])
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select(key, "text").mapInArrow(run, T.StructType([docs.schema[key], T.StructField("x", T.ArrayType(T.DoubleType()))]))
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(stats: DataFrame, labels: DataFrame, shrink: float = 0.2, ridge: float = 0.02) -> Model | None:
-    """The model from the labelled rows of stats that aren't held out; None without both classes."""
+#: Labelled rows that a model is fitted on, about; of more, those with the smallest hashes of their doc_id.
+SAMPLE = 50_000
+
+
+def training(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, y of the labelled documents that a model may learn from, a written table."""
     known = labels.where("doc_id is not null and quality is not null").where(~held_out(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("_most")).where("y = _most and y in (0, 1)").drop("_most")
+    known = written(known.groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("most")).where("y = most and y in (0, 1)").drop("most"), "labels")
+    share = sample / max(known.count(), 1)
+    return known if share >= 1 else known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
+def fit(docs: DataFrame, labels: DataFrame, shrink: float = 0.2, ridge: float = 0.02, sample: int = SAMPLE) -> Model | None:
+    """The model of the labelled rows of docs that aren't held out, at most about `sample`; None without both classes."""
     d = DIMENSIONS
-    rows = stats.join(known, "doc_id")
+    rows = batches(docs.select("doc_id", "text").join(bounded(training(labels, sample)), "doc_id"), "y")
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
     sums = rows.groupBy("y").agg(F.count("*").alias("n"), *(F.sum(F.col("x")[i]).alias(f"s{i}") for i in range(d)), *(F.sum(F.col("x")[i] * F.col("x")[j]).alias(f"p{i}_{j}") for i, j in pairs))
     got = {r["y"]: r for r in sums.collect()}
@@ -123,38 +133,25 @@ def fit(stats: DataFrame, labels: DataFrame, shrink: float = 0.2, ridge: float =
     return Model(np.array(means), np.array(factors), np.log(np.array(counts) / sum(counts)))
 
 
-def scored(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with score: one pass, nothing shuffled."""
-    names = [c for c in docs.columns if c != "score"]
+def scored(docs: DataFrame, model: Model | None, key: str) -> DataFrame:
+    """A key column and score of every row (key, text): one pass, nothing shuffled."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             x = np.array([statistics(t.as_py()) for t in b.column("text")]).reshape(-1, DIMENSIONS)
             s = model.scores(x) if model and len(x) else np.full(len(x), 0.5)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(s, pa.float64())], [key, "score"])
 
-    return docs.select(*names).mapInArrow(run, T.StructType([*docs.select(*names).schema.fields, T.StructField("score", T.DoubleType())]))
+    return docs.select(key, "text").mapInArrow(run, T.StructType([docs.schema[key], T.StructField("score", T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
-    stats = written(batches(docs), "statistics")
-    model = fit(stats, labels)
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            x = np.array(b.column("x").to_pylist()).reshape(-1, DIMENSIONS)
-            s = model.scores(x) if model and len(x) else np.full(len(x), 0.5)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s, pa.float64())], ["doc_id", "score"])
-
-    out = stats.mapInArrow(run, T.StructType([stats.schema["doc_id"], T.StructField("score", T.DoubleType())]))
+    out = scored(docs, fit(docs, labels), "doc_id")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents with a score of at least 0.5, with all their columns."""
-    names = docs.columns
-    model = fit(written(batches(docs), "statistics"), labels)
-    if model is None:
-        return docs
-    return scored(docs, model).where("score >= 0.5").select(*names)
+    model = fit(docs, labels)
+    return docs if model is None else scored(packed(docs, "text"), model, "row").where("score >= 0.5").select("row.*")

@@ -3,14 +3,16 @@
 A line's tokens that hold a digit are variable. The tree goes by token count, then
 by the leading tokens, to a leaf. At each place of a leaf the token that most of
 its different lines have is constant if at least half of them have it; else the
-place is variable, unless more than half of the places would be, where the leaf is
-left as it is. A line's template is its tokens with variable ones as <*>. Lines
+place is variable, unless more than half of the places after the leading ones would
+be, where the leaf is left as it is. A line's template is its tokens with variable ones as <*>. Lines
 whose template stands in at least `documents` documents are dropped.
 
 Defined cases: null text has no lines and stays null; blank lines and lines of
 fewer than `tokens` tokens are kept; a template's documents are counted by
-doc_id, so repeated rows count once; null ids count as one document. Columns that
-clash with the new ones are replaced, others are kept. An empty table stays empty.
+doc_id, so repeated rows count once; null ids count as one document; of equally
+common tokens none has more than half. A very long text has more lines, and a very
+long line more places. Columns that clash with the new ones are replaced, others are
+kept. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, written
+from .common import bounded, packed, written
 
 LEADING = 3
 TOKENS = 3
@@ -50,16 +52,19 @@ def generalised(docs: DataFrame, by_doc: DataFrame, leaves: DataFrame) -> DataFr
     different = written(there.join(leaves, "leaf").groupBy("leaf", "line").agg(F.any_value("tokens").alias("tokens")), "leaf-lines")
     places = different.select("leaf", F.posexplode("tokens").alias("place", "token")).groupBy("leaf", "place", "token").agg(F.count("*").alias("n"))
     common = places.groupBy("leaf", "place").agg(F.max("n").alias("most"), F.sum("n").alias("all"))
-    open_ = common.groupBy("leaf").agg(F.collect_set(F.when(F.col("most") * 2 < F.col("all"), F.col("place"))).alias("open"), F.count("*").alias("n")).where((F.size("open") > 0) & (F.size("open") * 2 <= F.col("n")))
+    open_ = common.groupBy("leaf").agg(F.collect_set(F.when(F.col("most") * 2 < F.col("all"), F.col("place"))).alias("open"), F.count("*").alias("n")).where((F.size("open") > 0) & (F.size("open") * 2 <= F.col("n") - LEADING))
     masked = F.transform("tokens", lambda t, i: F.when(F.array_contains("open", i), VARIABLE).otherwise(t))
     return different.join(open_, "leaf").select("line", F.xxhash64(masked).alias("template"))
 
 
 def without_templates(docs: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
     """docs with their recurring lines dropped from text; adds n_lines and n_dropped."""
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    tokens = F.col("tokens")
-    lines = written(lines_of(docs).select("doc_id", leaf_of(tokens).alias("leaf"), F.xxhash64("tokens").alias("line")), "lines")
+    clashing = [c for c in docs.columns if c.lower() in ("n_lines", "n_dropped")]
+    tokens, rows = F.col("tokens"), packed(docs, "doc_id", "text").withColumn("h", F.xxhash64("text"))
+    docs = rows.select("doc_id", "text", "h")
+    every = F.transform(F.split("text", "\n"), tokens_of)
+    each = docs.select("doc_id", "h", F.explode(F.filter(every, lambda t: F.size(t) >= TOKENS)).alias("tokens"))
+    lines = written(each.select("doc_id", "h", leaf_of(tokens).alias("leaf"), F.xxhash64("tokens").alias("line")), "lines")
     by_doc = written(lines.select("leaf", "line", "doc_id").distinct(), "line-documents")
     leaves = by_doc.groupBy("leaf").agg(F.min("line").alias("a"), F.max("line").alias("b"), F.count("*").alias("n")).where(f"a < b and n >= {documents}").select("leaf")
     general = generalised(docs, by_doc, written(leaves, "leaves"))
@@ -71,13 +76,17 @@ def without_templates(docs: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
     of_several = known.join(several.where("lines > 1").select("template"), "template").select("line", "template")
     counted = by_doc.join(bounded(written(of_several, "several")), "line").select("template", "doc_id").distinct().groupBy("template").agg(F.count("*").alias("n")).where(f"n >= {documents}")
     gone = known.join(alone.unionByName(counted.select("template")), "template").select("line")
-    # A document gets the hashes of its recurring lines, not their places, as repeats of an id may differ.
-    drops = lines.join(bounded(written(gone, "recurring")), "line").select("doc_id", "line").distinct()
-    per_doc = drops.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("line").alias("_gone"))
-    met = docs.select(*names).join(per_doc, F.col("doc_id").eqNullSafe(F.col("_id")), "left").withColumn("_lines", F.split("text", "\n"))
-    goes = lambda t: (F.size(t) >= TOKENS) & F.array_contains("_gone", F.xxhash64(t))
+    # A document gets the hashes of its recurring lines; rows of one id and text have the same ones.
+    key = F.struct("doc_id", "h").alias("at")
+    drops = lines.join(bounded(written(gone, "recurring")), "line").select(key, "line").distinct()
+    per_doc = drops.groupBy("at").agg(F.collect_list("line").alias("gone"))
+    met = rows.select(key, "text", "row").join(per_doc, "at", "left").withColumn("lines", F.split("text", "\n"))
+    goes = lambda t: (F.size(t) >= TOKENS) & F.array_contains("gone", F.xxhash64(t))
     stays = lambda x: ~F.exists(F.array(tokens_of(x)), goes)  # noqa: E731  the array names the tokens, so that they are cut once
-    kept = F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(F.filter("_lines", stays))
-    out = met.withColumn("_kept", kept).withColumn("n_lines", F.coalesce(F.size("_lines"), F.lit(0)).cast("long"))
-    out = out.withColumn("n_dropped", F.col("n_lines") - F.coalesce(F.size("_kept"), F.lit(0))).withColumn("text", F.array_join("_kept", "\n"))
-    return out.select(*names, "n_lines", "n_dropped")
+    kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", stays))
+    out = met.withColumn("kept", kept).withColumn("n_lines", F.coalesce(F.size("lines"), F.lit(0)).cast("long"))
+    out = out.withColumn("n_dropped", F.col("n_lines") - F.coalesce(F.size("kept"), F.lit(0)))
+    row = F.col("row").withField("text", F.array_join("kept", "\n"))
+    for c in clashing:
+        row = row.dropFields(c)
+    return out.select(row.alias("row"), "n_lines", "n_dropped").select("row.*", "n_lines", "n_dropped")

@@ -14,6 +14,9 @@ from tokenizers import Tokenizer
 from gridloom.llm import dac, decontam, iblt, jaccard, mixing, qda, secrets, templates
 from gridloom.llm.common import shared_path
 
+
+
+PROSE = "The quick survey of quiet rivers found that most of them run slowly through wide green valleys and past small towns"
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -218,10 +221,50 @@ def test_quality(spark, docs, no_docs, rows):
     none = qda.classify(docs, labels.where("quality = 1"))
     assert {r["score"] for r in none.collect()} == {0.5}
     assert qda.accepted(df, labels).columns == df.columns
-    assert sorted(r["doc_id"] for r in qda.accepted(df, labels).collect()) == list(range(1, 200, 2))
+    assert sorted(map(tuple, qda.accepted(df, labels).collect())) == sorted(r for r in train if r[0] % 2)
     assert qda.classify(no_docs, labels).count() == 0
 
 
+def test_the_fit_is_the_plain_one(spark, docs):
+    """Means, shrunken covariances and priors against numpy over all labelled rows at once; a bounded sample is of those rows."""
+    texts = [(i, (PROSE if i % 3 else "!!") + f" {i} " * (i % 7) + "Aa. " * (i % 5)) for i in range(300)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(250)], "doc_id long, quality int")
+    model = qda.fit(df, labels, 0.3, 0.05)
+    known = [i for i in range(250) if zlib.crc32(str(i).encode()) % 3 != 1]
+    x, y = np.array([qda.statistics(texts[i][1]) for i in known]), np.array([int(i % 3 > 0) for i in known])
+    cov = [np.cov(x[y == k].T, bias=True) for k in (0, 1)]
+    pooled = sum((y == k).mean() * cov[k] for k in (0, 1))
+    for k in (0, 1):
+        want = 0.95 * (0.7 * cov[k] + 0.3 * pooled) + 0.05 * np.diag(np.maximum(np.diag(pooled), 1e-9)) + 1e-9 * np.eye(qda.DIMENSIONS)
+        assert np.allclose(model.means[k], x[y == k].mean(axis=0)) and np.allclose(model.factors[k] @ model.factors[k].T, want)
+    assert np.allclose(model.log_prior, np.log([(y == k).mean() for k in (0, 1)]))
+    some = {r["doc_id"] for r in qda.training(labels, 60).collect()}
+    assert some < set(known) and 30 < len(some) < 90
+
+
+CLASHES = ["_id", "_n", "_words", "_lines", "_doc", "_h", "score", "Score", "row", "key", "at", "k", "h", "same", "lines", "gone", "kept", "cls", "n", "term", "pos", "copies", "n_near"]
+
+
+@pytest.mark.parametrize("stage", ["accepted", "one_of_each", "clean", "mixed", "without_templates", "decontaminated"])
+def test_clashing_columns_keep_their_values(spark, benchmark, stage):
+    own = [(i, f"{PROSE} and {i} {i * 7} {i + 3}", ["a", "b", None][i % 3], *(f"{c}{i}" for c in CLASHES)) for i in range(9)]
+    df = spark.createDataFrame([*own, (None, "null id of a text", None, *CLASHES), (None, "null id of a text", None, *CLASHES)], ["doc_id", "text", "source", *CLASHES])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(9)], "doc_id long, quality int")
+    out = {
+        "accepted": lambda: qda.accepted(df, labels.where("quality = 1")), "one_of_each": lambda: jaccard.one_of_each(df), "clean": lambda: decontam.clean(df, benchmark),
+        "mixed": lambda: mixing.mixed(df), "without_templates": lambda: templates.without_templates(df, 3), "decontaminated": lambda: decontam.decontaminated(df, benchmark),
+    }[stage]()
+    new = {"without_templates": ["n_lines", "n_dropped"], "decontaminated": decontam.RESULT}.get(stage, [])
+    assert out.columns == [c for c in df.columns if c not in new] + new
+    kept = [c for c in CLASHES if c not in new]
+    places = [out.columns.index(c) for c in kept]
+    rows = [(r[0], *(r[i] for i in places)) for r in out.collect()]
+    assert rows and all(r == (None, *kept) or r == (r[0], *(f"{c}{r[0]}" for c in kept)) for r in rows)
+    if stage == "one_of_each":
+        assert sum(r[0] is None for r in rows) == 1, "null ids are deduplicated too"
+
+
 def test_discriminant_is_the_density():
     rng = np.random.default_rng(0)
     cov = [np.cov(rng.normal(size=(3, 30))) for _ in range(2)]
