@@ -24,8 +24,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of a benchmark item go."""
     importable(spark)
-    names = docs.columns
-    return decontam.decontaminated(docs, table(spark, sf_dir, "benchmark")).where("not contaminated").select(*names)
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
