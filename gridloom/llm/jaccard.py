@@ -56,7 +56,7 @@ class Join:
     #: Bytes of the table of frequencies that all tasks hold: each has the logarithm for the columns that fall on it.
     places: int = 1 << 24
     #: Numbers that one group counts; the groups grow with the corpus.
-    group: int = 1 << 22
+    group: int = 1 << 20
     #: Blocks of columns that products are summed over.
     blocks: int = 4
     #: Rounds of products with a column's first entry before those of all that is still apart.
@@ -282,10 +282,12 @@ def product(pairs: DataFrame, sets: DataFrame, docs: DataFrame, join: Join) -> D
     members = asked_sets(docs, left, join)
     summed = left.select("x", "y", "total", F.lit(0).cast("long").alias("common"))
     for block in range(join.blocks):
-        summed = multiplied(summed, members, block, join)
-    links = written(summed, "links")
+        # Written, so that blocks follow each other with one Python worker a task, on the few pairs that are left.
+        before, summed = summed, written(multiplied(summed, members, block, join), "summed")
+        if block:
+            done_with(before)
     done_with(left, members)
-    return links
+    return summed
 
 
 def stars(at: DataFrame, join: Join) -> DataFrame:
