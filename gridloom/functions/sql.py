@@ -14,7 +14,7 @@ from ..operators.decode import samples
 from ..sources.scan import directories
 from ..sources.storage import importable
 
-TAGS = "ifd_idx int, tag int, type int, count bigint, longs array<bigint>, doubles array<double>, text string"
+TAGS = "ifd_idx int, tag int, type int, count bigint, longs array<bigint>, doubles array<double>, text string, unsigned array<decimal(20,0)>"
 IFDS = "ifd_idx int, endianness string, bigtiff boolean, ifd_offset bigint, next_ifd_offset bigint, n_entries int"
 
 
@@ -22,7 +22,7 @@ class RasterTags:
     def eval(self, content: bytes) -> Iterator[tuple]:
         for d in directories(lambda a, z: content[a:z]):
             for e in d["entries"]:
-                yield d["ifd_idx"], e["tag"], e["type"], e["count"], e["longs"], e["doubles"], e["text"]
+                yield d["ifd_idx"], e["tag"], e["type"], e["count"], e["longs"], e["doubles"], e["text"], e["unsigned"]
 
 
 class RasterIfds:

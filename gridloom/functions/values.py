@@ -19,34 +19,38 @@ def entry(entries: Column | str, tag: int) -> Column:
     return F.try_element_at(F.filter(entries, lambda e: e["tag"] == tag), F.lit(-1))
 
 
-def _wrong(e: Column, target: str) -> Column:
-    return F.raise_error(F.concat(F.lit(f"field type not taken as {target}: "), e["type"].cast("string")))
+def _wrong(message: Column, kind: str, strict: bool) -> Column:
+    return (F.raise_error(message) if strict else F.lit(None)).cast(kind)
 
 
-def numbers(e: Column, target: str) -> Column:
-    """An entry as an array of u8 ... i64, f32 or f64; another field type or a number out of range is an error."""
+def _type_error(e: Column, target: str, kind: str, strict: bool) -> Column:
+    return _wrong(F.concat(F.lit(f"field type not taken as {target}: "), e["type"].cast("string")), kind, strict)
+
+
+def numbers(e: Column, target: str, strict: bool = True) -> Column:
+    """An entry as an array of u8 ... i64, f32 or f64; another field type or a number out of range is an error, or null unless strict."""
     if target in ("f32", "f64"):
-        return F.when(e.isNull(), None).when(e["type"] == {"f32": 11, "f64": 12}[target], e["doubles"]).otherwise(_wrong(e, target).cast("array<double>"))
+        return F.when(e.isNull(), None).when(e["type"] == {"f32": 11, "f64": 12}[target], e["doubles"]).otherwise(_type_error(e, target, "array<double>", strict))
     kinds, low, high = TAKES[target]
     text = F.transform(F.split(e["text"], ""), lambda c: F.ascii(c).cast("bigint")) if target in ("u32", "u64") else None
-    ok = F.forall(e["longs"], lambda x: (x >= low) & (x <= high))
-    out = F.when(e.isNull(), None).when(e["type"].isin(*kinds, *PAIRS.get(target, ())), F.when(ok, e["longs"]).otherwise(F.raise_error(F.lit(f"out of the range of {target}")).cast("array<bigint>")))
-    return (out.when(e["type"] == 2, text) if text is not None else out).otherwise(_wrong(e, target).cast("array<bigint>"))
+    ok = e["longs"].isNotNull() & F.forall(e["longs"], lambda x: (x >= low) & (x <= high))
+    out = F.when(e.isNull(), None).when(e["type"].isin(*kinds, *PAIRS.get(target, ())), F.when(ok, e["longs"]).otherwise(_wrong(F.lit(f"out of the range of {target}"), "array<bigint>", strict)))
+    return (out.when(e["type"] == 2, text) if text is not None else out).otherwise(_type_error(e, target, "array<bigint>", strict))
 
 
-def number(e: Column, target: str) -> Column:
+def number(e: Column, target: str, strict: bool = True) -> Column:
     """An entry of one value."""
-    return F.when(e.isNull(), None).when(e["count"] == 1, F.element_at(numbers(e, target), 1)).otherwise(F.raise_error(F.lit("not one value")).cast("double" if target[0] == "f" else "bigint"))
+    return F.when(e.isNull(), None).when(e["count"] == 1, F.element_at(numbers(e, target, strict), 1)).otherwise(_wrong(F.lit("not one value"), "double" if target[0] == "f" else "bigint", strict))
 
 
-def text(e: Column) -> Column:
-    return F.when(e.isNull(), None).when(e["type"] == 2, e["text"]).otherwise(_wrong(e, "text").cast("string"))
+def text(e: Column, strict: bool = True) -> Column:
+    return F.when(e.isNull(), None).when(e["type"] == 2, e["text"]).otherwise(_type_error(e, "text", "string", strict))
 
 
-def rational(e: Column) -> Column:
+def rational(e: Column, strict: bool = True) -> Column:
     """Numerator by denominator; a denominator of 0 gives null."""
     n, d = F.element_at(e["longs"], 1), F.element_at(e["longs"], 2)
-    return F.when(e.isNull(), None).when(e["type"].isin(5, 10), F.try_divide(n.cast("double"), d.cast("double"))).otherwise(_wrong(e, "rational").cast("double"))
+    return F.when(e.isNull(), None).when(e["type"].isin(5, 10), F.try_divide(n.cast("double"), d.cast("double"))).otherwise(_type_error(e, "rational", "double", strict))
 
 
 def pixel_type(formats: Column, bits: Column) -> Column:

@@ -2,7 +2,8 @@
 
 A decoder is a function of the compressed bytes and the tile's parameters. Codecs
 that need a library this package doesn't bring (JPEG, JPEG 2000, WebP, LERC) have
-no entry until a user registers one, and raise UnsupportedCompression.
+no entry until a user registers one, and raise UnsupportedCompression; `lerc_of`
+and `webp_of` add what TIFF wraps around two of them.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ import lzma
 import zlib
 from collections.abc import Callable
 
+import numpy as np
+
 from ..errors import FormatError
 
 Decoder = Callable[[bytes, dict], bytes]
@@ -34,43 +37,51 @@ def xz(data: bytes, tile: dict) -> bytes:
     return lzma.decompress(data)
 
 
+def _lzw_widths(n: int = 4100) -> tuple[np.ndarray, np.ndarray]:
+    """Width and bit offset of each code after a clear code: a width grows one code early, by the number of codes alone."""
+    known = 258 + np.maximum(np.arange(n) - 1, 0)
+    width = np.select([known < 511, known < 1023, known < 2047], [9, 10, 11], 12)
+    return width, np.concatenate(([0], np.cumsum(width)))
+
+
+_WIDTH, _OFFSET = _lzw_widths()
+
+
 def lzw(data: bytes, tile: dict) -> bytes:
-    """TIFF's LZW: codes of 9 to 12 bits from the high bit on; a width grows one code early."""
+    """TIFF's LZW: codes of 9 to 12 bits from the high bit on. All codes up to the next clear code are cut at once."""
+    raw = np.frombuffer(data + bytes(8), np.uint8).astype(np.uint32)
+    words = raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:]
     first = [bytes([i]) for i in range(256)] + [b"", b""]
-    table, out, last = first.copy(), [], b""
-    bits = held = 0
-    width = 9
-    for byte in data:
-        held = held << 8 | byte
-        bits += 8
-        if bits < width:
-            continue
-        bits -= width
-        code = held >> bits
-        held &= (1 << bits) - 1
-        if code == 256:
-            table, width, last = first.copy(), 9, b""
-            continue
-        if code == 257:
-            break
-        n = len(table)
-        if not last:
-            if code > 255:
-                raise FormatError("LZW: a code before any literal")
-            last = table[code]
-        elif code < n:
-            now = table[code]
-            table.append(last + now[:1])
-            last = now
-        elif code == n:
-            last += last[:1]
-            table.append(last)
-        else:
-            raise FormatError("LZW: a code beyond the table")
-        out.append(last)
-        n = len(table)
-        width = 9 if n < 511 else 10 if n < 1023 else 11 if n < 2047 else 12
-    return b"".join(out)
+    out: list[bytes] = []
+    at, bits = 0, 8 * len(data)
+    while True:
+        n = int(np.searchsorted(_OFFSET, bits - at, "right")) - 1
+        if n <= 0:
+            return b"".join(out)
+        place = at + _OFFSET[:n]
+        codes = words[place >> 3] >> (32 - (place & 7) - _WIDTH[:n]).astype(np.uint32) & ((1 << _WIDTH[:n]) - 1).astype(np.uint32)
+        stops = np.flatnonzero((codes == 256) | (codes == 257))
+        last = int(stops[0]) if len(stops) else n
+        table, before = first.copy(), b""
+        add, give = table.append, out.append
+        for code in codes[:last].tolist():
+            if not before:
+                if code > 255:
+                    raise FormatError("LZW: a code before any literal")
+                before = table[code]
+            elif code < len(table):
+                now = table[code]
+                add(before + now[:1])
+                before = now
+            elif code == len(table):
+                before += before[:1]
+                add(before)
+            else:
+                raise FormatError("LZW: a code beyond the table")
+            give(before)
+        if last == n or codes[last] == 257:
+            return b"".join(out)
+        at += int(_OFFSET[last + 1])
 
 
 def lzw_encoded(data: bytes) -> bytes:
@@ -118,6 +129,30 @@ def lzw_encoded(data: bytes) -> bytes:
     return bytes(out)
 
 
+def lerc_of(lerc: Decoder) -> Decoder:
+    """The decoder for 34887 from one of LERC itself: by the second LERC parameter, its bytes are plain, deflated or in zstd."""
+
+    def unwrapped(data: bytes, tile: dict) -> bytes:
+        how = (tile.get("lerc_parameters") or [0, 0])[1]
+        if how not in (0, 1, 2):
+            raise FormatError(f"LERC: additional compression {how}")
+        return lerc((none, deflate, zstd)[how](data, tile), tile)
+
+    return unwrapped
+
+
+def webp_of(webp: Decoder) -> Decoder:
+    """The decoder for 50001 from one of WebP itself, which leaves an alpha out that is opaque everywhere; it is put back where the tile has four samples."""
+
+    def whole(data: bytes, tile: dict) -> bytes:
+        got, pixels = webp(data, tile), tile["tile_height"] * tile["tile_width"]
+        if tile["samples_per_pixel"] != 4 or len(got) != 3 * pixels:
+            return got
+        return np.concatenate((np.frombuffer(got, np.uint8).reshape(pixels, 3), np.full((pixels, 1), 255, np.uint8)), axis=1).tobytes()
+
+    return whole
+
+
 DECODERS: dict[int, Decoder] = {1: none, 5: lzw, 8: deflate, 32946: deflate, 34925: xz, 50000: zstd}
 ENCODERS: dict[str, tuple[int, Callable[[bytes], bytes]]] = {
     "none": (1, bytes),

@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import RasterError, UnsupportedCompression, UnsupportedLayout
-from ..sources.storage import Read, range_reader
+from ..sources.storage import Read, closed, range_reader
 from .codecs import Decoder, registry
 from .predictors import unpredicted
 
 KEY = ["path", "ifd_idx", "x", "y", "band"]
 #: Bytes between two ranges that are read along rather than asked for apart, and the most that one read holds.
 GAP, MOST = 1 << 16, 16 << 20
+#: Bytes of a file whose tiles one task reads.
+STRETCH = 1 << 18
 #: Codecs that give samples in native order, whatever the file's.
 NATIVE_ORDER = (34712, 34887)
 
@@ -43,10 +45,14 @@ def _contents(b: pa.RecordBatch, reader: Callable[[str], Read], open_: dict[str,
     out = {}
     for p, own in rows.items():
         if p not in open_:
-            open_.clear()  # a task goes from file to file
+            for old in open_.values():  # a task goes from file to file
+                closed(old)
+            open_.clear()
             open_[p] = reader(p)
-        for a, z, members in islands([(starts[k], stops[k]) for k in own]):
-            data = open_[p](a, z)
+        found = islands([(starts[k], stops[k]) for k in own])
+        many = getattr(open_[p], "many", None)
+        answers = many([(a, z) for a, z, _ in found]) if many else (open_[p](a, z) for a, z, _ in found)
+        for (a, _, members), data in zip(found, answers, strict=True):
             for m in members:
                 k = own[m]
                 out[k] = data[starts[k] - a : stops[k] - a]
@@ -54,9 +60,9 @@ def _contents(b: pa.RecordBatch, reader: Callable[[str], Read], open_: dict[str,
 
 
 def near_each_other(tiles: DataFrame) -> DataFrame:
-    """Tiles dealt to tasks by place in their files, so that a task reads contiguous bytes."""
+    """Tiles dealt to tasks by stretches of their files, so that a task reads contiguous bytes. No sample is taken, which would scan the files twice."""
     n = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return tiles.repartitionByRange(n, "path", "start").sortWithinPartitions("path", "start")
+    return tiles.repartition(n, "path", F.floor(F.col("start") / STRETCH)).sortWithinPartitions("path", "start")
 
 
 def fetch(tiles: DataFrame, reader: Callable[[str], Read] = range_reader) -> DataFrame:
@@ -130,7 +136,7 @@ def assembled(decoded: DataFrame) -> DataFrame:
     """Tiles whose bands lie apart, put together as (bands, height, width)."""
     parts = F.sort_array(F.collect_list(F.struct("band", "data")))
     whole = decoded.where("band is not null and error is null").groupBy("path", "ifd_idx", "x", "y", "dtype").agg(parts.alias("p"), F.any_value("shape").alias("s"))
-    data = F.unhex(F.array_join(F.transform("p", lambda q: F.hex(q["data"])), ""))
+    data = F.aggregate("p", F.lit(b""), lambda held, q: F.concat(held, q["data"]))
     return whole.select("path", "ifd_idx", "x", "y", "dtype", F.concat(F.array(F.size("p")), F.slice("s", 2, 2)).alias("shape"), data.alias("data"))
 
 
@@ -170,6 +176,14 @@ def pixels(tiles: DataFrame, value: str = "double", keep: tuple[str, ...] = (),
     return (tiles if "content" in tiles.columns else near_each_other(tiles)).mapInArrow(run, T.StructType(fields))
 
 
+def array_row(data: bytes, shape: tuple[int, ...], dtype: str) -> dict:
+    """A row as decode makes them, of a user's own bytes: little-endian samples of that shape; ValueError if they aren't as many."""
+    kind = np.dtype("?" if dtype == "bool" else dtype)
+    if len(data) != kind.itemsize * int(np.prod(shape, dtype=np.int64)):
+        raise ValueError(f"{len(data)} bytes are no {dtype} array of shape {tuple(shape)}")
+    return {"dtype": dtype, "shape": list(shape), "data": bytes(data)}
+
+
 def to_numpy(row) -> np.ndarray:
     """A decoded row, once it is on the driver, as a read-only array of its shape."""
     kind = np.dtype("?" if row["dtype"] == "bool" else row["dtype"]).newbyteorder("<")

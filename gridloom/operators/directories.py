@@ -22,34 +22,42 @@ LISTS = {
 TEXTS = {
     "document_name": 269, "image_description": 270, "software": 305, "date_time": 306, "artist": 315, "host_computer": 316, "copyright": 33432, "gdal_nodata": 42113, "gdal_metadata": 42112,
 }
+CODES = {"compression": 259, "photometric_interpretation": 262, "planar_configuration": 284, "resolution_unit": 296, "predictor": 317}
 REQUIRED = ("image_width", "image_height", "bits_per_sample", "photometric_interpretation", "samples_per_pixel")
 
 
 def tags(scanned: DataFrame) -> DataFrame:
-    """path, ifd_idx, tag_idx, tag, tag_name, type, count, longs, doubles, text: a row for each entry."""
+    """path, ifd_idx, tag_idx, tag, tag_name, type, count, longs, doubles, text, unsigned: a row for each entry."""
     each = scanned.where("error is null").select("path", "ifd_idx", F.explode("entries").alias("e")).select("path", "ifd_idx", "e.*")
     return each.withColumn("tag_name", named("tag", TAGS))
 
 
-def ifds(scanned: DataFrame) -> DataFrame:
-    """A row for each directory with its typed fields and their defaults; unknown codes keep their number, or null where the field has no such value."""
-    e = lambda tag: entry("entries", tag)
+def ifds(scanned: DataFrame, mode: str = "FAILFAST") -> DataFrame:
+    """A row for each directory with its typed fields and their defaults; unknown codes keep their number, or null where the field has no such value.
+
+    An entry of a wrong type, count or range fails the query; with PERMISSIVE its field is null and its name stands in `bad_fields`.
+    """
+    e, strict = lambda tag: entry("entries", tag), mode != "PERMISSIVE"
     known = lambda code, codes: F.when(code.isin(*codes), code)
     first = scanned.where("error is null")
-    fields = {k: number(e(tag), kind) for k, (tag, kind) in SINGLE.items()} | {k: numbers(e(tag), kind) for k, (tag, kind) in LISTS.items()} | {k: text(e(tag)) for k, tag in TEXTS.items()}
-    fields |= {
-        "compression": F.coalesce(number(e(259), "u16"), F.lit(1).cast("bigint")),
-        "photometric_interpretation": known(number(e(262), "u16"), PHOTOMETRIC),
-        "planar_configuration": F.coalesce(known(number(e(284), "u16"), (1, 2)), F.lit(1).cast("bigint")),
-        "resolution_unit": known(number(e(296), "u16"), (1, 2, 3)),
-        "predictor": known(number(e(317), "u16"), (1, 2, 3)),
-        "x_resolution": rational(e(282)),
-        "y_resolution": rational(e(283)),
-        "sample_format": F.coalesce(numbers(e(339), "u16"), F.array_repeat(F.lit(1).cast("bigint"), F.coalesce(number(e(277), "u16"), F.lit(1).cast("bigint")).cast("int"))),
-        "jpeg_tables": numbers(e(347), "u8"),
+    one, many = (lambda tag, kind: number(e(tag), kind, strict)), (lambda tag, kind: numbers(e(tag), kind, strict))
+    read = {k: (tag, one(tag, kind)) for k, (tag, kind) in SINGLE.items()} | {k: (tag, many(tag, kind)) for k, (tag, kind) in LISTS.items()} | {k: (tag, text(e(tag), strict)) for k, tag in TEXTS.items()}
+    read |= {k: (tag, one(tag, "u16")) for k, tag in CODES.items()} | {"sample_format": (339, many(339, "u16")), "jpeg_tables": (347, many(347, "u8"))}
+    got = {k: c for k, (_, c) in read.items()}
+    fields = got | {
+        "compression": F.coalesce(got["compression"], F.lit(1).cast("bigint")),
+        "photometric_interpretation": known(got["photometric_interpretation"], PHOTOMETRIC),
+        "planar_configuration": F.coalesce(known(got["planar_configuration"], (1, 2)), F.lit(1).cast("bigint")),
+        "resolution_unit": known(got["resolution_unit"], (1, 2, 3)),
+        "predictor": known(got["predictor"], (1, 2, 3)),
+        "x_resolution": rational(e(282), strict),
+        "y_resolution": rational(e(283), strict),
+        "sample_format": F.coalesce(got["sample_format"], F.array_repeat(F.lit(1).cast("bigint"), F.coalesce(got["samples_per_pixel"], F.lit(1).cast("bigint")).cast("int"))),
         "geo_key_directory": geo_keys("entries"),
         "other_tags": F.filter("entries", lambda x: ~x["tag"].isin(*OWN)),
     }
+    bad = [F.when(e(tag).isNotNull() & c.isNull(), F.lit(k)) for k, (tag, c) in read.items()] + [F.when(e(tag).isNotNull() & ~e(tag)["type"].isin(5, 10), F.lit(k)) for k, tag in (("x_resolution", 282), ("y_resolution", 283))]
+    fields["bad_fields"] = F.array_compact(F.array(*bad)) if not strict else F.array().cast("array<string>")
     out = first.select("path", "length", "endianness", "bigtiff", "ifd_idx", "ifd_offset", "next_ifd_offset", *(c.alias(k) for k, c in fields.items()))
     missing = F.filter(F.array(*(F.when(F.col(k).isNull(), F.lit(k)) for k in REQUIRED)), lambda x: x.isNotNull())
     return out.withColumn("missing", missing).withColumns(
@@ -62,7 +70,7 @@ def ifds(scanned: DataFrame) -> DataFrame:
     )
 
 
-OWN = {t for t, _ in (SINGLE | LISTS).values()} | set(TEXTS.values()) | {259, 262, 282, 283, 284, 296, 317, 339, 347, 34735, 34736, 34737}
+OWN = {t for t, _ in (SINGLE | LISTS).values()} | set(TEXTS.values()) | set(CODES.values()) | {282, 283, 339, 347, 34735, 34736, 34737}
 
 
 def files(directories: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import decode, directories, tiles
 from ..operators.codecs import Decoder
@@ -19,17 +20,19 @@ class Raster:
     Filters stand before fetch and decode, so only the tiles that pass are read.
     """
 
-    def __init__(self, scanned: DataFrame, reader: Callable[[str], Read] = range_reader) -> None:
-        self.scanned, self.reader = scanned, reader
+    def __init__(self, scanned: DataFrame, reader: Callable[[str], Read] = range_reader, mode: str = "FAILFAST") -> None:
+        self.scanned, self.reader, self.mode = scanned, reader, mode
 
     @classmethod
     def open(cls, spark: SparkSession, files: str | list[str] | DataFrame, prefetch: int = 32768, multiplier: float = 2.0, reader: Callable[[str], Read] = range_reader, mode: str = "FAILFAST") -> Raster:
         importable(spark)
-        return cls(scan(spark, files, prefetch, multiplier, reader, mode), reader)
+        if not callable(reader):
+            raise TypeError("reader takes a path and returns a function of start and stop")
+        return cls(scan(spark, files, prefetch, multiplier, reader, mode), reader, mode)
 
     @cached_property
     def ifds(self) -> DataFrame:
-        return directories.ifds(self.scanned)
+        return directories.ifds(self.scanned, self.mode)
 
     @cached_property
     def tags(self) -> DataFrame:
@@ -45,7 +48,16 @@ class Raster:
 
     @cached_property
     def errors(self) -> DataFrame:
-        return self.scanned.where("error is not null").select("path", "error")
+        """path, ifd_idx, error: files or directories that don't parse, and fields that are null for a wrong entry."""
+        bad = self.ifds.select("path", "ifd_idx", F.explode("bad_fields").alias("field")).select("path", "ifd_idx", F.concat(F.lit("field "), "field").alias("error"))
+        return self.scanned.where("error is not null").select("path", F.col("ifd_idx"), "error").unionByName(bad)
+
+    def ifd(self, path: str, idx: int) -> Row:
+        """One directory, on the driver; rows of equal fields are equal. IndexError without it."""
+        got = self.ifds.where((F.col("path") == path) & (F.col("ifd_idx") == idx)).take(1)
+        if not got:
+            raise IndexError(f"no directory {idx} in {path}")
+        return got[0]
 
     def tiles(self, *keep: str) -> DataFrame:
         return tiles.tiles(self.ifds, *keep)
@@ -53,8 +65,8 @@ class Raster:
     def fetch(self, chosen: DataFrame) -> DataFrame:
         return decode.fetch(chosen, self.reader)
 
-    def decode(self, chosen: DataFrame, decoders: dict[int, Decoder] | None = None, mode: str = "FAILFAST") -> DataFrame:
-        return decode.decode(chosen, decoders, self.reader, mode)
+    def decode(self, chosen: DataFrame, decoders: dict[int, Decoder] | None = None, mode: str | None = None) -> DataFrame:
+        return decode.decode(chosen, decoders, self.reader, mode or self.mode)
 
     def pixels(self, chosen: DataFrame, value: str = "double", keep: tuple[str, ...] = (), decoders: dict[int, Decoder] | None = None) -> DataFrame:
         return decode.pixels(chosen, value, keep, decoders, self.reader)

@@ -10,7 +10,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from .scan import directories
 from .storage import ReadAhead, opened, range_reader
 
-COLUMNS = "path string, ifd_idx int, tag int, type int, count bigint, longs array<bigint>, doubles array<double>, text string"
+COLUMNS = "path string, ifd_idx int, tag int, type int, count bigint, longs array<bigint>, doubles array<double>, text string, unsigned array<decimal(20,0)>"
 
 
 class File(InputPartition):
@@ -45,7 +45,7 @@ class TagReader(DataSourceReader):
             if self.ifd not in (None, d["ifd_idx"]):
                 continue
             for e in d["entries"]:
-                yield partition.path, d["ifd_idx"], e["tag"], e["type"], e["count"], e["longs"], e["doubles"], e["text"]
+                yield partition.path, d["ifd_idx"], e["tag"], e["type"], e["count"], e["longs"], e["doubles"], e["text"], e["unsigned"]
 
 
 class RasterTags(DataSource):

@@ -4,24 +4,25 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Callable, Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import CycleError, FormatError
-from .storage import Read, ReadAhead, range_reader
+from .storage import Read, ReadAhead, closed, range_reader
 
 # Field types of the TIFF 6.0 and BigTIFF specifications, and their numpy kinds.
 KINDS = {1: "u1", 2: "S1", 3: "u2", 4: "u4", 5: "u4", 6: "i1", 7: "u1", 8: "i2", 9: "i4", 10: "i4", 11: "f4", 12: "f8", 13: "u4", 16: "u8", 17: "i8", 18: "u8"}
 PAIRED = (5, 10)
 
-ENTRY = "struct<tag_idx:int,tag:int,type:int,count:bigint,longs:array<bigint>,doubles:array<double>,text:string>"
+ENTRY = "struct<tag_idx:int,tag:int,type:int,count:bigint,longs:array<bigint>,doubles:array<double>,text:string,unsigned:array<decimal(20,0)>>"
 SCAN = f"path string, length bigint, endianness string, bigtiff boolean, ifd_idx int, ifd_offset bigint, next_ifd_offset bigint, entries array<{ENTRY}>, error string"
 _SCHEMA = pa.schema(
     [
         ("path", pa.string()), ("length", pa.int64()), ("endianness", pa.string()), ("bigtiff", pa.bool_()), ("ifd_idx", pa.int32()), ("ifd_offset", pa.int64()), ("next_ifd_offset", pa.int64()),
-        ("entries", pa.list_(pa.struct([("tag_idx", pa.int32()), ("tag", pa.int32()), ("type", pa.int32()), ("count", pa.int64()), ("longs", pa.list_(pa.int64())), ("doubles", pa.list_(pa.float64())), ("text", pa.string())]))),
+        ("entries", pa.list_(pa.struct([("tag_idx", pa.int32()), ("tag", pa.int32()), ("type", pa.int32()), ("count", pa.int64()), ("longs", pa.list_(pa.int64())), ("doubles", pa.list_(pa.float64())), ("text", pa.string()), ("unsigned", pa.list_(pa.decimal128(20, 0)))]))),
         ("error", pa.string()),
     ]
 )
@@ -44,15 +45,19 @@ def header(read: Read) -> tuple[str, bool, int]:
 
 
 def value(raw: bytes, kind: int, order: str) -> dict:
-    """An entry's bytes as numbers or text. Text ends at its first NUL; rationals are numerator, denominator."""
+    """An entry's bytes as numbers or text. Text ends at its first NUL; rationals are numerator, denominator.
+
+    Numbers of 2^63 and more, which no bigint holds, are in `unsigned` with all others of their entry.
+    """
+    out: dict = dict.fromkeys(("longs", "doubles", "text", "unsigned"))
     if kind == 2:
-        return {"longs": None, "doubles": None, "text": raw.split(b"\0")[0].decode("utf-8", "replace")}
+        return out | {"text": raw.split(b"\0")[0].decode("utf-8", "replace")}
     numbers = np.frombuffer(raw, order + KINDS[kind])
     if kind in (11, 12):
-        return {"longs": None, "doubles": numbers.astype("f8").tolist(), "text": None}
+        return out | {"doubles": numbers.astype("f8").tolist()}
     if numbers.dtype.kind == "u" and numbers.itemsize == 8 and len(numbers) and int(numbers.max()) >> 63:
-        raise FormatError("a number beyond 63 bits")
-    return {"longs": numbers.astype("i8").tolist(), "doubles": None, "text": None}
+        return out | {"unsigned": [Decimal(x) for x in numbers.tolist()]}
+    return out | {"longs": numbers.astype("i8").tolist()}
 
 
 def directories(read: Read) -> Iterator[dict]:
@@ -93,13 +98,15 @@ def directories(read: Read) -> Iterator[dict]:
 
 
 def scan(spark: SparkSession, files: str | list[str] | DataFrame, prefetch: int = 32768, multiplier: float = 2.0, reader: Callable[[str], Read] = range_reader, mode: str = "FAILFAST") -> DataFrame:
-    """A row for each directory of the files: a path, a glob, or a DataFrame of path, length and perhaps content.
+    """A row for each directory of the files: a path, a glob, http(s) addresses, or a DataFrame of path, length and perhaps content.
 
     Only headers and directories are read, by ranges. With a content column no file
     is opened, which serves stores that only Spark reads and rows that arrive by
     stream. PERMISSIVE gives what was read up to an error and then a row with the error.
     """
-    if not isinstance(files, DataFrame):
+    if not isinstance(files, DataFrame) and (urls := [f for f in ([files] if isinstance(files, str) else files) if f.startswith(("http://", "https://"))]):
+        files = spark.createDataFrame([(u, None) for u in urls], "path string, length bigint")
+    elif not isinstance(files, DataFrame):
         files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(files).select("path", "length")
     held = "content" in files.columns
 
@@ -113,7 +120,9 @@ def scan(spark: SparkSession, files: str | list[str] | DataFrame, prefetch: int
                         data = b.column("content")[k].as_py() or b""
                         rows += [facts | d for d in directories(lambda a, z, data=data: data[a:z])]
                     else:
-                        rows += [facts | d for d in directories(ReadAhead(reader(path), prefetch, multiplier))]
+                        source = reader(path)
+                        rows += [facts | d for d in directories(ReadAhead(source, prefetch, multiplier))]
+                        closed(source)
                 except (FormatError, OSError) as e:
                     if mode != "PERMISSIVE":
                         raise

@@ -21,5 +21,5 @@ def arriving(spark: SparkSession, folder: str, pattern: str = "*.tif") -> DataFr
 
 def ingest(spark: SparkSession, folder: str, table: str, checkpoint: str) -> StreamingQuery:
     """Appends the directories of new files to a Parquet folder, exactly once, until none is left."""
-    found = ifds(arriving(spark, folder)).drop("other_tags")
+    found = ifds(arriving(spark, folder), "PERMISSIVE").drop("other_tags")
     return found.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

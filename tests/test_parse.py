@@ -1,5 +1,6 @@
 """The metadata scan on byte vectors."""
 
+import random
 import struct
 
 import pytest
@@ -23,23 +24,44 @@ def one(data):
     return next(directories(read(data)))["entries"]
 
 
+#: struct letters of the integer field types; floats are apart.
+LETTERS = {1: "B", 3: "H", 4: "I", 6: "b", 7: "B", 8: "h", 9: "i", 13: "I", 16: "Q", 17: "q", 18: "Q"}
+
+
+def extremes(letter):
+    bits = 8 * struct.calcsize(letter)
+    return [0, 1, (1 << bits) - 1] if letter.isupper() else [-(1 << bits - 1), -1, (1 << bits - 1) - 1]
+
+
 @pytest.mark.parametrize("order", "<>")
-@pytest.mark.parametrize(
-    ("kind", "letter", "number", "field"),
-    [(1, "B", 42, "longs"), (3, "H", 42, "longs"), (4, "I", 42, "longs"), (6, "b", -42, "longs"), (7, "B", 7, "longs"), (8, "h", -42, "longs"), (9, "i", -42, "longs"), (11, "f", 0.5, "doubles"), (13, "I", 42, "longs")],
-)
-def test_inline_values(order, kind, letter, number, field):
-    e = one(classic(order, [(254, kind, 1, struct.pack(order + letter, number))]))[0]
-    assert e["type"] == kind and e["count"] == 1 and e[field] == [number]
+@pytest.mark.parametrize("kind", LETTERS)
+def test_integers_at_their_extremes(order, kind):
+    """Alone, where they fit into the entry, and as a list, which stands elsewhere where it doesn't."""
+    letter, rng = LETTERS[kind], random.Random(kind)
+    numbers = extremes(letter) + [rng.choice(extremes(letter)) for _ in range(9)]
+    for some in ([n] for n in extremes(letter)), [numbers]:
+        for chosen in some:
+            raw = struct.pack(f"{order}{len(chosen)}{letter}", *chosen)
+            place = raw if len(raw) <= 4 else struct.pack(order + "I", 8 + 2 + 12 + 4)
+            e = one(classic(order, [(40000, kind, len(chosen), place)], extra=raw if len(raw) > 4 else b""))[0]
+            assert (e["type"], e["count"]) == (kind, len(chosen))
+            assert [int(x) for x in e["unsigned"] or e["longs"]] == chosen
+            assert (e["longs"] is None) == (max(chosen) >= 1 << 63)
 
 
 @pytest.mark.parametrize("order", "<>")
-@pytest.mark.parametrize(("kind", "letter", "numbers", "field"), [(5, "2I", [42, 43], "longs"), (10, "2i", [-42, 43], "longs"), (12, "d", [0.5], "doubles"), (16, "Q", [42], "longs"), (17, "q", [-42], "longs"), (18, "Q", [42], "longs"), (3, "3H", [1, 2, 3], "longs")])
-def test_values_elsewhere(order, kind, letter, numbers, field):
-    count = 3 if letter == "3H" else 1
-    at = 8 + 2 + 12 + 4
-    e = one(classic(order, [(254, kind, count, struct.pack(order + "I", at))], extra=struct.pack(order + letter, *numbers)))[0]
-    assert e[field] == numbers
+@pytest.mark.parametrize(("kind", "letter"), [(11, "f"), (12, "d")])
+def test_floats(order, kind, letter):
+    numbers = [-1.5, 2.0**-20, 3e30]
+    raw = struct.pack(f"{order}3{letter}", *numbers)
+    e = one(classic(order, [(40000, kind, 3, struct.pack(order + "I", 26))], extra=raw))[0]
+    assert e["doubles"] == list(struct.unpack(f"{order}3{letter}", raw)) and e["longs"] is None
+
+
+@pytest.mark.parametrize(("kind", "letter", "pair"), [(5, "I", [2**32 - 1, 7]), (10, "i", [-(2**31), -9])])
+def test_rationals_are_pairs(kind, letter, pair):
+    e = one(classic(">", [(282, kind, 1, struct.pack(">I", 26))], extra=struct.pack(f">2{letter}", *pair)))[0]
+    assert e["count"] == 1 and e["longs"] == pair
 
 
 @pytest.mark.parametrize("order", "<>")
@@ -74,18 +96,23 @@ def test_cycle_and_truncation():
         one(classic("<", [(305, 2, 100, struct.pack("<I", 5000))]))
 
 
-def test_read_ahead_grows():
-    data = bytes(range(97, 123))
-    source = ReadAhead(read(data), 2, 3.0)
-    assert (source(0, 2), source.fetches) == (b"ab", 1)
-    assert (source(1, 2), source.fetches) == (b"b", 1)
-    assert (source(2, 5), source.fetches) == (b"cde", 2)
-    assert (source(5, 8), source.fetches) == (b"fgh", 2)
-    assert (source(8, 20), source.fetches) == (data[8:20], 3)
-    assert source(20, 99) == data[20:]
-
-
-def test_numbers_beyond_63_bits_are_errors():
-    at = 8 + 2 + 12 + 4
-    with pytest.raises(FormatError):
-        one(classic("<", [(254, 16, 1, struct.pack("<I", at))], extra=struct.pack("<Q", 2**64 - 1)))
+def test_read_ahead_gives_the_bytes_in_few_fetches():
+    """Whatever is asked for comes; a fetch is made only beyond what is held, and makes that `multiplier` times as much again."""
+    rng = random.Random(8)
+    data = rng.randbytes(5000)
+    for prefetch, multiplier in ((1, 1.0), (7, 0.5), (64, 2.5), (9000, 2.0)):
+        source, held, fetches = ReadAhead(read(data), prefetch, multiplier), 0, 0
+        for _ in range(60):
+            a = rng.randrange(5200)
+            z = a + rng.randrange(300)
+            assert source(a, z) == data[a:z]
+            while z > held and not (held >= 5000 and fetches == source.fetches):
+                held += max(round(held * multiplier) if held else prefetch, z - held)
+                fetches += 1
+            assert source.fetches == fetches or held >= 5000
+            held = min(held, 5000) if held > 5000 else held
+
+
+def test_wide_private_tags_leave_the_file_readable():
+    entries = one(classic("<", [(40000, 16, 1, struct.pack("<I", 8 + 2 + 24 + 4)), (40001, 3, 1, b"\5\0")], extra=struct.pack("<Q", 2**64 - 1)))
+    assert [int(x) for x in entries[0]["unsigned"]] == [2**64 - 1] and entries[0]["longs"] is None and entries[1]["longs"] == [5]

@@ -127,7 +127,7 @@ def test_errors_are_raised_or_kept(spark, tmp_path):
     got = {x["path"].split("/")[-1]: x["error"] for x in r.decode(r.tiles(), mode="PERMISSIVE").collect()}
     assert got["good.tif"] is None and got["cut.tif"] and "UnsupportedCompression" in got["odd.tif"]
     with pytest.raises(Exception, match="UnsupportedCompression"):
-        r.decode(r.tiles().where("path like '%odd.tif'")).collect()  # the cut file fails in another way, and may fail first
+        r.decode(r.tiles().where("path like '%odd.tif'"), mode="FAILFAST").collect()  # the cut file fails in another way, and may fail first
     with pytest.raises(Exception, match="FormatError"):
         Raster.open(spark, f"{tmp_path}/*.tif").ifds.collect()
 
@@ -192,3 +192,108 @@ def test_stream_and_source(spark, tmp_path):
     assert sorted(x["longs"][0] for x in rows.collect()) == [8, 9]
     assert [x["longs"][0] for x in rows.where(F.col("path") == str(folder / "b.tif")).collect()] == [9]
     assert rows.where("ifd_idx = 1").collect() == []
+
+
+def tagged(k, entries):
+    """A classic little-endian file of one directory of (tag, type, count, 4 bytes), with 8 more bytes at its end."""
+    import struct
+
+    body = struct.pack("<H", len(entries)) + b"".join(struct.pack("<HHI", t, kind, n) + v.ljust(4, b"\0") for t, kind, n, v in entries)
+    return b"II" + struct.pack("<HI", 42, 8) + body + bytes(4) + struct.pack("<Q", 2**64 - 1)
+
+
+def test_permissive_queries_list_bad_fields(spark, tmp_path):
+    short = lambda n: bytes([n, 0])
+    base = [(256, 3, 1, short(9)), (257, 3, 1, short(9))]
+    (tmp_path / "good.tif").write_bytes(tagged(0, base))
+    (tmp_path / "count.tif").write_bytes(tagged(1, [*base, (305, 3, 1, short(1)), (317, 3, 2, short(2) * 2)]))
+    (tmp_path / "wide.tif").write_bytes(tagged(2, [*base, (40000, 16, 1, bytes([8 + 2 + 36 + 4, 0]))]))
+    (tmp_path / "none.tif").write_bytes(b"nothing")
+    r = Raster.open(spark, f"{tmp_path}/*.tif", mode="PERMISSIVE")
+    name = F.element_at(F.split("path", "/"), -1)
+    rows = {x["name"]: x for x in r.ifds.select(name.alias("name"), "image_width", "predictor", "bad_fields").collect()}
+    assert {k: x["image_width"] for k, x in rows.items()} == {"good.tif": 9, "count.tif": 9, "wide.tif": 9}
+    assert rows["count.tif"]["predictor"] is None and sorted(rows["count.tif"]["bad_fields"]) == ["predictor", "software"] and rows["good.tif"]["bad_fields"] == []
+    errors = {(x["name"], x["error"].split(":")[0]) for x in r.errors.select(name.alias("name"), "error").collect()}
+    assert errors == {("none.tif", "FormatError"), ("count.tif", "field predictor"), ("count.tif", "field software")}
+    assert int(r.tags.where("tag = 40000").first()["unsigned"][0]) == 2**64 - 1
+    strict = Raster.open(spark, f"{tmp_path}/count.tif")
+    with pytest.raises(Exception, match="not one value|not taken"):
+        strict.ifds.collect()
+    assert strict.tags.count() == 4, "the tags themselves are no error"
+    one = Raster.open(spark, f"{tmp_path}/good.tif")
+    path = one.files.first()["path"]
+    assert one.ifd(path, 0) == one.ifd(path, 0)
+    with pytest.raises(IndexError):
+        one.ifd(path, 1)
+    with pytest.raises(TypeError):
+        Raster.open(spark, f"{tmp_path}/good.tif", reader=3)
+
+
+def test_ranges_over_http(spark, tmp_path):
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    data = encoded(image("uint16"), Layout("uint16", bands=2, tile=16, compression="deflate"))
+    sent = []
+
+    class Server(BaseHTTPRequestHandler):
+        def do_GET(self):
+            a, z = (int(x) for x in self.headers["Range"].removeprefix("bytes=").split("-"))
+            part = data[a : z + 1] if self.path != "/whole.tif" else data
+            self.send_response(416 if a >= len(data) else 206 if self.path != "/whole.tif" else 200)
+            self.send_header("Content-Length", str(len(part)))
+            self.end_headers()
+            self.wfile.write(part)
+            sent.append((self.path, a, z))
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    urls = [f"http://127.0.0.1:{server.server_port}/{n}.tif" for n in ("ranges", "whole")]
+    r = Raster.open(spark, urls, prefetch=256)
+    got = whole(r, r.tiles().where("x < 2"))
+    assert len(got) == 2 and all(len(parts) == 6 for parts in got.values())
+    assert all(np.array_equal(put_together(parts, 37, 41, 2, 16)[:, :32], image("uint16")[:, :32]) for parts in got.values())
+    assert len(sent) > 4
+    assert range_reader(urls[0])(len(data) + 5, len(data) + 9) == b""
+    server.shutdown()
+
+
+def test_wrapped_codecs():
+    import zlib
+
+    lerc = codecs.lerc_of(lambda data, tile: data[::-1])
+    for how, made in ((0, bytes), (1, zlib.compress), (2, lambda b: __import__("zstandard").ZstdCompressor().compress(b))):
+        assert lerc(made(b"cba"), {"lerc_parameters": [4, how]}) == b"abc"
+    with pytest.raises(Exception, match="additional compression"):
+        lerc(b"", {"lerc_parameters": [4, 9]})
+    webp, tile = codecs.webp_of(lambda data, tile: data), {"tile_height": 1, "tile_width": 2, "samples_per_pixel": 4}
+    assert webp(bytes(range(6)), tile) == bytes([0, 1, 2, 255, 3, 4, 5, 255]) and webp(bytes(8), tile) == bytes(8)
+    assert webp(bytes(6), tile | {"samples_per_pixel": 3}) == bytes(6)
+
+
+def test_arrays_of_own_bytes():
+    a = np.arange(12, dtype="<u2").reshape(2, 3, 2)
+    assert np.array_equal(decode.to_numpy(decode.array_row(a.tobytes(), a.shape, "uint16")), a)
+    with pytest.raises(ValueError, match="no uint16 array"):
+        decode.array_row(bytes(5), (2, 3, 2), "uint16")
+
+
+def test_readers_that_take_many_ranges(spark, tmp_path):
+    (tmp_path / "a.tif").write_bytes(encoded(image("uint8"), Layout("uint8", bands=2, tile=16)))
+
+    class Many:
+        def __init__(self, path):
+            self.one = range_reader(path)
+
+        def __call__(self, start, stop):
+            return self.one(start, stop)
+
+        def many(self, ranges):
+            return [self.one(a, z) for a, z in ranges]
+
+    r = Raster.open(spark, f"{tmp_path}/a.tif", reader=Many)
+    assert np.array_equal(put_together(whole(r)["a.tif", 0], 37, 41, 2, 16), image("uint8"))
