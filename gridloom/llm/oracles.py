@@ -72,17 +72,25 @@ SELECT q.doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) A
 TEMPLATES = r"""
 WITH l AS (SELECT doc_id, unnest(range(1, len(x) + 1)) AS pos, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL)),
 t AS (SELECT doc_id, pos, line, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda v: CASE WHEN regexp_matches(v, '[0-9]') THEN '<*>' ELSE v END) AS tokens FROM l),
-k AS (SELECT *, len(tokens) AS n, tokens[1:3] AS heads FROM t WHERE len(tokens) >= 3),
-d AS (SELECT DISTINCT n, heads, tokens, doc_id FROM k),
-f AS (SELECT n, heads FROM d GROUP BY n, heads HAVING count(DISTINCT tokens) > 1 AND count(*) >= 10),
+k AS (SELECT *, len(tokens) AS n, tokens[1:3] AS heads, CASE WHEN len(tokens) >= 50 THEN 3 ELSE 10 END AS least FROM t WHERE len(tokens) >= 3),
+d AS (SELECT DISTINCT n, heads, least, tokens, doc_id FROM k),
+f AS (SELECT n, heads FROM d GROUP BY n, heads, least HAVING count(DISTINCT tokens) > 1 AND count(*) >= least),
 v AS (SELECT DISTINCT n, heads, tokens FROM d JOIN f USING (n, heads)),
 p AS (SELECT n, heads, place, token, count(*) AS c FROM (SELECT n, heads, unnest(range(1, n + 1)) AS place, unnest(tokens) AS token FROM v) GROUP BY ALL),
-o AS (SELECT n, heads, list(place) FILTER (most * 2 < every) AS open FROM (SELECT n, heads, place, max(c) AS most, sum(c) AS every FROM p GROUP BY ALL) GROUP BY n, heads),
-g AS (SELECT tokens, [CASE WHEN list_contains(open, i) THEN '<*>' ELSE tokens[i] END FOR i IN range(1, v.n + 1)] AS template FROM v JOIN o USING (n, heads) WHERE len(open) > 0 AND len(open) * 2 <= v.n - 3),
-m AS (SELECT d.tokens, doc_id, coalesce(template, d.tokens) AS template FROM d LEFT JOIN g ON g.tokens = d.tokens),
-r AS (SELECT template FROM m GROUP BY template HAVING count(DISTINCT doc_id) >= 10),
-x AS (SELECT DISTINCT tokens FROM m JOIN r USING (template)),
-y AS (SELECT l.doc_id, l.pos, l.line, x.tokens IS NOT NULL AS gone FROM l JOIN t USING (doc_id, pos) LEFT JOIN x ON x.tokens = t.tokens AND len(t.tokens) >= 3)
-SELECT documents.doc_id, CASE WHEN text IS NOT NULL THEN coalesce(kept, '') END AS text, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_dropped, 0) AS BIGINT) AS n_dropped
-FROM documents LEFT JOIN (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone) AS kept, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped FROM y GROUP BY doc_id) z USING (doc_id)
+o AS (SELECT n, heads, place, CASE WHEN max(c) * 2 >= sum(c) THEN arg_max(token, struct_pack(c := c, token := token)) END AS token FROM p GROUP BY ALL),
+u AS (SELECT n, heads, list(token ORDER BY place) AS made, count(token) - 3 AS constants FROM o GROUP BY n, heads HAVING count(token) > 3 AND (count(token) - 3) * 2 >= n - 3),
+g AS (SELECT tokens, made FROM v JOIN u USING (n, heads) WHERE 100 * len(list_filter(range(4, v.n + 1), lambda i: coalesce(made[i] = tokens[i], false))) >= 80 * constants),
+m AS (SELECT d.tokens, doc_id, least, n, coalesce(list_transform(made, lambda v: coalesce(v, '<*>')), d.tokens) AS template, made IS NOT NULL AS of_leaf FROM d LEFT JOIN g ON g.tokens = d.tokens),
+r AS (SELECT template, of_leaf FROM m GROUP BY template, of_leaf, least HAVING count(DISTINCT doc_id) >= least),
+x AS (SELECT DISTINCT tokens FROM m JOIN r USING (template, of_leaf)),
+s AS (SELECT doc_id, pos, unnest(range(1, len(parts) + 1)) AS part, unnest(parts) AS sentence FROM (SELECT doc_id, pos, regexp_extract_all(line, '[^.!?]*[.!?]+|[^.!?]+') AS parts FROM k WHERE n >= 50)),
+w AS (SELECT *, list_transform(regexp_extract_all(sentence, '[^\x20\x09-\x0D]+'), lambda v: CASE WHEN regexp_matches(v, '[0-9]') THEN '<*>' ELSE v END) AS words FROM s),
+q AS (SELECT words FROM w WHERE len(words) >= 8 GROUP BY words HAVING count(DISTINCT doc_id) >= 10),
+c AS (SELECT doc_id, pos, coalesce(string_agg(sentence, '' ORDER BY part) FILTER (q.words IS NULL), '') AS rest FROM w LEFT JOIN q USING (words) GROUP BY doc_id, pos HAVING count(q.words) > 0),
+z AS (SELECT l.doc_id, l.pos, l.line, CASE WHEN x.tokens IS NOT NULL THEN NULL WHEN c.rest IS NULL THEN l.line WHEN regexp_matches(c.rest, '[^\x20\x09-\x0D]') THEN c.rest END AS stays
+  FROM l JOIN t USING (doc_id, pos) LEFT JOIN x ON x.tokens = t.tokens AND len(t.tokens) >= 3 LEFT JOIN c ON c.doc_id = l.doc_id AND c.pos = l.pos)
+SELECT documents.doc_id, CASE WHEN text IS NOT NULL THEN coalesce(kept, '') END AS text, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_dropped, 0) AS BIGINT) AS n_dropped, CAST(coalesce(n_cut, 0) AS BIGINT) AS n_cut
+FROM documents LEFT JOIN (
+  SELECT doc_id, string_agg(stays, chr(10) ORDER BY pos) AS kept, count(*) AS n_lines, count(*) FILTER (stays IS NULL) AS n_dropped, count(*) FILTER (stays <> line) AS n_cut
+  FROM z GROUP BY doc_id) y USING (doc_id)
 """

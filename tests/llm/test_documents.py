@@ -190,7 +190,7 @@ def test_added_tokens_in_capitals_are_words(t):
 
 def test_templates(docs, no_docs, rows):
     out = templates.without_templates(docs, documents=10)
-    assert out.columns == [*docs.columns, "n_lines", "n_dropped"]
+    assert out.columns == [*docs.columns, "n_lines", "n_dropped", "n_cut"]
     got = defaultdict(list)
     for r in out.collect():
         got[r["text"]].append(r["n_dropped"])
@@ -208,6 +208,34 @@ def test_varying_words_are_generalised(spark):
     assert sorted(r["text"] for r in templates.without_templates(df).collect()) == sorted(["Signed in here", *(f"keep {n}" for n in names)])
 
 
+def test_near_lines_long_lines_and_sentences(spark):
+    """A line that differs in a few places goes with its leaf; long lines go at 3 documents; passages go out of longer lines."""
+    plain = "Please read all of the notes that follow here before signing"
+    words = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}word" for i in range(60)]
+    long = " ".join(words)
+    passage = "One quiet sentence of the passage has these eleven plain words. The second of its sentences has some more plain words!"
+    own = lambda i: " ".join(f"{w}{chr(97 + i)}" for w in words)
+    rows = [(i, plain if i < 9 else plain.replace("signing", "leaving")) for i in range(10)] + [(20, plain.replace("notes", "rules").replace("follow", "stand").replace("signing", "it"))]
+    rows += [(30 + i, long) for i in range(3)] + [(40 + i, own(25)) for i in range(2)]
+    rows += [(50 + i, f"{own(i)}. {passage} Short one. And {own(i + 10)}\nshort {passage}") for i in range(10)]
+    rows += [(70 + i, f"{own(i)}k. Here are as few as nine documents with this sentence.") for i in range(9)]
+    got = {r["doc_id"]: r for r in templates.without_templates(spark.createDataFrame([*rows, *rows[:3]], "doc_id long, text string")).collect()}
+    assert all(got[i]["text"] == "" and got[i]["n_dropped"] == 1 for i in [*range(10), 30, 31, 32])
+    texts = dict(rows)
+    assert all(got[i]["text"] == texts[i] and not got[i]["n_dropped"] + got[i]["n_cut"] for i in [20, 40, 41, *range(70, 79)])
+    for i in range(50, 60):
+        assert got[i]["text"] == f"{own(i - 50)}. Short one. And {own(i - 40)}" and (got[i]["n_lines"], got[i]["n_dropped"], got[i]["n_cut"]) == (2, 1, 1)
+
+
+def test_templates_of_a_very_long_text(spark):
+    """Texts of over 1 MB, in one line and in many: only what recurs goes."""
+    line = " ".join(f"{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100 % 10]}{'efghijklmn'[i // 1000 % 10]}." if i % 9 == 0 else "word" for i in range(200_000))
+    many = "\n".join(f"{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100 % 10]} of a line" for i in range(900))
+    rows = [(1, line + " The end of the longest text that anyone wrote here."), (2, many), *((10 + i, "Sign in to go on") for i in range(10)), (30, "x y z\nSign in to go on\n\n")]
+    got = {r["doc_id"]: r["text"] for r in templates.without_templates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {**dict(rows), **{10 + i: "" for i in range(10)}, 30: "x y z\n\n"}
+
+
 def test_quality(spark, docs, no_docs, rows):
     train = [(i, ("good plain words of prose number %d, which go on. And on." % i if i % 2 else "BAD!!! $$$ %%%% ### {} && *** !!" * (1 + i % 3)), "z") for i in range(200)]
     df = spark.createDataFrame(train, "doc_id long, text string, score string")
@@ -255,7 +283,7 @@ def test_clashing_columns_keep_their_values(spark, benchmark, stage):
         "accepted": lambda: qda.accepted(df, labels.where("quality = 1")), "one_of_each": lambda: jaccard.one_of_each(df), "clean": lambda: decontam.clean(df, benchmark),
         "mixed": lambda: mixing.mixed(df), "without_templates": lambda: templates.without_templates(df, 3), "decontaminated": lambda: decontam.decontaminated(df, benchmark),
     }[stage]()
-    new = {"without_templates": ["n_lines", "n_dropped"], "decontaminated": decontam.RESULT}.get(stage, [])
+    new = {"without_templates": ["n_lines", "n_dropped", "n_cut"], "decontaminated": decontam.RESULT}.get(stage, [])
     assert out.columns == [c for c in df.columns if c not in new] + new
     kept = [c for c in CLASHES if c not in new]
     places = [out.columns.index(c) for c in kept]
