@@ -41,7 +41,8 @@ VARIABLE = "<*>"
 
 
 def tokens_of(line: Column) -> Column:
-    tokens = F.regexp_extract_all(line, F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    spaced = F.when(line.rlike(r"[\x09-\x0D]"), F.translate(line, "\t\n\x0b\f\r", "     ")).otherwise(line)
+    tokens = F.array_remove(F.split(spaced, " "), "")
     return F.when(line.rlike("[0-9]"), F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), VARIABLE).otherwise(t))).otherwise(tokens)
 
 
@@ -54,6 +55,11 @@ def sentences(line: Column) -> Column:
     return F.regexp_extract_all(line, F.lit(r"([^.!?]*[.!?]+|[^.!?]+)"), F.lit(1))
 
 
+def wide(sentence: Column) -> Column:
+    """Whether it has the characters of SENTENCE tokens."""
+    return F.length(sentence) >= 2 * SENTENCE - 1
+
+
 def sentence_hash(tokens: Column) -> Column:
     return F.xxhash64(tokens, F.lit("sentence"))
 
@@ -68,7 +74,7 @@ def units_of(docs: DataFrame) -> DataFrame:
     """doc_id, h, leaf, line, long of every line, and of every sentence of a long one, which has no leaf."""
     t, long = F.col("tokens"), F.size("tokens") >= LONG
     line = F.struct(leaf_of(t).alias("leaf"), F.xxhash64(t).alias("line"), long.alias("long"))
-    inner = F.filter(F.transform(sentences(F.col("raw")), tokens_of), lambda s: F.size(s) >= SENTENCE)
+    inner = F.filter(F.transform(F.filter(sentences(F.col("raw")), wide), tokens_of), lambda s: F.size(s) >= SENTENCE)
     parts = F.transform(inner, lambda s: F.struct(F.lit(None).cast("long").alias("leaf"), sentence_hash(s).alias("line"), F.lit(False).alias("long")))
     return lines_of(docs, "doc_id", "h").select("doc_id", "h", F.explode(F.when(long, F.concat(F.array(line), parts)).otherwise(F.array(line))).alias("u")).select("doc_id", "h", "u.*")
 
@@ -113,17 +119,16 @@ def without_templates(docs: DataFrame, documents: int = DOCUMENTS, long_document
     gone = known.join(alone.unionByName(counted.select("template")), "template").select("line")
     # A document gets the hashes of what recurs in it; rows of one id and text have the same ones.
     key = F.struct("doc_id", "h").alias("at")
-    drops = lines.join(bounded(written(gone, "recurring")), "line").select(key, "line").distinct()
-    per_doc = drops.groupBy("at").agg(F.collect_list("line").alias("gone"))
+    drops = lines.join(bounded(written(gone, "recurring")), "line").select(key, "line", F.col("leaf").isNull().alias("part")).distinct()
+    per_doc = drops.groupBy("at").agg(*(F.collect_list(F.when(F.col("part") == part, F.col("line"))).alias(name) for name, part in (("gone", False), ("parts", True))))
     met = rows.select(key, "text", "row").join(per_doc, "at", "left").withColumn("lines", F.split("text", "\n"))
-    there = lambda h: F.array_contains("gone", h)
-    goes = lambda s: F.exists(F.array(tokens_of(s)), lambda t: (F.size(t) >= SENTENCE) & there(sentence_hash(t)))
+    goes = lambda s: wide(s) & F.exists(F.array(tokens_of(s)), lambda t: (F.size(t) >= SENTENCE) & F.array_contains("parts", sentence_hash(t)))
     rest = lambda x: F.array_join(F.filter(sentences(x), lambda s: ~goes(s)), "")
     worded = lambda x: F.when(x.rlike(r"[^\x20\x09-\x0D]"), x)
 
     def left(x: Column) -> Column:
         """A line as it stays, or null; the array names its tokens, so that they are cut once."""
-        stays = lambda t: F.when((F.size(t) >= TOKENS) & there(F.xxhash64(t)), None).when(F.size(t) >= LONG, worded(rest(x))).otherwise(x)
+        stays = lambda t: F.when((F.size(t) >= TOKENS) & F.array_contains("gone", F.xxhash64(t)), None).when((F.size(t) >= LONG) & (F.size("parts") > 0), worded(rest(x))).otherwise(x)
         return F.transform(F.array(tokens_of(x)), stays)[0]
 
     stay = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.transform("lines", left))
