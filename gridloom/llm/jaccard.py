@@ -317,9 +317,10 @@ def joined(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
     groups = 1 << max(6, (numbers // join.group).bit_length())
 
     entries = prefixes(docs, join, frequency_table(docs, join, groups), groups)
-    entries = written(entries.distinct(), "entries")
-    heads = entries.groupBy("col").agg(F.count("*").alias("k"), F.count_if("head").alias("h")).where("k > 1 and h > 0").select("col")
-    shared = written(entries.join(heads, "col"), "shared")
+    # Most columns belong to one class: only the entries of the others are freed from copies and shuffled on.
+    entries = written(entries, "entries")
+    several = entries.groupBy("col").agg(F.min("cls").alias("a"), F.max("cls").alias("b"), F.max("head").alias("h")).where("a < b and h").select("col")
+    shared = written(entries.join(several, "col").distinct(), "shared")
     done_with(entries)
 
     links, roots, at = None, None, shared.withColumn("root", F.col("cls"))
