@@ -94,3 +94,36 @@ FROM documents LEFT JOIN (
   SELECT doc_id, string_agg(stays, chr(10) ORDER BY pos) AS kept, count(*) AS n_lines, count(*) FILTER (stays IS NULL) AS n_dropped, count(*) FILTER (stays <> line) AS n_cut
   FROM z GROUP BY doc_id) y USING (doc_id)
 """
+
+RESAMPLING = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+y AS (SELECT list(list_reduce(list_concat([k], [0, 0, 0, 0, 0, 0, 0, 0]), lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY k) AS steps FROM (SELECT unnest(range(0, 256)) AS k)),
+v AS (SELECT DISTINCT unnest(w) AS word FROM (SELECT w FROM d UNION ALL SELECT w FROM i)),
+x AS (SELECT word, list_concat([4294967295], list_transform(range(1, strlen(word) + 1), lambda k: (instr('0123456789ABCDEF', hex(encode(word))[2 * k - 1]) - 1) * 16 + instr('0123456789ABCDEF', hex(encode(word))[2 * k]) - 1)) AS bytes FROM v),
+b AS (SELECT word, xor(list_reduce(bytes, lambda a, c: xor(a >> 8, steps[(xor(a, c) & 255) + 1])), 4294967295) % 10000 AS bucket FROM x, y),
+s AS (SELECT bucket, count(*) AS n FROM (SELECT unnest(w) AS word FROM d) JOIN b USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM (SELECT unnest(w) AS word FROM i) JOIN b USING (word) GROUP BY bucket),
+g AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * (SELECT coalesce(sum(n), 0) + 10000 FROM s)::DOUBLE / ((coalesce(s.n, 0) + 1)::DOUBLE * (SELECT coalesce(sum(n), 0) + 10000 FROM t)::DOUBLE))) AS BIGINT) AS gain FROM s FULL JOIN t USING (bucket)),
+m AS (SELECT r, CAST(floor(sum(gain)::DOUBLE / count(*)) AS BIGINT) AS weight FROM (SELECT r, unnest(w) AS word FROM (SELECT row_number() OVER () AS r, w FROM d)) JOIN b USING (word) JOIN g USING (bucket) GROUP BY r),
+h AS (SELECT r, doc_id, len(w) AS n_features, list_reduce(list_concat([0], list_transform(range(1, 9), lambda k: instr('0123456789abcdef', sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), ''))[k]) - 1)), lambda a, c: a * 16 + c) AS h FROM (SELECT row_number() OVER () AS r, doc_id, w FROM d)),
+c AS (SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM h LEFT JOIN m USING (r)),
+k AS (SELECT *, row_number() OVER (ORDER BY n_features < 20, score DESC, doc_id NULLS LAST, weight) AS place FROM c)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * (SELECT count(*) FROM c WHERE n_features >= 20) // 100 THEN place END AS rank FROM k
+"""
+
+COLLOCATIONS = r"""
+WITH p AS (SELECT row_number() OVER () AS r, lang, piece FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+t AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS size) WHERE len(w) >= size)),
+f AS (SELECT lang, size, phrase, count(*)::HUGEINT AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1),
+k AS (SELECT lang, phrase, a, w, unnest(range(1, len(w))) AS k FROM c),
+s AS (SELECT k.lang, k.phrase, a, k, l.f AS l, r.f AS r, n, 1000 * a * n // (l.f * r.f) AS score
+  FROM k JOIN t USING (lang) JOIN f l ON l.lang = k.lang AND l.phrase = array_to_string(w[:k], ' ') JOIN f r ON r.lang = k.lang AND r.phrase = array_to_string(w[k + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+x AS (SELECT b.* FROM b WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = b.lang AND c.a >= b.a AND len(c.w) > len(string_split(b.phrase, ' ')) AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' '))),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM x)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM o WHERE rank <= 2000
+"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, dac, decontam, iblt, jaccard, mixing, oracles, qda, secrets, templates, warc
+from . import chat, collocations, dac, decontam, iblt, jaccard, mixing, oracles, qda, resampling, secrets, templates, toxicity, warc
 from .common import importable, shared_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +70,24 @@ def op4_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES |= {f.__name__: f for f in (op1_secrets, op2_fingerprints, op4_templates, op7_warc, op8_chat)}
 
+
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES |= {f.__name__: f for f in (op11_resampling, op12_collocations, op13_toxicity)}
+
 SQL: dict[str, str] = {
     "op4_templates": oracles.TEMPLATES,
     "op6_decontamination": oracles.DECONTAMINATION,
@@ -77,4 +95,6 @@ SQL: dict[str, str] = {
     "op8_chat": oracles.CHAT,
     "op9_ngram_jaccard": oracles.JACCARD,
     "op10_mixing": oracles.MIXING,
+    "op11_resampling": oracles.RESAMPLING,
+    "op12_collocations": oracles.COLLOCATIONS,
 }
