@@ -6,8 +6,9 @@ in levels, from single words to the longest phrases. At each level a task counts
 phrases of its pieces, weighted, and sends each different one once; they are dealt
 to partitions by hash, and DuckDB counts each partition's, spilling to disk beyond a
 fixed memory. A phrase can only be frequent if both phrases of one word less in it
-are, so that level's frequent ones, as a bit filter, say what the next one looks at.
-What passes the filter by mistake is counted and found rare; counts are exact.
+are, so that level's frequent ones, as a bit filter, say what the next one looks at;
+after two words, pieces shrink to their runs of frequent pairs. What passes the filter by
+mistake is counted and found rare; counts are exact.
 
 Every part of a frequent phrase is frequent too, so the tables of the levels hold all
 that scores need. A phrase sends a request for each of its parts; requests are
@@ -23,18 +24,21 @@ text is cut as it is read. An empty table gives no row. Extra columns are ignore
 
 from __future__ import annotations
 
-import hashlib
 import os
 import re
 import shutil
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 from urllib.parse import urlparse
 
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,7 +49,7 @@ from .common import done_with, partitions, written
 #: Words of a piece that one row holds at most.
 STRETCH = 1024
 #: Bytes of different pieces, and words of pieces, that a task holds before it sends them on.
-HELD, TOKENS = 16 << 20, 1 << 20
+HELD, TOKENS = 16 << 20, 1 << 21
 SALTS = 32
 #: Most phrases of a part that one task looks at when the first of each language are taken.
 PARTS = 64
@@ -78,8 +82,7 @@ def pieces_of(docs: DataFrame, how: Mining = Mining()) -> DataFrame:
         size = 0
 
         def flush() -> pa.RecordBatch:
-            lang, starts, piece = zip(*held, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(starts, pa.int32()), pa.array(piece, pa.binary()), pa.array(list(held.values()), pa.int64())], ["lang", "starts", "piece", "m"])
+            return rows_of((*zip(*held, strict=True), list(held.values())), PIECE)
 
         for b in it:
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text"), strict=True):
@@ -100,14 +103,14 @@ def pieces_of(docs: DataFrame, how: Mining = Mining()) -> DataFrame:
             yield flush()
 
     own = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text"))
-    return own.mapInArrow(run, "lang string, starts int, piece binary, m long").groupBy("lang", "starts", "piece").agg(F.sum("m").alias("m"))
+    return own.mapInArrow(run, PIECES).groupBy("lang", "starts", "piece").agg(F.sum("m").alias("m"))
 
 
 _ODD, _ALL = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
 def word_hash(word: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+    return xxhash.xxh3_64_intdigest(word)
 
 
 def place_of(lang: str, phrase: bytes) -> int:
@@ -146,49 +149,88 @@ class Filter:
         return (self.told.value[at >> 5] >> (at & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
 
 
-def counted(lang_of: list[str], starts: list[int], pieces: list[bytes], times: list[int], n: int, known: list[Filter]) -> tuple[list, list, list]:
+class Ids(dict):
+    """A number for each different word."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+class Tokens:
+    """The words of some pieces, one after another: of each its number, its language's, how many words of its piece stand before it and from it on, and the piece's starts and times."""
+
+    def __init__(self, lang: list[str], starts: list[int], pieces: list[bytes], times: list[int]) -> None:
+        ids, langs = Ids(), Ids()
+        lengths = np.fromiter((p.count(b" ") for p in pieces), np.int64, len(pieces)) + 1
+        self.n = int(lengths.sum())
+        self.word = np.fromiter(map(ids.__getitem__, chain.from_iterable(p.split(b" ") for p in pieces)), np.int64, self.n)
+        self.names, each = list(ids), lambda x: np.repeat(np.array(x, np.int64), lengths)
+        self.lang = each([langs[x] for x in lang])
+        self.langs = list(langs)
+        self.behind = np.arange(self.n) - each(np.cumsum(lengths) - lengths)
+        self.left = each(lengths) - self.behind
+        self.starts, self.times = each(starts), each(times)
+
+    def begins(self, n: int, known: list[Filter]) -> np.ndarray:
+        """Whether a phrase of n words begins at each place, and no filter rules out one of its parts. A part may stand behind the last start, so all places are looked at."""
+        able = np.ones(self.n + 1, bool)
+        if known:
+            words = np.fromiter(map(word_hash, self.names), np.uint64, len(self.names))[self.word]
+            langs = np.fromiter((word_hash(x.encode()) for x in self.langs), np.uint64, len(self.langs))[self.lang]
+        for k in range(1, n + 1):
+            at = np.flatnonzero((self.left >= k) & (able[:-1] & able[1:] if k > 1 else True))
+            if k <= len(known):
+                at = at[known[k - 1].has(places_of(langs, words, at, k))]
+            able = np.zeros(self.n + 1, bool)
+            able[at] = True
+        return able[:-1]
+
+    def phrases(self, at: np.ndarray, n: int) -> list[bytes]:
+        """The n words from each place on."""
+        return list(map(b" ".join, zip(*(map(self.names.__getitem__, self.word[at + j].tolist()) for j in range(n)), strict=True)))
+
+
+def counted(lang: list[str], starts: list[int], pieces: list[bytes], times: list[int], n: int, known: list[Filter]) -> tuple[list, list, list]:
     """lang, phrase and number of the different phrases of n words in some pieces; those that a filter rules out are left out.
 
     Phrases are numbered word by word, and numbers made dense before they could overflow, so that equal numbers are equal phrases.
     """
-    words: list[bytes] = []
-    cut = [0]
-    for p in pieces:
-        words += p.split(b" ")
-        cut.append(len(words))
-    lengths, total = np.diff(cut), len(words)
-    ids: dict[bytes, int] = {}
-    word = np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, total)
-    langs: dict[str, int] = {}
-    lang = np.repeat(np.fromiter((langs.setdefault(x, len(langs)) for x in lang_of), np.int64, len(lang_of)), lengths)
-    behind = np.arange(total) - np.repeat(np.array(cut[:-1]), lengths)
-    left = np.repeat(lengths, lengths) - behind
-    able = np.ones(total + 1, bool)
-    if known:
-        hashes = np.fromiter(map(word_hash, ids), np.uint64, len(ids))[word]
-        lang_hashes = np.fromiter((word_hash(x.encode()) for x in langs), np.uint64, len(langs))[lang]
-        for k, known_k in enumerate(known, 1):
-            # Both phrases of one word less have passed; a part may stand behind the last start, so all places are looked at.
-            at = np.flatnonzero((left >= k) & (able[:-1] & able[1:] if k > 1 else True))
-            good = known_k.has(places_of(lang_hashes, hashes, at, k))
-            able = np.zeros(total + 1, bool)
-            able[at] = good
-        at = np.flatnonzero((left >= n) & able[:-1] & able[1:])
-    else:
-        at = np.flatnonzero(left >= n)
-    at = at[behind[at] < np.repeat(np.array(starts), lengths)[at]]
+    if n == 1:
+        sums = {x: Counter() for x in set(lang)}
+        for x, own in sums.items():
+            own.update(chain.from_iterable(p.split(b" ")[:s] for y, s, p, m in zip(lang, starts, pieces, times, strict=True) if y == x and m == 1))
+        for x, s, p, m in zip(lang, starts, pieces, times, strict=True):
+            if m > 1:
+                for w, c in Counter(p.split(b" ")[:s]).items():
+                    sums[x][w] += c * m
+        return [x for x, own in sums.items() for _ in own], [w for own in sums.values() for w in own], [c for own in sums.values() for c in own.values()]
+    t = Tokens(lang, starts, pieces, times)
+    at = np.flatnonzero(t.begins(n, known) & (t.behind < t.starts))
     if not len(at):
         return [], [], []
-    number = lang[at]
+    number = t.lang[at]
     for j in range(n):
-        if int(number.max()) >= (1 << 62) // len(ids):
+        if int(number.max()) >= (1 << 62) // len(t.names):
             number = np.unique(number, return_inverse=True)[1]
-        number = number * len(ids) + word[at + j]
+        number = number * len(t.names) + t.word[at + j]
     _, first, which = np.unique(number, return_index=True, return_inverse=True)
     sums = np.zeros(len(first), np.int64)
-    np.add.at(sums, which, np.repeat(np.array(times, np.int64), lengths)[at])
-    first, names = at[first], list(langs)
-    return [names[i] for i in lang[first].tolist()], [b" ".join(words[i : i + n]) for i in first.tolist()], sums.tolist()
+    np.add.at(sums, which, t.times[at])
+    return [t.langs[i] for i in t.lang[at[first]].tolist()], t.phrases(at[first], n), sums.tolist()
+
+
+def runs(lang: list[str], starts: list[int], pieces: list[bytes], times: list[int], known: list[Filter]) -> tuple[list, list, list, list]:
+    """lang, starts, piece, m of the stretches of three words or more in some pieces whose neighbours are frequent phrases; longer frequent phrases stand inside one."""
+    t = Tokens(lang, starts, pieces, times)
+    able = np.concatenate(([False], t.begins(2, known), [False]))
+    first, last = np.flatnonzero(able[1:] & ~able[:-1]), np.flatnonzero(~able[1:] & able[:-1])
+    good = (last - first >= 2) & (t.behind[first] < t.starts[first]) if len(first) else np.zeros(0, bool)
+    first, last = first[good], last[good]
+    words = list(map(t.names.__getitem__, t.word.tolist()))
+    own = [b" ".join(words[a : z + 1]) for a, z in zip(first.tolist(), last.tolist(), strict=True)]
+    inside = np.minimum(last + 1 - first, t.starts[first] - t.behind[first])
+    return [t.langs[i] for i in t.lang[first].tolist()], inside.tolist(), own, t.times[first].tolist()
 
 
 def spill_folder(shared: str) -> str:
@@ -198,29 +240,51 @@ def spill_folder(shared: str) -> str:
     return os.path.join(local, f"duckdb-{uuid.uuid4().hex}")
 
 
+def in_lots(it: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
+    """lang, starts, piece and m of about TOKENS words at a time."""
+    held: list[list] = [[], [], [], []]
+    size = 0
+    for b in it:
+        for at in range(0, b.num_rows, 1000):
+            own = b.slice(at, 1000)
+            for h, c in zip(held, ("lang", "starts", "piece", "m"), strict=True):
+                h += own.column(c).to_pylist()
+            size += pc.sum(own.column("starts")).as_py()
+            if size > TOKENS:
+                yield held
+                held, size = [[], [], [], []], 0
+    if size:
+        yield held
+
+
+PIECE = pa.schema([("lang", pa.string()), ("starts", pa.int32()), ("piece", pa.binary()), ("m", pa.int64())])
+PIECES = "lang string, starts int, piece binary, m long"
+
+
+def rows_of(columns: tuple, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def joined_runs(pieces: DataFrame, known: list[Filter]) -> DataFrame:
+    """What of the pieces can hold frequent phrases of three words or more; equal runs are one again."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lot in in_lots(it):
+            yield rows_of(runs(*lot, known), PIECE)
+
+    return pieces.mapInArrow(run, PIECES).groupBy("lang", "starts", "piece").agg(F.sum("m").alias("m"))
+
+
 def level(pieces: DataFrame, n: int, known: list[Filter], how: Mining = Mining()) -> DataFrame:
     """lang, phrase, f, h: the frequent phrases of n words."""
     spark = pieces.sparkSession
     shared = shared_dir(spark)
+    sent_rows = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("m", pa.int64())])
+    kept_rows = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("f", pa.int64()), ("h", pa.int64())])
 
     def parts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[], [], [], []]
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            lang, phrase, f = counted(*held, n, known)
-            return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(phrase, pa.binary()), pa.array(f, pa.int64())], ["lang", "phrase", "m"])
-
-        for b in it:
-            for row in zip(*(b.column(c).to_pylist() for c in ("lang", "starts", "piece", "m")), strict=True):
-                for h, v in zip(held, row, strict=True):
-                    h.append(v)
-                size += row[1]
-                if size > TOKENS:
-                    yield flush()
-                    held, size = [[], [], [], []], 0
-        if size:
-            yield flush()
+        for lot in in_lots(it):
+            yield rows_of(counted(*lot, n, known), sent_rows)
 
     def sums(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spill = spill_folder(shared)
@@ -235,7 +299,7 @@ def level(pieces: DataFrame, n: int, known: list[Filter], how: Mining = Mining()
             found = db.execute("SELECT lang, phrase, CAST(sum(m) AS BIGINT) AS f FROM part GROUP BY lang, phrase HAVING sum(m) >= ?", [how.least])
             while rows := found.fetchmany(10_000):
                 lang, phrase, f = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(phrase, pa.binary()), pa.array(f, pa.int64()), pa.array([*map(place_of, lang, phrase)], pa.int64())], ["lang", "phrase", "f", "h"])
+                yield rows_of((lang, phrase, f, [*map(place_of, lang, phrase)]), kept_rows)
         finally:
             db.close()
             shutil.rmtree(spill, ignore_errors=True)
@@ -245,10 +309,12 @@ def level(pieces: DataFrame, n: int, known: list[Filter], how: Mining = Mining()
 
 
 def frequent(pieces: DataFrame, how: Mining = Mining()) -> DataFrame:
-    """lang, size, phrase, f of the frequent phrases of all levels; a written table for each level."""
-    out, known = None, []
+    """lang, size, phrase, f of the frequent phrases of all levels. From three words on, only runs of frequent pairs are looked at."""
+    out, known, own = None, [], pieces
     for n in range(1, how.longest + 1):
-        found = written(level(pieces, n, known, how), f"phrases-{n}")
+        if n == 3:
+            own = written(joined_runs(pieces, known), "runs")
+        found = written(level(own, n, known, how), f"phrases-{n}")
         rows = found.select("lang", F.lit(n).alias("size"), F.col("phrase").cast("string").alias("phrase"), "f")
         out = rows if out is None else out.unionByName(rows)
         if n < how.longest:
