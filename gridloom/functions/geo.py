@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .values import entry
 
@@ -23,22 +24,35 @@ DOUBLES = {
 }
 
 
-def geo_keys(entries: Column | str) -> Column:
+def well_formed(entries: Column | str) -> Column:
+    """Whether the key directory is an array of whole keys, as many as it promises; null without one."""
+    e = entry(entries, 34735)
+    keys = e["longs"]
+    return F.when(e.isNotNull(), F.coalesce((F.size(keys) >= 4) & (F.get(keys, F.lit(3)) * 4 + 4 <= F.size(keys)), F.lit(False)))
+
+
+def geo_keys(entries: Column | str, strict: bool = True) -> Column:
     """A struct of the known keys, null without a directory of version 1, revision 1.
 
     A key's value is in the directory itself, or a stretch of the double or the
-    text parameters; a text ends without its closing bar.
+    text parameters; a text ends without its closing bar. A directory that is shorter than
+    it says is an error, or unless strict null.
     """
     keys = entry(entries, 34735)["longs"]
     doubles, text = entry(entries, 34736)["doubles"], entry(entries, 34737)["text"]
-    at = F.sequence(F.lit(1), F.element_at(keys, 4).cast("int"))
-    rows = F.transform(at, lambda i: F.struct(F.element_at(keys, i * 4 + 1).alias("id"), F.element_at(keys, i * 4 + 2).alias("where"), F.element_at(keys, i * 4 + 3).cast("int").alias("n"), F.element_at(keys, i * 4 + 4).cast("int").alias("v")))
+    n = F.greatest(F.lit(0), F.least(F.get(keys, F.lit(3)).cast("int"), F.floor(F.size(keys) / 4).cast("int") - 1))
+    part = lambda i, k: F.get(keys, (i * 4 + k).cast("int"))
+    one = lambda i: F.struct(part(i, 0).alias("id"), part(i, 1).alias("where"), part(i, 2).cast("int").alias("n"), part(i, 3).cast("int").alias("v"))
+    rows = F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), one))
     found = lambda k, where: F.try_element_at(F.filter(rows, lambda r: (r["id"] == k) & (r["where"] == where)), F.lit(1))
     ints = [found(k, 0)["v"].alias(name) for k, name in INTS.items()]
     strings = [F.regexp_replace(F.substring(text, found(k, 34737)["v"] + 1, found(k, 34737)["n"]), r"\|$", "").alias(name) for k, name in STRINGS.items()]
-    floats = [F.try_element_at(doubles, found(k, 34736)["v"] + 1).alias(name) for k, name in DOUBLES.items()]
-    valid = (F.element_at(keys, 1) == 1) & (F.element_at(keys, 2) == 1) & (F.element_at(keys, 4) > 0)
-    return F.when(valid, F.struct(*ints, *strings, *floats))
+    floats = [F.get(doubles, found(k, 34736)["v"]).alias(name) for k, name in DOUBLES.items()]
+    struct = F.struct(*ints, *strings, *floats)
+    valid = (F.get(keys, F.lit(0)) == 1) & (F.get(keys, F.lit(1)) == 1) & (n > 0)
+    bad = F.raise_error(F.lit("the geo key directory is cut off")) if strict else F.lit(None)
+    fine = well_formed(entries)
+    return F.when(fine & valid, struct).when(fine.isNotNull() & ~fine, bad.cast(T.StructType([*(T.StructField(x, T.IntegerType()) for x in INTS.values()), *(T.StructField(x, T.StringType()) for x in STRINGS.values()), *(T.StructField(x, T.DoubleType()) for x in DOUBLES.values())])))
 
 
 def epsg(keys: Column | str) -> Column:

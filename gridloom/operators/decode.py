@@ -36,26 +36,31 @@ def islands(ranges: list[tuple[int, int]], gap: int = GAP, most: int = MOST) ->
     return out
 
 
-def _contents(b: pa.RecordBatch, reader: Callable[[str], Read], open_: dict[str, Read]) -> dict[int, bytes]:
-    """The compressed bytes of each row, by one read for an island of ranges of a file."""
+def _contents(b: pa.RecordBatch, reader: Callable[[str], Read], open_: dict[str, Read], permissive: bool = False) -> dict[int, bytes | Exception]:
+    """The compressed bytes of each row, by one read for an island of ranges of a file; if permissive, the error where a file can't be read."""
     paths, starts, stops = (b.column(c).to_pylist() for c in ("path", "start", "stop"))
     rows: dict[str, list[int]] = {}
     for k, p in enumerate(paths):
         rows.setdefault(p, []).append(k)
-    out = {}
+    out: dict[int, bytes | Exception] = {}
     for p, own in rows.items():
-        if p not in open_:
-            for old in open_.values():  # a task goes from file to file
-                closed(old)
-            open_.clear()
-            open_[p] = reader(p)
-        found = islands([(starts[k], stops[k]) for k in own])
-        many = getattr(open_[p], "many", None)
-        answers = many([(a, z) for a, z, _ in found]) if many else (open_[p](a, z) for a, z, _ in found)
-        for (a, _, members), data in zip(found, answers, strict=True):
-            for m in members:
-                k = own[m]
-                out[k] = data[starts[k] - a : stops[k] - a]
+        try:
+            if p not in open_:
+                for old in open_.values():  # a task goes from file to file
+                    closed(old)
+                open_.clear()
+                open_[p] = reader(p)
+            found = islands([(starts[k], stops[k]) for k in own])
+            many = getattr(open_[p], "many", None)
+            answers = many([(a, z) for a, z, _ in found]) if many else (open_[p](a, z) for a, z, _ in found)
+            for (a, _, members), data in zip(found, answers, strict=True):
+                for m in members:
+                    k = own[m]
+                    out[k] = data[starts[k] - a : stops[k] - a]
+        except OSError as e:
+            if not permissive:
+                raise
+            out.update(dict.fromkeys(own, e))
     return out
 
 
@@ -99,19 +104,37 @@ def samples(content: bytes, t: dict, decoders: dict[int, Decoder]) -> np.ndarray
     return unpredicted(data, t["predictor"] or 1, order, t["dtype"], height, width, n)
 
 
+#: What a tile's mask is, for those that have one: see tiles.with_masks.
+MASK = "mask"
+
+
 def _decoded(it: Iterator[pa.RecordBatch], reader: Callable[[str], Read], decoders: dict[int, Decoder], mode: str) -> Iterator[tuple[dict, np.ndarray | None, str | None]]:
-    """Each tile's row with its array, or else the error."""
+    """Each tile's row with its array, or else the error. A mask's bits are put into the row's place for it."""
     open_: dict[str, Read] = {}
+    permissive = mode == "PERMISSIVE"
+
+    def array(t: dict, content: bytes | Exception) -> np.ndarray:
+        if isinstance(content, Exception):
+            raise content
+        return samples(content, t, decoders)
+
     for whole in it:
         for at in range(0, whole.num_rows, 64):
             b = whole.slice(at, 64)
             held = "content" in b.schema.names
-            got = None if held else _contents(b, reader, open_)
-            for k, t in enumerate(b.to_pylist()):
+            got = None if held else _contents(b, reader, open_, permissive)
+            rows, masks = b.to_pylist(), {}
+            if MASK in b.schema.names and (own := [k for k, t in enumerate(rows) if t[MASK]]):
+                asked = pa.RecordBatch.from_pylist([{"path": rows[k]["path"], "start": rows[k][MASK]["start"], "stop": rows[k][MASK]["stop"]} for k in own])
+                masks = {own[i]: c for i, c in _contents(asked, reader, open_, permissive).items()}
+            for k, t in enumerate(rows):
                 try:
-                    yield t, samples(t["content"] if held else got[k], t, decoders), None
+                    a = array(t, t["content"] if held else got[k])
+                    if k in masks:
+                        t[MASK] = array(t | t[MASK], masks[k])[:, :, 0].astype(bool)
+                    yield t, a, None
                 except Exception as e:
-                    if mode != "PERMISSIVE" or not isinstance(e, (RasterError, OSError, ValueError)) and not type(e).__module__.startswith(("zlib", "_lzma", "zstandard", "lzma")):
+                    if not permissive or not isinstance(e, (RasterError, OSError, ValueError)) and not type(e).__module__.startswith(("zlib", "_lzma", "zstandard", "lzma")):
                         raise
                     yield t, None, f"{type(e).__name__}: {e}"
 
@@ -140,39 +163,51 @@ def assembled(decoded: DataFrame) -> DataFrame:
     return whole.select("path", "ifd_idx", "x", "y", "dtype", F.concat(F.array(F.size("p")), F.slice("s", 2, 2)).alias("shape"), data.alias("data"))
 
 
-def pixels(tiles: DataFrame, value: str = "double", keep: tuple[str, ...] = (), decoders: dict[int, Decoder] | None = None, reader: Callable[[str], Read] = range_reader) -> DataFrame:
+def pixels(tiles: DataFrame, value: str = "double", keep: tuple[str, ...] = (), decoders: dict[int, Decoder] | None = None, reader: Callable[[str], Read] = range_reader, mode: str = "FAILFAST") -> DataFrame:
     """path, ifd_idx, row, col, band, value: a row for each sample inside the image; padding is cut off.
 
     value: double, bigint, or decimal(20,0), which holds every 64-bit sample. Columns of tiles named in keep come along.
+    Of tiles with a mask, samples that it leaves out have no row. PERMISSIVE adds a column error, and a tile that
+    can't be read or decoded is one row of it, without row, col and value.
     """
     known = registry(decoders)
     kinds = {"double": pa.float64(), "bigint": pa.int64(), "decimal(20,0)": pa.decimal128(20, 0)}
+    permissive = mode == "PERMISSIVE"
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, array, _ in _decoded(it, reader, known, "FAILFAST"):
-            top, left = t["y"] * t["tile_height"], t["x"] * t["tile_width"]
-            array = array[: max(0, t["image_height"] - top), : max(0, t["image_width"] - left)]
-            rows, cols, bands = (x.ravel() for x in np.indices(array.shape))
-            flat = array.ravel()
-            numbers = pa.array(flat.astype("f8")) if value == "double" else pa.array(flat.astype("i8")) if value == "bigint" else pa.array([int(v) for v in flat], kinds[value])
+        for t, array, error in _decoded(it, reader, known, mode):
+            if array is None:
+                rows = cols = bands = flat = np.zeros(1, "i8")
+            else:
+                top, left = t["y"] * t["tile_height"], t["x"] * t["tile_width"]
+                array = array[: max(0, t["image_height"] - top), : max(0, t["image_width"] - left)]
+                rows, cols, bands = (x.ravel() for x in np.indices(array.shape))
+                flat, rows, cols = array.ravel(), rows + top, cols + left
+                if isinstance(t.get(MASK), np.ndarray):
+                    seen = np.repeat(t[MASK][: array.shape[0], : array.shape[1]].ravel(), array.shape[2])
+                    rows, cols, bands, flat = rows[seen], cols[seen], bands[seen], flat[seen]
             n = len(flat)
+            none = lambda kind: pa.nulls(n, kind)
+            numbers = none(kinds[value]) if error else pa.array(flat.astype("f8")) if value == "double" else pa.array(flat.astype("i8")) if value == "bigint" else pa.array([int(v) for v in flat], kinds[value])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.repeat(pa.scalar(t["path"]), n),
                     pa.repeat(pa.scalar(t["ifd_idx"], pa.int32()), n),
-                    pa.array(rows + top),
-                    pa.array(cols + left),
-                    pa.array(bands.astype("i4")) if t["band"] is None else pa.repeat(pa.scalar(t["band"], pa.int32()), n),
+                    none(pa.int64()) if error else pa.array(rows),
+                    none(pa.int64()) if error else pa.array(cols),
+                    pa.array(bands.astype("i4")) if t["band"] is None and not error else pa.repeat(pa.scalar(t["band"], pa.int32()), n),
                     numbers,
                     *(pa.repeat(pa.scalar(t[c], b_type), n) for c, b_type in kept.items()),
+                    *([pa.repeat(pa.scalar(error, pa.string()), n)] if permissive else []),
                 ],
-                ["path", "ifd_idx", "row", "col", "band", "value", *kept],
+                ["path", "ifd_idx", "row", "col", "band", "value", *kept, *(["error"] if permissive else [])],
             )
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     kept = {c: to_arrow_type(tiles.schema[c].dataType) for c in keep}
     fields = [*T._parse_datatype_string(f"path string, ifd_idx int, row bigint, col bigint, band int, value {value}").fields, *(tiles.schema[c] for c in keep)]
+    fields += [T.StructField("error", T.StringType())] if permissive else []
     return (tiles if "content" in tiles.columns else near_each_other(tiles)).mapInArrow(run, T.StructType(fields))
 
 

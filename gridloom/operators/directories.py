@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import epsg, geo_keys
+from ..functions.geo import epsg, geo_keys, well_formed
 from ..functions.names import COMPRESSION, PHOTOMETRIC, TAGS, named
 from ..functions.values import entry, number, numbers, pixel_type, rational, text
 
@@ -53,10 +53,11 @@ def ifds(scanned: DataFrame, mode: str = "FAILFAST") -> DataFrame:
         "x_resolution": rational(e(282), strict),
         "y_resolution": rational(e(283), strict),
         "sample_format": F.coalesce(got["sample_format"], F.array_repeat(F.lit(1).cast("bigint"), F.coalesce(got["samples_per_pixel"], F.lit(1).cast("bigint")).cast("int"))),
-        "geo_key_directory": geo_keys("entries"),
+        "geo_key_directory": geo_keys("entries", strict),
         "other_tags": F.filter("entries", lambda x: ~x["tag"].isin(*OWN)),
     }
     bad = [F.when(e(tag).isNotNull() & c.isNull(), F.lit(k)) for k, (tag, c) in read.items()] + [F.when(e(tag).isNotNull() & ~e(tag)["type"].isin(5, 10), F.lit(k)) for k, tag in (("x_resolution", 282), ("y_resolution", 283))]
+    bad.append(F.when(~well_formed("entries"), F.lit("geo_key_directory")))
     fields["bad_fields"] = F.array_compact(F.array(*bad)) if not strict else F.array().cast("array<string>")
     out = first.select("path", "length", "endianness", "bigtiff", "ifd_idx", "ifd_offset", "next_ifd_offset", *(c.alias(k) for k, c in fields.items()))
     missing = F.filter(F.array(*(F.when(F.col(k).isNull(), F.lit(k)) for k in REQUIRED)), lambda x: x.isNotNull())

@@ -38,6 +38,15 @@ def tiles(directories: DataFrame, *keep: str) -> DataFrame:
     )
 
 
+def with_masks(images: DataFrame, masks: DataFrame) -> DataFrame:
+    """Tiles of images with the tile of their file's mask at the same place, so that a task reads both and no pixel is shuffled.
+
+    A file has one mask directory, of the same grid; tiles without a mask are left out.
+    """
+    own = masks.select("path", "x", "y", F.struct("start", "stop", "compression", "predictor", "dtype", "endianness", "tile_width", "tile_height", "samples_per_pixel", "band").alias("mask"))
+    return images.join(own, ["path", "x", "y"])
+
+
 def requested(found: DataFrame, wanted: DataFrame) -> DataFrame:
     """The tiles named by the rows (ifd_idx, x, y) of wanted."""
     return found.join(wanted, ["ifd_idx", "x", "y"], "left_semi")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, names, values
 from ..functions.aggregates import band_statistics, histogram
-from ..operators import decode, joins, predictors, tiles
+from ..operators import decode, joins, mosaic, predictors, spatial, temporal, tiles, zones
 from ..sources import raster_writer as writer
 from ..sources.raster_writer import Layout
 from ..sources.storage import importable, shared_path
@@ -129,10 +129,10 @@ def raster_tile_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey, CAST(p_size AS BIGINT) AS p_size FROM part WHERE p_size % 2 = 1")
 def raster_bool_mask_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles meet the tiles of their masks, so that no pixel is shuffled."""
     r = stored(table(spark, sf_dir, "part"), "p_partkey", ["p_size"], Layout("uint8", mask=True, compression="lzw"), F.col("p_size") % 2 == 1)
     t = r.tiles("model_tiepoint")
-    p, mask = r.pixels(t.where("dtype != 'bool'"), "bigint", TIE), r.pixels(t.where("dtype = 'bool'"), "bigint")
-    kept = joins.masked(p, mask)
+    kept = r.pixels(tiles.with_masks(t.where("dtype != 'bool'"), t.where("dtype = 'bool'")), "bigint", TIE)
     return kept.select(place(kept).alias("p_partkey"), F.col("value").alias("p_size"))
 
 
@@ -301,3 +301,123 @@ def raster_sql_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = each.select("*", (F.col("y") * F.col("tile_width") + F.floor(F.col("i") / F.col("tile_width"))).alias("row"), (F.col("x") * F.col("tile_width") + F.col("i") % F.col("tile_width")).alias("col"), value.alias("value"))
     inside = placed.where("row < image_height and col < image_width and value > 0")
     return inside.select(place(inside).alias("o_orderkey"), F.col("value").alias("o_custkey"))
+
+
+ORDER_TILE = "o_orderkey // 32768 AS file, o_orderkey // 64 % 512 // 32 AS y, o_orderkey % 64 // 32 AS x"
+
+
+@query(f"SELECT o_orderkey, o_totalprice, n, least, most FROM (SELECT o_orderkey, o_totalprice, count(*) OVER w AS n, min(o_totalprice) OVER w AS least, max(o_totalprice) OVER w AS most FROM (SELECT *, {ORDER_TILE} FROM orders) WINDOW w AS (PARTITION BY file, y, x)) WHERE o_totalprice >= 490000")
+def raster_zone_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels above a value: the zone map names the tiles that can hold some, and only those are fetched."""
+    r = stored(table(spark, sf_dir, "orders"), "o_orderkey", ["o_totalprice"], Layout("float64", compression="zstd"))
+    t = of_main(r)
+    path = shared_path(spark, "zones")
+    r.zones(t, nodata=0.0).write.parquet(path)
+    index = spark.read.parquet(path)
+    p = r.pixels_between(t, index, low=490000.0, keep=("model_tiepoint", "x", "y"))
+    found = p.join(index.select(*zones.PLACE, "band", "n", "least", "most"), [*zones.PLACE, "band"])
+    return found.select(place(found).alias("o_orderkey"), F.col("value").alias("o_totalprice"), "n", "least", "most")
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n, min(o_totalprice) AS least, max(o_totalprice) AS most FROM orders")
+def raster_zone_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of all images from the zone map alone."""
+    r = stored(table(spark, sf_dir, "orders"), "o_orderkey", ["o_totalprice"], Layout("float64"))
+    own = zones.summary(r.zones(of_main(r), nodata=0.0))
+    return own.agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
+
+
+@query("""
+WITH o AS (SELECT o_orderkey, o_totalprice, o_orderkey // 64 AS r, o_orderkey % 64 AS c FROM orders),
+l AS (SELECT o_orderkey, o_totalprice AS v, 0 AS p FROM o UNION ALL SELECT o_orderkey, o_totalprice * 2, 1 FROM o WHERE r >= 5 AND o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, o_totalprice * 4, 2 FROM o WHERE c BETWEEN 16 AND 47 AND o_orderkey % 5 = 0)
+SELECT o_orderkey, arg_max(v, p) AS value FROM l GROUP BY o_orderkey
+""")
+def raster_mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three rasters that overlap, shifted by rows and by columns; each pixel of the latest one that has data there."""
+    o = table(spark, sf_dir, "orders").withColumn("r", F.floor(F.col("o_orderkey") / 64)).withColumn("c", F.col("o_orderkey") % 64)
+    last = o.agg(F.max("r")).first()[0] or 0
+    layers = [
+        (o, F.col("o_orderkey"), 1, Layout("float64", scale=10.0, left=1000.0, top=5000.0)),
+        (o.where("r >= 5 and o_orderkey % 3 = 0"), F.col("o_orderkey") - 320, 2, Layout("float64", scale=10.0, left=1000.0, top=4950.0, tile=48, compression="zstd")),
+        (o.where("c between 16 and 47 and o_orderkey % 5 = 0"), F.col("r") * 32 + F.col("c") - 16, 4, Layout("float64", scale=10.0, left=1160.0, top=5000.0, width=32, rows=200, big_endian=True)),
+    ]
+    every = None
+    for k, (rows, key, factor, how) in enumerate(layers):
+        t = stored(rows, key, [F.col("o_totalprice") * factor], how).tiles(*mosaic.GEO).withColumn("priority", F.lit(float(k)))
+        every = t if every is None else every.unionByName(t)
+    made = mosaic.mosaic(every, mosaic.Grid(1000.0, 5000.0, 10.0, 64, last + 1, tile=100), nodata=0.0)
+    return mosaic.mosaic_pixels(made).select((F.col("row") * 64 + F.col("col")).alias("o_orderkey"), "value")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 64 >= 32 AND o_orderkey // 64 % 512 BETWEEN 64 AND 191")
+def raster_tiles_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SQL text over tiles: its filters are met by the source, which reads those tiles only."""
+    from ..sources.datasource import RasterTiles
+
+    importable(spark)
+    spark.dataSource.register(RasterTiles)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    folder = shared_path(spark, "raster")
+    own = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.array("o_totalprice").alias("values"))
+    writer.write(own, folder, Layout("float64", compression="lzw", predictor=3)).write.mode("overwrite").format("noop").save()
+    spark.read.format("raster_tiles").option("path", folder).load().createOrReplaceTempView("raster_tiles_read")
+    p = decode.pixels(spark.sql("SELECT * FROM raster_tiles_read WHERE ifd_idx = 0 AND x IN (1, 7) AND y >= 2 AND y < 6"), keep=TIE)
+    return p.where("value != 0").select(place(p).alias("o_orderkey"), F.col("value").alias("o_totalprice"))
+
+
+@query("SELECT CAST(p_partkey // 512 AS VARCHAR) AS scene, 'whole' AS status, CAST(3 AS INTEGER) AS n_bands, CAST(3 * (max(p_partkey) // 64 - p_partkey // 512 * 8 + 1) AS BIGINT) AS n_rows FROM part GROUP BY p_partkey // 512")
+def stream_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each band of a scene is a file of its own; a stream with state gives every scene once, when all of its bands have come."""
+    from ..streaming.ingest import arriving
+    from ..streaming.scenes import scenes
+
+    folder, out = shared_path(spark, "arriving"), shared_path(spark, "scenes")
+    for k in range(3):
+        own = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.array(F.col("p_size") + k).alias("values"))
+        writer.write(own, f"{folder}/band{k}", Layout("int16", rows=8, extra={306: f"2024:05:01 10:0{k}:00"})).write.mode("overwrite").format("noop").save()
+    from ..operators.directories import ifds
+
+    bands = ifds(arriving(spark, folder, recursive=True), "PERMISSIVE").select(
+        F.regexp_extract("path", r"part-0*(\d+)\.tif", 1).alias("scene"), F.regexp_extract("path", r"/band(\d+)/", 1).cast("int").alias("band"), F.col("image_height").alias("n_rows"), F.col("taken_at").cast("timestamp").alias("taken_at")
+    )
+    scenes(bands, 3).writeStream.format("parquet").option("path", out).option("checkpointLocation", shared_path(spark, "scenes-state")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("scene string, status string, n_bands int, n_rows bigint").parquet(out)
+
+
+BOXES = "SELECT o_orderkey, o_custkey * 7 % 10007 * 1.0 AS l, o_orderkey * 13 % 10009 * 1.0 AS b, o_custkey * 7 % 10007 + 1.0 + o_custkey % 40 + CASE WHEN o_orderkey % 500 = 0 THEN 900 ELSE 0 END AS r, o_orderkey * 13 % 10009 + 1.0 + o_orderkey % 30 AS t FROM orders"
+
+
+@query(f"WITH x AS ({BOXES}) SELECT p.o_orderkey AS a, q.o_orderkey AS b FROM x p JOIN x q ON p.l <= q.r AND q.l <= p.r AND p.b <= q.t AND q.b <= p.t WHERE p.o_orderkey % 2 = 0 AND q.o_orderkey % 2 = 1")
+def footprint_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of even orders that overlap boxes of odd ones."""
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    left, bottom = (cust * 7 % 10007).cast("double"), (key * 13 % 10009).cast("double")
+    boxes = table(spark, sf_dir, "orders").select("o_orderkey", left.alias("left"), bottom.alias("bottom"), (left + 1 + cust % 40 + F.when(key % 500 == 0, 900).otherwise(0)).alias("right"), (bottom + 1 + key % 30).alias("top"))
+    met = spatial.overlapping(boxes.where("o_orderkey % 2 = 0"), boxes.where("o_orderkey % 2 = 1"), 32.0)
+    return met.select(F.col("left_row.o_orderkey").alias("a"), F.col("right_row.o_orderkey").alias("b"))
+
+
+@query("""
+WITH o AS (SELECT o_custkey % 150 AS user_id, TIMESTAMP '2024-01-01' + to_microseconds((o_orderkey * 7919 % 2592000) * 1000000) AS at, max(o_orderkey) AS o_orderkey FROM orders GROUP BY ALL)
+SELECT e.event_id, o.o_orderkey FROM events e ASOF LEFT JOIN o ON e.user_id = o.user_id AND e.ts >= o.at
+""")
+def asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event with the last order before it of the same user."""
+    at = F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01 00:00:00").cast("timestamp")) + F.col("o_orderkey") * 7919 % 2592000)
+    orders = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 150).alias("user_id"), at.alias("at"), "o_orderkey")
+    met = temporal.asof(table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), orders, ["user_id"], "ts", "at", 86400)
+    return met.select("left_row.event_id", "right_row.o_orderkey")
+
+
+@query("""
+WITH p AS (SELECT p_partkey, p_size, p_partkey // 6000 AS f, p_partkey // 60 AS r, p_partkey % 60 AS c FROM part)
+SELECT a.p_partkey, avg(b.p_size) AS mean, CAST(count(*) AS BIGINT) AS n FROM p a JOIN (SELECT unnest([-1, 0, 1]) AS dr) i ON true JOIN (SELECT unnest([-1, 0, 1]) AS dc) j ON true JOIN p b ON b.f = a.f AND b.r = a.r + dr AND b.c = a.c + dc GROUP BY a.p_partkey
+""")
+def focal_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean of each pixel's 3 x 3 window, and the number of its pixels, across the edges of tiles."""
+    r = stored(table(spark, sf_dir, "part"), "p_partkey", ["p_size"], Layout("int32", width=60, rows=100, tile=16))
+    parts = []
+    for name in ("mean", "n"):
+        p = spatial.focal(of_main(r), 1, name, nodata=0.0, keep=TIE)
+        parts.append(p.select(place(p, 60).alias("p_partkey"), F.col("value").alias(name)))
+    return parts[0].join(parts[1].withColumn("n", F.col("n").cast("bigint")), "p_partkey")

@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import decode, directories, tiles
+from ..operators import decode, directories, tiles, zones
 from ..operators.codecs import Decoder
 from ..sources.scan import scan
 from ..sources.storage import Read, importable, range_reader
@@ -68,8 +68,16 @@ class Raster:
     def decode(self, chosen: DataFrame, decoders: dict[int, Decoder] | None = None, mode: str | None = None) -> DataFrame:
         return decode.decode(chosen, decoders, self.reader, mode or self.mode)
 
-    def pixels(self, chosen: DataFrame, value: str = "double", keep: tuple[str, ...] = (), decoders: dict[int, Decoder] | None = None) -> DataFrame:
-        return decode.pixels(chosen, value, keep, decoders, self.reader)
+    def pixels(self, chosen: DataFrame, value: str = "double", keep: tuple[str, ...] = (), decoders: dict[int, Decoder] | None = None, mode: str | None = None) -> DataFrame:
+        return decode.pixels(chosen, value, keep, decoders, self.reader, mode or self.mode)
+
+    def zones(self, chosen: DataFrame, nodata: float | None = None) -> DataFrame:
+        """The zone map of some tiles, to be written and used again; it reads them all once."""
+        return zones.zone_map(self.pixels(chosen, keep=("x", "y"), mode="FAILFAST"), nodata)
+
+    def pixels_between(self, chosen: DataFrame, index: DataFrame, low: float | None = None, high: float | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+        """The pixels with values from low to high; only tiles that the index doesn't rule out are read."""
+        return zones.between(self.pixels(zones.matching(chosen, index, low, high), keep=keep, mode="FAILFAST"), low, high)
 
     def views(self, prefix: str = "raster") -> None:
         """Temporary views of the relations, for SQL."""

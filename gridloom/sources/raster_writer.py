@@ -41,6 +41,10 @@ class Layout:
     code: int = 0
     xor: int = 0
     extra: dict[int, str] = field(default_factory=dict)
+    #: Side of a pixel, and the map place of the first row's outer corner; 0 leaves the raster without a scale, and its tie point has its first row.
+    scale: float = 0.0
+    left: float = 0.0
+    top: float = 0.0
 
 
 def _entry(tag: int, kind: int, values, order: str) -> tuple[int, int, int, bytes]:
@@ -88,10 +92,13 @@ def encoded(image: np.ndarray, how: Layout, first_row: int = 0, mask: np.ndarray
             _entry(258, 3, [1 if bit else page.dtype.itemsize * 8] * n, order), _entry(259, 3, [code], order), _entry(262, 3, [4 if bit else how.photometric], order),
             _entry(277, 3, [n], order), _entry(284, 3, [2 if own.planar else 1], order), _entry(317, 3, [own.predictor], order),
             _entry(322, 4, [how.tile], order), _entry(323, 4, [how.tile], order), _entry(324, big, [0] * len(parts), order), _entry(325, big, sizes, order),
-            _entry(339, 3, [formats] * n, order), _entry(33922, 12, [0.0, 0.0, 0.0, 0.0, float(first_row), 0.0], order),
+            _entry(339, 3, [formats] * n, order), _entry(33922, 12, [0.0, 0.0, 0.0, how.left, how.top - first_row * how.scale if how.scale else float(first_row), 0.0], order),
         ]
         if how.colormap and not bit:
             entries.append(_entry(320, 3, how.colormap, order))
+        if how.scale:
+            side = how.scale * (2 if subtype == 1 else 1)
+            entries.append(_entry(33550, 12, [side, side, 0.0], order))
         if how.epsg:
             entries.append(_entry(34735, 3, [1, 1, 0, 2, 1024, 0, 1, 1, 3072, 0, 1, how.epsg], order))
         entries += [_entry(t, 2, v, order) for t, v in how.extra.items()]

@@ -104,10 +104,14 @@ def scan(spark: SparkSession, files: str | list[str] | DataFrame, prefetch: int
     is opened, which serves stores that only Spark reads and rows that arrive by
     stream. PERMISSIVE gives what was read up to an error and then a row with the error.
     """
-    if not isinstance(files, DataFrame) and (urls := [f for f in ([files] if isinstance(files, str) else files) if f.startswith(("http://", "https://"))]):
-        files = spark.createDataFrame([(u, None) for u in urls], "path string, length bigint")
-    elif not isinstance(files, DataFrame):
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(files).select("path", "length")
+    if not isinstance(files, DataFrame):
+        every = [files] if isinstance(files, str) else list(files)
+        urls = [f for f in every if f.startswith(("http://", "https://"))]
+        rest = [f for f in every if f not in urls]
+        addressed = spark.createDataFrame([(u, None) for u in urls], "path string, length bigint")
+        # A listing has one row for each file; http servers give none.
+        listed = [spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(rest).select("path", "length")] if rest else []
+        files = addressed if not listed else listed[0].unionByName(addressed) if urls else listed[0]
     held = "content" in files.columns
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,10 +12,10 @@ from ..sources.storage import importable
 FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
 
-def arriving(spark: SparkSession, folder: str, pattern: str = "*.tif") -> DataFrame:
+def arriving(spark: SparkSession, folder: str, pattern: str = "*.tif", recursive: bool = False, **options: str) -> DataFrame:
     """The directories of each new file, once; files that don't parse come as rows with an error."""
     importable(spark)
-    files = spark.readStream.schema(FILES).format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    files = spark.readStream.schema(FILES).format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).options(**options).load(folder)
     return scan(spark, files.select("path", "length", "content"), mode="PERMISSIVE")
 
 
