@@ -167,6 +167,7 @@ class RasterTiles(DataSource):
     """`raster_tiles`: compressed tiles with all that decoding needs. Options: path, bytes (of a partition), content (false leaves tiles unread), prefetch, multiplier.
 
     Register with `spark.dataSource.register(RasterTiles)`, with spark.sql.python.filterPushdown.enabled set.
+    Spark keeps the filters that it pushed last in a loaded DataFrame: load it anew for another query.
     """
 
     @classmethod
