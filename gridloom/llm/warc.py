@@ -5,14 +5,16 @@ records, or both in turn. The reader goes through a file by byte ranges and hold
 record at a time. It checks each member's checksum, each record's header, length and
 payload digest. Where a check fails it searches for the next member or version line
 that starts a valid record, goes on there, and logs the bytes between as quarantined.
-Of a member that fails in its midst, the records before stay if their own digests
-prove them; the member's bytes are logged all the same.
+Of a member that fails, the records stay whose own digests prove them; the member's
+bytes are logged all the same. If only its checksum fails its end is known, and reading goes
+on there; else the search begins inside it, and records that it gave aren't given again.
 
 Defined cases: null html is an empty payload; a null url becomes an empty target;
 control characters in urls are percent-encoded; among equal payloads of at least
 `least` bytes the largest page_id is the response, repeated rows of it are all
 responses, and a null page_id is never the largest unless all are null. A very long
-payload is a record like any other, up to RECORD bytes. An empty table writes no
+payload is a record like any other, up to what a value of Spark holds. A header line
+that begins with a blank goes on with the line before. An empty table writes no
 archive. Further columns are ignored.
 """
 
@@ -22,6 +24,7 @@ import base64
 import hashlib
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import quote
@@ -40,8 +43,8 @@ FILE_BYTES = 16 << 20
 SALTS = 16
 #: Bytes of an archive that are read at once, that are decompressed at once, and that come out at once.
 BLOCK, WINDOW, OUT = 1 << 20, 16 << 10, 1 << 18
-#: The most bytes of a record's header and of its block, and of a member's records that are held until its checksum is met.
-HEADER, RECORD, HELD = 1 << 20, 1 << 30, 8 << 20
+#: The most bytes of a member's records that are held until its checksum is met; of more, the member is read twice.
+HELD = 8 << 20
 MARK = re.compile(re.escape(MEMBER) + rb"|WARC/1\.")
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
@@ -94,6 +97,7 @@ class Archive:
 
     def __init__(self, read: Read, size: int) -> None:
         self.read, self.size, self.at, self.held = read, size, 0, b""
+        self.searched = (0, -1)
 
     def __call__(self, start: int, stop: int) -> bytes:
         stop = min(stop, self.size)
@@ -103,6 +107,23 @@ class Archive:
             self.at, self.held = start, self.read(start, min(self.size, max(stop, start + BLOCK)))
         return self.held[start - self.at : stop - self.at]
 
+    def header_end(self, start: int) -> int:
+        """Where the next empty line begins, -1 without one; what a search has found is known to those that begin behind it."""
+        since, found = self.searched
+        if since <= start <= found:
+            return found
+        if since <= start and found < 0 < since:
+            return -1
+        at = start
+        while at < self.size:
+            part = self(at, at + BLOCK)
+            if (k := part.find(b"\r\n\r\n")) >= 0:
+                self.searched = (start, at + k)
+                return at + k
+            at += max(1, len(part) - 3)
+        self.searched = (max(start, 1), -1)
+        return -1
+
     def mark(self, start: int) -> int:
         """Where the next member or version line may begin; the end without one."""
         while start < self.size:
@@ -114,14 +135,19 @@ class Archive:
 
 
 def fields(head: bytes) -> dict[str, str]:
-    """The named fields of a record's header, whose first line is its version."""
-    headers = {}
+    """The named fields of a record's header, whose first line is its version. A line that begins with a blank goes on with the field before."""
+    headers: dict[str, str] = {}
+    last = ""
     for line in head.split(b"\r\n")[1:]:
+        if line[:1] in (b" ", b"\t") and last:
+            headers[last] += " " + line.decode("utf-8", "replace").strip()
+            continue
         name, colon, value = line.partition(b":")
         if not colon:
             raise ValueError("header line")
-        headers[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
-    if not re.fullmatch("[0-9]{1,18}", headers.get("content-length", "")) or int(headers["content-length"]) > RECORD:
+        last = name.decode("utf-8", "replace").strip().lower()
+        headers[last] = value.decode("utf-8", "replace").strip()
+    if not re.fullmatch("[0-9]{1,18}", headers.get("content-length", "")):
         raise ValueError("content length")
     return headers
 
@@ -137,15 +163,13 @@ def parse(data: Archive, at: int) -> tuple[Record, int]:
     """The record at a version line and where it ends; ValueError names the check that failed."""
     if data(at, at + 7) != b"WARC/1.":
         raise ValueError("version line")
-    for n in (4096, HEADER):
-        if (stop := data(at, at + n).find(b"\r\n\r\n")) >= 0:
-            break
-    else:
+    stop = data.header_end(at)
+    if stop < 0:
         raise ValueError("header end")
-    headers = fields(data(at, at + stop))
-    start = at + stop + 4
+    headers = fields(data(at, stop))
+    start = stop + 4
     end = start + int(headers["content-length"])
-    if data(end, end + 4) != b"\r\n\r\n":
+    if end + 4 > data.size or data(end, end + 4) != b"\r\n\r\n":
         raise ValueError("record end")
     record = Record(headers, data(start, end))
     if proof(record) is False:
@@ -153,30 +177,60 @@ def parse(data: Archive, at: int) -> tuple[Record, int]:
     return record, end + 4
 
 
+def deflated_from(data: Archive, at: int) -> int:
+    """Where the compressed bytes of a gzip member begin."""
+    flags, pos = data(at + 3, at + 4), at + 10
+    if not flags or flags[0] & 0xE0:
+        raise ValueError("gzip header")
+    if flags[0] & 4:
+        pos += 2 + int.from_bytes(data(pos, pos + 2), "little")
+    for bit in (8, 16):  # a name, a comment
+        if flags[0] & bit:
+            while (part := data(pos, pos + 256)) and b"\0" not in part:
+                pos += len(part)
+            pos += part.find(b"\0") + 1
+    return pos + 2 * (flags[0] >> 1 & 1)
+
+
 class Member:
-    """A gzip member, decompressed as its records are asked for."""
+    """A gzip member, decompressed as its records are asked for. Its checksum is compared here, so that what comes before an error isn't lost."""
 
     def __init__(self, data: Archive, at: int) -> None:
-        self.data, self.pos, self.tail, self.held, self.z = data, at, b"", bytearray(), zlib.decompressobj(31)
+        self.data, self.held, self.z = data, bytearray(), zlib.decompressobj(-15)
+        self.pos, self.tail, self.sum, self.size, self.broken = deflated_from(data, at), b"", 0, 0, False
 
     @property
     def end(self) -> int:
         """Where the member ends, once all of it was read, or how far it was read."""
-        return self.pos - len(self.z.unused_data)
+        return min(self.data.size, self.pos - len(self.z.unused_data) + 8) if self.z.eof else self.pos - len(self.tail)
+
+    def inflated(self) -> bytes:
+        """What the next window gives; up to a bad byte if there is one."""
+        before = self.z.copy()
+        try:
+            return self.z.decompress(self.tail, OUT)
+        except zlib.error:
+            out, self.z, self.broken = [], before, True
+            for k in range(len(self.tail)):
+                try:
+                    out.append(self.z.decompress(self.tail[k : k + 1]))
+                except zlib.error:
+                    break
+            return b"".join(out)
 
     def more(self) -> bool:
+        if self.broken:
+            raise ValueError("gzip member")
         if self.z.eof:
             return False
         if not self.tail:
             self.tail = self.data(self.pos, self.pos + WINDOW)
             self.pos += len(self.tail)
-        try:
-            out = self.z.decompress(self.tail, OUT)
-        except zlib.error as e:
-            raise ValueError("gzip member") from e
+        out = self.inflated()
         if not self.tail and not out and not self.z.eof:
             raise ValueError("gzip end")
-        self.tail = self.z.unconsumed_tail
+        self.tail = b"" if self.broken else self.z.unconsumed_tail
+        self.sum, self.size = zlib.crc32(out, self.sum), self.size + len(out)
         self.held += out
         return True
 
@@ -189,8 +243,10 @@ class Member:
         while self.filled(1):
             if not self.filled(7) or not self.held.startswith(b"WARC/1."):
                 raise ValueError("version line")
-            while (stop := self.held.find(b"\r\n\r\n")) < 0:
-                if len(self.held) > HEADER or not self.more():
+            looked = 0
+            while (stop := self.held.find(b"\r\n\r\n", looked)) < 0:
+                looked = max(0, len(self.held) - 3)
+                if not self.more():
                     raise ValueError("header end")
             headers = fields(bytes(self.held[:stop]))
             end = stop + 4 + int(headers["content-length"])
@@ -198,15 +254,19 @@ class Member:
                 raise ValueError("record end")
             yield Record(headers, bytes(self.held[stop + 4 : end]))
             del self.held[: end + 4]
+        at = self.pos - len(self.z.unused_data)
+        if self.data(at, at + 8) != (self.sum & 0xFFFFFFFF).to_bytes(4, "little") + (self.size & 0xFFFFFFFF).to_bytes(4, "little"):
+            raise ValueError("gzip checksum")
 
 
 Stretch = tuple[int, int, "Record | None", str]
 
 
-def member(data: Archive, at: int) -> tuple[Iterator[Stretch], int, str]:
-    """What a member holds, where it ends, and the check it failed. It is read once more if it holds much, as its checksum comes last."""
-    m, kept, size, n, why = Member(data, at), [], 0, 0, ""
+def member(data: Archive, at: int) -> tuple[Iterator[Stretch], int, str, int]:
+    """What a member holds, how far it goes, the check it failed, and how many records it gave. It is read once more if it holds much, as its checksum comes last."""
+    m, kept, size, n, why = None, [], 0, 0, ""
     try:
+        m = Member(data, at)
         for record in m.records():
             n += 1
             size += len(record.block)
@@ -215,7 +275,7 @@ def member(data: Archive, at: int) -> tuple[Iterator[Stretch], int, str]:
             why = "empty member"
     except ValueError as e:
         why = str(e)
-    end = m.end
+    end = m.end if m else at + 1
 
     def found() -> Iterator[Stretch]:
         for _, record in zip(range(n), kept if size <= HELD else Member(data, at).records(), strict=False):
@@ -228,17 +288,28 @@ def member(data: Archive, at: int) -> tuple[Iterator[Stretch], int, str]:
             else:
                 yield at, end, record, ""
 
-    return found(), end, why
+    return found(), end, why, n
+
+
+def name_of(record: Record) -> bytes:
+    return hashlib.blake2b(repr(sorted(record.headers.items())).encode(), digest_size=16).digest()
 
 
 def salvage(archive: bytes | Archive) -> Iterator[Stretch]:
-    """start, end, record and failed check of every stretch of an archive; a gap has no record. Records of one member have its start and end."""
+    """start, end, record and failed check of every stretch of an archive; a gap has no record. Records of one member have its start and end.
+
+    While the search is inside a member that failed, the names of the records it gave are held.
+    """
     data = archive if isinstance(archive, Archive) else Archive(lambda a, z: archive[a:z], len(archive))
     at, bad, said = 0, None, ""
+    given: Counter[bytes] = Counter()
+    inside = 0
     while at < data.size:
-        failed, stretches, end = "", iter(()), at
-        if data(at, at + 3) == MEMBER:
-            stretches, end, failed = member(data, at)
+        failed, stretches, end, n = "", iter(()), at, 1
+        if at >= inside:
+            given.clear()
+        if zipped := data(at, at + 3) == MEMBER:
+            stretches, end, failed, n = member(data, at)
         else:
             try:
                 record, end = parse(data, at)
@@ -248,9 +319,22 @@ def salvage(archive: bytes | Archive) -> Iterator[Stretch]:
         if failed:
             if bad is None:
                 bad, said = at, failed
-            yield from stretches
+            for stretch in stretches:
+                if at < inside and given[name_of(stretch[2])]:
+                    given[name_of(stretch[2])] -= 1
+                    continue
+                given[name_of(stretch[2])] += 1
+                yield stretch
+            if zipped and failed == "gzip checksum":
+                at = end
+                continue
+            inside = max(inside, end if zipped and n else 0)
             at = data.mark(at + 1)
             continue
+        if at < inside and not zipped and given[name_of(record)]:
+            given[name_of(record)] -= 1
+            at = end
+            continue
         if bad is not None:
             yield bad, at, None, said
             bad = None
