@@ -16,7 +16,7 @@ In role and text, a backslash, <, > and " stand behind a backslash.
 Defined cases: null text is empty, a null role is empty; rows of a conversation
 go by turn, null first, then role and a hash of the text; repeated rows are messages
 of their own; a null conv_id is a conversation; a very long text has more and longer
-deltas. A long conversation is folded by message; it is only read back in one task,
+deltas; an event that was delivered again, of the same message and seq, counts once. A long conversation is folded by message; it is only read back in one task,
 where it streams by, as its digests run over all of it. An empty log gives no row.
 Further columns are ignored.
 """
@@ -34,15 +34,41 @@ from pyspark.sql import functions as F
 from .common import partitions, written
 
 EVENTS = "conv_id long, message struct<turn:long,k:long>, seq long, kind string, role string, text string"
-_PIECE = re.compile(r'<turn role="((?:\\.|[^\\"<>])*)">\n((?:\\.|[^\\<>"])*)\n</turn>\n', re.DOTALL)
+HEAD, BETWEEN, FOOT = '<turn role="', '">\n', "\n</turn>\n"
+_ESCAPE, _BARE = re.compile(r"\\(.)", re.DOTALL), re.compile(r'[\\<>"]')
+#: Code points whose escapes are taken out at once.
+CHUNK = 1 << 20
 
 
 def escaped(text: Column) -> Column:
     return F.regexp_replace(text, r'[\\<>"]', r"\\$0")
 
 
-def unescape(text: str) -> str:
-    return re.sub(r"\\(.)", r"\1", text, flags=re.DOTALL)
+def plain(text: str, start: int, stop: int) -> Iterator[str]:
+    """The text between two places without its escapes, in parts; ValueError where a control character stands without one."""
+    while start < stop:
+        end = min(stop, start + CHUNK)
+        run = end
+        while run > start and text[run - 1] == "\\":
+            run -= 1
+        end += (end - run) % 2  # an escape isn't cut in two
+        if end > stop:
+            raise ValueError("an escape without its character")
+        part = text[start:end]
+        if _BARE.search(part):
+            if _BARE.search(_ESCAPE.sub("", part)):
+                raise ValueError("a control character without escape")
+            part = _ESCAPE.sub(r"\1", part)
+        yield part
+        start = end
+
+
+def parts_of(piece: str) -> tuple[str, int, int]:
+    """A piece's role, and where its text begins and ends. Escaped text never holds the strings around it."""
+    between = piece.find(BETWEEN)
+    if not piece.startswith(HEAD) or between < 0 or not piece.endswith(FOOT) or between + len(BETWEEN) > len(piece) - len(FOOT):
+        raise ValueError("no piece of the template")
+    return "".join(plain(piece, len(HEAD), between)), between + len(BETWEEN), len(piece) - len(FOOT)
 
 
 def numbered(conversations: DataFrame) -> DataFrame:
@@ -92,7 +118,9 @@ def log_of(conversations: DataFrame, delta: int = 512, deltas: int = 256) -> Dat
 def folded(log: DataFrame) -> DataFrame:
     """conv_id, message, role, text: the messages that the events amount to. A long conversation is many groups."""
     e = F.sort_array(F.collect_list(F.struct("seq", "kind", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))))
-    grouped = log.groupBy("conv_id", "message").agg(e.alias("e"))
+    # Events that were delivered again have a seq that was there before; the first by kind, role and text counts.
+    again = lambda x, i: x["seq"].isNull() | (i == 0) | ~x["seq"].eqNullSafe(F.get("e", i - 1)["seq"])
+    grouped = log.groupBy("conv_id", "message").agg(e.alias("e")).withColumn("e", F.filter("e", again))
     cleared = F.array_max(F.transform(F.filter("e", lambda x: x["kind"].isin("edit", "regenerate")), lambda x: x["seq"]))
     kept = F.filter("e", lambda x: (x["kind"].isin("delta", "edit")) & (F.col("cleared").isNull() | (x["seq"] >= F.col("cleared"))))
     named = F.filter("e", lambda x: x["kind"] == "start")
@@ -109,38 +137,43 @@ def rendered(messages: DataFrame) -> DataFrame:
     return messages.select("conv_id", "message", F.concat(head, body, F.lit("\n</turn>\n")).alias("formatted"), F.when(loss, F.length(head)).alias("loss_from"), F.when(loss, F.length(head) + F.length(body)).alias("loss_to"))
 
 
-def read_back(pieces: DataFrame) -> DataFrame:
-    """What the written pieces say about each conversation; they stream by in order, and only sums and digests are held."""
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_, conv, turns, n, loss, chars, points = False, None, None, 0, None, 0, 0
-        done: list[tuple] = []
-
-        def close() -> None:
-            if open_:
-                done.append((conv, n, turns.hexdigest(), chars, loss.hexdigest(), points))
-
-        for b in it:
-            for c, text, a, z in zip(*(b.column(k).to_pylist() for k in ("conv_id", "formatted", "loss_from", "loss_to")), strict=True):
-                if not open_ or c != conv:
-                    close()
-                    open_, conv, turns, n, loss, chars, points = True, c, hashlib.sha256(), 0, hashlib.sha256(), 0, 0
-                parsed = _PIECE.fullmatch(text)
-                turns.update(f"{unescape(parsed[1])}\n{unescape(parsed[2])}\n".encode())
-                n, points = n + 1, points + len(text)
-                if a is not None:
-                    own = unescape(text[a:z])
-                    chars += len(own)
-                    loss.update(own.encode())
-            if done:
-                yield _rows(done)
-                done = []
-        close()
+def digested(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each conversation of sorted pieces (conv_id, formatted, loss_from, loss_to), which stream by; texts are parsed in parts."""
+    open_, conv, turns, n, loss, chars, points = False, None, None, 0, None, 0, 0
+    done: list[tuple] = []
+
+    def close() -> None:
+        if open_:
+            done.append((conv, n, turns.hexdigest(), chars, loss.hexdigest(), points))
+
+    for b in it:
+        for c, piece, a, z in zip(*(b.column(k) for k in ("conv_id", "formatted", "loss_from", "loss_to")), strict=True):
+            c, text, a, z = c.as_py(), piece.as_py(), a.as_py(), z.as_py()
+            if not open_ or c != conv:
+                close()
+                open_, conv, turns, n, loss, chars, points = True, c, hashlib.sha256(), 0, hashlib.sha256(), 0, 0
+            role, start, stop = parts_of(text)
+            turns.update(f"{role}\n".encode())
+            for part in plain(text, start, stop):
+                turns.update(part.encode())
+            turns.update(b"\n")
+            n, points = n + 1, points + len(text)
+            if a is not None:
+                for part in plain(text, a, z):
+                    chars += len(part)
+                    loss.update(part.encode())
         if done:
             yield _rows(done)
+            done = []
+    close()
+    if done:
+        yield _rows(done)
 
+
+def read_back(pieces: DataFrame) -> DataFrame:
+    """What the written pieces say about each conversation; they stream by in order, and only sums and digests are held."""
     spread = pieces.repartition(partitions(pieces.sparkSession), "conv_id").sortWithinPartitions("conv_id", "message")
-    return spread.select("conv_id", "formatted", "loss_from", "loss_to").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return spread.select("conv_id", "formatted", "loss_from", "loss_to").mapInArrow(digested, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
