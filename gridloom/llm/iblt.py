@@ -78,7 +78,7 @@ def minus(left: Column, right: Column) -> Column:
 
 def encoded(cells: Column) -> Column:
     hexed = lambda x, n: F.lpad(F.hex(x), n, "0")
-    return F.lower(F.array_join(F.transform(cells, lambda x: F.concat(hexed(x["n"], 4), hexed(x["k"], 16), hexed(x["c"], 8))), ""))
+    return F.lower(F.array_join(F.transform(cells, lambda x: F.concat(hexed(x["n"], 16), hexed(x["k"], 16), hexed(x["c"], 8))), ""))
 
 
 def neighbours(docs: DataFrame) -> DataFrame:

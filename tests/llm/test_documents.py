@@ -118,7 +118,7 @@ def test_fingerprints(docs, no_docs, rows):
     for d, _, *_ in single:
         own, edited = digest[d]
         for cells, held in ((by_id[d]["fingerprint"], own), (by_id[d]["edited_fingerprint"], edited)):
-            n, k = np.array([int(cells[i : i + 4], 16) for i in range(0, len(cells), 28)]), [int(cells[i + 4 : i + 20], 16) for i in range(0, len(cells), 28)]
+            n, k = np.array([int(cells[i : i + 16], 16) for i in range(0, len(cells), 40)]), [int(cells[i + 16 : i + 32], 16) for i in range(0, len(cells), 40)]
             assert n.reshape(3, -1).sum(axis=1).tolist() == [len(held)] * 3
             for t in range(3):
                 of_table = 0
