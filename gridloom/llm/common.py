@@ -2,20 +2,40 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.storage import delete, importable, shared_path
 
-__all__ = ["bounded", "delete", "done_with", "importable", "packed", "partitions", "ranged", "running_sum", "shared_path", "table", "written"]
+__all__ = ["bounded", "delete", "done_with", "importable", "packed", "partitions", "ranged", "recorded", "running_sum", "shared_path", "table", "written"]
 
 #: A table is broadcast only after its rows and bytes were counted and are at most this many.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
+#: Where the tables that are being made are noted, if they are: see recorded.
+_noted: list[list[str]] = []
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths of the tables that are written meanwhile, so that they can be deleted once no plan reads them."""
+    paths: list[str] = []
+    _noted.append(paths)
+    try:
+        yield paths
+    finally:
+        _noted.remove(paths)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: later plans start there, on any executor."""
     path = shared_path(df.sparkSession, name)
+    for paths in _noted:
+        paths.append(path)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_at = path

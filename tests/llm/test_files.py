@@ -1,8 +1,9 @@
 """WARC archives, chat formatting and the pipeline."""
 
 import hashlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from gridloom.llm import chat, components, jaccard, warc
@@ -84,6 +85,64 @@ def test_members_of_several_records(monkeypatch):
     assert IDS(whole) == EVERY and IDS(zipped(bad)) == [*EVERY[:3], None, *EVERY[4:]], "read again instead of held"
 
 
+def test_flipped_checksums():
+    members = [zipped(r) for r in records(3)]
+    for k in (len(members[1]) - 8, len(members[1]) - 2):
+        hurt = bytearray(members[1])
+        hurt[k] ^= 255
+        got = list(warc.salvage(members[0] + bytes(hurt) + members[2]))
+        assert sorted(r.headers["warc-record-id"] for *_, r, _ in got if r) == EVERY[:3]
+        gaps = [x for x in got if x[2] is None]
+        assert [x[:2] + x[3:] for x in gaps] == [(len(members[0]), len(members[0]) + len(members[1]), "gzip checksum")]
+
+
+def stored(data):
+    import zlib
+
+    z = zlib.compressobj(0, zlib.DEFLATED, 31)
+    return z.compress(data) + z.flush()
+
+
+def test_damaged_stored_members():
+    some = [warc.render(i, f"http://x/{i}", f"payload {i} ".encode() * 400, None, "2024-01-01T00:00:00Z") for i in range(120)]
+    every = sorted(f"<urn:page:{i}>" for i in range(120))
+    whole = stored(b"".join(some))
+    bad_sum = bytearray(whole)
+    bad_sum[-6] ^= 1
+    assert sorted(x for x in IDS(bytes(bad_sum)) if x) == every
+    for at in (200, len(whole) // 2, len(whole) - 3000):
+        hurt = bytearray(whole)
+        hurt[at] ^= 1
+        got = [x for x in IDS(bytes(hurt) + zipped(some[0])) if x]
+        assert len(got) == len(set(got)) + (got.count("<urn:page:0>") == 2), "once each, and the first one's second copy"
+        assert len(set(got)) >= 119
+    cut = [x for x in IDS(whole[: len(whole) // 2]) if x]
+    assert len(cut) == len(set(cut)) >= 58
+
+
+def test_gzip_header_fields():
+    import gzip
+    import io
+
+    out = io.BytesIO()
+    with gzip.GzipFile("a name", "wb", fileobj=out) as f:
+        f.write(records(1)[0])
+    assert IDS(out.getvalue() + zipped(records()[1])) == EVERY[:2]
+    extra = bytearray(zipped(records(1)[0]))
+    extra[3] = 4 + 16
+    assert IDS(bytes(extra[:10]) + b"\x03\x00abc" + b"comment\0" + bytes(extra[10:])) == EVERY[:1]
+    assert IDS(bytes(extra[:3]) + b"\xff" + bytes(extra[4:])) == [None]
+
+
+def test_long_and_folded_headers():
+    folded = records(1)[0].replace(b"WARC-Date: ", b"WARC-Note: one\r\n two\r\n\tthree\r\nWARC-Date: ")
+    long = warc.render(1, "http://x/" + "y" * (3 << 20), b"long url", None, "2024-01-01T00:00:00Z")
+    for make in (zipped, bytes):
+        got = [r for *_, r, _ in warc.salvage(make(folded) + make(long) + make(records()[2]))]
+        assert [r.headers["warc-record-id"] for r in got] == EVERY[:3]
+        assert got[0].headers["warc-note"] == "one two three" and len(got[1].headers["warc-target-uri"]) > 3 << 20
+
+
 def test_first_record_with_a_gzip_body():
     some = records()
     some[0] = warc.render(0, "u", zipped(b"body" * 30), None, "2024-01-01T00:00:00Z")
@@ -148,6 +207,41 @@ def test_chat(spark):
     assert chat.read_back(chat.formatted(chat.log_of(df.where("false")))).count() == 0
 
 
+def test_long_texts_are_parsed_in_parts(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    body = "word <b> \\ é " * 1_000_000
+    escape = lambda t: "".join("\\" + c if c in '\\<>"' else c for c in t)
+    piece = f'<turn role="assistant">\n{escape(body)}\n</turn>\n'
+    head = len('<turn role="assistant">\n')
+    batch = pa.RecordBatch.from_pydict({"conv_id": [1], "formatted": [piece], "loss_from": [head], "loss_to": [len(piece) - len("\n</turn>\n")]})
+    tracemalloc.start()
+    got = next(chat.digested(iter([batch]))).to_pylist()[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got["turns_sha256"] == hashlib.sha256(f"assistant\n{body}\n".encode()).hexdigest()
+    assert (got["loss_sha256"], got["loss_chars"]) == (hashlib.sha256(body.encode()).hexdigest(), len(body))
+    assert peak < 4 * len(piece) * 2
+    monkeypatch.setattr(chat, "CHUNK", 3)
+    for text in ('a\\"b<>', "\\" * 7 + "x", "", "plain", "<" * 9):
+        assert "".join(chat.plain(escape(text), 0, len(escape(text)))) == text
+    for bad in ("a<b", "abc\\", 'x"', "ab>"):
+        with pytest.raises(ValueError):
+            list(chat.plain(bad, 0, len(bad)))
+    for bad in ("", "<turn role=", '<turn role="u">\n</turn>\n', 'x<turn role="u">\nt\n</turn>\n'):
+        with pytest.raises(ValueError):
+            chat.parts_of(bad)
+
+
+def test_events_delivered_again_count_once(spark):
+    m = (0, 0)
+    events = [(1, m, 0, "start", "user", None), (1, m, 1, "delta", None, "ab"), (1, m, 1, "delta", None, "ab"), (1, m, 2, "delta", None, "c"), (1, m, 0, "start", "user", None), (1, m, 2, "delta", None, "c")]
+    log = spark.createDataFrame(events, chat.EVENTS).repartition(3)
+    assert [(r["role"], r["text"]) for r in chat.folded(log).collect()] == [("user", "abc")]
+
+
 def test_the_log_has_events_to_undo(spark):
     rows = [(i % 7, i, ("user", "assistant")[i % 2], f"text {i} " * (1 + i % 40) + "😀" * (i % 3)) for i in range(200)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
@@ -223,3 +317,49 @@ def test_pipeline_stages(spark):
         at += r["n_tokens"]
     assert 0 < len({r["doc_id"] for r in rows}) < spark.read.parquet(f"{sf}/documents.parquet").count()
     assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """All stages on a table with nulls, copies, a contaminated document and further columns: who stays, and what the files say."""
+    import random
+    from zlib import crc32
+
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = random.Random(6)
+    words = [f"{a}{b}" for a in "ka lo mi ru te po".split() for b in "nor bel sti van duk lim".split()]
+    said = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    leaked = said(14)
+    rows = [(i, said(60), ["a", "b", None][i % 3]) for i in range(40)]
+    rows += [(100, rows[3][1], "a"), (101, rows[4][1] + " more", "b"), (102, f"{said(30)} {leaked} {said(30)}", "b"), (103, None, "a"), (104, "", None), (None, said(60), "b")]
+    spark.createDataFrame([(i, t, "en", s, 0, "x") for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long, size string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0), (1, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, leaked), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    # Labels of one class teach nothing, so that all documents are kept; of copies the smallest id stays.
+    stay = {i: (t or "", s) for i, t, s in rows if i not in (100, 101, 102)}
+    size = {i: len(t.split()) for i, (t, _) in stay.items()}
+    per = {s: sum(size[i] for i, (_, x) in stay.items() if x == s) for s in ("a", "b", None)}
+    total, weights = sum(per.values()), {"a": 1, "b": 2, None: 3}
+    targets = {s: total * w / 6 for s, w in weights.items()}
+    assert all(targets[s] <= 3 * per[s] for s in per)
+    times, taken = Counter(r["doc_id"] for r in got), Counter()
+    assert set(times) <= set(stay) and all(n <= 3 for n in times.values()) and not {103, 104} & set(times)
+    for i, n in times.items():
+        taken[stay[i][1]] += n * size[i]
+    assert all(abs(taken[s] - targets[s]) <= 60 for s in per)
+    tokenizer, at = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), 0
+    for r in sorted(got, key=lambda r: r["start"]):
+        ids = [*tokenizer.encode(stay[r["doc_id"]][0], add_special_tokens=False).ids, 2]
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids), crc32(b"".join(x.to_bytes(4, "little") for x in ids)))
+        at += len(ids)
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    for name, kind in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
