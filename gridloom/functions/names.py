@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from enum import IntEnum
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,6 +30,19 @@ TAGS = {
 }
 
 
+def _enum(name: str, codes: dict[int, str]) -> type[IntEnum]:
+    return IntEnum(name, {text.upper(): code for code, text in codes.items()}, module=__name__)
+
+
+Compression = _enum("Compression", COMPRESSION)
+PhotometricInterpretation = _enum("PhotometricInterpretation", PHOTOMETRIC)
+PlanarConfiguration = _enum("PlanarConfiguration", PLANAR)
+Predictor = _enum("Predictor", PREDICTOR)
+ResolutionUnit = _enum("ResolutionUnit", RESOLUTION_UNIT)
+SampleFormat = _enum("SampleFormat", SAMPLE_FORMAT)
+Tag = _enum("Tag", TAGS)
+
+
 def named(code: Column | str, names: dict[int, str]) -> Column:
     """The name of a code; an unknown code is its number as text."""
     code = F.col(code) if isinstance(code, str) else code

@@ -52,6 +52,19 @@ def requested(found: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.join(wanted, ["ifd_idx", "x", "y"], "left_semi")
 
 
+def ordered(found: DataFrame, wanted: DataFrame, strict: bool = True) -> DataFrame:
+    """ordinal, missing and the tiles that the rows (ordinal, path, ifd_idx, x, y) of wanted name, one for each row and band; wanted rows may repeat.
+
+    A tile that isn't there is an error; unless strict it is a row whose `missing` says so, and which has no start.
+    """
+    own = wanted.select("ordinal", *(F.col(c).alias(f"_{c}") for c in ("path", "ifd_idx", "x", "y")))
+    met = own.join(found, (F.col("_path") == F.col("path")) & (F.col("_ifd_idx") == F.col("ifd_idx")) & (F.col("_x") == F.col("x")) & (F.col("_y") == F.col("y")), "left")
+    said = F.concat(F.lit("no tile ("), F.concat_ws(", ", *(F.coalesce(F.col(f"_{c}").cast("string"), F.lit("null")) for c in ("ifd_idx", "x", "y"))), F.lit(") in "), F.coalesce("_path", F.lit("null")))
+    missing = F.when(F.col("start").isNull(), F.raise_error(said).cast("string") if strict else said)
+    told = {c: F.coalesce(c, f"_{c}") for c in ("path", "ifd_idx", "x", "y")}
+    return met.withColumn("missing", missing).withColumns(told).drop(*(f"_{c}" for c in told))
+
+
 def coalesced(ranges: DataFrame, gap: int = 0) -> DataFrame:
     """path, start, stop, n_ranges: ranges (path, start, stop) merged where at most `gap` bytes part them."""
     w = Window.partitionBy("path").orderBy("start", "stop")

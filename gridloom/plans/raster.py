@@ -62,6 +62,24 @@ class Raster:
     def tiles(self, *keep: str) -> DataFrame:
         return tiles.tiles(self.ifds, *keep)
 
+    def requested(self, wanted: list[tuple[str, int, int, int]] | DataFrame, decoders: dict[int, Decoder] | None = None) -> DataFrame:
+        """The decoded tiles of requests (path, ifd_idx, x, y), with the ordinal of each; sort by it for their order.
+
+        A list counts from 0; a DataFrame has a column ordinal. A tile that isn't there is an error, or with PERMISSIVE a row
+        without data whose `error` says so. Tiles whose bands lie apart have a row for each band.
+        """
+        if not isinstance(wanted, DataFrame):
+            rows = [(k, *w) for k, w in enumerate(wanted)]
+            wanted = self.scanned.sparkSession.createDataFrame(rows, "ordinal long, path string, ifd_idx int, x int, y int")
+        place = ["path", "ifd_idx", "x", "y"]
+        found = tiles.ordered(self.tiles(), wanted, self.mode != "PERMISSIVE")
+        there = found.where("missing is null").select("ordinal", *place, "band")
+        # A tile that is asked for several times is read and decoded once.
+        once = self.decode(self.tiles().join(there.select(*place).distinct(), place, "left_semi"), decoders)
+        got = there.alias("t").join(once.alias("d"), [F.col(f"t.{c}").eqNullSafe(F.col(f"d.{c}")) for c in (*place, "band")]).select("t.ordinal", "d.*")
+        none = found.where("missing is not null").select("ordinal", *place, "band", *(F.lit(None).cast(once.schema[c].dataType).alias(c) for c in ("dtype", "shape", "data")), F.col("missing").alias("error"))
+        return got.unionByName(none)
+
     def fetch(self, chosen: DataFrame) -> DataFrame:
         return decode.fetch(chosen, self.reader)
 

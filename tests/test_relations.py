@@ -264,3 +264,36 @@ def test_scenes(spark, tmp_path):
     arrives(3, 0, 200)
     run()
     assert run() == [("1", "late", 1, 9), ("1", "whole", 3, 27), ("2", "partial", 1, 8)]
+
+
+def test_requests_keep_their_order(spark, tmp_path):
+    image = np.arange(40 * 60 * 2, dtype="u2").reshape(40, 60, 2)
+    for name, planar in (("a", False), ("b", True)):
+        (tmp_path / f"{name}.tif").write_bytes(encoded(image, Layout("uint16", bands=2, tile=16, planar=planar)))
+    r = Raster.open(spark, str(tmp_path))
+    a, b = (next(p for p in (x["path"] for x in r.files.collect()) if p.endswith(f"{n}.tif")) for n in "ab")
+    asked = [(a, 0, 2, 1), (b, 0, 0, 0), (a, 0, 0, 2), (a, 0, 2, 1), (b, 0, 3, 2)]
+    got = sorted(r.requested(asked).collect(), key=lambda t: (t["ordinal"], t["band"] or 0))
+    assert [(t["ordinal"], t["band"]) for t in got] == [(0, None), (1, 0), (1, 1), (2, None), (3, None), (4, 0), (4, 1)]
+    padded = np.pad(image, ((0, 8), (0, 4), (0, 0)))
+    for t in got:
+        path, _, x, y = asked[t["ordinal"]]
+        own = padded[y * 16 : y * 16 + 16, x * 16 : x * 16 + 16]
+        assert (t["path"], t["x"], t["y"]) == (path, x, y)
+        assert np.array_equal(to_numpy(t), own if t["band"] is None else own[None, :, :, t["band"]])
+    for wrong in ((a, 0, 4, 0), (a, 1, 0, 0), ("none.tif", 0, 0, 0), (a, 0, -1, 0)):
+        with pytest.raises(Exception, match="no tile"):
+            r.requested([(a, 0, 0, 0), wrong]).collect()
+        kept = Raster.open(spark, str(tmp_path), mode="PERMISSIVE").requested([(a, 0, 0, 0), wrong]).orderBy("ordinal").collect()
+        assert kept[0]["error"] is None and kept[1]["error"].startswith("no tile (") and kept[1]["data"] is None and kept[1]["path"] == wrong[0]
+    assert r.requested([]).count() == 0
+
+
+def test_codes_are_enums():
+    import gridloom
+
+    assert gridloom.Compression.LZW == 5 and gridloom.Compression(50000).name == "ZSTD" and gridloom.Tag.IMAGE_WIDTH == 256
+    assert gridloom.PhotometricInterpretation["RGB"] == 2
+    with pytest.raises(ValueError):
+        gridloom.Predictor(9)
+    assert all(hasattr(gridloom, name) for name in gridloom.__all__)
