@@ -421,3 +421,70 @@ def focal_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
         p = spatial.focal(of_main(r), 1, name, nodata=0.0, keep=TIE)
         parts.append(p.select(place(p, 60).alias("p_partkey"), F.col("value").alias(name)))
     return parts[0].join(parts[1].withColumn("n", F.col("n").cast("bigint")), "p_partkey")
+
+
+@query("SELECT p_partkey, CAST(p_size AS BIGINT) AS p_size, CAST(NULL AS VARCHAR) AS fault FROM part UNION ALL SELECT NULL, NULL, 'tile' UNION ALL SELECT NULL, NULL, 'field geo_key_directory'")
+def raster_permissive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beside the files of part lie one with a tile that doesn't decode and one with a cut key directory; both errors stay with their file."""
+    import struct
+
+    import numpy as np
+
+    from ..sources.storage import write_file
+
+    folder = shared_path(spark, "raster")
+    own = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.array("p_size").alias("values"))
+    writer.write(own, folder, Layout("uint8", epsg=32600)).write.mode("overwrite").format("noop").save()
+    blank = np.zeros((32, 32, 1), "u1")
+    whole = writer.encoded(blank, Layout("uint8", epsg=32600))
+    write_file(folder, "bad-keys.tif", whole.replace(struct.pack("<4H", 1, 1, 0, 2), struct.pack("<4H", 1, 1, 0, 9)))
+    packed = writer.encoded(blank + 1, Layout("uint8"))
+    write_file(folder, "bad-tile.tif", packed[:-12] + b"\xff" * 12)
+    r = Raster.open(spark, f"{folder}/*.tif", mode="PERMISSIVE")
+    p = r.pixels(of_main(r), "bigint", TIE)
+    seen = p.where("value > 0").select(place(p).alias("p_partkey"), F.col("value").alias("p_size"), F.lit(None).cast("string").alias("fault"))
+    nothing = (F.lit(None).cast("bigint").alias("p_partkey"), F.lit(None).cast("bigint").alias("p_size"))
+    return seen.unionByName(p.where("error is not null").select(*nothing, F.lit("tile").alias("fault"))).unionByName(r.errors.select(*nothing, F.col("error").alias("fault")))
+
+
+@query("SELECT o_orderkey, o_totalprice, CAST(o_custkey % 3 AS BIGINT) AS ordinal FROM orders WHERE o_orderkey // 32768 = 0 AND o_orderkey // 64 % 512 // 32 = [1, 0, 3][o_custkey % 3 + 1] AND o_orderkey % 64 // 32 = [1, 0, 0][o_custkey % 3 + 1]")
+def raster_ordered_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three tiles of the first file, decoded in the order of a list."""
+    r = stored(table(spark, sf_dir, "orders"), "o_orderkey", ["o_totalprice", F.col("o_custkey").cast("double")], Layout("float64", bands=2, rows=512))
+    first = r.files.where("path like '%part-00000000.tif'").first()["path"]
+    there = r.requested([(first, 0, 1, 1), (first, 0, 0, 0), (first, 0, 0, 3)])
+    t = of_main(r).join(F.broadcast(there.select("ordinal", "path", "ifd_idx", "x", "y")), ["path", "ifd_idx", "x", "y"])
+    p = r.pixels(t, keep=(*TIE, "ordinal"))
+    both = p.groupBy(place(p).alias("o_orderkey"), "ordinal").agg(F.max(F.when(F.col("band") == 0, F.col("value"))).alias("o_totalprice"), F.max(F.when(F.col("band") == 1, F.col("value"))).alias("c"))
+    return both.where("o_totalprice > 0 and c % 3 = ordinal").select("o_orderkey", "o_totalprice", "ordinal")
+
+
+@query("""
+SELECT p_partkey, CAST(p_size AS BIGINT) AS u8, CAST(p_size - 25 AS BIGINT) AS i8, CAST(p_size * 100 - 2500 AS BIGINT) AS i16, CAST(p_size * 100 - 2500 + p_partkey % 1000 AS BIGINT) AS i16_sum, p_partkey - 1000 AS i32, p_partkey * 1000000000 AS i64,
+  p_size / 4.0::DOUBLE AS f32, p_partkey / 2.0::DOUBLE AS f64_second, CAST(p_size AS VARCHAR) || 'x' AS word, CAST(p_size AS BIGINT) AS last_of_two, p_size / 4.0::DOUBLE AS ratio, CAST(NULL AS BIGINT) AS wrong_type,
+  CASE WHEN p_partkey * 3 < 65536 THEN p_partkey * 3 END AS u16_or_null, p_partkey * 3 AS u32, p_partkey * 3 AS u64, CAST(2 * p_size AS BIGINT) AS pair_sum, CAST([1, 2, 4, 8][p_partkey % 4 + 1] AS INTEGER) AS sample_bytes
+FROM part
+""")
+def tag_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of every numeric field type, cast to each target; of two entries of one tag the last counts."""
+    size, key = F.col("p_size").cast("bigint"), F.col("p_partkey")
+
+    def entry(tag: int, kind: int, *numbers: Column, text: Column | None = None) -> Column:
+        longs = F.array(*numbers) if kind not in (2, 11, 12) else F.lit(None).cast("array<bigint>")
+        doubles = F.array(*numbers) if kind in (11, 12) else F.lit(None).cast("array<double>")
+        return F.struct(F.lit(tag).alias("tag"), F.lit(kind).alias("type"), F.lit(len(numbers)).cast("bigint").alias("count"), longs.alias("longs"), doubles.alias("doubles"), (F.lit(None).cast("string") if text is None else text).alias("text"))
+
+    held = F.array(
+        entry(1, 1, size), entry(2, 6, size - 25), entry(3, 8, size * 100 - 2500, key % 1000), entry(4, 9, key - 1000), entry(5, 17, key * 1000000000), entry(6, 11, size.cast("double") / 4),
+        entry(7, 12, size.cast("double") / 8, key.cast("double") / 2), entry(8, 2, text=F.concat(size.cast("string"), F.lit("x"))), entry(9, 3, F.lit(1).cast("bigint")), entry(9, 3, size),
+        entry(10, 10, size, F.lit(4).cast("bigint")), entry(11, 4, key * 3), entry(12, 18, key * 3), entry(13, 5, size, size),
+    )
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_size", held.alias("entries"))
+    e, one = (lambda tag: values.entry("entries", tag)), values.number
+    total = lambda tag, kind: F.aggregate(values.numbers(e(tag), kind), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    bits = F.element_at(F.array(*map(F.lit, (8, 16, 32, 64))), (key % 4 + 1).cast("int"))
+    return rows.select(
+        "p_partkey", one(e(1), "u8").alias("u8"), one(e(2), "i8").alias("i8"), F.element_at(values.numbers(e(3), "i16"), 1).alias("i16"), total(3, "i16").alias("i16_sum"), one(e(4), "i32").alias("i32"), one(e(5), "i64").alias("i64"),
+        one(e(6), "f32").alias("f32"), F.element_at(values.numbers(e(7), "f64"), 2).alias("f64_second"), values.text(e(8)).alias("word"), one(e(9), "u16").alias("last_of_two"), values.rational(e(10)).alias("ratio"), one(e(2), "u8", False).alias("wrong_type"),
+        one(e(11), "u16", False).alias("u16_or_null"), one(e(11), "u32").alias("u32"), one(e(12), "u64").alias("u64"), total(13, "u32").alias("pair_sum"), values.type_size(values.pixel_type(F.array(F.lit(1)), F.array(bits))).alias("sample_bytes"),
+    )
