@@ -18,4 +18,4 @@ class UnsupportedCompression(RasterError):
 
 
 class UnsupportedLayout(RasterError):
-    """The pixel layout can't be decoded: strips, mixed or odd sample types."""
+    """The pixel layout can't be decoded: mixed or odd sample types."""

@@ -91,12 +91,17 @@ def samples(content: bytes, t: dict, decoders: dict[int, Decoder]) -> np.ndarray
         raise UnsupportedCompression(f"compression {t['compression']}")
     if t["dtype"] is None:
         raise UnsupportedLayout("samples of no single known type")
-    height, width, n = t["tile_height"], t["tile_width"], 1 if t["band"] is not None else t["samples_per_pixel"]
+    height, width, n = t.get("held_rows") or t["tile_height"], t["tile_width"], 1 if t["band"] is not None else t["samples_per_pixel"]
     data = decoders[t["compression"]](content, t)
     order = "=" if t["compression"] in NATIVE_ORDER else "<" if t["endianness"] == "little" else ">"
     if t["dtype"] == "bool":
         if (t["predictor"] or 1) != 1:
             raise UnsupportedLayout("a predictor on single bits")
+        if t.get("held_rows"):  # the rows of strips begin with a byte each
+            row = -(-width * n // 8)
+            if len(data) < height * row:
+                raise UnsupportedLayout("too few bytes of bits")
+            return np.unpackbits(np.frombuffer(data, np.uint8, height * row).reshape(height, row), axis=1, count=width * n).astype(bool).reshape(height, width, n)
         count = height * width * n
         if len(data) < -(-count // 8):
             raise UnsupportedLayout("too few bytes of bits")

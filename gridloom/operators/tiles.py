@@ -20,11 +20,18 @@ def tiles(directories: DataFrame, *keep: str) -> DataFrame:
     """path, ifd_idx, x, y, band, start, stop and the parameters: a row for each tile; band is null unless the bands lie apart.
 
     Tile k of a band is at (k mod across, k div across); a band's tiles follow the
-    band's before. Tiles beyond the grid and directories of strips give no row.
+    band's before. Tiles beyond the grid give no row. Strips are tiles as wide as the image, of
+    rows_per_strip rows; held_rows, null for tiles, has the rows of each, as the last strip may be short.
     """
-    at = grid(directories).where("tile_offsets is not null and tile_byte_counts is not null")
+    strips = F.col("tile_offsets").isNull() & F.col("strip_offsets").isNotNull()
+    rows = F.least(F.coalesce("rows_per_strip", "image_height"), F.col("image_height"))
+    either = {
+        "_stripped": strips, "tile_width": F.when(strips, F.col("image_width")).otherwise(F.col("tile_width")), "tile_height": F.when(strips, rows).otherwise(F.col("tile_height")),
+        "tile_offsets": F.coalesce("tile_offsets", "strip_offsets"), "tile_byte_counts": F.when(strips, F.col("strip_byte_counts")).otherwise(F.col("tile_byte_counts")),
+    }
+    at = grid(directories.withColumns(either)).where("tile_offsets is not null and tile_byte_counts is not null")
     cols = ["path", "ifd_idx", *PARAMETERS, *keep]
-    each = at.select(*cols, "tiles_across", "tiles_down", F.posexplode(F.arrays_zip("tile_offsets", "tile_byte_counts")).alias("k", "r"))
+    each = at.select(*cols, "_stripped", "tiles_across", "tiles_down", F.posexplode(F.arrays_zip("tile_offsets", "tile_byte_counts")).alias("k", "r"))
     apart, a_band = F.col("planar_configuration") == 2, F.col("tiles_across") * F.col("tiles_down")
     each = each.where(F.col("k") < F.when(apart, a_band * F.col("samples_per_pixel")).otherwise(a_band))
     in_band = F.col("k") % a_band
@@ -33,6 +40,7 @@ def tiles(directories: DataFrame, *keep: str) -> DataFrame:
         (in_band % F.col("tiles_across")).cast("int").alias("x"),
         F.floor(in_band / F.col("tiles_across")).cast("int").alias("y"),
         F.when(apart, F.floor(F.col("k") / a_band).cast("int")).alias("band"),
+        F.when(F.col("_stripped"), F.least(F.col("tile_height"), F.col("image_height") - F.floor(in_band / F.col("tiles_across")) * F.col("tile_height")).cast("int")).alias("held_rows"),
         F.col("r.tile_offsets").alias("start"),
         (F.col("r.tile_offsets") + F.col("r.tile_byte_counts")).alias("stop"),
     )
@@ -43,7 +51,7 @@ def with_masks(images: DataFrame, masks: DataFrame) -> DataFrame:
 
     A file has one mask directory, of the same grid; tiles without a mask are left out.
     """
-    own = masks.select("path", "x", "y", F.struct("start", "stop", "compression", "predictor", "dtype", "endianness", "tile_width", "tile_height", "samples_per_pixel", "band").alias("mask"))
+    own = masks.select("path", "x", "y", F.struct("start", "stop", "compression", "predictor", "dtype", "endianness", "tile_width", "tile_height", "samples_per_pixel", "band", "held_rows").alias("mask"))
     return images.join(own, ["path", "x", "y"])
 
 

@@ -488,3 +488,11 @@ def tag_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
         one(e(6), "f32").alias("f32"), F.element_at(values.numbers(e(7), "f64"), 2).alias("f64_second"), values.text(e(8)).alias("word"), one(e(9), "u16").alias("last_of_two"), values.rational(e(10)).alias("ratio"), one(e(2), "u8", False).alias("wrong_type"),
         one(e(11), "u16", False).alias("u16_or_null"), one(e(11), "u32").alias("u32"), one(e(12), "u64").alias("u64"), total(13, "u32").alias("pair_sum"), values.type_size(values.pixel_type(F.array(F.lit(1)), F.array(bits))).alias("sample_bytes"),
     )
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey // 64 % 512 BETWEEN 40 AND 79")
+def raster_strips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of strips instead of tiles; of each, the strips that hold some rows are read."""
+    r = stored(table(spark, sf_dir, "orders"), "o_orderkey", ["o_totalprice"], Layout("float64", strip=20, compression="lzw", predictor=3))
+    p = r.pixels(of_main(r).where("y between 2 and 3"), keep=TIE)
+    return p.where("value != 0").select(place(p).alias("o_orderkey"), F.col("value").alias("o_totalprice"))

@@ -41,6 +41,8 @@ class Layout:
     code: int = 0
     xor: int = 0
     extra: dict[int, str] = field(default_factory=dict)
+    #: Rows of a strip; 0 writes tiles.
+    strip: int = 0
     #: Side of a pixel, and the map place of the first row's outer corner; 0 leaves the raster without a scale, and its tie point has its first row.
     scale: float = 0.0
     left: float = 0.0
@@ -59,6 +61,11 @@ def _tiled(image: np.ndarray, how: Layout, order: str) -> list[bytes]:
     """The compressed tiles of (height, width, samples), padded with 0."""
     encode = ENCODERS[how.compression][1]
     height, width, _ = image.shape
+    if how.strip:
+        bits = lambda t: np.packbits(t.reshape(len(t), -1), axis=1).tobytes()
+        bands = np.split(image, image.shape[2], axis=2) if how.planar else [image]
+        parts = [np.ascontiguousarray(b[y : y + how.strip]) for b in bands for y in range(0, height, how.strip)]
+        return [encode(bits(t) if t.dtype == bool else predicted(t, how.predictor, order)) for t in parts]
     padded = np.pad(image, ((0, -height % how.tile), (0, -width % how.tile), (0, 0)))
     out = []
     for part in np.split(padded, image.shape[2], axis=2) if how.planar else [padded]:
@@ -80,18 +87,18 @@ def encoded(image: np.ndarray, how: Layout, first_row: int = 0, mask: np.ndarray
     out = bytearray((b"MM" if how.big_endian else b"II") + head)
     for k, (page, subtype) in enumerate(pages):
         bit = page.dtype == bool
-        own = Layout(dtype="bool", tile=how.tile, compression=how.compression) if bit else how
+        own = Layout(dtype="bool", tile=how.tile, strip=how.strip, compression=how.compression) if bit else how
         parts = _tiled(page, own, order)
         n = page.shape[2]
         formats = {"u": 1, "i": 2, "f": 3, "b": 1}[page.dtype.kind]
         code = own.code or ENCODERS[own.compression][0]
         sizes = [len(p) for p in parts]
-        big = 16 if how.bigtiff else 4
+        big, at = 16 if how.bigtiff else 4, 273 if how.strip else 324
         entries = [
             _entry(254, 4, [subtype], order), _entry(256, 4, [page.shape[1]], order), _entry(257, 4, [page.shape[0]], order),
             _entry(258, 3, [1 if bit else page.dtype.itemsize * 8] * n, order), _entry(259, 3, [code], order), _entry(262, 3, [4 if bit else how.photometric], order),
             _entry(277, 3, [n], order), _entry(284, 3, [2 if own.planar else 1], order), _entry(317, 3, [own.predictor], order),
-            _entry(322, 4, [how.tile], order), _entry(323, 4, [how.tile], order), _entry(324, big, [0] * len(parts), order), _entry(325, big, sizes, order),
+            *([_entry(278, 4, [how.strip], order)] if how.strip else [_entry(322, 4, [how.tile], order), _entry(323, 4, [how.tile], order)]), _entry(at, big, [0] * len(parts), order), _entry(279 if how.strip else 325, big, sizes, order),
             _entry(339, 3, [formats] * n, order), _entry(33922, 12, [0.0, 0.0, 0.0, how.left, how.top - first_row * how.scale if how.scale else float(first_row), 0.0], order),
         ]
         if how.colormap and not bit:
@@ -113,7 +120,7 @@ def encoded(image: np.ndarray, how: Layout, first_row: int = 0, mask: np.ndarray
                 place += len(raw)
         place += place % 2
         starts = [place + sum(sizes[:i]) for i in range(len(sizes))] if len(sizes) < 64 else (place + np.concatenate(([0], np.cumsum(sizes)[:-1]))).tolist()
-        entries = [_entry(324, big, starts, order) if e[0] == 324 else e for e in entries]
+        entries = [_entry(at, big, starts, order) if e[0] == at else e for e in entries]
         stop = place + sum(sizes)
         stop += stop % 2
         out += struct.pack(order + ("Q" if how.bigtiff else "H"), len(entries))

@@ -297,3 +297,21 @@ def test_codes_are_enums():
     with pytest.raises(ValueError):
         gridloom.Predictor(9)
     assert all(hasattr(gridloom, name) for name in gridloom.__all__)
+
+
+def test_strips(spark, tmp_path):
+    images = {}
+    for k, (planar, big, predictor, strip) in enumerate([(False, False, 1, 7), (True, False, 2, 10), (False, True, 2, 37), (True, True, 1, 1)]):
+        images[k] = np.random.default_rng(k).integers(0, 9999, (37, 45, 2)).astype("u2")
+        mask = np.random.default_rng(k).random((37, 45, 1)) < 0.5
+        (tmp_path / f"{k}.tif").write_bytes(encoded(images[k], Layout("uint16", bands=2, strip=strip, planar=planar, big_endian=big, bigtiff=big, predictor=predictor, compression="zstd", mask=True), 0, mask))
+    r = Raster.open(spark, str(tmp_path))
+    t = r.tiles()
+    assert t.where("path like '%0.tif' and ifd_idx = 0").select("y", "held_rows").orderBy("y").collect()[-1] == (5, 2)
+    whole = {k: np.zeros_like(v) for k, v in images.items()}
+    for p in r.pixels(t.where("ifd_idx = 0"), "bigint").collect():
+        whole[int(p["path"][-5])][p["row"], p["col"], p["band"]] = p["value"]
+    assert all(np.array_equal(whole[k], images[k]) for k in images)
+    assert {p["row"] for p in r.pixels(t.where("ifd_idx = 0 and y = 5 and path like '%0.tif'")).collect()} == {35, 36}
+    seen = r.pixels(tiles.with_masks(t.where("ifd_idx = 0 and path like '%0.tif'"), t.where("dtype = 'bool'")), "bigint").count()
+    assert seen == 2 * int((np.random.default_rng(0).random((37, 45, 1)) < 0.5).sum())
