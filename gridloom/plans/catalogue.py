@@ -152,7 +152,7 @@ def raster_geo_epsg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey // 32768 AS file, CAST(1 AS INTEGER) AS ifd_count, true AS ok FROM part GROUP BY 1")
 def raster_header_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Directories read again with header_byte_size as prefetch need no further fetch."""
+    """header_byte_size, from the directories, is where the first tile begins, by the relation tiles."""
     r = stored(table(spark, sf_dir, "part"), "p_partkey", ["p_size"], Layout("uint8"))
     first = r.tiles().groupBy("path").agg(F.min("start").alias("least"))
     file = F.regexp_extract("path", r"part-(\d+)", 1).cast("bigint")
