@@ -38,7 +38,7 @@ LEAST_VALUE = 8
 
 # Context words, common password words by rank, and keyboard rows.
 CONTEXT = re.compile(
-    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|api[_-]?key|access[_-]?key|private[_-]?key|auth|login|bearer)["']?\x20*(?:[:=]|\x20is\x20)\x20*["']?([^\s"'<>]+)""",
+    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|api[_-]?key|access[_-]?key|private[_-]?key|auth|login|bearer)(?:[_-][a-z0-9]{1,32}){0,4}["']?(?:\s*(?:=>|:=|[:=])\s*|\x20+is\x20+)["']?([^\s"'<>]+)""",
     re.IGNORECASE | re.ASCII,
 )
 FIXED = (

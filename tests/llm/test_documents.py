@@ -49,6 +49,17 @@ def test_secrets(docs, no_docs, rows):
     assert sum(r["n_guess"] for v in by_text.values() for r in v) >= 2, "beside base spans too"
 
 
+@pytest.mark.parametrize("said", ["secret_key: %s", "SECRET_KEY=%s", "AWS_SECRET_ACCESS_KEY = '%s'", "password:\t%s", "token =\n  %s", "'api-key' => \"%s\"", "passwd := %s", "my pwd is %s", "auth_token_v2:%s", "Bearer=%s"])
+def test_contexts(said):
+    value = "x9Kq-72Lm_pZ"
+    assert [m[1] for m in secrets.CONTEXT.finditer("words before " + said % value + " and after")] == [value]
+
+
+def test_contexts_of_no_credentials():
+    for said in ("author: Somebody", "the secret of the garden", "passage = text", "logins and tokens", "token " + " " * 9999 + "x"):
+        assert not secrets.CONTEXT.search(said)
+
+
 def test_the_dictionary_is_ranked_by_the_corpus(docs, rows):
     counts = Counter(w for r in rows for w in re.split("[\x00-\x40\x5b-\x60\x7b-\x7f]", lowered(r[1])) if re.fullmatch("[a-z]{3,20}", w))
     assert secrets.dictionary(docs, 50) == sorted(counts, key=lambda w: (-counts[w], w))[:50]
