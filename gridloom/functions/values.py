@@ -53,12 +53,12 @@ def rational(e: Column, strict: bool = True) -> Column:
     return F.when(e.isNull(), None).when(e["type"].isin(5, 10), F.try_divide(n.cast("double"), d.cast("double"))).otherwise(_type_error(e, "rational", "double", strict))
 
 
-def pixel_type(formats: Column, bits: Column) -> Column:
-    """bool, uint8 ... float64 when all samples have one format and width that make a type; else null."""
+def pixel_type(formats: Column, bits: Column, half: bool = False) -> Column:
+    """bool, uint8 ... float64 when all samples have one format and width that make a type; else null. With half, floats of 16 bits are one."""
     kind, width = F.get(formats, F.lit(0)), F.get(bits, F.lit(0))
     one = F.forall(formats, lambda x: x == kind) & F.forall(bits, lambda x: x == width)
     named = F.when((kind == 1) & (width == 1), "bool")
-    for code, name, widths in ((1, "uint", (8, 16, 32, 64)), (2, "int", (8, 16, 32, 64)), (3, "float", (32, 64))):
+    for code, name, widths in ((1, "uint", (8, 16, 32, 64)), (2, "int", (8, 16, 32, 64)), (3, "float", (16, 32, 64) if half else (32, 64))):
         named = named.when((kind == code) & width.isin(*widths), F.concat(F.lit(name), width.cast("string")))
     return F.when(one, named)
 

@@ -64,7 +64,7 @@ def ifds(scanned: DataFrame, mode: str = "FAILFAST") -> DataFrame:
     return out.withColumn("missing", missing).withColumns(
         {
             "compression_name": named("compression", COMPRESSION),
-            "dtype": pixel_type(F.col("sample_format"), F.col("bits_per_sample")),
+            "dtype": pixel_type(F.col("sample_format"), F.col("bits_per_sample"), half=True),
             "epsg": epsg("geo_key_directory"),
             "taken_at": F.try_to_timestamp("date_time", F.lit("yyyy:MM:dd HH:mm:ss")),
         }

@@ -11,9 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import geo, names, values
+from ..functions import geo, names, values, variants, xml
 from ..functions.aggregates import band_statistics, histogram
-from ..operators import decode, joins, mosaic, predictors, spatial, temporal, tiles, zones
+from ..operators import decode, joins, mosaic, predictors, pyramid, spatial, temporal, tiles, zones
 from ..sources import raster_writer as writer
 from ..sources.raster_writer import Layout
 from ..sources.storage import importable, shared_path
@@ -496,3 +496,121 @@ def raster_strips(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = stored(table(spark, sf_dir, "orders"), "o_orderkey", ["o_totalprice"], Layout("float64", strip=20, compression="lzw", predictor=3))
     p = r.pixels(of_main(r).where("y between 2 and 3"), keep=TIE)
     return p.where("value != 0").select(place(p).alias("o_orderkey"), F.col("value").alias("o_totalprice"))
+
+
+def file_number() -> Column:
+    return F.regexp_extract("path", r"part-(\d+)", 1).cast("bigint")
+
+
+@query("""
+WITH p AS (SELECT p_size, p_partkey // 32768 AS file, p_partkey // 64 % 512 AS r, p_partkey % 64 AS c FROM part), l AS (SELECT unnest([1, 2, 3, 4]) AS level)
+SELECT file, CAST(level AS INTEGER) AS level, r >> level AS row, c >> level AS col, avg(p_size) AS mean, CAST(count(*) AS BIGINT) AS n FROM p, l GROUP BY ALL
+""")
+def raster_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four levels, each made from the one before; means of the pixels with data, and their number."""
+    r = stored(table(spark, sf_dir, "part"), "p_partkey", ["p_size"], Layout("int32", tile=48, compression="zstd", predictor=2))
+    p = pyramid.pyramid_pixels(pyramid.pyramid(of_main(r), levels=4, tile=16, nodata=0.0))
+    return p.select(file_number().alias("file"), "level", "row", "col", F.col("value").alias("mean"), "n")
+
+
+@query("""
+WITH p AS (SELECT p_size, p_partkey // 32768 AS file, p_partkey // 64 % 512 AS r, p_partkey % 64 AS c FROM part)
+SELECT file, CAST(2 AS INTEGER) AS level, r // 4 AS row, c // 4 AS col, CAST(max(p_size) AS DOUBLE) AS most FROM p GROUP BY ALL
+""")
+def raster_level_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greatest values at 45 map units, of pixels of 10: the level of 40 is read."""
+    r = stored(table(spark, sf_dir, "part"), "p_partkey", ["p_size"], Layout("uint8", scale=10.0))
+    made = pyramid.pyramid(of_main(r), levels=3, tile=32, statistic="most", nodata=0.0)
+    p = pyramid.pyramid_pixels(pyramid.of_resolution(made, r.ifds, 45.0), "most")
+    return p.select(file_number().alias("file"), "level", "row", "col", F.col("value").alias("most"))
+
+
+ITEMS = "<GDALMetadata>{}</GDALMetadata>".format(
+    '<Item name="TITLE">parts &amp; sizes</Item><Item name="SCALE" sample="0" role="scale">0.5</Item><Item name="OFFSET" sample="0" role="offset">10</Item>'
+    '<Item name="SCALE" sample="1" role="scale">-2</Item><Item name="SENSOR" domain="IMAGERY">x1</Item>'
+)
+
+
+@query("SELECT p_partkey, CAST(0 AS INTEGER) AS band, p_size * 0.5::DOUBLE + 10 AS value FROM part UNION ALL SELECT p_partkey, 1, p_partkey % 100 * -2.0::DOUBLE FROM part WHERE p_partkey % 100 > 0")
+def raster_calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Physical values by the scale, offset and nodata that the files' metadata have for each band."""
+    r = stored(table(spark, sf_dir, "part"), "p_partkey", ["p_size", F.col("p_partkey").cast("int") % 100], Layout("int16", bands=2, extra={42112: ITEMS, 42113: "0"}))
+    p = r.physical(r.calibrated_tiles("model_tiepoint").where("ifd_idx = 0"), TIE)
+    return p.select(place(p).alias("p_partkey"), "band", "value")
+
+
+@query("""
+SELECT DISTINCT p_partkey // 32768 AS file, i.domain, i.item, CAST(i.sample AS INTEGER) AS sample, i.role, i.value FROM part, (VALUES ('', 'TITLE', NULL, NULL, 'parts & sizes'), ('', 'SCALE', 0, 'scale', '0.5'),
+  ('', 'OFFSET', 0, 'offset', '10'), ('', 'SCALE', 1, 'scale', '-2'), ('IMAGERY', 'SENSOR', NULL, NULL, 'x1')) i(domain, item, sample, role, value)
+""")
+def raster_metadata_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = stored(table(spark, sf_dir, "part"), "p_partkey", ["p_size"], Layout("uint8", extra={42112: ITEMS}))
+    return xml.metadata(r.ifds).select(file_number().alias("file"), "domain", "item", "sample", "role", "value")
+
+
+OME = (
+    '<?xml version="1.0" encoding="UTF-8"?><OME xmlns="http://www.openmicroscopy.org/Schemas/OME/2016-06"><Image ID="Image:0" Name="parts"><Pixels ID="Pixels:0" Type="int32" DimensionOrder="XYCZT" SizeX="64" SizeY="512" SizeZ="1" SizeC="2" SizeT="1" PhysicalSizeX="0.25" PhysicalSizeXUnit="um">'
+    '<Channel ID="Channel:0:0" Name="size"/><Channel ID="Channel:0:1" Name="half size"/><TiffData IFD="0" FirstC="0" PlaneCount="1"/><TiffData IFD="1" FirstC="1"/></Pixels></Image></OME>'
+)
+
+
+@query("""
+SELECT c.name, p_partkey, CAST(p_size AS BIGINT) AS value FROM part, (VALUES ('size', 0)) c(name, k)
+UNION ALL SELECT 'half size', p_partkey, CAST(p_size AS BIGINT) FROM part WHERE p_partkey % 64 % 2 = 0 AND p_partkey // 64 % 512 % 2 = 0
+""")
+def raster_ome_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels by the name of their channel: the OME text of the first directory says which directory holds which."""
+    r = stored(table(spark, sf_dir, "part"), "p_partkey", ["p_size"], Layout("int32", overview=True, extra={270: OME}))
+    first = r.ifds.where("ifd_idx = 0")
+    planes = xml.ome_planes(first).join(xml.ome_channels(first).withColumnRenamed("channel", "first_c"), ["path", "ifd_idx", "image", "first_c"])
+    t = r.tiles("model_tiepoint").join(planes.select("path", F.col("plane_ifd").alias("ifd_idx"), "name"), ["path", "ifd_idx"])
+    p = r.pixels(t, "bigint", (*TIE, "name")).where("value > 0")
+    step = F.when(F.col("ifd_idx") == 0, 1).otherwise(2)
+    key = (F.col("row") * step + F.element_at("model_tiepoint", 5).cast("bigint")) * 64 + F.col("col") * step
+    return p.select("name", key.alias("p_partkey"), "value")
+
+
+#: Private tags of every field type.
+PRIVATE = {
+    65000: (1, (7,)), 65001: (6, (-3, 4)), 65002: (8, (-300,)), 65003: (9, (-70000, 70000)), 65004: (17, (-(2**40),)), 65005: (16, (2**63 + 5,)), 65006: (11, (0.5,)), 65007: (12, (1.25, -2.5)),
+    65008: (5, (3, 4)), 65009: (10, (-1, 2, 1, 0)), 65010: "some text", 65011: (4, (4000000000,)), 65012: (3, (1, 2, 3)), 65013: (7, (0, 255)),
+}
+
+
+@query("""
+WITH f AS (SELECT p_partkey // 32768 AS file, max(p_partkey) // 64 - p_partkey // 32768 * 512 + 1 AS height FROM part GROUP BY 1)
+SELECT file, t.tag, t.number, t.text, t.json FROM f, (VALUES (65000, 7, '7', '7'), (65001, NULL, '[-3,4]', '[-3,4]'), (65002, -300, '-300', '-300'), (65003, NULL, '[-70000,70000]', '[-70000,70000]'), (65004, -1099511627776, '-1099511627776', '-1099511627776'),
+  (65005, NULL, '9223372036854775813', '9223372036854775813'), (65006, 0, '0.5', '0.5'), (65007, NULL, '[1.25,-2.5]', '[1.25,-2.5]'), (65008, 0, '0.75', '0.75'), (65009, NULL, '[-0.5,null]', '[-0.5,null]'), (65010, NULL, 'some text', '"some text"'),
+  (65011, 4000000000, '4000000000', '4000000000'), (65012, NULL, '[1,2,3]', '[1,2,3]'), (65013, NULL, '[0,255]', '[0,255]')) t(tag, number, text, json)
+UNION ALL SELECT file, 257, height, CAST(height AS VARCHAR), CAST(height AS VARCHAR) FROM f
+""")
+def raster_tag_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of private tags and of a known one as VARIANT, cast where they can be; an array's cast to text is its JSON."""
+    r = stored(table(spark, sf_dir, "part"), "p_partkey", ["p_size"], Layout("uint8", big_endian=True, bigtiff=True, extra=PRIVATE))
+    v = variants.tag_values(r.tags).where("tag = 257 or tag >= 65000")
+    return v.select(file_number().alias("file"), "tag", F.try_variant_get("value", "$", "bigint").alias("number"), F.try_variant_get("value", "$", "string").alias("text"), F.to_json("value").alias("json"))
+
+
+@query("""
+WITH f AS (SELECT p_partkey // 32768 AS file, max(p_partkey) // 64 - p_partkey // 32768 * 512 + 1 AS h, max(CASE WHEN p_size < 40 THEN p_partkey END) // 64 - p_partkey // 32768 * 512 + 1 AS g FROM part GROUP BY 1)
+SELECT file, 305 AS tag, 'software' AS tag_name, '"one"' AS "left", '"two"' AS "right" FROM f UNION ALL SELECT file, 315, 'artist', NULL, '"me"' FROM f UNION ALL SELECT file, 257, 'image_height', CAST(h AS VARCHAR), CAST(g AS VARCHAR) FROM f WHERE g <> h
+""")
+def raster_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What differs between the directories of two copies of the same images."""
+    part = table(spark, sf_dir, "part")
+    own = lambda rows, extra: variants.tag_values(stored(rows, "p_partkey", ["p_size"], Layout("uint8", extra=extra)).tags).withColumn("file", file_number())
+    return variants.differences(own(part, {305: "one"}), own(part.where("p_size < 40"), {305: "two", 315: "me"}), ["file", "ifd_idx"]).drop("ifd_idx")
+
+
+@query("SELECT o_orderkey, o_totalprice, CAST(o_custkey AS DOUBLE) AS o_custkey FROM orders")
+def raster_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows written by the sink, whose commit shows all files at once, and read back."""
+    from ..sources.sink import Rasters, arranged
+
+    spark.dataSource.register(Rasters)
+    folder = shared_path(spark, "raster")
+    own = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("bigint").alias("key"), F.array("o_totalprice", F.col("o_custkey").cast("double")).alias("values"))
+    arranged(own, Layout("float64", bands=2)).write.format("raster").options(path=folder, dtype="float64", bands=2, compression="zstd", predictor=3, big_endian=True).mode("append").save()
+    r = Raster.open(spark, f"{folder}/*.tif")
+    b = joins.banded(r.pixels(of_main(r)), ["o_totalprice", "o_custkey"]).where("o_totalprice > 0")
+    return b.select(((file_number() * 512 + F.col("row")) * 64 + F.col("col")).alias("o_orderkey"), "o_totalprice", "o_custkey")

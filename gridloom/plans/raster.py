@@ -8,7 +8,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import decode, directories, tiles, zones
+from ..functions import variants, xml
+from ..operators import decode, directories, pyramid, tiles, zones
 from ..operators.codecs import Decoder
 from ..sources.scan import scan
 from ..sources.storage import Read, importable, range_reader
@@ -62,6 +63,28 @@ class Raster:
     def tiles(self, *keep: str) -> DataFrame:
         return tiles.tiles(self.ifds, *keep)
 
+    @cached_property
+    def values(self) -> DataFrame:
+        """path, ifd_idx, tag, tag_name, value: each tag's value as VARIANT."""
+        return variants.tag_values(self.tags)
+
+    @cached_property
+    def metadata(self) -> DataFrame:
+        """The items of GDAL's metadata."""
+        return xml.metadata(self.ifds)
+
+    def calibrated_tiles(self, *keep: str) -> DataFrame:
+        """Tiles with nodata, scales and offsets, for `physical`."""
+        return tiles.tiles(xml.calibrated(self.ifds), "nodata", "scales", "offsets", *keep)
+
+    def physical(self, chosen: DataFrame, keep: tuple[str, ...] = (), decoders: dict[int, Decoder] | None = None) -> DataFrame:
+        """Pixels of calibrated tiles in the units of what they measure, without those of nodata."""
+        return xml.physical(self.pixels(chosen, keep=("nodata", "scales", "offsets", *keep), decoders=decoders))
+
+    def pyramid(self, chosen: DataFrame, levels: int | None = None, tile: int = 256, statistic: str = "mean", nodata: float | None = None) -> DataFrame:
+        """The tiles of the reduced levels of some images."""
+        return pyramid.pyramid(chosen, levels, tile, statistic, nodata, self.reader)
+
     def requested(self, wanted: list[tuple[str, int, int, int]] | DataFrame, decoders: dict[int, Decoder] | None = None) -> DataFrame:
         """The decoded tiles of requests (path, ifd_idx, x, y), with the ordinal of each; sort by it for their order.
 

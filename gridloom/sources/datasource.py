@@ -103,7 +103,7 @@ def kind_of(formats: list[int], bits: list[int]) -> str | None:
     if kind == 1 and width == 1:
         return "bool"
     name = {1: "uint", 2: "int", 3: "float"}.get(kind)
-    return f"{name}{width}" if name and width in ((32, 64) if kind == 3 else (8, 16, 32, 64)) else None
+    return f"{name}{width}" if name and width in ((16, 32, 64) if kind == 3 else (8, 16, 32, 64)) else None
 
 
 def tiles_of(path: str, directory: dict) -> Iterator[dict]:

@@ -40,7 +40,8 @@ class Layout:
     #: Replaces the compression's code and bytes, for custom decoders.
     code: int = 0
     xor: int = 0
-    extra: dict[int, str] = field(default_factory=dict)
+    #: Further tags: a text, or a field type and its numbers (of rationals numerator and denominator in turn).
+    extra: dict[int, str | tuple[int, tuple]] = field(default_factory=dict)
     #: Rows of a strip; 0 writes tiles.
     strip: int = 0
     #: Side of a pixel, and the map place of the first row's outer corner; 0 leaves the raster without a scale, and its tie point has its first row.
@@ -53,8 +54,8 @@ def _entry(tag: int, kind: int, values, order: str) -> tuple[int, int, int, byte
     if kind == 2:
         raw = values.encode() + b"\0"
         return tag, kind, len(raw), raw
-    letter = {1: "B", 3: "H", 4: "I", 12: "d", 16: "Q"}[kind]
-    return tag, kind, len(values), struct.pack(f"{order}{len(values)}{letter}", *values)
+    letter = {1: "B", 3: "H", 4: "I", 5: "I", 6: "b", 7: "B", 8: "h", 9: "i", 10: "i", 11: "f", 12: "d", 16: "Q", 17: "q"}[kind]
+    return tag, kind, len(values) // (2 if kind in (5, 10) else 1), struct.pack(f"{order}{len(values)}{letter}", *values)
 
 
 def _tiled(image: np.ndarray, how: Layout, order: str) -> list[bytes]:
@@ -108,7 +109,7 @@ def encoded(image: np.ndarray, how: Layout, first_row: int = 0, mask: np.ndarray
             entries.append(_entry(33550, 12, [side, side, 0.0], order))
         if how.epsg:
             entries.append(_entry(34735, 3, [1, 1, 0, 2, 1024, 0, 1, 1, 3072, 0, 1, how.epsg], order))
-        entries += [_entry(t, 2, v, order) for t, v in how.extra.items()]
+        entries += [_entry(t, *((2, v) if isinstance(v, str) else v), order) for t, v in how.extra.items()]
         entries.sort()
         # The directory, then values that don't fit into it, then tiles.
         size = struct.calcsize(order + ("Q" if how.bigtiff else "H")) + len(entries) * (20 if how.bigtiff else 12) + pad
@@ -136,26 +137,40 @@ def encoded(image: np.ndarray, how: Layout, first_row: int = 0, mask: np.ndarray
     return bytes(out)
 
 
+class Canvas:
+    """One file's image, as its rows come."""
+
+    def __init__(self, file: int, how: Layout) -> None:
+        self.file, self.how, self.last = file, how, 0
+        self.size = how.width * how.rows
+        self.image, self.bits = np.zeros((self.size, how.bands), how.dtype), np.zeros((self.size, 1), bool)
+
+    def add(self, b: pa.RecordBatch) -> None:
+        if not b.num_rows:
+            return
+        at = b.column("key").to_numpy() - self.file * self.size
+        values = b.column("values").flatten().to_numpy(zero_copy_only=False).reshape(-1, self.how.bands)
+        self.image[at] = values.astype(self.how.dtype)
+        if self.how.mask:
+            self.bits[at, 0] = b.column("masked").to_numpy(zero_copy_only=False)
+        self.last = max(self.last, int(at.max()))
+
+    def encoded(self) -> bytes:
+        how, height = self.how, self.last // self.how.width + 1
+        shaped = lambda x: x[: height * how.width].reshape(height, how.width, -1)
+        return encoded(shaped(self.image), how, self.file * how.rows, shaped(self.bits) if how.mask else None)
+
+
 def write(rows: DataFrame, folder: str, how: Layout) -> DataFrame:
     """Writes rows (key, values array, and masked boolean if the layout has a mask); returns file, bytes. Keys are 0 or more."""
     importable(rows.sparkSession)
-    a_file = how.width * how.rows
 
     def one(key: tuple, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = key[0].as_py()
-        image, bits = np.zeros((a_file, how.bands), how.dtype), np.zeros((a_file, 1), bool)
-        last = 0
+        canvas = Canvas(key[0].as_py(), how)
         for b in it:
-            at = b.column("key").to_numpy() - k * a_file
-            values = b.column("values").flatten().to_numpy(zero_copy_only=False).reshape(-1, how.bands)
-            image[at] = values.astype(how.dtype)
-            if how.mask:
-                bits[at, 0] = b.column("masked").to_numpy(zero_copy_only=False)
-            last = max(last, int(at.max()))
-        height = last // how.width + 1
-        shaped = lambda x: x[: height * how.width].reshape(height, how.width, -1)
-        data = encoded(shaped(image), how, k * how.rows, shaped(bits) if how.mask else None)
-        write_file(folder, f"part-{k:08d}.tif", data)
-        yield pa.RecordBatch.from_pydict({"file": [k], "bytes": [len(data)]})
+            canvas.add(b)
+        data = canvas.encoded()
+        write_file(folder, f"part-{canvas.file:08d}.tif", data)
+        yield pa.RecordBatch.from_pydict({"file": [canvas.file], "bytes": [len(data)]})
 
-    return rows.withColumn("file", F.floor(F.col("key") / a_file).cast("bigint")).groupBy("file").applyInArrow(one, "file bigint, bytes bigint")
+    return rows.withColumn("file", F.floor(F.col("key") / (how.width * how.rows)).cast("bigint")).groupBy("file").applyInArrow(one, "file bigint, bytes bigint")
