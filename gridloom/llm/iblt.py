@@ -24,8 +24,6 @@ differs in many. An empty table gives no row; further columns are ignored.
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,32 +51,42 @@ def place(digest: Column, table: int, cells: Column) -> Column:
     return F.pmod(F.xxhash64(digest, F.lit(table), cells), cells).cast("int")
 
 
-def placed(keys: Column | str) -> Column:
-    """Digests with their checks and their places in the tables of a fingerprint."""
-    return F.transform(keys, lambda k: F.struct(k.alias("k"), check(k).alias("c"), *(place(k, t, F.lit(CELLS)).alias(f"p{t}") for t in range(TABLES))))
+def put(each: DataFrame, key: list[str], size: Column) -> DataFrame:
+    """key, t, at, n, k, c: the cells that digests (key, n, k) make, each put into one cell of every table; empty cells have no row."""
+    to = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), place(F.col("k"), t, size).cast("long").alias("at")) for t in range(TABLES)))).alias("p")
+    tabled = each.withColumn("c", check(F.col("k"))).select(*key, "n", "k", "c", to).select(*key, "p.t", "p.at", "n", "k", "c")
+    return summed(tabled, key)
 
 
-def sketch(digests_placed: str) -> Column:
-    """The fingerprint of a column of `placed`: the cells of all tables, in order, as an array of (n, k, c)."""
-    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c"))
+def summed(cells: DataFrame, key: list[str]) -> DataFrame:
+    """Cells of one place added: their counts summed, the rest XORed."""
+    return cells.groupBy(*key, "t", "at").agg(F.sum("n").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("c").alias("c")).where("n != 0 or k != 0 or c != 0")
 
-    def cell(table: int, at: Column) -> Column:
-        put = lambda a, x: F.struct((a["n"] + 1).alias("n"), a["k"].bitwiseXOR(x["k"]).alias("k"), a["c"].bitwiseXOR(x["c"]).alias("c"))
-        return F.aggregate(digests_placed, zero, lambda a, x: F.when(x[f"p{table}"] == at, put(a, x)).otherwise(a))
 
-    return F.concat(*(F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), partial(cell, t)) for t in range(TABLES)))
+def sketches(met: DataFrame) -> DataFrame:
+    """row and the fingerprints own, edited, next: arrays of the cells (t, at, n, k, c) that hold something, in order; written. A row without any digest isn't there."""
+    told = lambda v, c: F.transform(c, lambda k: F.struct(F.lit(v).alias("v"), k.alias("k")))
+    each = met.select("row", *VERSIONS).repartition(partitions(met.sparkSession), "row").select("row", F.explode(F.concat(*(told(v, c) for v, c in enumerate(VERSIONS)))).alias("x"))
+    cells = put(each.select("row", "x.v", "x.k", F.lit(1).cast("long").alias("n")), ["row", "v"], F.lit(CELLS))
+    cell = F.struct("t", "at", "n", "k", "c")
+    return written(cells.groupBy("row").agg(*(F.sort_array(F.collect_list(F.when(F.col("v") == v, cell))).alias(c) for v, c in enumerate(VERSIONS))), "sketches")
 
 
-def minus(left: Column, right: Column) -> Column:
-    """The cells of two fingerprints subtracted, as (t, at, n, k, c); those that are empty then are left out."""
-    less = F.zip_with(left, right, lambda a, b: F.struct((a["n"] - b["n"]).alias("n"), a["k"].bitwiseXOR(b["k"]).alias("k"), a["c"].bitwiseXOR(b["c"]).alias("c")))
-    at = F.transform(less, lambda x, i: F.struct(F.floor(i / CELLS).cast("int").alias("t"), (i % CELLS).cast("long").alias("at"), x["n"].alias("n"), x["k"].alias("k"), x["c"].alias("c")))
-    return F.filter(at, lambda x: (x["n"] != 0) | (x["k"] != 0) | (x["c"] != 0))
+def subtracted(prints: DataFrame) -> DataFrame:
+    """row, pair, size, t, at, n, k, c: the fingerprints own less edited (pair 0) and own less next (pair 1), without cells that are empty then."""
+    signed = lambda pair, c, sign: F.transform(c, lambda x: F.struct(F.lit(pair).alias("pair"), x["t"].alias("t"), x["at"].alias("at"), (x["n"] * sign).alias("n"), x["k"].alias("k"), x["c"].alias("c")))
+    both = F.concat(*(signed(pair, c, sign) for pair, other in enumerate(VERSIONS[1:]) for c, sign in (("own", 1), (other, -1))))
+    rows = prints.repartition(partitions(prints.sparkSession), "row").select("row", F.explode(both).alias("x")).select("row", "x.pair", F.lit(CELLS).alias("size"), "x.t", "x.at", "x.n", "x.k", "x.c")
+    return summed(rows, ["row", "pair", "size"])
 
 
 def encoded(cells: Column) -> Column:
+    """n, k and c of all cells in hexadecimal; those that aren't there are zeros."""
     hexed = lambda x, n: F.lpad(F.hex(x), n, "0")
-    return F.lower(F.array_join(F.transform(cells, lambda x: F.concat(hexed(x["n"], 16), hexed(x["k"], 16), hexed(x["c"], 8))), ""))
+    at = lambda x: (x["t"] * CELLS + x["at"]).cast("int")
+    add = lambda a, x: F.struct(F.concat(a["s"], F.repeat(F.lit("0" * 40), at(x) - a["i"]), hexed(x["n"], 16), hexed(x["k"], 16), hexed(x["c"], 8)).alias("s"), (at(x) + 1).alias("i"))
+    filled = F.aggregate(cells, F.struct(F.lit("").alias("s"), F.lit(0).alias("i")), add)["s"]
+    return F.lower(F.rpad(F.coalesce(filled, F.lit("")), 40 * CELLS * TABLES, "0"))
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
@@ -117,10 +125,10 @@ def peeled(cells: DataFrame) -> DataFrame:
     now = cells
     for step in range(ROUNDS * TABLES):
         t = step % TABLES
-        pure = (F.col("t") == t) & (F.abs("n") == 1) & (F.col("c") == check(F.col("k")))
+        pure = (F.col("t") == t) & (F.abs("n") == 1) & (F.col("c") == check(F.col("k"))) & (F.col("at") == place(F.col("k"), t, F.col("size")))
         out = [cell(TABLES, F.col("k"), F.col("n")), *(cell(o, place(F.col("k"), o, F.col("size")).cast("long"), -F.col("n")) for o in range(TABLES) if o != t)]
         now = now.select(*key, F.explode(F.when(pure, F.array(*out)).otherwise(F.array(same))).alias("x")).select(*key, "x.*")
-        now = now.groupBy(*key, "t", "at").agg(F.sum("n").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("c").alias("c")).where("n != 0 or k != 0 or c != 0")
+        now = summed(now, key)
     done = F.col("t") == TABLES
     return now.groupBy(*key).agg(F.count_if(done & (F.col("n") > 0)).alias("only_left"), F.count_if(done & (F.col("n") < 0)).alias("only_right"), F.count_if(~done).alias("stuck"))
 
@@ -132,20 +140,14 @@ def sketched_again(pairs: DataFrame) -> DataFrame:
     """
     key = ["row", "pair", "size"]
     signed = lambda side, n: F.transform(side, lambda k: F.struct(k.alias("k"), F.lit(n).cast("long").alias("n")))
-    each = pairs.select(*key, F.explode(F.concat(signed("left", 1), signed("right", -1))).alias("x")).select(*key, "x.*").withColumn("c", check(F.col("k")))
-    put = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), place(F.col("k"), t, F.col("size")).cast("long").alias("at")) for t in range(TABLES)))).alias("p")
-    tabled = each.select(*key, "n", "k", "c", put).select(*key, "p.t", "p.at", "n", "k", "c")
-    return tabled.groupBy(*key, "t", "at").agg(F.sum("n").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("c").alias("c")).where("n != 0 or k != 0 or c != 0")
+    each = pairs.select(*key, F.explode(F.concat(signed("left", 1), signed("right", -1))).alias("x")).select(*key, "x.*")
+    return put(each, key, F.col("size"))
 
 
-def differences(met: DataFrame) -> DataFrame:
-    """row, pair, size, only_left, only_right for the pairs (own, edited) and (own, next) that differ; met is a written table."""
+def differences(met: DataFrame, prints: DataFrame) -> DataFrame:
+    """row, pair, size, only_left, only_right for the pairs (own, edited) and (own, next) that differ; both are written tables."""
     n = partitions(met.sparkSession)
-    rows = met.select("row", *(placed(c).alias(c) for c in VERSIONS)).repartition(n, "row")
-    prints = rows.select("row", *(sketch(c).alias(c) for c in VERSIONS))
-    both = F.array(*(F.struct(F.lit(k).alias("pair"), F.lit(CELLS).alias("size"), minus(F.col("own"), F.col(c)).alias("cells")) for k, c in enumerate(VERSIONS[1:])))
-    cells = prints.select("row", F.explode(both).alias("x")).select("row", "x.pair", "x.size", F.explode("x.cells").alias("y")).select("row", "pair", "size", "y.*")
-    found = written(peeled(cells), "peeled")
+    found = written(peeled(subtracted(prints)), "peeled")
     done = found.where("stuck = 0")
     while not (stuck := found.where("stuck > 0").select("row", "pair", (F.col("size") * GROWTH).alias("size"))).isEmpty():
         again = met.select("row", *VERSIONS).join(bounded(stuck), "row").repartition(n, "row")
@@ -167,17 +169,20 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     each comparison took: CELLS where the fingerprints sufficed.
     """
     met = written(neighbours(docs).withColumn("row", F.monotonically_increasing_id()), "digests")
+    prints = sketches(met)
     pair = lambda k, c: F.max(F.when(F.col("pair") == k, F.col(c)))
-    found = differences(met).groupBy("row").agg(*(pair(k, c).alias(f"{c}_{k}") for k in (0, 1) for c in ("only_left", "only_right", "size")))
+    found = differences(met, prints).groupBy("row").agg(*(pair(k, c).alias(f"{c}_{k}") for k in (0, 1) for c in ("only_left", "only_right", "size")))
 
     def near(k: int, c: str) -> Column:
         differ = F.coalesce(f"only_left_{k}", F.lit(0)) + F.coalesce(f"only_right_{k}", F.lit(0))
         common = (F.size("own") + F.size(c) - differ) / 2
         return F.when(common + differ == 0, 1.0).otherwise(common / (common + differ))
 
-    out = met.join(found, "row", "left").withColumn("p_own", placed("own")).withColumn("p_edited", placed("edited"))
+    shown = prints.select("row", *(encoded(F.col(c)).alias(f"print_{c}") for c in VERSIONS[:2]))
+    out = met.join(found, "row", "left").join(shown, "row", "left")
+    nothing = F.lit("0" * 40 * CELLS * TABLES)
     cells = lambda k: F.coalesce(f"size_{k}", F.lit(CELLS)).cast("long")
     return out.select(
-        "doc_id", "n_chars", "edited_sha256", encoded(sketch("p_own")).alias("fingerprint"), encoded(sketch("p_edited")).alias("edited_fingerprint"),
+        "doc_id", "n_chars", "edited_sha256", F.coalesce("print_own", nothing).alias("fingerprint"), F.coalesce("print_edited", nothing).alias("edited_fingerprint"),
         near(0, "edited").alias("near_edited"), near(1, "next").alias("near_next"), cells(0).alias("cells_edited"), cells(1).alias("cells_next"),
     )
