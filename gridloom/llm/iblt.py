@@ -2,7 +2,9 @@
 
 A text is cut into paragraph pieces, and every distinct piece has a 64-bit digest.
 Pieces end with a line, and at sentence ends that their last letter chooses, so that
-an edit changes the pieces that it touches and no others. A sketch has three tables
+an edit changes the pieces that it touches and no others. Where a piece is over a quarter of
+its text, as in short texts, runs of words are pieces, too, and words chosen by their hash end
+them: so the first half of a text of more than some words always has pieces of its own. A sketch has three tables
 of cells; a digest is counted and XORed, with a check of itself, into one cell of
 each. A text's fingerprint is its sketch of CELLS cells a table, whatever its length.
 
@@ -31,6 +33,10 @@ from .common import bounded, partitions, ranged, written
 
 #: Where pieces part: at line ends, and at sentence ends after some letters.
 PARTS = r"\n|(?<=[a-m][.!?])\s+|(?<=[。！？])"
+#: Words of runs; a letter of scripts without blanks is one.
+WORDS = r"\s+|(?<=[\u3040-\u30ff\u4e00-\u9fff])"
+#: One word in so many, chosen by its hash, ends a run.
+RUN = 3
 TABLES = 3
 #: Cells of a table of the fingerprint; larger sketches have GROWTH times as many, again and again.
 CELLS, GROWTH = 16, 4
@@ -39,8 +45,15 @@ ROUNDS = 4
 
 
 def digests(text: Column) -> Column:
-    pieces = F.filter(F.transform(F.split(text, PARTS), lambda p: F.trim(p)), lambda p: p != "")
-    return F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p)))
+    """The digests of a text's pieces, and of its runs of words where a piece is over a quarter of it."""
+    trimmed = lambda parts: F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")
+    ended = lambda w: F.when(F.pmod(F.xxhash64(w), F.lit(RUN)) == 0, F.concat(w, F.lit("\n"))).otherwise(w)
+    runs = trimmed(F.split(F.array_join(F.transform(F.split(text, WORDS), ended), " "), "\n"))
+    large = lambda pieces: F.array_max(F.transform(pieces, lambda p: F.length(p))) * 4 > F.length(text)
+    both = lambda pieces: F.concat(pieces, F.when(large(pieces), runs).otherwise(F.array().cast("array<string>")))
+    # An array of one, so that the pieces are cut once for both uses.
+    every = F.transform(F.array(trimmed(F.split(text, PARTS))), both)[0]
+    return F.array_distinct(F.transform(every, lambda p: F.xxhash64(p)))
 
 
 def check(digest: Column) -> Column:
