@@ -593,13 +593,13 @@ def raster_tag_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH f AS (SELECT p_partkey // 32768 AS file, max(p_partkey) // 64 - p_partkey // 32768 * 512 + 1 AS h, max(CASE WHEN p_size < 40 THEN p_partkey END) // 64 - p_partkey // 32768 * 512 + 1 AS g FROM part GROUP BY 1)
-SELECT file, 305 AS tag, 'software' AS tag_name, '"one"' AS "left", '"two"' AS "right" FROM f UNION ALL SELECT file, 315, 'artist', NULL, '"me"' FROM f UNION ALL SELECT file, 257, 'image_height', CAST(h AS VARCHAR), CAST(g AS VARCHAR) FROM f WHERE g <> h
+SELECT file, 305 AS tag, 'software' AS tag_name, '"one"' AS was, '"two"' AS now FROM f UNION ALL SELECT file, 315, 'artist', NULL, '"me"' FROM f UNION ALL SELECT file, 257, 'image_height', CAST(h AS VARCHAR), CAST(g AS VARCHAR) FROM f WHERE g <> h
 """)
 def raster_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What differs between the directories of two copies of the same images."""
     part = table(spark, sf_dir, "part")
     own = lambda rows, extra: variants.tag_values(stored(rows, "p_partkey", ["p_size"], Layout("uint8", extra=extra)).tags).withColumn("file", file_number())
-    return variants.differences(own(part, {305: "one"}), own(part.where("p_size < 40"), {305: "two", 315: "me"}), ["file", "ifd_idx"]).drop("ifd_idx")
+    return variants.differences(own(part, {305: "one"}), own(part.where("p_size < 40"), {305: "two", 315: "me"}), ["file", "ifd_idx"]).select("file", "tag", "tag_name", F.col("left").alias("was"), F.col("right").alias("now"))
 
 
 @query("SELECT o_orderkey, o_totalprice, CAST(o_custkey AS DOUBLE) AS o_custkey FROM orders")

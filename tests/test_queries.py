@@ -20,7 +20,7 @@ def duck():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", ["raster_f32_deflate_pred3", "raster_u16_lzw_pred2_be", "raster_planar_f64", "raster_tile_prune", "raster_palette_join", "range_coalesce", "dtype_from_tags", "rational_div"])
+@pytest.mark.parametrize("name", ["raster_f32_deflate_pred3", "raster_u16_lzw_pred2_be", "raster_planar_f64", "raster_tile_prune", "raster_palette_join", "range_coalesce", "dtype_from_tags", "rational_div", "raster_tag_variants", "raster_differences", "raster_calibrated"])
 def test_same_rows(spark, duck, name):
     df = catalogue.QUERIES[name](spark, SF)
     cols = sorted(df.columns)
