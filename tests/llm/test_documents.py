@@ -1,7 +1,6 @@
 """The document operators against brute force on a small table of odd rows."""
 
 import hashlib
-import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -9,7 +8,6 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -100,17 +98,7 @@ def test_guess_costs_rank_sensibly():
 
 def test_fingerprints(docs, no_docs, rows):
     def pieces(t):
-        own = {p.strip(" ") for p in re.split(r"\n|(?<=[a-m][.!?])[ \t\n\x0b\f\r]+|(?<=[。！？])", t)} - {""}
-        if own and 4 * max(map(len, own)) > len(t):
-            run: list[str] = []
-            for w in re.split(r"[ \t\n\x0b\f\r]+|(?<=[\u3040-\u30ff\u4e00-\u9fff])", t):
-                run.append(w)
-                h = xxhash.xxh64(w.encode(), seed=42).intdigest()
-                if (h - (h >> 63 << 64)) % 3 == 0:
-                    own.add(" ".join(run).strip(" "))
-                    run = []
-            own.add(" ".join(run).strip(" "))
-        return own - {""}
+        return {p.strip(" ") for p in re.split(r"\n|(?<=[a-m][.!?])[ \t\n\x0b\f\r]+|(?<=[。！？])", t)} - {""}
 
     def near(a, b):
         a, b = pieces(a), pieces(b)
@@ -153,18 +141,10 @@ def test_fingerprints(docs, no_docs, rows):
                 assert of_table == want, "every digest is in one cell of each table"
 
 
-def test_short_texts_are_like_their_edits(spark):
-    """Texts of one line and no sentence ends, in several scripts: half of each stays, and so do some of its pieces."""
-    rng = random.Random(2)
-    syllables = {"latin": "ka lo mi ne ru ta so", "cyrillic": "ка ло ми не ру та со", "han": " ".join(chr(0x4E00 + k) for k in range(500))}
-    word = lambda s: "".join(rng.choices(syllables[s].split(), k=3))
-    rows = [(k, ("" if s == "han" else " ").join(word(s) for _ in range(60))) for k, s in enumerate(s for s in syllables for _ in range(20))]
-    got = iblt.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert all(0.1 < r["near_edited"] < 0.8 for r in got)
-
-
 def test_sketches_grow_with_the_difference(spark):
     """A long text with one changed piece is settled by its fingerprint; one of other pieces takes larger sketches."""
+    import random
+
     rng = random.Random(1)
     line = lambda k: f"{k} line of its own {rng.random()}"
     long = [line(k) for k in range(3000)]
