@@ -2,7 +2,10 @@
 
 A text is cut into paragraph pieces, and every distinct piece has a 64-bit digest.
 Pieces end with a line, and at sentence ends that their last letter chooses, so that
-an edit changes the pieces that it touches and no others. A sketch has three tables
+an edit changes the pieces that it touches and no others. Short texts may be one piece,
+so pairs of neighbouring words are pieces of theirs, too: those that a hash chooses, one in
+so many more the longer the text is. What a longer text chooses a shorter one does as
+well, so an edit that shortens a text leaves pieces in common. A sketch has three tables
 of cells; a digest is counted and XORed, with a check of itself, into one cell of
 each. A text's fingerprint is its sketch of CELLS cells a table, whatever its length.
 
@@ -31,6 +34,10 @@ from .common import bounded, partitions, ranged, written
 
 #: Where pieces part: at line ends, and at sentence ends after some letters.
 PARTS = r"\n|(?<=[a-m][.!?])\s+|(?<=[。！？])"
+#: Words of pairs; a letter of scripts without blanks is one.
+WORDS = r"\s+|(?<=[\u3040-\u30ff\u4e00-\u9fff])"
+#: Characters of the longest text that has pairs, and of the longest that has all of its pairs.
+SHORT, WHOLE = 1600, 64
 TABLES = 3
 #: Cells of a table of the fingerprint; larger sketches have GROWTH times as many, again and again.
 CELLS, GROWTH = 16, 4
@@ -38,9 +45,22 @@ CELLS, GROWTH = 16, 4
 ROUNDS = 4
 
 
+def pairs(text: Column) -> Column:
+    """The digests of neighbouring words of a short text whose low bits are 0: none up to WHOLE characters, one more for each doubling. The last word has none behind it."""
+    n, mask = F.length(text), F.lit(0)
+    for bit in range((SHORT // WHOLE).bit_length()):
+        mask = F.when(n > WHOLE << bit, (2 << bit) - 1).otherwise(mask)
+    words = F.filter(F.split(text, WORDS), lambda w: w != "")
+    met = lambda ws: F.filter(F.zip_with(ws, F.slice(ws, F.lit(2), F.size(ws)), lambda a, b: F.xxhash64(a, b)), lambda h: h.bitwiseAND(mask.cast("bigint")) == 0)
+    # An array of one, so that the words are cut once for both uses.
+    return F.transform(F.array(words), met)[0]
+
+
 def digests(text: Column) -> Column:
+    """The distinct digests of a text's pieces and, if it is short, of its pairs."""
     pieces = F.filter(F.transform(F.split(text, PARTS), lambda p: F.trim(p)), lambda p: p != "")
-    return F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p)))
+    short = F.when(F.length(text) <= SHORT, pairs(text)).otherwise(F.array().cast("array<bigint>"))
+    return F.array_distinct(F.concat(F.transform(pieces, lambda p: F.xxhash64(p)), short))
 
 
 def check(digest: Column) -> Column:

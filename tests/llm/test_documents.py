@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -96,9 +97,38 @@ def test_guess_costs_rank_sensibly():
     assert secrets.guess_cost("zebrazebra", RANKS) < secrets.guess_cost("zebra", RANKS) + 2 < secrets.guess_cost("qzxwvqzxwv", RANKS), "a repeat costs what its unit does"
 
 
+def digests_of(t):
+    """Digests of a text's pieces and, where it is short, of the pairs of words that their hash chooses."""
+    digest = lambda w, seed=42: xxhash.xxh64_intdigest(w.encode(), seed)
+    held = {digest(p.strip(" ")) for p in re.split(r"\n|(?<=[a-m][.!?])[ \t\n\x0b\f\r]+|(?<=[。！？])", t) if p.strip(" ")}
+    if len(t) <= iblt.SHORT:
+        words = [w for w in re.split(r"[ \t\n\x0b\f\r]+|(?<=[\u3040-\u30ff\u4e00-\u9fff])", t) if w]
+        every = 1
+        while iblt.WHOLE * every < len(t):
+            every *= 2
+        of_pairs = [digest(b, digest(a)) for a, b in zip(words, words[1:], strict=False)] + [digest(w) for w in words[-1:]]
+        held |= {h for h in of_pairs if h % every == 0}
+    return held
+
+
+def test_short_texts_keep_pieces(spark):
+    """Half of a short text is alike whether it is one sentence, has no blanks or gets shorter by the edit."""
+    import random
+
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 8)))
+    texts = [" ".join(word() for _ in range(n)) for n in range(12, 250, 7) for _ in range(4)] + ["".join(rng.choices("山川田中人大小上下日月木水火土", k=n)) for n in (30, 100, 700)]
+    texts += ["", "one", "a b", "x" * 1600, "y" * 1601]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: set(r["own"]) for r in df.select("doc_id", iblt.digests(F.col("text")).alias("own")).collect()}
+    assert all({h % 2**64 for h in got[k]} == digests_of(t) for k, t in enumerate(texts))
+    found = iblt.fingerprints(df.where(F.length("text") > 40)).collect()
+    assert sum(r["near_edited"] == 0 for r in found) <= 0.05 * len(found)
+    assert sum(r["near_next"] > 0.1 for r in found) <= 3, "pairs of few signs meet by chance"
+
+
 def test_fingerprints(docs, no_docs, rows):
-    def pieces(t):
-        return {p.strip(" ") for p in re.split(r"\n|(?<=[a-m][.!?])[ \t\n\x0b\f\r]+|(?<=[。！？])", t)} - {""}
+    pieces = digests_of
 
     def near(a, b):
         a, b = pieces(a), pieces(b)
