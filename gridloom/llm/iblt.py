@@ -51,9 +51,9 @@ def pairs(text: Column) -> Column:
     for bit in range((SHORT // WHOLE).bit_length()):
         mask = F.when(n > WHOLE << bit, (2 << bit) - 1).otherwise(mask)
     words = F.filter(F.split(text, WORDS), lambda w: w != "")
-    met = lambda ws: F.filter(F.zip_with(ws, F.slice(ws, F.lit(2), F.size(ws)), lambda a, b: F.xxhash64(a, b)), lambda h: h.bitwiseAND(mask.cast("bigint")) == 0)
-    # An array of one, so that the words are cut once for both uses.
-    return F.transform(F.array(words), met)[0]
+    met = lambda x: F.filter(F.zip_with(x["w"], F.slice(x["w"], F.lit(2), F.size(x["w"])), lambda a, b: F.xxhash64(a, b)), lambda h: h.bitwiseAND(x["mask"]) == 0)
+    # An array of one, so that words and mask are made once for each text and not for each word.
+    return F.transform(F.array(F.struct(words.alias("w"), mask.cast("bigint").alias("mask"))), met)[0]
 
 
 def digests(text: Column) -> Column:
