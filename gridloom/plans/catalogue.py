@@ -217,7 +217,8 @@ def hdiff_unpredict_u8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey, CAST(i AS INTEGER) AS i, (p_partkey >> CAST(15 - i AS INTEGER)) & 1 = 1 AS bit FROM (SELECT p_partkey, unnest(range(0, 16)) AS i FROM part)")
 def bit_unpack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    two = F.unhex(F.lpad(F.hex("p_partkey"), 4, "0"))
+    """The bits of a key's two low bytes."""
+    two = F.unhex(F.substring(F.lpad(F.hex("p_partkey"), 16, "0"), 13, 4))
     return table(spark, sf_dir, "part").select("p_partkey", F.posexplode(values.unpacked_bits(two, F.lit(16))).alias("i", "bit"))
 
 
