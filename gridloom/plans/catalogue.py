@@ -70,10 +70,11 @@ def raster_f32_deflate_pred3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey, CAST(p_size AS BIGINT) AS p_size FROM part")
 def raster_u16_lzw_pred2_be(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = stored(table(spark, sf_dir, "part"), "p_partkey", [F.col("p_partkey").cast("int"), F.col("p_size")], Layout("uint16", bands=2, compression="lzw", predictor=2, big_endian=True))
+    """A key's two low bytes are in the first band; its place has the others."""
+    r = stored(table(spark, sf_dir, "part"), "p_partkey", [(F.col("p_partkey") % 65536).cast("int"), F.col("p_size")], Layout("uint16", bands=2, compression="lzw", predictor=2, big_endian=True))
     p = r.pixels(of_main(r), "bigint", TIE)
-    b = p.groupBy("path", place(p)).agg(F.max(F.when(F.col("band") == 0, F.col("value"))).alias("p_partkey"), F.max(F.when(F.col("band") == 1, F.col("value"))).alias("p_size"))
-    return b.where("p_size > 0").select("p_partkey", "p_size")
+    b = p.groupBy("path", place(p)).agg(F.max(F.when(F.col("band") == 0, F.col("value"))).alias("low"), F.max(F.when(F.col("band") == 1, F.col("value"))).alias("p_size"))
+    return b.where("p_size > 0").select((F.col("key") - F.col("key") % 65536 + F.col("low")).alias("p_partkey"), "p_size")
 
 
 def _u8(spark: SparkSession, sf_dir: str, compression: str) -> DataFrame:

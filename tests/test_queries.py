@@ -29,7 +29,7 @@ def test_same_rows(spark, duck, name):
     assert sorted(map(repr, map(tuple, df.select(*cols).collect()))) == sorted(map(repr, want.select(",".join(cols)).fetchall()))
 
 
-@pytest.mark.parametrize("name", ["bit_unpack"])
+@pytest.mark.parametrize("name", ["bit_unpack", "raster_u16_lzw_pred2_be"])
 def test_keys_of_more_than_two_bytes(spark, tmp_path, name):
     rows = [(k, k % 50 + 1) for k in (1, 255, 32767, 65535, 65536, 65537, 70001, 120000, (1 << 20) + 5)]
     spark.createDataFrame(rows, "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
