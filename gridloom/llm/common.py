@@ -16,6 +16,9 @@ __all__ = ["bounded", "delete", "done_with", "importable", "packed", "partitions
 #: A table is broadcast only after its rows and bytes were counted and are at most this many.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
+#: Rows of narrow tables that one file is worth.
+FILE_ROWS = 20_000
+
 #: Where the tables that are being made are noted, if they are: see recorded.
 _noted: list[list[str]] = []
 
@@ -31,8 +34,14 @@ def recorded() -> Iterator[list[str]]:
         _noted.remove(paths)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: later plans start there, on any executor."""
+def written(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
+    """df as a table in the shared folder: later plans start there, on any executor.
+
+    A table of at most `most` rows has a file for each core, or for each FILE_ROWS if they are more, however many
+    partitions it comes from: a file costs a local file system two processes, which count as the executor's memory until they run.
+    """
+    if most is not None:
+        df = df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-most // FILE_ROWS)))
     path = shared_path(df.sparkSession, name)
     for paths in _noted:
         paths.append(path)

@@ -278,12 +278,12 @@ def product(pairs: DataFrame, sets: DataFrame, docs: DataFrame, join: Join) -> D
             b = b.append_column("total", pa.array(total))
             yield b.select(["x", "y", "ax", "ay", "total"]).filter(ok)
 
-    left = written(joined.mapInArrow(bound, "x long, y long, ax int, ay int, total long"), "pairs")
+    left = written(joined.mapInArrow(bound, "x long, y long, ax int, ay int, total long"), "pairs", pairs.count())
     members = asked_sets(docs, left, join)
     summed = left.select("x", "y", "total", F.lit(0).cast("long").alias("common"))
     for block in range(join.blocks):
         # Written, so that blocks follow each other with one Python worker a task, on the few pairs that are left.
-        before, summed = summed, written(multiplied(summed, members, block, join), "summed")
+        before, summed = summed, written(multiplied(summed, members, block, join), "summed", summed.count())
         if block:
             done_with(before)
     done_with(left, members)

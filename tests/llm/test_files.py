@@ -271,6 +271,19 @@ def test_events_are_folded(spark):
     assert [(r["role"], r["text"]) for r in got] == [("user", "hello"), ("assistant", "better!")]
 
 
+def test_small_tables_are_few_files(spark):
+    import glob
+
+    from gridloom.llm.common import FILE_ROWS, written
+
+    rows, cores = spark.range(5000).repartition(32), spark.sparkContext.defaultParallelism
+    for most, files in ((None, 32), (FILE_ROWS * 9 + 1, max(10, cores)), (1, cores), (0, cores), (10**9, 32)):
+        out = written(rows, "few", most)
+        assert out.count() == 5000 and len(glob.glob(out.written_at.removeprefix("file:") + "/*.parquet")) == files
+    path = [(k, k + 1) for k in range(300)]
+    assert len(glob.glob(components.components(spark.createDataFrame(path, "x long, y long").repartition(16)).inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0] + "/*.parquet")) <= cores
+
+
 def test_components(spark):
     import random
 
