@@ -71,12 +71,17 @@ def lines_of(docs: DataFrame, *names: str) -> DataFrame:
 
 
 def units_of(docs: DataFrame) -> DataFrame:
-    """doc_id, h, leaf, line, long of every line, and of every sentence of a long one, which has no leaf."""
-    t, long = F.col("tokens"), F.size("tokens") >= LONG
-    line = F.struct(leaf_of(t).alias("leaf"), F.xxhash64(t).alias("line"), long.alias("long"))
-    inner = F.filter(F.transform(F.filter(sentences(F.col("raw")), wide), tokens_of), lambda s: F.size(s) >= SENTENCE)
-    parts = F.transform(inner, lambda s: F.struct(F.lit(None).cast("long").alias("leaf"), sentence_hash(s).alias("line"), F.lit(False).alias("long")))
-    return lines_of(docs, "doc_id", "h").select("doc_id", "h", F.explode(F.when(long, F.concat(F.array(line), parts)).otherwise(F.array(line))).alias("u")).select("doc_id", "h", "u.*")
+    """doc_id, h, leaf, line, long of every line, and of every sentence of a long one, which has no leaf; only hashes leave the array."""
+    unit = lambda leaf, line, long: F.struct(leaf.alias("leaf"), line.alias("line"), long.alias("long"))
+
+    def of_line(x: Column) -> Column:
+        inner = F.filter(F.transform(F.filter(sentences(x), wide), tokens_of), lambda s: F.size(s) >= SENTENCE)
+        parts = F.transform(inner, lambda s: unit(F.lit(None).cast("long"), sentence_hash(s), F.lit(False)))
+        line = lambda t: F.array(unit(leaf_of(t), F.xxhash64(t), F.size(t) >= LONG))
+        return F.transform(F.array(tokens_of(x)), lambda t: F.when(F.size(t) >= LONG, F.concat(line(t), parts)).when(F.size(t) >= TOKENS, line(t)))[0]
+
+    every = F.filter(F.transform(F.split("text", "\n"), of_line), lambda u: u.isNotNull())
+    return docs.select("doc_id", "h", F.explode(F.flatten(every)).alias("u")).select("doc_id", "h", "u.*")
 
 
 def generalised(docs: DataFrame, by_doc: DataFrame, leaves: DataFrame) -> DataFrame:
