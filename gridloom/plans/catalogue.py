@@ -295,12 +295,13 @@ def raster_sql_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     register(spark)
     r = stored(table(spark, sf_dir, "orders"), "o_orderkey", ["o_custkey"], Layout("int32", predictor=2, compression="lzw"))
     r.fetch(r.tiles("model_tiepoint")).createOrReplaceTempView("raster_fetched")
-    d = spark.sql("SELECT x, y, tile_width, image_width, image_height, model_tiepoint, hex(raster_decode(content, compression, predictor, dtype, tile_height, tile_width, samples_per_pixel, endianness)) AS h FROM raster_fetched")
-    # Four little-endian bytes a sample.
-    byte = lambda k: F.conv(F.substring("h", F.col("i") * 8 + 2 * k + 1, F.lit(2)), 16, 10).cast("bigint")
-    each = d.select("*", F.explode(F.sequence(F.lit(0), (F.length("h") / 8 - 1).cast("int"))).alias("i"))
-    value = byte(0) + byte(1) * 256 + byte(2) * 65536 + byte(3) * 16777216
-    placed = each.select("*", (F.col("y") * F.col("tile_width") + F.floor(F.col("i") / F.col("tile_width"))).alias("row"), (F.col("x") * F.col("tile_width") + F.col("i") % F.col("tile_width")).alias("col"), value.alias("value"))
+    d = spark.sql("SELECT x, y, tile_width, image_width, image_height, model_tiepoint, raster_decode(content, compression, predictor, dtype, tile_height, tile_width, samples_per_pixel, endianness) AS b FROM raster_fetched")
+    # Four little-endian bytes a sample, cut from the binary, where a place is found at once, and made numbers before rows.
+    d = d.select("*", F.sequence(F.lit(0), (F.length("b") / 4 - 1).cast("int")).alias("places"))
+    hexed = lambda i: F.hex(F.substring("b", i * 4 + 1, F.lit(4)))
+    number = lambda h: F.conv(F.concat(*(F.substring(h, 7 - 2 * k, 2) for k in range(4))), 16, 10).cast("bigint")
+    each = d.select("x", "y", "tile_width", "image_width", "image_height", "model_tiepoint", F.posexplode(F.transform("places", lambda i: F.transform(F.array(hexed(i)), number)[0])).alias("i", "value"))
+    placed = each.select("*", (F.col("y") * F.col("tile_width") + F.floor(F.col("i") / F.col("tile_width"))).alias("row"), (F.col("x") * F.col("tile_width") + F.col("i") % F.col("tile_width")).alias("col"))
     inside = placed.where("row < image_height and col < image_width and value > 0")
     return inside.select(place(inside).alias("o_orderkey"), F.col("value").alias("o_custkey"))
 

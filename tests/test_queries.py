@@ -2,6 +2,7 @@
 
 import glob
 import os
+import re
 
 import duckdb
 import pytest
@@ -40,5 +41,14 @@ def test_keys_of_more_than_two_bytes(spark, tmp_path, name):
     assert sorted(map(tuple, df.select(*want.columns).collect())) == sorted(want.fetchall())
 
 
+def test_sql_decode_cuts_binaries(spark, tmp_path):
+    """Rows of pixels carry no tile, and no place is sought in a long string."""
+    rows = [(k, 1 + k * 2654435761 % (2**31 - 1)) for k in range(0, 9000, 7)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    df = catalogue.QUERIES["raster_sql_decode"](spark, str(tmp_path))
+    assert sorted(map(tuple, df.select("o_orderkey", "o_custkey").collect())) == rows
+    assert not re.search(r"hex\((pythonUDF|raster_decode)", df._jdf.queryExecution().optimizedPlan().toString())
+
+
 def test_every_query_has_sql():
     assert set(catalogue.QUERIES) == set(catalogue.SQL)
