@@ -73,8 +73,17 @@ def ordered(found: DataFrame, wanted: DataFrame, strict: bool = True) -> DataFra
     return met.withColumn("missing", missing).withColumns(told).drop(*(f"_{c}" for c in told))
 
 
+#: Ranges that one task sorts, on average.
+RANGES = 500_000
+
+
 def coalesced(ranges: DataFrame, gap: int = 0) -> DataFrame:
-    """path, start, stop, n_ranges: ranges (path, start, stop) merged where at most `gap` bytes part them."""
+    """path, start, stop, n_ranges: ranges (path, start, stop) merged where at most `gap` bytes part them.
+
+    They are counted, so that tasks grow in number and not in memory; a path's ranges stay together.
+    """
+    parts = max(int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-ranges.count() // RANGES))
+    ranges = ranges.repartition(parts, "path")
     w = Window.partitionBy("path").orderBy("start", "stop")
     seen = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
     new = F.when(seen.isNull() | (F.col("start") > seen + gap), 1).otherwise(0)

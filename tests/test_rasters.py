@@ -150,6 +150,14 @@ def test_lzw_of_many_lengths():
             assert codecs.lzw(codecs.lzw_encoded(data), {}) == data
 
 
+def test_coalescing_takes_more_tasks_for_more_ranges(spark, monkeypatch):
+    monkeypatch.setattr(tiles, "RANGES", 100)
+    rows = [(f"p{k % 50}", k * 10, k * 10 + 5) for k in range(2000)]
+    got = tiles.coalesced(spark.createDataFrame(rows, "path string, start long, stop long"), 496)
+    assert got.rdd.getNumPartitions() == 20
+    assert sorted(map(tuple, got.collect())) == sorted((f"p{k}", k * 10, (1950 + k) * 10 + 5, 40) for k in range(50))
+
+
 def test_islands_and_coalesced_ranges(spark):
     ranges = [(0, 10), (10, 20), (25, 30), (100, 110), (5, 12)]
     assert [(a, z, sorted(m)) for a, z, m in decode.islands(ranges, gap=5)] == [(0, 30, [0, 1, 2, 4]), (100, 110, [3])]
