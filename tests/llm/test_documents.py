@@ -268,6 +268,15 @@ def test_near_lines_long_lines_and_sentences(spark):
         assert got[i]["text"] == f"{own(i - 50)}. Short one. And {own(i - 40)}" and (got[i]["n_lines"], got[i]["n_dropped"], got[i]["n_cut"]) == (2, 1, 1)
 
 
+def test_lines_are_hashed_before_they_are_rows(spark, docs):
+    units = templates.units_of(docs.withColumn("h", F.xxhash64("text")))
+    plan = units._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1
+    lines = {(x["doc_id"], x["line"]) for x in units.where("leaf is not null").collect()}
+    own = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("l")).withColumn("t", templates.tokens_of(F.col("l"))).where(F.size("t") >= templates.TOKENS)
+    assert lines == {tuple(x) for x in own.select("doc_id", F.xxhash64("t")).collect()}
+
+
 def test_templates_of_a_very_long_text(spark):
     """Texts of over 1 MB, in one line and in many: only what recurs goes."""
     line = " ".join(f"{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100 % 10]}{'efghijklmn'[i // 1000 % 10]}." if i % 9 == 0 else "word" for i in range(200_000))
