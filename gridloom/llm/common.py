@@ -38,7 +38,7 @@ def written(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
     """df as a table in the shared folder: later plans start there, on any executor.
 
     A table of at most `most` rows has a file for each core, or for each FILE_ROWS if they are more, however many
-    partitions it comes from: a file costs a local file system two processes, which count as the executor's memory until they run.
+    partitions it comes from: on a local file system Hadoop may start processes for each new file.
     """
     if most is not None:
         df = df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-most // FILE_ROWS)))
