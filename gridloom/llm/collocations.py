@@ -1,15 +1,19 @@
 """Phrase collocations: phrases whose words stand together more often than their parts foretell.
 
-Texts are cut into pieces at punctuation and line ends, and equal pieces of a language
-become one with a multiplicity, so that copies are counted once. Phrases are counted
-in levels, from single words to the longest phrases. At each level a task counts the
-phrases of its pieces, weighted, and sends each different one once; they are dealt
-to partitions by hash, and DuckDB counts each partition's, spilling to disk beyond a
-fixed memory. A phrase can only be frequent if both phrases of one word less in it
-are, so that level's frequent ones, as a bit filter, say what the next one looks at;
-after two words, pieces shrink to their runs of frequent pairs. What passes the filter by
+Texts are cut into pieces at punctuation and line ends. Phrases are counted in levels,
+from single words to the longest phrases. At each level a task counts the phrases of
+its pieces, weighted, and sends each different one once; they are dealt to partitions
+by hash, and DuckDB counts each partition's, spilling to disk beyond a fixed memory. A
+phrase can only be frequent if both phrases of one word less in it are, so that level's
+frequent ones, as a bit filter, say what the next one looks at. Before pairs are
+counted, the pairs of frequent words are counted by buckets of their hash; a pair whose
+bucket is rare is rare. Texts shrink to their runs of the other pairs, and equal ones
+that a task holds at once become one with a multiplicity. What passes the filters by
 mistake is counted and found rare; counts are exact.
 
+Tasks work on the bytes and offsets of Arrow's columns, some millions of words at a
+time; there is no Python object for a word or phrase but the different words of a lot.
+
 Every part of a frequent phrase is frequent too, so the tables of the levels hold all
 that scores need. A phrase sends a request for each of its parts; requests are
 shuffled to the parts' counts, and the answers come back to the phrase. Parts of one
@@ -17,9 +21,9 @@ word, which many phrases ask for, are met in SALTS places.
 
 Defined cases: null text has no pieces; a null lang is `und`; pieces without words are
 left out; repeated rows count as often as they are there; equal scores go by count, then
-phrase by its bytes. A very long piece is cut into stretches of STRETCH words with
+phrase by its bytes. A long text is cut into stretches of STRETCH words with
 the following words of the longest phrase but one; starts are counted in one stretch only. A very long
-text is cut as it is read. An empty table gives no row. Extra columns are ignored.
+text is cut at ends of pieces as it is read. An empty table gives no row. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,10 +32,9 @@ import os
 import re
 import shutil
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from functools import cached_property
 from urllib.parse import urlparse
 
 import duckdb
@@ -40,23 +43,28 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.storage import shared_dir
 from .common import done_with, partitions, written
 
-#: Words of a piece that one row holds at most.
+#: Words of a text that one row holds at most, besides those that follow them.
 STRETCH = 1024
-#: Bytes of different pieces, and words of pieces, that a task holds before it sends them on.
-HELD, TOKENS = 16 << 20, 1 << 21
+#: Bytes of texts or pieces that a task looks at together.
+LOT = 6 << 20
+#: Bits of a bucket's number inside its block; a block is counted at once.
+BLOCK = 16
+#: The starts of a text that isn't cut yet.
+WHOLE = (1 << 31) - 1
 SALTS = 32
 #: Most phrases of a part that one task looks at when the first of each language are taken.
 PARTS = 64
 
-#: A-Z become a-z, marks and line ends become line ends, a tab a space.
-_PLAIN = bytes(c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
-_GAP = re.compile(b"\n+")
+#: 0 for bytes of words, 1 for blanks, 2 for ends of pieces.
+_KIND = np.array([2 if c in b".,;:!?\n\x0b\x0c\r" else 1 if c in b" \t" else 0 for c in range(256)], np.uint8)
+_LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+_END = re.compile(rb"[.,;:!?\n\x0b\x0c\r]")
 
 
 @dataclass(frozen=True)
@@ -68,44 +76,11 @@ class Mining:
     first: int = 2000
     #: Memory that DuckDB takes in one task before it spills.
     memory: str = "200MB"
-    #: Bits of the filter for each frequent phrase of a level, and bits at most. More phrases only make it pass more.
+    #: Bits of the filter for each frequent phrase of a level, and bits at most, which are the buckets of pairs, too. More phrases only make it pass more.
     bits_each: int = 16
     bits: int = 1 << 27
 
 
-def pieces_of(docs: DataFrame, how: Mining = Mining()) -> DataFrame:
-    """lang, starts, piece, m: the different stretches of pieces, the words in them that phrases may begin with, and how often they occur."""
-    over = how.longest - 1
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, int] = {}
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            return rows_of((*zip(*held, strict=True), list(held.values())), PIECE)
-
-        for b in it:
-            for lang, text in zip(b.column("lang").to_pylist(), b.column("text"), strict=True):
-                for part in _GAP.split((text.as_py() or b"").translate(_PLAIN)):
-                    words = part.split()
-                    for at in range(0, len(words), STRETCH):
-                        own = words[at : at + STRETCH + over]
-                        key = (lang, min(STRETCH, len(words) - at), b" ".join(own))
-                        if key in held:
-                            held[key] += 1
-                        else:
-                            held[key] = 1
-                            size += len(key[2]) + 150
-                    if size > HELD:
-                        yield flush()
-                        held, size = {}, 0
-        if held:
-            yield flush()
-
-    own = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text"))
-    return own.mapInArrow(run, PIECES).groupBy("lang", "starts", "piece").agg(F.sum("m").alias("m"))
-
-
 _ODD, _ALL = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
@@ -122,115 +97,186 @@ def place_of(lang: str, phrase: bytes) -> int:
     return h >> 1
 
 
-def places_of(lang: np.ndarray, word: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    """place_of the phrases of n words that begin at the given places; lang and word are the hashes at each place."""
-    h = lang[at]
-    for j in range(n):
-        h = (h ^ word[at + j]) * np.uint64(_ODD)
-        h ^= h >> np.uint64(29)
-    return (h >> np.uint64(1)).astype(np.int64)
+def mixed(h: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """A step of place_of for many phrases: their hashes with one word more."""
+    h = (h ^ word) * np.uint64(_ODD)
+    return h ^ h >> np.uint64(29)
 
 
 class Filter:
-    """Bits of the frequent phrases of a level, for tasks that look at phrases of one word more."""
+    """Bits of the phrases of a level that may be frequent, for tasks that look at longer ones."""
+
+    def __init__(self, spark: SparkSession, bits: np.ndarray) -> None:
+        self.size = len(bits) << 3
+        self.told = spark.sparkContext.broadcast(bits)
 
-    def __init__(self, kept: DataFrame, how: Mining) -> None:
+    @staticmethod
+    def of(kept: DataFrame, how: Mining) -> Filter:
+        """That of a level's frequent phrases."""
         n = max(1, kept.count())
-        self.size = min(how.bits, max(1 << 16, 1 << (n * how.bits_each - 1).bit_length()))
-        at = F.col("h") % self.size
-        bit = F.expr(f"shiftleft(1L, CAST(h % {self.size} & 31 AS INT))")
-        found = kept.select(F.shiftright(at, 5).alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
-        bits = np.zeros(self.size >> 5, np.uint32)
-        bits[found["at"].to_numpy()] = found["bits"].to_numpy().astype(np.uint32)
-        self.told = kept.sparkSession.sparkContext.broadcast(bits)
+        size = min(how.bits, max(1 << 16, 1 << (n * how.bits_each - 1).bit_length()))
+        at = F.col("h") % size
+        bit = F.expr(f"shiftleft(1, CAST(h % {size} & 7 AS INT))")
+        found = kept.select(F.shiftright(at, 3).alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+        bits = np.zeros(size >> 3, np.uint8)
+        bits[found["at"].to_numpy()] = found["bits"].to_numpy().astype(np.uint8)
+        return Filter(kept.sparkSession, bits)
+
+    @staticmethod
+    def of_buckets(pieces: DataFrame, known: list[Filter], how: Mining) -> Filter:
+        """That of the pairs whose bucket is frequent; every frequent pair's is."""
+        found = frequent_buckets(pieces, known, how).toArrow()
+        bits = np.zeros(how.bits >> 3, np.uint8)
+        for block, own in zip(found["block"].to_pylist(), found["bits"].to_pylist(), strict=True):
+            own = np.frombuffer(own, np.uint8)[: len(bits)]
+            bits[block << BLOCK - 3 :][: len(own)] = own
+        return Filter(pieces.sparkSession, bits)
 
     def has(self, places: np.ndarray) -> np.ndarray:
-        at = places % self.size
-        return (self.told.value[at >> 5] >> (at & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
-
-
-class Ids(dict):
-    """A number for each different word."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-
-class Tokens:
-    """The words of some pieces, one after another: of each its number, its language's, how many words of its piece stand before it and from it on, and the piece's starts and times."""
-
-    def __init__(self, lang: list[str], starts: list[int], pieces: list[bytes], times: list[int]) -> None:
-        ids, langs = Ids(), Ids()
-        lengths = np.fromiter((p.count(b" ") for p in pieces), np.int64, len(pieces)) + 1
-        self.n = int(lengths.sum())
-        self.word = np.fromiter(map(ids.__getitem__, chain.from_iterable(p.split(b" ") for p in pieces)), np.int64, self.n)
-        self.names, each = list(ids), lambda x: np.repeat(np.array(x, np.int64), lengths)
-        self.lang = each([langs[x] for x in lang])
-        self.langs = list(langs)
-        self.behind = np.arange(self.n) - each(np.cumsum(lengths) - lengths)
-        self.left = each(lengths) - self.behind
-        self.starts, self.times = each(starts), each(times)
+        at = places & np.uint64(self.size - 1)
+        return (self.told.value[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
+
+
+def binaries(data: np.ndarray, offsets: np.ndarray) -> pa.BinaryArray:
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def counting(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, 2... for each size in turn, so many numbers."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+class Words:
+    """The lower-cased words of some texts or pieces, one after another: of each its number and its language's, and whether its piece ends with it."""
+
+    def __init__(self, lang: pa.Array, text: pa.Array) -> None:
+        _, ends, data = text.buffers()
+        ends = np.frombuffer(ends, np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
+        data = np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]]
+        ends -= ends[0]
+        kind = _KIND[data]
+        inside = kind == 0
+        begins = inside.copy()
+        begins[1:] &= ~inside[:-1]
+        heads = ends[:-1][ends[:-1] < ends[1:]]
+        begins[heads] = inside[heads]
+        at = np.flatnonzero(begins)
+        self.n = len(at)
+        ends_too = inside.copy()
+        ends_too[:-1] &= begins[1:] | ~inside[1:]
+        letters, sizes = _LOWER[data[inside]], np.flatnonzero(ends_too) + 1 - at
+        words = binaries(letters, np.concatenate(([0], np.cumsum(sizes)))).dictionary_encode()
+        self.names, self.word = words.dictionary, words.indices.to_numpy().astype(np.int64)
+        #: Words before each row, and of each row.
+        self.before = np.searchsorted(at, ends)
+        self.each = np.diff(self.before)
+        self.last = np.bitwise_or.reduceat(kind, at) > 1 if self.n else np.zeros(0, bool)
+        self.last[self.before[1:][self.each > 0] - 1] = True
+        langs = lang.dictionary_encode()
+        self.langs, self.of_row = langs.dictionary, langs.indices.to_numpy().astype(np.int64)
+        self.lang = np.repeat(self.of_row, self.each)
+
+    @cached_property
+    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        """word_hash of each word, and of its language."""
+        words = np.fromiter(map(word_hash, self.names.to_pylist()), np.uint64, len(self.names))
+        langs = np.fromiter((word_hash(x.encode()) for x in self.langs.to_pylist()), np.uint64, len(self.langs))
+        return words[self.word], langs[self.lang]
+
+    def places(self, at: np.ndarray, n: int) -> np.ndarray:
+        """place_of the phrases of n words that begin at the given places."""
+        words, langs = self.hashes
+        h = langs[at]
+        for j in range(n):
+            h = mixed(h, words[at + j])
+        return h >> np.uint64(1)
 
     def begins(self, n: int, known: list[Filter]) -> np.ndarray:
-        """Whether a phrase of n words begins at each place, and no filter rules out one of its parts. A part may stand behind the last start, so all places are looked at."""
-        able = np.ones(self.n + 1, bool)
-        if known:
-            words = np.fromiter(map(word_hash, self.names), np.uint64, len(self.names))[self.word]
-            langs = np.fromiter((word_hash(x.encode()) for x in self.langs), np.uint64, len(self.langs))[self.lang]
+        """Where a phrase of n words begins of which no filter rules out a part."""
+        at = np.arange(self.n)
+        h = self.hashes[1] if known else np.zeros(self.n, np.uint64)
+        able = np.zeros(self.n + 1, bool)
         for k in range(1, n + 1):
-            at = np.flatnonzero((self.left >= k) & (able[:-1] & able[1:] if k > 1 else True))
+            if k > 1:
+                good = able[at + 1] & ~self.last[at] if k == 2 else able[at + 1]
+                at, h = at[good], h[good]
             if k <= len(known):
-                at = at[known[k - 1].has(places_of(langs, words, at, k))]
-            able = np.zeros(self.n + 1, bool)
+                h = mixed(h, self.hashes[0][at + k - 1])
+                good = known[k - 1].has(h >> np.uint64(1))
+                at, h = at[good], h[good]
+            able[:] = False
             able[at] = True
-        return able[:-1]
+        return at
 
-    def phrases(self, at: np.ndarray, n: int) -> list[bytes]:
+    def phrases(self, at: np.ndarray, n: int) -> pa.Array:
         """The n words from each place on."""
-        return list(map(b" ".join, zip(*(map(self.names.__getitem__, self.word[at + j].tolist()) for j in range(n)), strict=True)))
+        return pc.binary_join_element_wise(*(self.names.take(pa.array(self.word[at + j])) for j in range(n)), b" ")
+
+    def counts(self, at: np.ndarray, n: int, times: np.ndarray | None = None) -> tuple[pa.Array, pa.Array, pa.Array]:
+        """lang, phrase and number of the different phrases of n words that begin at some places, which count once or so many times.
+
+        Phrases are numbered word by word, and numbers made dense before they could overflow, so that equal numbers are equal phrases.
+        """
+        number = self.lang[at]
+        for j in range(n):
+            if len(number) and int(number.max()) >= (1 << 62) // len(self.names):
+                number = np.unique(number, return_inverse=True)[1]
+            number = number * len(self.names) + self.word[at + j]
+        order = np.argsort(number)
+        number = number[order]
+        heads = np.flatnonzero(np.diff(number, prepend=-1))
+        if times is None:
+            sums = np.diff(heads, append=len(order))
+        else:
+            sums = np.add.reduceat(times[order], heads) if len(heads) else np.zeros(0, np.int64)
+        first = at[order[heads]]
+        return self.langs.take(pa.array(self.lang[first])), self.phrases(first, n), pa.array(sums)
+
+    def stretches(self, joined: np.ndarray, alone: bool, stretch: int, over: int) -> tuple[pa.Array, pa.Array, pa.Array, pa.Array]:
+        """lang, starts, piece and number of the different stretches of the texts. A word that isn't joined with the next ends a piece; words joined with none are left out unless alone."""
+        keep = joined | np.concatenate(([alone], joined[:-1]))[: self.n] | alone
+        before = np.concatenate(([0], np.cumsum(keep)))[self.before]
+        sizes = np.diff(before)
+        parts = -(-sizes // stretch)
+        skipped = counting(parts) * stretch
+        left, heads = np.repeat(sizes, parts) - skipped, np.repeat(before[:-1], parts) + skipped
+        own = np.minimum(left, stretch + over)
+        kept = np.flatnonzero(keep)[np.repeat(heads, own) + counting(own)]
+        # Each word with what follows it, so that pieces are cut from the words' bytes by offsets.
+        names = pa.concat_arrays([pc.binary_join_element_wise(self.names, pa.scalar(end, pa.binary()), pa.scalar(b"", pa.binary())) for end in (b" ", b"\n")])
+        words = names.take(pa.array(self.word[kept] + len(self.names) * ~joined[kept]))
+        _, offsets, data = words.buffers()
+        offsets = np.frombuffer(offsets, np.int32)[: len(words) + 1] if len(words) else np.zeros(1, np.int32)
+        pieces = binaries(np.frombuffer(data or b"", np.uint8)[: offsets[-1]], offsets[np.concatenate(([0], np.cumsum(own)))])
+        rows = pa.table({"lang": np.repeat(self.of_row, parts), "starts": np.minimum(left, stretch), "piece": pieces})
+        found = rows.group_by(["lang", "starts", "piece"], use_threads=False).aggregate([([], "count_all")])
+        lang, starts, piece, m = (plain(found[c]) for c in ("lang", "starts", "piece", "count_all"))
+        return self.langs.take(lang), starts, piece, m
+
+
+def plain(column: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+
+
+def counted_rows(lang: pa.Array, starts: np.ndarray, pieces: pa.Array, times: np.ndarray, n: int, known: list[Filter]) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """lang, phrase and number of the different phrases of n words in some pieces; those that a filter rules out are left out. For n of 1, the words of each language are told as the number of an empty phrase."""
+    w = Words(lang, pieces)
+    own = counting(w.each) < np.repeat(starts, w.each)
+    at = w.begins(n, known)
+    at, times = at[own[at]], np.repeat(times, w.each)
+    found = w.counts(at, n, times[at])
+    if n > 1:
+        return found
+    sums = np.zeros(len(w.langs), np.int64)
+    np.add.at(sums, w.lang[at], times[at])
+    none = pa.array([b""] * len(sums), pa.binary())
+    return tuple(map(pa.concat_arrays, zip(found, (w.langs, none, pa.array(sums)), strict=True)))
 
 
 def counted(lang: list[str], starts: list[int], pieces: list[bytes], times: list[int], n: int, known: list[Filter]) -> tuple[list, list, list]:
-    """lang, phrase and number of the different phrases of n words in some pieces; those that a filter rules out are left out.
-
-    Phrases are numbered word by word, and numbers made dense before they could overflow, so that equal numbers are equal phrases.
-    """
-    if n == 1:
-        sums = {x: Counter() for x in set(lang)}
-        for x, own in sums.items():
-            own.update(chain.from_iterable(p.split(b" ")[:s] for y, s, p, m in zip(lang, starts, pieces, times, strict=True) if y == x and m == 1))
-        for x, s, p, m in zip(lang, starts, pieces, times, strict=True):
-            if m > 1:
-                for w, c in Counter(p.split(b" ")[:s]).items():
-                    sums[x][w] += c * m
-        return [x for x, own in sums.items() for _ in own], [w for own in sums.values() for w in own], [c for own in sums.values() for c in own.values()]
-    t = Tokens(lang, starts, pieces, times)
-    at = np.flatnonzero(t.begins(n, known) & (t.behind < t.starts))
-    if not len(at):
-        return [], [], []
-    number = t.lang[at]
-    for j in range(n):
-        if int(number.max()) >= (1 << 62) // len(t.names):
-            number = np.unique(number, return_inverse=True)[1]
-        number = number * len(t.names) + t.word[at + j]
-    _, first, which = np.unique(number, return_index=True, return_inverse=True)
-    sums = np.zeros(len(first), np.int64)
-    np.add.at(sums, which, t.times[at])
-    return [t.langs[i] for i in t.lang[at[first]].tolist()], t.phrases(at[first], n), sums.tolist()
-
-
-def runs(lang: list[str], starts: list[int], pieces: list[bytes], times: list[int], known: list[Filter]) -> tuple[list, list, list, list]:
-    """lang, starts, piece, m of the stretches of three words or more in some pieces whose neighbours are frequent phrases; longer frequent phrases stand inside one."""
-    t = Tokens(lang, starts, pieces, times)
-    able = np.concatenate(([False], t.begins(2, known), [False]))
-    first, last = np.flatnonzero(able[1:] & ~able[:-1]), np.flatnonzero(~able[1:] & able[:-1])
-    good = (last - first >= 2) & (t.behind[first] < t.starts[first]) if len(first) else np.zeros(0, bool)
-    first, last = first[good], last[good]
-    words = list(map(t.names.__getitem__, t.word.tolist()))
-    own = [b" ".join(words[a : z + 1]) for a, z in zip(first.tolist(), last.tolist(), strict=True)]
-    inside = np.minimum(last + 1 - first, t.starts[first] - t.behind[first])
-    return [t.langs[i] for i in t.lang[first].tolist()], inside.tolist(), own, t.times[first].tolist()
+    """counted_rows of lists."""
+    found = counted_rows(pa.array(lang, pa.string()), np.array(starts, np.int64), pa.array(pieces, pa.binary()), np.array(times, np.int64), n, known)
+    return tuple(x.to_pylist() for x in found)
 
 
 def spill_folder(shared: str) -> str:
@@ -240,21 +286,44 @@ def spill_folder(shared: str) -> str:
     return os.path.join(local, f"duckdb-{uuid.uuid4().hex}")
 
 
-def in_lots(it: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
-    """lang, starts, piece and m of about TOKENS words at a time."""
-    held: list[list] = [[], [], [], []]
-    size = 0
+def shorter(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """The rows with whole texts of more than LOT bytes cut at ends of pieces."""
+    text = rows.column("piece")
+    long = pc.and_(pc.greater(pc.binary_length(text), LOT), pc.equal(rows.column("starts"), WHOLE)).to_pylist()
+    if not any(long):
+        return rows
+    which, parts = [], []
+    for i, own in enumerate(text):
+        raw, at = own.as_py(), 0
+        while long[i] and len(raw) - at > LOT and (end := _END.search(raw, at + LOT)):
+            parts.append(raw[at : end.end()])
+            at = end.end()
+        parts.append(raw[at:])
+        which += [i] * (len(parts) - len(which))
+    rows = rows.take(pa.array(which))
+    return rows.set_column(rows.schema.get_field_index("piece"), "piece", pa.array(parts, pa.binary()))
+
+
+def in_lots(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, pa.Array, np.ndarray]]:
+    """lang, starts, piece and m of about LOT bytes of pieces at a time."""
+
+    def together(held: list[pa.RecordBatch]) -> tuple:
+        lang, starts, piece, m = (pa.concat_arrays([b.column(c) for b in held]) for c in PIECE.names)
+        return lang, starts.to_numpy().astype(np.int64), piece, m.to_numpy()
+
+    held, size = [], 0
     for b in it:
-        for at in range(0, b.num_rows, 1000):
-            own = b.slice(at, 1000)
-            for h, c in zip(held, ("lang", "starts", "piece", "m"), strict=True):
-                h += own.column(c).to_pylist()
-            size += pc.sum(own.column("starts")).as_py()
-            if size > TOKENS:
-                yield held
-                held, size = [[], [], [], []], 0
-    if size:
-        yield held
+        lengths = pc.sum(pc.binary_length(b.column("piece"))).as_py() or 0
+        step = max(1, b.num_rows * (1 << 20) // (lengths + 1))
+        for at in range(0, b.num_rows, step):
+            own = shorter(b.slice(at, step))
+            held.append(own)
+            size += pc.sum(pc.binary_length(own.column("piece"))).as_py() or 0
+            if size > LOT:
+                yield together(held)
+                held, size = [], 0
+    if held:
+        yield together(held)
 
 
 PIECE = pa.schema([("lang", pa.string()), ("starts", pa.int32()), ("piece", pa.binary()), ("m", pa.int64())])
@@ -262,21 +331,79 @@ PIECES = "lang string, starts int, piece binary, m long"
 
 
 def rows_of(columns: tuple, schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+    return pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def joined_runs(pieces: DataFrame, known: list[Filter]) -> DataFrame:
-    """What of the pieces can hold frequent phrases of three words or more; equal runs are one again."""
+def whole(docs: DataFrame) -> DataFrame:
+    """lang, starts, piece, m: the texts as they are; words are cut from them by the tasks that count."""
+    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.lit(WHOLE).alias("starts"), text.alias("piece"), F.lit(1).cast("long").alias("m"))
+
+
+def pieces_of(docs: DataFrame, how: Mining = Mining(), known: list[Filter] | None = None) -> DataFrame:
+    """lang, starts, piece, m: the stretches of texts, the words in them that phrases may begin with, and how often they occur; line ends are ends of pieces, and equal stretches that a task holds at once are one.
+
+    If filters of words and pairs are given, texts shrink to the runs whose neighbouring words they let pass: frequent phrases of two words or more stand inside one.
+    """
+    known, stretch, over = known or [], STRETCH, how.longest - 1
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lot in in_lots(it):
-            yield rows_of(runs(*lot, known), PIECE)
+        for lang, _, text, _ in in_lots(it):
+            w = Words(lang, text)
+            joined = ~w.last
+            if known:
+                joined[:] = False
+                joined[w.begins(2, known)] = True
+            yield rows_of(w.stretches(joined, not known, stretch, over), PIECE)
+
+    return whole(docs).mapInArrow(run, PIECES)
+
+
+def frequent_buckets(texts: DataFrame, known: list[Filter], how: Mining) -> DataFrame:
+    """block, bits: which buckets of the hashes of pairs occur often enough, in blocks of 2^BLOCK; blocks without any are left out.
+
+    Tasks send the numbers of a block's buckets as two arrays, cut off at how.least, where their sum is settled.
+    """
+    spark, per = texts.sparkSession, 1 << BLOCK
+    number = np.min_scalar_type(how.least)
+    sent_rows = pa.schema([("block", pa.int32()), ("bucket", pa.binary()), ("number", pa.binary())])
+    kept_rows = pa.schema([("block", pa.int32()), ("bits", pa.binary())])
+
+    def parts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, _, text, _ in in_lots(it):
+            w = Words(lang, text)
+            bucket = np.sort((w.places(w.begins(2, known), 2) & np.uint64(how.bits - 1)).astype(np.uint32))
+            heads = np.flatnonzero(np.diff(bucket.astype(np.int64), prepend=-1))
+            many = np.minimum(np.diff(heads, append=len(bucket)), how.least).astype(number)
+            bucket = bucket[heads]
+            blocks, first = np.unique(bucket >> BLOCK, return_index=True)
+            first = np.append(first, len(bucket))
+            low = binaries((bucket & np.uint32(per - 1)).astype(np.uint16).view(np.uint8), first * 2)
+            yield rows_of((blocks.astype(np.int32), low, binaries(many.view(np.uint8), first * number.itemsize)), sent_rows)
+
+    def sums(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, np.zeros(per, np.int64)
+
+        def told() -> Iterator[pa.RecordBatch]:
+            bits = total >= how.least
+            if bits.any():
+                yield rows_of(([now], [np.packbits(bits, bitorder="little").tobytes()]), kept_rows)
+
+        for b in it:
+            for block, bucket, many in zip(*(b.column(c).to_pylist() for c in sent_rows.names), strict=True):
+                if block != now:
+                    yield from told()
+                    now = block
+                    total[:] = 0
+                total[np.frombuffer(bucket, np.uint16)] += np.frombuffer(many, number)
+        yield from told()
 
-    return pieces.mapInArrow(run, PIECES).groupBy("lang", "starts", "piece").agg(F.sum("m").alias("m"))
+    sent = texts.mapInArrow(parts, "block int, bucket binary, number binary")
+    return sent.repartition(partitions(spark), "block").sortWithinPartitions("block").mapInArrow(sums, "block int, bits binary")
 
 
 def level(pieces: DataFrame, n: int, known: list[Filter], how: Mining = Mining()) -> DataFrame:
-    """lang, phrase, f, h: the frequent phrases of n words."""
+    """lang, phrase, f, h: the frequent phrases of n words. Level 1 also has the words of each language, as f of an empty phrase."""
     spark = pieces.sparkSession
     shared = shared_dir(spark)
     sent_rows = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("m", pa.int64())])
@@ -284,7 +411,7 @@ def level(pieces: DataFrame, n: int, known: list[Filter], how: Mining = Mining()
 
     def parts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lot in in_lots(it):
-            yield rows_of(counted(*lot, n, known), sent_rows)
+            yield rows_of(counted_rows(*lot, n, known), sent_rows)
 
     def sums(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spill = spill_folder(shared)
@@ -296,7 +423,7 @@ def level(pieces: DataFrame, n: int, known: list[Filter], how: Mining = Mining()
                     db.register("arrived", pa.Table.from_batches([b]))
                     db.execute("INSERT INTO part FROM arrived")
                     db.unregister("arrived")
-            found = db.execute("SELECT lang, phrase, CAST(sum(m) AS BIGINT) AS f FROM part GROUP BY lang, phrase HAVING sum(m) >= ?", [how.least])
+            found = db.execute("SELECT lang, phrase, CAST(sum(m) AS BIGINT) AS f FROM part GROUP BY lang, phrase HAVING sum(m) >= ? OR phrase = ''::BLOB", [how.least])
             while rows := found.fetchmany(10_000):
                 lang, phrase, f = zip(*rows, strict=True)
                 yield rows_of((lang, phrase, f, [*map(place_of, lang, phrase)]), kept_rows)
@@ -308,20 +435,28 @@ def level(pieces: DataFrame, n: int, known: list[Filter], how: Mining = Mining()
     return sent.repartition(partitions(spark), "lang", "phrase").mapInArrow(sums, "lang string, phrase binary, f long, h long")
 
 
-def frequent(pieces: DataFrame, how: Mining = Mining()) -> DataFrame:
-    """lang, size, phrase, f of the frequent phrases of all levels. From three words on, only runs of frequent pairs are looked at."""
-    out, known, own = None, [], pieces
+def frequent(docs: DataFrame, how: Mining = Mining()) -> tuple[DataFrame, DataFrame]:
+    """lang, size, phrase, f of the frequent phrases of all levels, and lang, n: all words of each language. From two words on, only runs of pairs that may be frequent are looked at."""
+    texts = whole(docs)
+    found = written(level(texts, 1, [], how), "phrases-1")
+    none = F.octet_length("phrase") == 0
+    totals, found = found.where(none).select("lang", F.col("f").alias("n")), found.where(~none)
+    out, known, own = None, [], None
     for n in range(1, how.longest + 1):
-        if n == 3:
-            own = written(joined_runs(pieces, known), "runs")
-        found = written(level(own, n, known, how), f"phrases-{n}")
+        if n == 2:
+            own = written(pieces_of(docs, how, [*known, Filter.of_buckets(texts, known, how)]), "runs")
+        if n > 1:
+            found = written(level(own, n, known, how), f"phrases-{n}")
         rows = found.select("lang", F.lit(n).alias("size"), F.col("phrase").cast("string").alias("phrase"), "f")
         out = rows if out is None else out.unionByName(rows)
         if n < how.longest:
             if found.isEmpty():
                 break
-            known.append(Filter(found, how))
-    return out
+            known.append(Filter.of(found, how))
+    counts = written(out, "phrases")
+    if own is not None:
+        done_with(own)
+    return counts, totals
 
 
 def cuts(counts: DataFrame) -> DataFrame:
@@ -353,11 +488,7 @@ def collocations(docs: DataFrame, how: Mining = Mining()) -> DataFrame:
     Products are taken as decimals of 38 digits. A score is at most 1000 n / a, as
     no part is rarer than the phrase, so that it is a long.
     """
-    pieces = written(pieces_of(docs.select("lang", "text"), how), "pieces")
-    totals = pieces.groupBy("lang").agg(F.sum(F.col("starts") * F.col("m")).alias("n"))
-    counts = written(frequent(pieces, how), "phrases")
-    totals = written(totals, "words-by-language")
-    done_with(pieces)
+    counts, totals = frequent(docs.select("lang", "text"), how)
     parts = cuts(counts).join(totals, "lang")
     big = lambda c: F.col(c).cast("decimal(38,0)")
     score = F.expr("CAST(1000 AS DECIMAL(38,0)) * CAST(a AS DECIMAL(20,0)) * CAST(n AS DECIMAL(20,0)) div (CAST(l AS DECIMAL(20,0)) * CAST(r AS DECIMAL(20,0)))")

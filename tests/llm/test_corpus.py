@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,6 +115,46 @@ def test_counted_by_levels():
     assert Counter(dict(zip(zip(lang, phrase, strict=True), f, strict=True))) == {("x", b"a b"): 6, ("x", b"b a"): 6, ("y", b"b a"): 1 << 60, ("y", b"a b"): 1 << 60}
 
 
+def test_a_text_of_many_pieces_is_one_row(spark):
+    rows = [(i, ", ".join(f"own{i} words{j} here" for j in range(50)), "x") for i in [*range(20), 7]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    own = collocations.pieces_of(docs).collect()
+    assert len(own) == 20 and sum(r["starts"] * r["m"] for r in own) == 21 * 150
+    assert all(len(re.findall(rb"[^\n]+", bytes(r["piece"]))) == 50 for r in own)
+
+
+def test_words_of_bytes(monkeypatch):
+    texts = ["a,b,c,d,e,f,g,h", "A b\tÄ", "\x1c x.y", "", ",;", "a b" * 9 + "! c d.e " * 5, " b a ", "é\x85ü \r"]
+    pieces = [[x.split() for x in re.split(rb"[.,;:!?\x0A-\x0D]", lowered(t).encode()) if x.split()] for t in texts]
+    want = [(w, i == len(p) - 1) for text in pieces for p in text for i, w in enumerate(p)]
+    w = collocations.Words(pa.array(["x"] * len(texts)), pa.array([t.encode() for t in texts]))
+    assert [(w.names[i].as_py(), bool(e)) for i, e in zip(w.word, w.last, strict=True)] == want
+    at = w.begins(3, [])
+    assert w.places(at, 3).tolist() == [collocations.place_of("x", p.as_py()) for p in w.phrases(at, 3)]
+    monkeypatch.setattr(collocations, "LOT", 8)
+    rows = pa.RecordBatch.from_arrays([pa.array(["x"] * len(texts)), pa.array([99, *[collocations.WHOLE] * (len(texts) - 1)], pa.int32()), pa.array([t.encode() for t in texts]), pa.array([1] * len(texts))], schema=collocations.PIECE)
+    lots = list(collocations.in_lots(iter([rows.slice(0, 0), rows])))
+    assert [sum(len(lot[i]) for lot in lots) > len(texts) for i in range(4)] == [True] * 4
+    assert lots[0][2][0].as_py() == texts[0].encode()
+    for n in (1, 2, 3):
+        got = Counter()
+        for lot in lots:
+            for _, phrase, f in zip(*(x.to_pylist() for x in collocations.counted_rows(*lot, n, [])), strict=True):
+                got[phrase] += f
+        want = Counter(b" ".join(p[i : i + n]) for text in pieces for p in text for i in range(len(p) - n + 1))
+        assert got == want + Counter({b"": want.total() if n == 1 else 0})
+
+
+@pytest.mark.parametrize("bits", [1 << 16, 1 << 20])
+def test_buckets_keep_all_frequent_pairs(spark, bits):
+    rows = [(i, f"{'a b, ' * 150} {'c d. ' * 149} e{i} f g a", "x") for i in range(2)]
+    how = collocations.Mining(least=300, bits=bits)
+    texts = collocations.whole(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2))
+    found = collocations.Filter.of_buckets(texts, [], how)
+    has = lambda p: bool(found.has(np.array([collocations.place_of("x", p)], np.uint64))[0])
+    assert has(b"a b") and not has(b"c d") and not has(b"f g")
+
+
 @pytest.fixture(scope="module")
 def spoken(spark):
     """Documents of clean sentences; the toxic ones hold one sentence with one of a few words, some of them in endings of their own."""
