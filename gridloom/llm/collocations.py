@@ -11,8 +11,8 @@ bucket is rare is rare. Texts shrink to their runs of the other pairs, and equal
 that a task holds at once become one with a multiplicity. What passes the filters by
 mistake is counted and found rare; counts are exact.
 
-Tasks work on the bytes and offsets of Arrow's columns, some millions of words at a
-time; there is no Python object for a word or phrase but the different words of a lot.
+Tasks work on the bytes and offsets of Arrow's columns, about a million words at a
+time; only the different words of a lot and the frequent phrases become Python objects.
 
 Every part of a frequent phrase is frequent too, so the tables of the levels hold all
 that scores need. A phrase sends a request for each of its parts; requests are
@@ -23,7 +23,7 @@ Defined cases: null text has no pieces; a null lang is `und`; pieces without wor
 left out; repeated rows count as often as they are there; equal scores go by count, then
 phrase by its bytes. A long text is cut into stretches of STRETCH words with
 the following words of the longest phrase but one; starts are counted in one stretch only. A very long
-text is cut at ends of pieces as it is read. An empty table gives no row. Extra columns are ignored.
+text is cut at ends of pieces as it is read; without any, it stays whole there. An empty table gives no row. Extra columns are ignored.
 """
 
 from __future__ import annotations
